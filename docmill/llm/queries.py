@@ -1,13 +1,18 @@
 """The queries opN_<name> of this subpackage, and SQL for those that SQL can express."""
 
-from docmill.llm import mixing, quality
+from docmill.llm import decontaminate, mixing, quality, tokens, urls
 
 QUERIES = {
+    "op2_token_counts": tokens.op2_token_counts,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
+    "op10_url_filters": urls.op10_url_filters,
 }
 
 ORACLE_SQL = {
     "op6_quality_rules": quality.SQL,
+    "op8_decontamination": decontaminate.SQL,
     "op9_mixing": mixing.SQL,
+    "op10_url_filters": urls.SQL,
 }
