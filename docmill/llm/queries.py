@@ -1,10 +1,13 @@
 """The queries opN_<name> of this subpackage, and SQL for those that SQL can express."""
 
-from docmill.llm import decontaminate, mixing, quality, tokens, urls
+from docmill.llm import decontaminate, language, mixing, pii, quality, secrets, tokens, urls
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op2_token_counts": tokens.op2_token_counts,
+    "op5_pii": pii.op5_pii,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_language": language.op7_language,
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
     "op10_url_filters": urls.op10_url_filters,
