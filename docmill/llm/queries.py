@@ -1,10 +1,11 @@
 """The queries opN_<name> of this subpackage, and SQL for those that SQL can express."""
 
-from docmill.llm import decontaminate, language, mixing, pii, quality, secrets, tokens, urls
+from docmill.llm import decontaminate, language, mixing, ngram_join, pii, quality, secrets, tokens, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_token_counts": tokens.op2_token_counts,
+    "op3_ngram_jaccard": ngram_join.op3_ngram_jaccard,
     "op5_pii": pii.op5_pii,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_language": language.op7_language,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_ngram_jaccard": ngram_join.SQL,
     "op6_quality_rules": quality.SQL,
     "op8_decontamination": decontaminate.SQL,
     "op9_mixing": mixing.SQL,
