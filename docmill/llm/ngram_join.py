@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docmill.llm import arrays as A
 from docmill.llm.components import components
@@ -82,19 +83,27 @@ def least_overlap(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return -(-NUM * (n + m) // (NUM + DEN))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs (id, text) as (id, n, key): the size and class of each set."""
+def with_keys(df: DataFrame, text: str, n_name: str, key_name: str) -> DataFrame:
+    """df with the size and the class of the set of its text, under the given names."""
+    kept = [c for c in df.columns if c not in (n_name, key_name)]
+    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(n_name, T.LongType()), T.StructField(key_name, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at = batch.schema.get_field_index
             n, keys = [np.zeros(0, np.int64)], [np.zeros(0, object)]
-            for _, _, data, offsets in A.blocks(batch.column(1)):
+            for _, _, data, offsets in A.blocks(batch.column(at(text))):
                 hashes, bounds = shingle_sets(data, offsets)
                 n.append(np.diff(bounds))
                 keys.append(class_keys(hashes, bounds))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n)), pa.array(np.concatenate(keys), pa.binary())], names=["id", "n", "key"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(at(c)) for c in kept], pa.array(np.concatenate(n)), pa.array(np.concatenate(keys), pa.binary())], names=schema.names)
+
+    return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
-    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, key binary")
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs (id, text) as (id, n, key): the size and class of each set."""
+    return with_keys(docs.select("id", "text"), "text", "n", "key").select("id", "n", "key")
 
 
 def sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -335,6 +344,24 @@ def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text") -
     return out.select(F.col("id").alias(row_id), F.col("n").alias("n_shingles"), "component_id")
 
 
+def one_of_each(df: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df without near duplicates: of every component the one with the smallest id (null last), once.
+
+    Texts without a word link with nothing and all stay.
+    """
+    docs = df.select(F.col(f"`{row_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    rows, labels = links(docs)
+    named = rows.where("n > 0").join(labels, rows["key"] == labels["node"], "left").select("id", "key", F.coalesce("label", "key").alias("component"))
+    best = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("best"))
+    best = best.select(F.col("best.key").alias("__near_best"), F.col("best.id").alias("__near_id"))
+    word = F.coalesce(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    tagged = with_keys(df.where(word), text, "__near_n", "__near_key")
+    same = (F.col("__near_key") == F.col("__near_best")) & F.col(f"`{row_id}`").eqNullSafe(F.col("__near_id"))
+    kept = tagged.join(best, same, "left_semi").dropDuplicates(["__near_key", row_id])
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return kept.select(*columns).unionByName(df.where(~word).select(*columns))
+
+
 def op3_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
