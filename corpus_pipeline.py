@@ -1,11 +1,63 @@
-"""Pipeline (stages follow)."""
+"""A training corpus from raw documents: five stages, each an operator of docmill.llm at work on what the stage before kept.
 
-STAGES: list = []
+Every stage but the last returns the columns of `documents`; the last adds what the mix took.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docmill.llm import decontaminate, mixing, ngram_join, pii, quality
+from docmill.llm.shared import written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the current policy."""
+    book = quality.ledger(docs, prefix="__q_")
+    return book.where(quality.passes(quality.CURRENT, "__q_")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents, the one with the smallest id."""
+    return ngram_join.one_of_each(docs.select(*COLUMNS))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word inside a benchmark window."""
+    found = decontaminate.matched(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where("NOT contaminated").select(*COLUMNS)
+
+
+def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced; n_chars follows a changed text."""
+    changed = pii.replaced(docs.select(*COLUMNS))
+    n_chars = F.when(F.col("n_entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return changed.withColumn("n_chars", n_chars).select(*COLUMNS)
+
+
+def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with how often (`copies`) and their size in words."""
+    mix = mixing.mixed(docs.select(*COLUMNS))
+    return mix.where(F.col(mixing.P + "copies") > 0).select(*COLUMNS, F.col(mixing.P + "size").alias("size"), F.col(mixing.P + "copies").alias("copies"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("pii", pii_surrogates),
+    ("mixing", mixing_to_weights),
+]
+
+#: Surrogates are keyed permutations, which SQL can't express; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs, _ = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
