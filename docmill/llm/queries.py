@@ -1,11 +1,12 @@
 """The queries opN_<name> of this subpackage, and SQL for those that SQL can express."""
 
-from docmill.llm import decontaminate, language, mixing, ngram_join, pii, quality, secrets, tokens, urls
+from docmill.llm import decontaminate, language, mixing, ngram_join, pii, quality, secrets, substrings, tokens, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_token_counts": tokens.op2_token_counts,
     "op3_ngram_jaccard": ngram_join.op3_ngram_jaccard,
+    "op4_suffix_dedup": substrings.op4_suffix_dedup,
     "op5_pii": pii.op5_pii,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_language": language.op7_language,
