@@ -15,6 +15,7 @@ table gives an empty result; extra columns pass through, those named like a resu
 
 from __future__ import annotations
 
+import os
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -29,7 +30,11 @@ from pyspark.sql import types as T
 
 SAMPLE_ROWS = 4096
 TABLE_PIECES = 1 << 16
-CACHE_PIECES = 1 << 19
+CACHE_PIECES = 1 << 18
+#: Bytes of texts cut into pieces at a time.
+TEXT_BYTES = 1 << 19
+#: Pieces encoded by one call.
+ENCODED = 1 << 12
 #: Longer pieces are encoded anew each time, so that the caches stay bounded in bytes too.
 CACHED_CHARS = 64
 #: Unicode White_Space, which the tokenizers' pattern means by \s; Python's own \s has more.
@@ -70,6 +75,7 @@ class Encoder:
     """Token counts by a tokenizers file, its special strings being one token each as by the library's default."""
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -79,7 +85,7 @@ class Encoder:
         self.special = re.compile("|".join(re.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
 
     def counts(self, texts: list[str]) -> list[int]:
-        return [len(e) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [len(e) for at in range(0, len(texts), ENCODED) for e in self.library.encode_batch_fast(texts[at : at + ENCODED], add_special_tokens=False)]
 
 
 class Counts:
@@ -113,6 +119,18 @@ class Counts:
         return [sum(sums[at : at + n]) + more for (at, n), more in zip(whole, extra, strict=True)]
 
 
+_WORKER: dict[tuple[str, int], Counts] = {}
+
+
+def _worker(path: str, table: Table) -> Counts:
+    """This Python worker's tiers, kept from task to task."""
+    at = (path, hash(table))
+    if at not in _WORKER:
+        _WORKER.clear()
+        _WORKER[at] = Counts(path, table)
+    return _WORKER[at]
+
+
 class _Chain(dict):
     """Tier one, then tier two."""
 
@@ -153,15 +171,14 @@ def counted(df: DataFrame, tokenizer: str, text: str = "text", limit: int = 512)
     df = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*kept, text])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = None
+        counts = _worker(tokenizer, table.value)
         for batch in batches:
-            counts = counts or Counts(tokenizer, table.value)
             column = pc.fill_null(batch.column(batch.schema.get_field_index(text)), "")
             n_bytes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
             n_tokens: list[int] = []
             at, ends = 0, np.cumsum(n_bytes)
             while at < len(column):
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), "right")))
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXT_BYTES, "right")))
                 n_tokens += counts.of(column.slice(at, to - at).to_pylist())
                 at = to
             tokens = np.array(n_tokens, np.int64)
