@@ -216,7 +216,7 @@ class Shard:
             long = bounds[1:][np.repeat(np.arange(len(some)), sizes[some])] - np.arange(len(text)) >= length
             at = np.flatnonzero(long[order])
             # What two long suffixes share is the least of what all between them share.
-            between = np.minimum.reduceat(lcp, np.append(0, at[:-1] + 1))[: len(at)]
+            between = np.minimum.reduceat(lcp[: at[-1] + 1], np.append(0, at[:-1] + 1))
             same = np.zeros(len(at), bool)
             same[1:] = between[1:] >= length
             group = np.cumsum(~same)
@@ -308,7 +308,10 @@ def keepers(cut: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -> Data
                 anchors_now = every.column("anchor").to_numpy()
                 ends = np.flatnonzero(anchors_now != anchors_now[-1])
                 split = int(ends[-1]) + 1 if len(ends) else 0
-                if merging is not None and anchors_now[0] == merging:
+                if merging is not None and anchors_now[0] != merging:
+                    yield out(*merged.places())
+                    merged = merging = None
+                if merging is not None:
                     stop = int(np.flatnonzero(anchors_now == merging)[-1]) + 1
                     merged.add(shard_of([every.slice(0, stop)]), length)
                     if stop < len(anchors_now):
