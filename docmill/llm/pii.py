@@ -8,9 +8,10 @@ name goes to one of the same gender and script.  A permutation keeps distinct va
 gives a value the same surrogate in every document, without any shared state.
 
 The collision check covers the whole corpus: a surrogate that is itself an original somewhere
-would be mistaken for that person.  Distinct originals are joined with the surrogates, and those
-that clash are walked on through the permutation until they are no original (which keeps
-them distinct).  The few walked values go to the tasks in slices of MAX_SENT, one pass each.
+would be mistaken for that person.  Distinct originals are joined with the surrogates; those that
+clash get their image under another permutation, unless that clashes with an original or a
+surrogate given before, and so on.  The few values so changed go to the tasks in slices of
+MAX_SENT, one pass each.
 
 Defined cases: null and empty texts stay as they are, with no entity; texts without an entity are
 returned byte for byte; overlapping finds are cut by kind in the order above, then by place;
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 KEY = b"docmill-surrogates-1"
 MAX_SENT = 200_000
-#: A walk as long as this needs an attacker's input: each step clashes with a chance of originals / values of that shape.
+#: Rounds of the collision check; a value is refused in one with a chance of originals / values of its shape.
 MAX_WALK = 64
 
 # Common given names by gender and script.
@@ -241,25 +242,28 @@ def with_surrogates(found: DataFrame, key: bytes = KEY, source: str = "value", t
 
 
 def walked(found: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(kind, value, surrogate) of the originals whose first surrogate is an original too, walked on until it is none.
+    """(kind, value, surrogate) of the originals whose first surrogate is an original too, with another one.
 
-    One task's walk needs to know which of its images are originals; that is a join, so every step of
-    the walk is one join over the values still clashing.  It ends when none is left.
+    Round after round the originals left take their images under the round's own permutation; an
+    image is refused if it is an original, or the surrogate of another in an earlier round.  Within a
+    round images are distinct, so all are.  Refusals are joins, over ever fewer rows.
     """
     found = found.where(F.col("kind").isin(*_WALKED))
     originals = found.select("kind", F.col("value").alias("surrogate"))
-    clash = with_surrogates(found, key).join(originals, ["kind", "surrogate"], "left_semi").select("kind", "value", "surrogate")
+    first = with_surrogates(found, key)
+    left = first.join(originals, ["kind", "surrogate"], "left_semi").select("kind", "value").persist()
+    taken = first.join(originals, ["kind", "surrogate"], "left_anti").select("kind", "surrogate")
     out = None
-    for _ in range(MAX_WALK):
-        clash = clash.persist()
-        if clash.isEmpty():
+    for r in range(1, MAX_WALK):
+        if left.isEmpty():
             break
-        moved = with_surrogates(clash.withColumnRenamed("surrogate", "was"), key, "was").select("kind", "value", "surrogate").persist()
-        settled = moved.join(originals, ["kind", "surrogate"], "left_anti").select("kind", "value", "surrogate")
-        out = settled if out is None else out.unionByName(settled)
-        clash = moved.join(originals, ["kind", "surrogate"], "left_semi").select("kind", "value", "surrogate")
+        asked = with_surrogates(left, key + b"#%d" % r)
+        good = asked.join(originals, ["kind", "surrogate"], "left_anti").join(taken, ["kind", "surrogate"], "left_anti").select("kind", "value", "surrogate").persist()
+        out = good if out is None else out.unionByName(good)
+        taken = taken.unionByName(good.select("kind", "surrogate"))
+        left = left.join(good, ["kind", "value"], "left_anti").persist()
     else:
-        raise RuntimeError(f"surrogates still clash after {MAX_WALK} steps; take another key")
+        raise RuntimeError(f"surrogates still clash after {MAX_WALK} rounds; take another key")
     return out if out is not None else found.sparkSession.createDataFrame([], "kind string, value string, surrogate string")
 
 
