@@ -48,7 +48,6 @@ def cost(tokens_in: Column, tokens_out: Column, price_in: float = 0.000046, pric
 
 def assembled(segments: DataFrame, law: str, article: str, pos: str, text: str) -> DataFrame:
     """Articles in the order they first appear, each its distinct segments joined by blank lines."""
-    first = F.row_number().over(Window.partitionBy(law, article, text).orderBy(pos))
-    items = segments.withColumn("__n", first).where("__n = 1")
+    items = segments.groupBy(law, article, text).agg(F.min(pos).alias(pos))
     parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, text))), lambda s: s[text]), "\n\n")
     return items.groupBy(law, article).agg(F.min(pos).alias("first_pos"), parts.alias("body"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmill.functions import text as X
@@ -105,3 +105,16 @@ def related(items: Column) -> Column:
     """Link texts of more than 5 characters; none is null."""
     long = F.filter(items, lambda t: F.length(t) > 5)
     return F.when(F.size(long) > 0, long)
+
+
+def section_documents(items: DataFrame, page: str, pos: str, heading: str, link: str, first_of: str, all_of: str) -> DataFrame:
+    """Links of a page in order, each under the last heading before it: the first of one section, all of another."""
+    order = Window.partitionBy(page).orderBy(pos)
+    under = items.withColumn("section", F.last(heading, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    links = under.where(F.col(link).isNotNull())
+    first = links.where(F.col("section") == first_of).groupBy(page).agg(F.min_by(F.struct(pos, link, "section"), pos).alias("d")).select(page, "d.*")
+    return first.unionByName(links.where(F.col("section") == all_of).select(page, pos, link, "section"))
+
+
+def not_found(heading: Column) -> Column:
+    return F.contains(F.lower(heading), F.lit("non trovata"))

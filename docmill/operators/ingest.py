@@ -49,7 +49,8 @@ def summary(outcomes: DataFrame) -> DataFrame:
 def error_sample(outcomes: DataFrame, most: int = 10) -> DataFrame:
     """The first errors by path, and how many more there are."""
     failed = outcomes.where("outcome = 'failed'")
-    return failed.orderBy("storage_path").limit(most).crossJoin(F.broadcast(failed.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("more"))))
+    more = failed.agg(F.greatest(F.count("*") - most, F.lit(0))).scalar()
+    return failed.orderBy("storage_path").limit(most).withColumn("more", more)
 
 
 def replaced(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
@@ -73,16 +74,19 @@ def normalized_path(path: Column, folder: str) -> Column:
 
 
 def take_while_new(listing: DataFrame, stored: DataFrame, key: str, lane: str, pos: str) -> DataFrame:
-    """Of each lane the rows before the first that is stored already."""
-    known = listing.join(stored.select(key).distinct().withColumn("__known", F.lit(1)), key, "left")
-    seen = F.max(F.coalesce("__known", F.lit(0))).over(Window.partitionBy(lane).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
-    return known.withColumn("__seen", seen).where("__seen = 0").drop("__known", "__seen")
+    """Of each lane the rows before the first that is stored already.
+
+    The first stored place of a lane is an aggregate, so a lane of any length needs no window.
+    """
+    known = listing.join(stored.select(key).distinct(), key, "left_semi")
+    first = known.groupBy(F.col(lane).alias("__lane")).agg(F.min(pos).alias("__first"))
+    return listing.join(first, F.col(lane).eqNullSafe(F.col("__lane")), "left").where(F.col("__first").isNull() | (F.col(pos) < F.col("__first"))).drop("__lane", "__first")
 
 
 def resumed(listing: DataFrame, key: str, at: str, pos: str) -> DataFrame:
     """Rows from the first with the key on; all of them if there is none."""
-    first = listing.where(F.col(key) == at).agg(F.min(pos).alias("__first"))
-    return listing.crossJoin(F.broadcast(first)).where(F.col(pos) >= F.coalesce("__first", F.col(pos))).drop("__first")
+    first = listing.where(F.col(key) == at).agg(F.min(pos)).scalar()
+    return listing.where(F.col(pos) >= F.coalesce(first, F.col(pos)))
 
 
 def stop_after_idle(pages: DataFrame, lane: str, pos: str, new: str = "n_new", idle: int = 2) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmill.functions import text as X
@@ -37,12 +37,15 @@ def pager_total(text: Column) -> Column:
 
 
 def keep_first(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """Of rows with the same keys the first; rows whose keys are all empty go."""
+    """Of rows with the same keys the first; rows whose keys are all empty go.
+
+    An aggregate keeps one row a key in every task before the shuffle, so a key may have any number of rows.
+    """
     some = F.lit(False)
     for k in keys:
         some = some | (F.coalesce(F.col(k).cast("string"), F.lit("")) != "")
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.where(some).withColumn("__n", n).where("__n = 1").drop("__n")
+    best = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("__first")
+    return df.where(some).groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(best).select("__first.*")
 
 
 def cleaned(records: DataFrame, upper: str = "revisore_contabile", dates: tuple[str, ...] = DATES, need: tuple[str, ...] = ("nome_completo", "ordine")) -> DataFrame:

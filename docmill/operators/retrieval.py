@@ -126,10 +126,10 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, row_id: str = "v
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def first_of_text(df: DataFrame, text: str, *order: Column) -> DataFrame:
-    """Of rows with one text the first; rows without text go."""
-    n = F.row_number().over(Window.partitionBy(text).orderBy(*order))
-    return df.where(F.coalesce(F.col(text), F.lit("")) != "").withColumn("__n", n).where("__n = 1").drop("__n")
+def first_of_text(df: DataFrame, text: str, order: str) -> DataFrame:
+    """Of rows with one text the first by `order`; rows without text go."""
+    some = df.where(F.coalesce(F.col(text), F.lit("")) != "")
+    return some.groupBy(F.col(text).alias("__text")).agg(F.min_by(F.struct(*df.columns), order).alias("__first")).select("__first.*")
 
 
 def bm25(candidates: DataFrame, query: str, text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
@@ -144,20 +144,17 @@ def bm25(candidates: DataFrame, query: str, text: str = "text", k1: float = K1,
         return tokenized.withColumn("score", F.lit(0.0)).drop("__t")
     terms = sorted(set(asked))
     raw = lambda n, df: F.log(n - df + 0.5) - F.log(df + 0.5)
-    stats = tokenized.agg(F.count("*").alias("n"), F.avg(F.size("__t")).alias("avgdl"), *[F.count_if(F.array_contains("__t", t)).alias(f"df{i}") for i, t in enumerate(terms)])
+    facts = tokenized.agg(F.struct(F.count("*").alias("n"), F.avg(F.size("__t")).alias("avgdl"), *[F.count_if(F.array_contains("__t", t)).alias(f"df{i}") for i, t in enumerate(terms)])).scalar()
     frequency = tokenized.select(F.explode(F.array_distinct("__t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    mean = frequency.crossJoin(F.broadcast(tokenized.agg(F.count("*").alias("n")))).agg(F.avg(raw(F.col("n"), F.col("df"))).alias("mean"))
-    weights = [F.when(raw(F.col("n"), F.col(f"df{i}")) >= 0, raw(F.col("n"), F.col(f"df{i}"))).otherwise(F.lit(FLOOR) * F.col("mean")).alias(f"w{i}") for i in range(len(terms))]
-    one_row = stats.crossJoin(mean).select("avgdl", *weights)
-    joined = tokenized.crossJoin(F.broadcast(one_row))  # one row of aggregates
-    length = F.col("__t")
+    mean = frequency.select(raw(facts["n"], F.col("df")).alias("raw")).agg(F.avg("raw")).scalar()
     score = F.lit(0.0)
     for i, t in enumerate(terms):
+        weight = raw(facts["n"], facts[f"df{i}"])
         tf = F.size(F.filter("__t", _same(t))).cast("double")
-        norm = F.lit(1 - b) + F.lit(b) * F.size(length) / F.col("avgdl")
-        part = F.col(f"w{i}") * tf * (k1 + 1) / (tf + k1 * norm)
-        score = score + F.when((tf > 0), part * asked.count(t)).otherwise(0.0)
-    return joined.withColumn("score", score).select(*candidates.columns, "score")
+        norm = F.lit(1 - b) + F.lit(b) * F.size("__t") / facts["avgdl"]
+        part = F.when(weight >= 0, weight).otherwise(F.lit(FLOOR) * mean) * tf * (k1 + 1) / (tf + k1 * norm)
+        score = score + F.when(tf > 0, part * asked.count(t)).otherwise(0.0)
+    return tokenized.withColumn("score", score).select(*candidates.columns, "score")
 
 
 def _same(term: str):
@@ -186,7 +183,7 @@ def cascade(vectors: DataFrame, request: Request, query: str, text: str = "text"
     hits = by_library(vectors, request, row_id=row_id)
     position = F.row_number().over(Window.orderBy(F.desc("score"), "library_order", "hit"))
     placed = hits.withColumn("pos", position).withColumnRenamed("score", "vector_score")  # at most CANDIDATES rows
-    unique = first_of_text(placed, text, F.col("pos"))
+    unique = first_of_text(placed, text, "pos")
     best = bm25_top(unique, query, LEXICAL, F.col("pos"), text=text)
     if reranker:
         return reranker(best, query, FINAL)

@@ -192,9 +192,9 @@ def pack_batches(spark, d):
     return sizes.select("conv_id", F.posexplode(chunking.packed(F.transform("items", lambda x: x["size"]), 500)).alias("item", "batch"))
 
 
-@query("SELECT doc_id, source, floor((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) / 96)::INTEGER AS batch FROM documents")
+@query("SELECT conv_id, turn, floor((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) / 3)::INTEGER AS batch FROM conversations")
 def fixed_batches(spark, d):
-    return chunking.fixed_batches(table(spark, d, "documents").select("doc_id", "source"), "source", "doc_id")
+    return chunking.fixed_batches(table(spark, d, "conversations").select("conv_id", "turn"), "conv_id", "turn", rows=3)
 
 
 @query(r"SELECT doc_id, md5(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '?', 'g')) AS plain FROM documents")
