@@ -70,8 +70,8 @@ def section_choice(wanted: DataFrame, sections: DataFrame, name: str = "name", p
 
     sections is the short table of a site's sections; Spark broadcasts it while it stays small.
     """
-    a, b = F.lower(wanted[name]), F.lower(sections[name])
-    pairs = wanted.select(wanted[name].alias("wanted")).join(sections, (a == b) | F.contains(a, b) | F.contains(b, a), "left")
+    a, b = F.lower("wanted"), F.lower(name)
+    pairs = wanted.select(F.col(name).alias("wanted")).join(sections, (a == b) | F.contains(a, b) | F.contains(b, a), "left")
     rank = F.struct((F.col("wanted") != F.col(name)).cast("int"), pos)
     return pairs.groupBy("wanted").agg(F.min_by(name, rank).alias("section"))
 
