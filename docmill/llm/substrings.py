@@ -39,8 +39,8 @@ from docmill.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH = 100
 GRAM = 20
-#: Bytes of documents whose anchors one bucket takes, and bytes of segments sorted at once.
-BUCKET_BYTES, SHARD_BYTES = 32 << 20, 4 << 20
+#: Bytes of documents whose anchors one bucket takes, of segments sent at once, and of segments sorted at once.
+BUCKET_BYTES, CUT_BYTES, SHARD_BYTES = 32 << 20, 12 << 20, 4 << 20
 LAST = (1 << 63) - 1
 ID, H, TEXT = "__cut_id", "__cut_hash", "__cut_text"
 
@@ -78,7 +78,10 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     return row[first], start[first] - offsets[:-1][row[first]], count, value[place[first]]
 
 
-_MARKS = f"{ID} long, {H} int, start binary, count binary, anchor binary"
+#: A document's segments, packed: what joins and groups is one value a document and shard.
+_RECORD = np.dtype([("start", "<i4"), ("count", "<i4"), ("anchor", "<u8")])
+_RANGE = np.dtype([("start", "<i4"), ("count", "<i4")])
+_MARKS = f"{ID} long, {H} int, packed binary"
 
 
 def _runs(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,14 +90,37 @@ def _runs(groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts, len(groups))[1:]
 
 
-def _marks_batch(ids, hashes, row, start, count, anchor, extra=()) -> pa.RecordBatch:
-    """One row per document: its marks as packed arrays."""
-    order = np.argsort(row, kind="stable")
-    row, start, count, anchor = row[order], start[order].astype(np.int32), count[order].astype(np.int32), anchor[order]
-    cuts, ends = _runs(row)
-    pack = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())
-    columns = [pa.array(ids[row[cuts]], pa.int64()), pa.array(hashes[row[cuts]], pa.int32()), pack(start), pack(count), pack(anchor)]
-    return pa.RecordBatch.from_arrays([*columns, *[pa.array([v] * len(cuts), t) for v, t in extra]], names=[ID, H, "start", "count", "anchor", "bucket", "known"][: 5 + len(extra)])
+def _packed(ids: np.ndarray, hashes: np.ndarray, records: np.ndarray, extra=()) -> pa.RecordBatch:
+    """One row for each (id, hash) with its records."""
+    order = np.lexsort((hashes, ids))
+    ids, hashes, records = ids[order], hashes[order], records[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])
+    cuts = np.flatnonzero(new)
+    offsets = pa.array(np.append(cuts, len(ids)).astype(np.int32) * records.dtype.itemsize).buffers()[1]
+    packed = pa.Array.from_buffers(pa.binary(), len(cuts), [None, offsets, pa.py_buffer(records.tobytes())])
+    columns = [pa.array(ids[cuts].astype(np.int64)), pa.array(hashes[cuts].astype(np.int32)), packed, *[pa.array([v] * len(cuts), t) for v, t in extra]]
+    return pa.RecordBatch.from_arrays(columns, names=[ID, H, "packed", "bucket", "known"][: 3 + len(extra)])
+
+
+def _records(start, count, anchor=None) -> np.ndarray:
+    out = np.empty(len(start), _RANGE if anchor is None else _RECORD)
+    out["start"], out["count"] = start, count
+    if anchor is not None:
+        out["anchor"] = anchor
+    return out
+
+
+def unpacked(lists: pa.Array, kind: np.dtype) -> list[np.ndarray]:
+    """The records of each row of a column of lists of packed values, without a copy."""
+    if isinstance(lists, pa.ChunkedArray):
+        lists = lists.combine_chunks()
+    values = lists.values
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int32)
+    data = values.buffers()[2]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    bounds = ends[lists.offsets.to_numpy()]
+    return [raw[a:b].view(kind) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def anchors(docs: DataFrame, buckets: int, length: int) -> DataFrame:
@@ -112,7 +138,7 @@ def anchors(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                 _, one, back, times = np.unique(anchor, return_index=True, return_inverse=True, return_counts=True)
                 again = times[back] > 1
                 if again.any():
-                    yield _marks_batch(own, own_hash, row[again], start[again], count[again], anchor[again], ((-1 - int(own[0] % buckets), pa.int32()), (True, pa.bool_())))
+                    yield _packed(own[row[again]], own_hash[row[again]], _records(start[again], count[again], anchor[again]), ((-1 - int(own[0] % buckets), pa.int32()), (True, pa.bool_())))
                 bucket = (A.mix(anchor[one]) % np.uint64(buckets)).astype(np.int64)
                 for known in (False, True):
                     pick = (times > 1) == known
@@ -120,35 +146,28 @@ def anchors(docs: DataFrame, buckets: int, length: int) -> DataFrame:
                     chosen, in_bucket = one[pick][order], bucket[pick][order]
                     for a, b in zip(*_runs(in_bucket), strict=True):
                         s = chosen[a:b]
-                        # One row for all documents of the block: ids are packed too.
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([None], pa.int64()), pa.array([None], pa.int32()), pa.array([start[s].astype(np.int32).tobytes()]), pa.array([count[s].astype(np.int32).tobytes()]),
-                             pa.array([b"".join([anchor[s].tobytes(), own[row[s]].astype(np.int64).tobytes(), own_hash[row[s]].astype(np.int32).tobytes()])]), pa.array([int(in_bucket[a])], pa.int32()), pa.array([known])],
-                            names=[ID, H, "start", "count", "anchor", "bucket", "known"],
-                        )
+                        # One row for all documents of the block: ids are packed behind the records.
+                        packed = b"".join([_records(start[s], count[s], anchor[s]).tobytes(), own[row[s]].astype(np.int64).tobytes(), own_hash[row[s]].astype(np.int32).tobytes()])
+                        columns = [pa.array([None], pa.int64()), pa.array([None], pa.int32()), pa.array([packed]), pa.array([int(in_bucket[a])], pa.int32()), pa.array([known])]
+                        yield pa.RecordBatch.from_arrays(columns, names=[ID, H, "packed", "bucket", "known"])
 
     return docs.mapInArrow(run, _MARKS + ", bucket int, known boolean")
 
 
 def repeats(group: pa.Table) -> pa.Table:
     """Of a bucket, the segments whose anchor is seen twice; those known already pass through."""
-    names = [ID, H, "start", "count", "anchor"]
     if group.num_rows and group.column("bucket")[0].as_py() < 0:
-        return group.select(names)
-    start, count, anchor, ids, hashes, known = [], [], [], [], [], []
-    for i in range(group.num_rows):
-        start.append(np.frombuffer(group.column("start")[i].as_py(), np.int32))
-        count.append(np.frombuffer(group.column("count")[i].as_py(), np.int32))
-        raw, k = group.column("anchor")[i].as_py(), len(start[-1])
-        anchor.append(np.frombuffer(raw, np.uint64, k))
-        ids.append(np.frombuffer(raw, np.int64, k, 8 * k))
-        hashes.append(np.frombuffer(raw, np.int32, k, 16 * k))
-        known.append(np.full(k, group.column("known")[i].as_py()))
-    start, count, anchor, ids, hashes, known = map(np.concatenate, (start, count, anchor, ids, hashes, known))
-    pick = np.flatnonzero(A.repeated(anchor) & ~known)
-    start, count, anchor, ids, hashes = (x[pick] for x in (start, count, anchor, ids, hashes))
-    pair, row = np.unique(np.stack([ids, hashes.astype(np.int64)]), axis=1, return_inverse=True) if len(pick) else (np.zeros((2, 0), np.int64), pick)
-    return pa.Table.from_batches([_marks_batch(pair[0], pair[1].astype(np.int32), row.reshape(-1), start, count, anchor)])
+        return group.select([ID, H, "packed"])
+    records, ids, hashes, known = [], [], [], []
+    for raw, k in zip(group.column("packed").to_pylist(), group.column("known").to_pylist(), strict=True):
+        n = len(raw) // 28
+        records.append(np.frombuffer(raw, _RECORD, n))
+        ids.append(np.frombuffer(raw, np.int64, n, 16 * n))
+        hashes.append(np.frombuffer(raw, np.int32, n, 24 * n))
+        known.append(np.full(n, k))
+    records, ids, hashes, known = map(np.concatenate, (records, ids, hashes, known))
+    pick = np.flatnonzero(A.repeated(records["anchor"]) & ~known)
+    return pa.Table.from_batches([_packed(ids[pick], hashes[pick], records[pick])])
 
 
 def cut_out(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
@@ -158,18 +177,17 @@ def cut_out(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             rows: dict[bytes, tuple] = {}
             size = 0
-            for i in range(batch.num_rows):
-                text, doc, h = batch.column(2)[i].as_py().encode(), batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                for one in batch.column(3)[i].as_py():
-                    start, count, anchor = np.frombuffer(one["start"], np.int32).tolist(), np.frombuffer(one["count"], np.int32).tolist(), np.frombuffer(one["anchor"], np.int64).tolist()
-                    for s, c, a in zip(start, count, anchor, strict=True):
-                        segment, place = text[s : s + c + length - 1], (doc, h, s)
-                        was = rows.get(segment)
-                        if was is None:
-                            size += len(segment)
-                        if was is None or place < was[1]:
-                            rows[segment] = (a, place)
-                if size > SHARD_BYTES:
+            marked = unpacked(batch.column(3), _RECORD)
+            for doc, h, raw, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), marked, strict=True):
+                text = raw.as_buffer().to_pybytes()
+                for s, c, a in zip(one["start"].tolist(), one["count"].tolist(), one["anchor"].view(np.int64).tolist(), strict=True):
+                    segment, place = text[s : s + c + length - 1], (doc, h, s)
+                    was = rows.get(segment)
+                    if was is None:
+                        size += len(segment)
+                    if was is None or place < was[1]:
+                        rows[segment] = (a, place)
+                if size > CUT_BYTES:
                     yield found(rows)
                     rows, size = {}, 0
             yield found(rows)
@@ -270,14 +288,18 @@ def keepers(cut: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -> Data
     """The places of the strings that are first of their kind, as marks without an anchor."""
 
     def out(ids, hashes, start) -> pa.RecordBatch:
-        pair, row = np.unique(np.stack([ids, hashes]), axis=1, return_inverse=True)
-        return _marks_batch(pair[0], pair[1].astype(np.int32), row.reshape(-1), start, np.ones(len(start), np.int64), np.zeros(len(start), np.int64))
+        return _packed(ids, hashes, _records(start, np.ones(len(start), np.int32)))
 
     def whole(parts: list[pa.Table]) -> pa.RecordBatch | None:
         shard = shard_of(parts)
         segment, offset = kept(shard, length)
-        ids, hashes, start = (p[segment] for p in shard.places)
-        return out(ids, hashes, start + offset) if len(ids) else None
+        # Strings kept one behind the other in a segment are one range.
+        first = np.ones(len(segment), bool)
+        first[1:] = (segment[1:] != segment[:-1]) | (offset[1:] != offset[:-1] + 1)
+        at = np.flatnonzero(first)
+        count = np.diff(np.append(at, len(segment)))
+        ids, hashes, start = (p[segment[at]] for p in shard.places)
+        return _packed(ids, hashes, _records(start + offset[at], count)) if len(at) else None
 
     def shard_of(parts: list[pa.Table]) -> Shard:
         table = pa.concat_tables(parts).combine_chunks()
@@ -344,14 +366,17 @@ def keepers(cut: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -> Data
     return cut.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(run, _MARKS)
 
 
-def removed_flags(n: int, marks: list[dict], length: int) -> np.ndarray:
+def removed_flags(n: int, gone: np.ndarray, keep: np.ndarray, length: int) -> np.ndarray:
     """True at the bytes to remove: under the marked strings that aren't kept."""
-    gone, keep = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for m in marks or ():
-        start, count = np.frombuffer(m["start"], np.int32).astype(np.int64), np.frombuffer(m["count"], np.int32)
-        (keep if m["keep"] else gone).append(np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum()))
-    starts = np.setdiff1d(np.concatenate(gone), np.concatenate(keep))
-    return A.covered(starts, length, n)
+
+    def inside(ranges: np.ndarray) -> np.ndarray:
+        step = np.bincount(ranges["start"], minlength=n + 1) - np.bincount(ranges["start"] + ranges["count"], minlength=n + 1)
+        return np.cumsum(step[:n]) > 0
+
+    starts = inside(gone)
+    if len(keep):
+        starts &= ~inside(keep)
+    return A.covered(np.flatnonzero(starts), length, n)
 
 
 def deduplicated(df: DataFrame, row_id: str = "doc_id", text: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -361,11 +386,11 @@ def deduplicated(df: DataFrame, row_id: str = "doc_id", text: str = "text", leng
     total = docs.agg(F.sum(F.octet_length(TEXT))).first()[0] or 0
     buckets = max(8, total // BUCKET_BYTES)
     marks, _ = written(anchors(docs, buckets, length).groupBy("bucket").applyInArrow(repeats, _MARKS), "repeats")
-    packed = F.collect_list(F.struct("start", "count", "anchor")).alias("marks")
-    cut = cut_out(docs, marks.groupBy(ID, H).agg(packed), length)
+    cut = cut_out(docs, marks.groupBy(ID, H).agg(F.collect_list("packed").alias("marks")), length)
     first, _ = written(keepers(cut, length, shard_bytes), "keepers")
-    both = marks.select(ID, H, "start", "count", F.lit(False).alias("keep")).unionByName(first.select(ID, H, "start", "count", F.lit(True).alias("keep")))
-    told = both.groupBy(ID, H).agg(F.collect_list(F.struct("start", "count", "keep")).alias("__cut_marks"))
+    none = F.lit(None).cast("binary")
+    both = marks.select(ID, H, F.col("packed").alias("gone"), none.alias("keep")).unionByName(first.select(ID, H, none.alias("gone"), F.col("packed").alias("keep")))
+    told = both.groupBy(ID, H).agg(F.collect_list("gone").alias("__cut_gone"), F.collect_list("keep").alias("__cut_keep"))
     names = ["n_bytes", "removed", "kept"]
     through = [c for c in df.columns if c not in names]
     schema = T.StructType([*[df.schema[c] for c in through], *T.StructType.fromDDL("n_bytes long, removed array<struct<start: long, end: long>>, kept binary").fields])
@@ -374,22 +399,23 @@ def deduplicated(df: DataFrame, row_id: str = "doc_id", text: str = "text", leng
         for batch in batches:
             at = batch.schema.get_field_index
             n_bytes, removed, rest = [], [], []
-            for raw, m in zip(batch.column(at(TEXT)), batch.column(at("__cut_marks")), strict=True):
-                data = np.frombuffer(raw.as_buffer(), np.uint8)
+            for raw, gone, keep in zip(batch.column(at(TEXT)), unpacked(batch.column(at("__cut_gone")), _RECORD), unpacked(batch.column(at("__cut_keep")), _RANGE), strict=True):
+                buffer = raw.as_buffer()
+                data = np.frombuffer(buffer, np.uint8) if buffer.size else np.zeros(0, np.uint8)
                 n_bytes.append(len(data))
-                marks = m.as_py()
-                if not marks:
+                if not len(gone):
                     removed.append([])
                     rest.append(data.tobytes())
                     continue
-                flags = removed_flags(len(data), marks, length)
+                flags = removed_flags(len(data), gone, keep, length)
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
-                removed.append([{"start": int(a), "end": int(b)} for a, b in edges.reshape(-1, 2)])
+                removed.append([{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()])
                 rest.append(data[~flags].tobytes())
             new = [pa.array(n_bytes, pa.int64()), pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(rest, pa.binary())]
             yield pa.RecordBatch.from_arrays([*[batch.column(at(c)) for c in through], *new], names=schema.names)
 
-    return own.join(told, [ID, H], "left").select(*[F.col(f"`{c}`") for c in through], TEXT, "__cut_marks").mapInArrow(run, schema)
+    lists = [F.coalesce(c, F.array().cast("array<binary>")).alias(c) for c in ("__cut_gone", "__cut_keep")]
+    return own.join(told, [ID, H], "left").select(*[F.col(f"`{c}`") for c in through], TEXT, *lists).mapInArrow(run, schema)
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
