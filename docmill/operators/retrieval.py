@@ -7,6 +7,7 @@ partition's best rows travel.  Ties are broken by position, so results are total
 from __future__ import annotations
 
 import dataclasses
+import math
 import re
 from collections.abc import Iterator, Sequence
 
@@ -135,25 +136,28 @@ def first_of_text(df: DataFrame, text: str, order: str) -> DataFrame:
 def bm25(candidates: DataFrame, query: str, text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """candidates with their Okapi BM25 score for the query's tokens, each as often as it is asked.
 
-    Document frequencies, the mean length and the floor of negative weights (a quarter of the mean
-    raw weight of all terms) are aggregates over the candidates; candidates without a hit score 0.
+    Document frequencies and the mean length are one row of aggregates over the candidates; the floor of
+    negative weights, a quarter of the mean raw weight of all terms, is counted only if a term needs it.
+    Candidates without a hit score 0.
     """
     asked = _tokens(query)
     tokenized = candidates.withColumn("__t", X.tokens(F.coalesce(F.col(text), F.lit(""))))
     if not asked:
         return tokenized.withColumn("score", F.lit(0.0)).drop("__t")
     terms = sorted(set(asked))
-    raw = lambda n, df: F.log(n - df + 0.5) - F.log(df + 0.5)
-    facts = tokenized.agg(F.struct(F.count("*").alias("n"), F.avg(F.size("__t")).alias("avgdl"), *[F.count_if(F.array_contains("__t", t)).alias(f"df{i}") for i, t in enumerate(terms)])).scalar()
-    frequency = tokenized.select(F.explode(F.array_distinct("__t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    mean = frequency.select(raw(facts["n"], F.col("df")).alias("raw")).agg(F.avg("raw")).scalar()
+    counts = [F.count_if(F.array_contains("__t", t)).alias(f"df{i}") for i, t in enumerate(terms)]
+    facts = tokenized.agg(F.count("*").alias("n"), F.avg(F.size("__t")).alias("avgdl"), *counts).first()  # one row, whatever the candidates
+    raw = [math.log(facts["n"] - facts[f"df{i}"] + 0.5) - math.log(facts[f"df{i}"] + 0.5) for i in range(len(terms))]
+    if min(raw) < 0:
+        frequency = tokenized.select(F.explode(F.array_distinct("__t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        mean = frequency.agg(F.avg(F.log(facts["n"] - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0]
+        raw = [w if w >= 0 else FLOOR * mean for w in raw]
+    average = facts["avgdl"] or 1.0
     score = F.lit(0.0)
-    for i, t in enumerate(terms):
-        weight = raw(facts["n"], facts[f"df{i}"])
+    for t, weight in zip(terms, raw, strict=True):
         tf = F.size(F.filter("__t", _same(t))).cast("double")
-        norm = F.lit(1 - b) + F.lit(b) * F.size("__t") / facts["avgdl"]
-        part = F.when(weight >= 0, weight).otherwise(F.lit(FLOOR) * mean) * tf * (k1 + 1) / (tf + k1 * norm)
-        score = score + F.when(tf > 0, part * asked.count(t)).otherwise(0.0)
+        norm = F.lit(1 - b) + F.lit(b / average) * F.size("__t")
+        score = score + F.lit(weight * asked.count(t) * (k1 + 1)) * tf / (tf + k1 * norm)
     return tokenized.withColumn("score", score).select(*candidates.columns, "score")
 
 
@@ -183,7 +187,7 @@ def cascade(vectors: DataFrame, request: Request, query: str, text: str = "text"
     hits = by_library(vectors, request, row_id=row_id)
     position = F.row_number().over(Window.orderBy(F.desc("score"), "library_order", "hit"))
     placed = hits.withColumn("pos", position).withColumnRenamed("score", "vector_score")  # at most CANDIDATES rows
-    unique = first_of_text(placed, text, "pos")
+    unique = first_of_text(placed, text, "pos").persist()  # CANDIDATES rows, read for their statistics and for their scores
     best = bm25_top(unique, query, LEXICAL, F.col("pos"), text=text)
     if reranker:
         return reranker(best, query, FINAL)

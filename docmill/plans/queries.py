@@ -95,10 +95,10 @@ def bm25_topk(spark, d):
     return retrieval.bm25_top(table(spark, d, "documents"), _QUERY, 25, F.col("doc_id")).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH cand AS (SELECT doc_id AS id, text FROM documents WHERE lang = 'de'), {_BM25}
+@query(f"""WITH cand AS (SELECT doc_id AS id, text FROM documents), {_BM25}
 SELECT cand.id AS doc_id, round(coalesce(s, 0), 6) AS score FROM cand LEFT JOIN sc ON sc.id = cand.id""")
 def bm25_zero_score_fill(spark, d):
-    return retrieval.bm25(table(spark, d, "documents").where("lang = 'de'"), _QUERY).select("doc_id", F.round("score", 6).alias("score"))
+    return retrieval.bm25(table(spark, d, "documents"), _QUERY).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH v AS (SELECT e.vec_id, d.text, {_COS} AS score FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q),
@@ -348,11 +348,11 @@ def crawl_predicates(spark, d):
     return urls.select("page_id", "url", crawl.follow_bulletin(u).alias("bulletin"), crawl.follow_resolution(u).alias("resolution"), crawl.follow_provision(u).alias("provision"), crawl.follow_ruling(u).alias("ruling"), crawl.follow_notary(u).alias("notary"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey::BIGINT AS src, (l_partkey % 1000)::BIGINT AS dst FROM lineitem),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey::BIGINT AS src, l_partkey::BIGINT AS dst FROM lineitem),
 r(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 8)
 SELECT node, min(depth)::INTEGER AS depth FROM r GROUP BY node""")
 def crawl_closure(spark, d):
-    edges = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("src"), (F.col("l_partkey") % 1000).cast("long").alias("dst")).distinct()
+    edges = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("src"), F.col("l_partkey").cast("long").alias("dst")).distinct()
     return crawl.closure(edges, spark.range(1, 2).select(F.col("id").alias("node")), 8)
 
 
@@ -474,3 +474,50 @@ def upload_outcomes(spark, d):
     files = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("storage_path"), "doc_id", F.col("n_chars").alias("size"))
     target = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("storage_path"), F.col("quality").cast("long").alias("size"))
     return ingest.stored_outcome(files, target, True).select("doc_id", "outcome")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def already_stored(spark, d):
+    return ingest.already_stored(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
+
+
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS dashed, strftime(o_orderdate, '%d/%m/%Y') AS dotted, strftime(o_orderdate, '%d/%m/%Y') AS slashed, o_orderstatus AS other FROM orders""")
+def date_formats(spark, d):
+    o = table(spark, d, "orders")
+    text = lambda f: V.date_slashed(F.date_format("o_orderdate", f))
+    return o.select("o_orderkey", text("d-M-yyyy").alias("dashed"), text("dd.MM.yyyy").alias("dotted"), text("dd/MM/yyyy").alias("slashed"), V.date_slashed(F.col("o_orderstatus")).alias("other"))
+
+
+@query("""WITH f AS (SELECT unnest(['a.pdf', 'b.TXT', 'c.docx', 'd.xml', 'e.webp', 'f.zip', 'g']) AS name), p AS (SELECT page_id, page_id || '/' || name AS path, lower(regexp_extract(name, '\.([A-Za-z0-9]+)$', 1)) AS ext FROM pages, f)
+SELECT page_id, path, CASE ext WHEN 'pdf' THEN 'pdf' WHEN 'txt' THEN 'text' WHEN 'docx' THEN 'docx' WHEN 'xml' THEN 'xml' WHEN 'webp' THEN 'image' END AS processor,
+CASE ext WHEN 'pdf' THEN 'application/pdf' WHEN 'txt' THEN 'text/plain' WHEN 'xml' THEN 'application/xml' WHEN 'webp' THEN 'image/webp' END AS content_type FROM p""")
+def file_types(spark, d):
+    names = F.array(*[F.lit(n) for n in ("a.pdf", "b.TXT", "c.docx", "d.xml", "e.webp", "f.zip", "g")])
+    files = table(spark, d, "pages").select("page_id", F.explode(names).alias("n")).select("page_id", F.concat_ws("/", F.col("page_id").cast("string"), "n").alias("path"))
+    none = F.lit(None).cast("string")
+    return files.select("page_id", "path", V.processor(none, F.col("path")).alias("processor"), V.content_type(none, none, F.col("path")).alias("content_type"))
+
+
+@query("""SELECT vec_id, CASE label % 3 WHEN 2 THEN 'public' ELSE 'org' || label END AS index_name, CASE label % 3 WHEN 0 THEN 'organization' WHEN 1 THEN 'u' || vec_id END AS namespace FROM embeddings""")
+def library_routing(spark, d):
+    v = _library_vectors(spark, d)
+    index, space = ingest.routed(F.col("library"), F.concat(F.lit("org"), F.col("label").cast("string")), F.concat(F.lit("u"), F.col("vec_id").cast("string")))
+    return v.select("vec_id", index.alias("index_name"), space.alias("namespace"))
+
+
+@query(r"""WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a[^>]*>.*?</a>')) AS a FROM pages)
+SELECT page_id, nullif(regexp_extract(a, 'href="([^"]*)"', 1), '') AS href, trim(regexp_replace(regexp_replace(regexp_replace(a, '<[^>]*>', '', 'g'), '&amp;', '&', 'g'), '\s+', ' ', 'g')) AS text FROM r""")
+def link_texts(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(markup.links("html")).alias("l")).select("page_id", "l.href", "l.text")
+
+
+@query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 5""")
+def latest_events(spark, d):
+    events = table(spark, d, "events").select("user_id", "event_id", "event_type", F.struct("ts", "event_id").alias("at"))
+    return chat.latest(events, "user_id", "at").select("user_id", "event_id", "event_type")
+
+
+@query("""WITH y AS (SELECT lang, source, count(*)::BIGINT AS n FROM documents GROUP BY ROLLUP (lang, source)) SELECT coalesce(lang, 'TOTAL') AS lang, coalesce(source, 'TOTAL') AS source, n FROM y""")
+def corpus_rollup(spark, d):
+    counts = table(spark, d, "documents").rollup("lang", "source").agg(F.count("*").alias("n"))
+    return counts.select(F.coalesce("lang", F.lit("TOTAL")).alias("lang"), F.coalesce("source", F.lit("TOTAL")).alias("source"), "n")
