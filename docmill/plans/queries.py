@@ -488,7 +488,7 @@ def date_formats(spark, d):
     return o.select("o_orderkey", text("d-M-yyyy").alias("dashed"), text("dd.MM.yyyy").alias("dotted"), text("dd/MM/yyyy").alias("slashed"), V.date_slashed(F.col("o_orderstatus")).alias("other"))
 
 
-@query("""WITH f AS (SELECT unnest(['a.pdf', 'b.TXT', 'c.docx', 'd.xml', 'e.webp', 'f.zip', 'g']) AS name), p AS (SELECT page_id, page_id || '/' || name AS path, lower(regexp_extract(name, '\.([A-Za-z0-9]+)$', 1)) AS ext FROM pages, f)
+@query(r"""WITH f AS (SELECT unnest(['a.pdf', 'b.TXT', 'c.docx', 'd.xml', 'e.webp', 'f.zip', 'g']) AS name), p AS (SELECT page_id, page_id || '/' || name AS path, lower(regexp_extract(name, '\.([A-Za-z0-9]+)$', 1)) AS ext FROM pages, f)
 SELECT page_id, path, CASE ext WHEN 'pdf' THEN 'pdf' WHEN 'txt' THEN 'text' WHEN 'docx' THEN 'docx' WHEN 'xml' THEN 'xml' WHEN 'webp' THEN 'image' END AS processor,
 CASE ext WHEN 'pdf' THEN 'application/pdf' WHEN 'txt' THEN 'text/plain' WHEN 'xml' THEN 'application/xml' WHEN 'webp' THEN 'image/webp' END AS content_type FROM p""")
 def file_types(spark, d):
