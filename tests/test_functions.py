@@ -121,3 +121,16 @@ def test_extraction(spark):
     images = spark.createDataFrame([("f", 1, b"x"), ("f", 2, b"x"), ("f", 2, b"y"), ("g", 1, b"x")], "f string, page int, content binary")
     assert sorted((r.f, r.page) for r in adapters.unique_images(images, "f", "page").collect()) == [("f", 1), ("f", 2), ("g", 1)]
     assert one(spark, adapters.chain(F.upper, adapters.echo)(C("t")), t="a") == one(spark, adapters.echo(C("t")), t="A")
+
+
+def test_law_pages(spark):
+    page = '<div class="bodyTesto x"><h2 class="article-num-akn">Art. 3</h2><div class="art-comma-div-akn"><span class="comma-num-akn">1.</span><span class="art_text_in_comma">Primo <b>comma</b>.</span></div><div class="art-comma-div-akn">Senza numero</div></div>'
+    got = one(spark, markup.law_article("h"), h=page)
+    assert (got.num, got.text) == ("Art. 3", "1. Primocomma.\nSenza numero")
+    bare = one(spark, markup.law_article("h"), h='<div class="bodyTesto"><p>uno<br>due</p></div>')
+    assert (bare.num, bare.text) == ("Articolo", "uno\ndue")
+    assert one(spark, markup.law_article("h"), h="<p>x</p>").num is None
+    xml = "<doc>out<section>a<p>b</p>c</section></doc>"
+    assert one(spark, markup.xml_sections("h"), h=xml) == "b\n\na c"
+    assert one(spark, markup.xml_sections("h"), h="<doc>x<y>z</y></doc>") == "x\nz" and one(spark, markup.xml_sections("h"), h="<d") is None
+    assert one(spark, markup.loader_paths(C("h")), h="showArticle('/atto/caricaArticolo?a=1','x') showArticle('/atto/caricaArticolo?a=2')") == ["/atto/caricaArticolo?a=1", "/atto/caricaArticolo?a=2"]
