@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# How a prompt shows documents and its sections.
+DOCUMENT_HEAD, DOCUMENT_TAIL = "<Documento n.", " estratto dalla Knowledge Base>"
+SOURCE_LINE, CONTENT_LINE = "\n        |Fonte|: ", "\n        |Contenuto|: "
+BETWEEN = "\n----------\n"
+ATTACHMENTS_HEAD, KNOWLEDGE_HEAD = "<<<Allegati dell'utente>>>\n", "<<<Knowledge Base>>>\n"
+
 
 def history(messages: DataFrame, conversation: str, order: str, keep: tuple[str, ...] = ("generated", "sent"), status: str = "status") -> DataFrame:
     """Per conversation its messages of the kept states as role: text lines in order."""
@@ -22,14 +28,14 @@ def latest(messages: DataFrame, conversation: str, order: str, n: int = 5) -> Da
 def context(documents: DataFrame, key: str, order: str, name: str, text: str) -> DataFrame:
     """Per key its documents, numbered in order, as one text."""
     items = F.array_sort(F.collect_list(F.struct(order, F.coalesce(name, F.lit("")).alias("name"), F.coalesce(text, F.lit("")).alias("text"))))
-    block = lambda d, i: F.concat(F.lit("<Documento n."), (i + 1).cast("string"), F.lit(" estratto dalla Knowledge Base>\n        |Fonte|: "), d["name"], F.lit("\n        |Contenuto|: "), d["text"])
-    return documents.groupBy(key).agg(F.array_join(F.transform(items, block), "\n----------\n").alias("context"))
+    block = lambda d, i: F.concat(F.lit(DOCUMENT_HEAD), (i + 1).cast("string"), F.lit(DOCUMENT_TAIL + SOURCE_LINE), d["name"], F.lit(CONTENT_LINE), d["text"])
+    return documents.groupBy(key).agg(F.array_join(F.transform(items, block), BETWEEN).alias("context"))
 
 
 def full_context(attachments: Column, documents: Column) -> Column:
     """Attachments above the knowledge base, each under its heading, empty ones left out."""
     some = lambda c, head: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(head), c))
-    return F.concat_ws("\n\n", some(attachments, "<<<Allegati dell'utente>>>\n"), some(documents, "<<<Knowledge Base>>>\n"))
+    return F.concat_ws("\n\n", some(attachments, ATTACHMENTS_HEAD), some(documents, KNOWLEDGE_HEAD))
 
 
 def usage(rows: DataFrame) -> DataFrame:
