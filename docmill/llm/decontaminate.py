@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.llm import arrays as A
+from docmill.llm.shared import bounded_batches
 
 WINDOW = 10
 #: First words that a suffix must share with the test set to enter the array.
@@ -199,6 +200,7 @@ def matched(df: DataFrame, bench: DataFrame, text: str = "text", item_id: str =
     own = "__leak_text" if text in names else text
     out = df.select(*[F.col(f"`{c}`") for c in kept], *([F.col(f"`{text}`").alias(own)] if own not in kept else []), F.lit(0).cast("long").alias("n_words"), F.array().cast(MATCH).alias("matches"))
     spark = df.sparkSession
+    bounded_batches(spark)
     for test in test_slices(bench, item_id, item_text, slice_bytes):
         sent = spark.sparkContext.broadcast(test)
 

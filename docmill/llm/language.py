@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.llm import arrays as A
+from docmill.llm.shared import bounded_batches
 
 ORDERS = (1, 2, 3)
 TRAIN_ROWS, LANDMARKS, TRAIN_BYTES, MAX_LANGUAGES = 300, 40, 16_384, 400
@@ -133,6 +134,7 @@ def trained(df: DataFrame, text: str = "text", label: str = "lang", **kw) -> Mod
 
 def identified(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """df with lang_pred and score."""
+    bounded_batches(df.sparkSession)
     sent = df.sparkSession.sparkContext.broadcast(model)
     names = ["lang_pred", "score"]
     kept = [c for c in df.columns if c not in names]

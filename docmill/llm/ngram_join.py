@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from docmill.llm import arrays as A
 from docmill.llm.components import components
-from docmill.llm.shared import written
+from docmill.llm.shared import bounded_batches, written
 
 WORDS = 5
 #: The similarity as a fraction.
@@ -43,7 +43,7 @@ SKETCH_BITS = 20
 SKETCH_ROWS = 64
 LIST_PART = 50_000
 #: Postings a group of buckets aims at.
-BUCKET_POSTINGS = 1_000_000
+BUCKET_POSTINGS = 500_000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -302,6 +302,7 @@ def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (id, text): (id, n, key) of every row, and (node, label) of the classes that link with others."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows, _ = written(keyed(docs), "classes")
     total = rows.groupBy("key").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] or 0
     counts = spark.sparkContext.broadcast(sketch(docs))

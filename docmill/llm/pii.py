@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docmill.llm.shared import bounded_batches
+
 KEY = b"docmill-surrogates-1"
 MAX_SENT = 200_000
 #: Rounds of the collision check; a value is refused in one with a chance of originals / values of its shape.
@@ -277,6 +279,7 @@ def collisions(pairs: DataFrame) -> DataFrame:
 def replaced(df: DataFrame, text: str = "text", key: bytes = KEY, max_sent: int = MAX_SENT) -> DataFrame:
     """df with its text column replaced, n_entities, and entities (kind, start, end in the old text, surrogate)."""
     spark = df.sparkSession
+    bounded_batches(spark)
     exceptions = walked(entities(df, text).persist(), key)
     n = max(1, -(-exceptions.count() // max_sent))
     entity = "array<struct<kind: string, start: int, end: int, surrogate: string>>"

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.llm import arrays as A
+from docmill.llm.shared import bounded_batches
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letters", "n_upper")
 
@@ -100,6 +101,7 @@ def measure_block(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
 
 def measured(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     """df with the measurements of its text column, each named prefix + its name; a column of df with such a name is replaced."""
+    bounded_batches(df.sparkSession)
     names = [prefix + m for m in MEASURES]
     kept = [c for c in df.columns if c not in names]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, T.LongType()) for n in names])

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmill.llm.shared import bounded_batches
+
 TREES, DEPTH, SEED, MAX_FINDINGS = 40, 8, 7, 100_000
 THRESHOLD = 0.5
 #: Characters of context on each side in which neighbouring words are read.
@@ -151,6 +153,7 @@ def trained(spark: SparkSession, labelled: list[tuple[str, str, int]] | None = N
 
 def scanned(df: DataFrame, model: RandomForestClassificationModel, row_id: str = "doc_id", text: str = "text", path: str = "source", threshold: float = THRESHOLD) -> DataFrame:
     """One row per candidate: the id, kind, start and end in the text, value, probability and is_secret."""
+    bounded_batches(df.sparkSession)
     schema = T.StructType([T.StructField(row_id, df.schema[row_id].dataType), *T.StructType.fromDDL("kind string, start int, end int, value string, raw array<double>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

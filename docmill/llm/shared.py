@@ -1,22 +1,27 @@
-"""The shared folder of the cluster, and tables written there to cut lineage."""
+"""Tables in the shared folder of the cluster, written to cut lineage."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own = ""
+from docmill.sources.tables import shared_dir
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where that is unset (tests, one machine), a local one is set."""
-    global _own
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        _own = found = _own or "file://" + tempfile.mkdtemp(prefix="docmill-")
-    return found.rstrip("/")
+#: Bytes of an Arrow batch on its way to Python; both sides hold a few of them a task.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session carry at most BATCH_BYTES (a single longer row apart), unless they are bounded tighter already.
+
+    Whole texts go through these batches, so the number of rows is no bound on memory.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def drop(spark: SparkSession, path: str) -> None:

@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.llm import arrays as A
-from docmill.llm.shared import written
+from docmill.llm.shared import bounded_batches, written
 from docmill.llm.suffixes import common_prefixes, suffix_array
 
 LENGTH = 100
 GRAM = 20
-#: Bytes of documents whose anchors one bucket takes, of segments sent at once, and of segments sorted at once.
-BUCKET_BYTES, CUT_BYTES, SHARD_BYTES = 32 << 20, 12 << 20, 4 << 20
+#: Bytes of documents whose anchors one bucket takes, of a shard of documents, of segments sent at once, and of segments sorted at once.
+BUCKET_BYTES, DOC_BYTES, CUT_BYTES, SHARD_BYTES = 32 << 20, 4 << 20, 12 << 20, 4 << 20
 LAST = (1 << 63) - 1
 ID, H, TEXT = "__cut_id", "__cut_hash", "__cut_text"
 
@@ -130,7 +130,7 @@ def anchors(docs: DataFrame, buckets: int, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for first, to, data, offsets in A.blocks(batch.column(2)):
+            for first, to, data, offsets in A.blocks(batch.column(2), DOC_BYTES):
                 row, start, count, anchor = segments(data, offsets, length)
                 if not len(row):
                     continue
@@ -381,6 +381,7 @@ def removed_flags(n: int, gone: np.ndarray, keep: np.ndarray, length: int) -> np
 
 def deduplicated(df: DataFrame, row_id: str = "doc_id", text: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """df with n_bytes, removed (the removed runs as start and end bytes) and kept (the bytes that stay)."""
+    bounded_batches(df.sparkSession)
     own = df.withColumn(ID, F.coalesce(F.col(f"`{row_id}`").cast("long"), F.lit(LAST))).withColumn(TEXT, F.coalesce(F.col(f"`{text}`"), F.lit(""))).withColumn(H, F.hash(TEXT))
     docs = own.select(ID, H, TEXT)
     total = docs.agg(F.sum(F.octet_length(TEXT))).first()[0] or 0

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmill.llm.shared import bounded_batches
+
 SAMPLE_ROWS = 4096
 TABLE_PIECES = 1 << 16
 CACHE_PIECES = 1 << 18
@@ -164,6 +166,7 @@ def frequent_table(df: DataFrame, text: str, path: str, sample_rows: int = SAMPL
 
 def counted(df: DataFrame, tokenizer: str, text: str = "text", limit: int = 512) -> DataFrame:
     """df with n_bytes, n_tokens and over_limit of its text column, by the tokenizers file at path `tokenizer`."""
+    bounded_batches(df.sparkSession)
     names = ["n_bytes", "n_tokens", "over_limit"]
     kept = [c for c in df.columns if c not in names]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
