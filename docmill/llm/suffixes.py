@@ -22,7 +22,7 @@ def suffix_array(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(7):
         key = (key << np.uint64(9)) | np.where(at + k < end, symbol[k : k + n], np.uint64(0))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_key = key[order]
     new = np.ones(n, bool)
     new[1:] = sorted_key[1:] != sorted_key[:-1]
@@ -37,7 +37,7 @@ def suffix_array(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         after = suffix + h
         inside = after < end[suffix]
         follow = np.where(inside, strings + rank[np.minimum(after, n - 1)], string[suffix])
-        by = np.lexsort((follow, group))
+        by = np.argsort(group * np.int64(n + strings) + follow)
         suffix, group, follow = suffix[by], group[by], follow[by]
         order[tied] = suffix
         fresh = np.ones(len(tied), bool)
