@@ -340,7 +340,8 @@ def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text") -
     # The empty set links with nothing: its rows keep their own ids and leave the join below.
     empty = named.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
     full = named.where("n > 0")
-    least = full.groupBy("component").agg(F.min("id").alias("component_id"))
+    # Written first: a join of two plain shuffles is one whose hot components Spark can split.
+    least, _ = written(full.groupBy("component").agg(F.min("id").alias("component_id")), "components")
     out = full.join(least, "component").select("id", "n", "component_id").unionByName(empty)
     return out.select(F.col("id").alias(row_id), F.col("n").alias("n_shingles"), "component_id")
 
