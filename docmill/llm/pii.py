@@ -59,8 +59,8 @@ PATTERNS = {
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     "card": re.compile(r"(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w)"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    "ip": re.compile(rf"(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)"),
-    "phone": re.compile(r"(?<![\w+.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\) ?\d{2,4}(?:[ .-]\d{2,4}){1,3}|\d{2,4}(?:[ .-]\d{2,4}){2,4})(?![\w-]|\.\d)|(?<![\w+.])\+\d{9,15}(?!\w)"),
+    "ip": re.compile(rf"(?<![\w.])(?<!ersion ){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)"),
+    "phone": re.compile(r"(?<![\w+.])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,5}){2,6}(?![\w-]|\.\d)|(?<![\w+.])\(\d{2,4}\) ?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?![\w-]|\.\d)|(?<![\w+.-])\d{3}([ .-])\d{3}\1\d{4}(?![\w-]|\.\d)"),
 }
 _NAME = re.compile(rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.?[ ]+)?(?P<given>{'|'.join(sorted(_GENDER, key=len, reverse=True))})[ ]+(?P<surname>{_SURNAME})(?!\w)|(?<!\w)(?:{'|'.join(TITLES)})\.?[ ]+(?P<only>{_SURNAME})(?!\w)")
 _CUES = frozenset(_GENDER) | frozenset(TITLES) | {t + "." for t in TITLES}
