@@ -64,7 +64,7 @@ PATTERNS = {
 }
 _NAME = re.compile(rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.?[ ]+)?(?P<given>{'|'.join(sorted(_GENDER, key=len, reverse=True))})[ ]+(?P<surname>{_SURNAME})(?!\w)|(?<!\w)(?:{'|'.join(TITLES)})\.?[ ]+(?P<only>{_SURNAME})(?!\w)")
 _CUES = frozenset(_GENDER) | frozenset(TITLES) | {t + "." for t in TITLES}
-_DIGIT_OR_AT = re.compile(r"[0-9@]")
+_DIGIT_OR_AT = re.compile(r"[\d@]")
 _SPLIT = re.compile(r"[^\w.]+")
 
 #: Alphabets; a symbol is only ever replaced by one of its own.
@@ -114,8 +114,16 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
+def lowered(text: str) -> str:
+    """Lower case of the same length: characters whose lower case is longer (U+0130) stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def canonical(kind: str, mention: str) -> str:
-    """One form for all spellings of a value."""
+    """One form for all spellings of a value; digits of other scripts count as ASCII ones."""
+    if kind in ("card", "ssn", "ip", "phone") and not mention.isascii():
+        mention = "".join(str(int(c)) if c.isdecimal() else c for c in mention)
     if kind in ("card", "ssn"):
         return re.sub(r"\D", "", mention)
     if kind == "phone":
@@ -123,7 +131,7 @@ def canonical(kind: str, mention: str) -> str:
         return (code.group() + "|" if code else "+|" if mention[0] == "+" else "") + re.sub(r"\D", "", mention[code.end() if code else 0 :])
     if kind == "iban":
         return mention.replace(" ", "")
-    return mention if kind == "given" else mention.lower()
+    return mention if kind == "given" else lowered(mention)
 
 
 class Surrogates:
@@ -211,7 +219,7 @@ def dress(kind: str, mention: str, surrogate: str) -> str:
         head = code.end() if code else 0
         return mention[:head] + "".join(next(source) if c.isdigit() else c for c in mention[head:])
     if kind in ("email", "surname"):
-        return "".join(s.upper() if c.isupper() else s for c, s in zip(mention, source, strict=True))
+        return "".join((u if len(u := s.upper()) == 1 else c) if c.isupper() else s for c, s in zip(mention, source, strict=True))
     return "".join(next(source) if c.isalnum() else c for c in mention)
 
 

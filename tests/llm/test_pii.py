@@ -94,3 +94,12 @@ def test_query_equals_plain_version(spark, sf):
     got = {(r.doc_id): r.text for r in P.op5_pii(spark, "/root/testdata/sf0.001").collect()}
     for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
         assert got[r.doc_id] == surrogate_text(r.text)
+
+
+def test_one_odd_text_does_not_fail_the_job(spark):
+    """Lower case may be longer than the text (U+0130); digits needn't be ASCII."""
+    texts = ["Then Mr KADİR and Maria YİĞİT came.", "Frau GROẞ came.", "call +٤٩ ٣٠ ١٢٣٤٥٦٧ now"]
+    out = {r.doc_id: r for r in P.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [out[i].n_entities for i in range(3)] == [3, 1, 1]
+    assert all(out[i].text != t and len(out[i].text.split()) == len(t.split()) for i, t in enumerate(texts))
+    assert "İ" in out[0].text and "ẞ" in out[1].text
