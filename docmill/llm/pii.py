@@ -14,7 +14,8 @@ surrogate given before, and so on.  The few values so changed go to the tasks in
 MAX_SENT, one pass each.
 
 Defined cases: null and empty texts stay as they are, with no entity; texts without an entity are
-returned byte for byte; overlapping finds are cut by kind in the order above, then by place;
+returned byte for byte; entities are looked for kind by kind (e-mail, IBAN, card, social security, IP, phone, name), each in
+what the kinds before left, and of every start the longest valid end is taken;
 repeated rows give equal rows; an empty table gives an empty result; extra columns pass through,
 those named like a result are replaced.
 """
@@ -56,12 +57,21 @@ _SURNAME = rf"[{_UP}][^\W\d_]+(?:-[{_UP}][^\W\d_]+)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
     "email": re.compile(r"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])"),
-    "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
-    "card": re.compile(r"(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w)"),
+    "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),
+    "card": re.compile(r"(?<![\w+])\d(?:[ -]?\d)*"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "ip": re.compile(rf"(?<![\w.])(?<!ersion ){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)"),
-    "phone": re.compile(r"(?<![\w+.])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,5}){2,6}(?![\w-]|\.\d)|(?<![\w+.])\(\d{2,4}\) ?\d{2,4}(?:[ .-]\d{2,4}){1,3}(?![\w-]|\.\d)|(?<![\w+.-])\d{3}([ .-])\d{3}\1\d{4}(?![\w-]|\.\d)"),
+    "phone": re.compile(r"(?<![\w+.])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,5}){2,6}|(?<![\w+.])\(\d{2,4}\) ?\d{2,4}(?:[ .-]\d{2,4}){1,3}|(?<![\w+.-])\d{3}([ .-])\d{3}\1\d{4}"),
 }
+_RUN, _DIGITS = PATTERNS["card"], re.compile(r"\d+")
+#: How digits stand on cards, besides in one group.
+_CARD_GROUPS = frozenset({(4, 4, 4, 4), (4, 4, 4, 4, 3), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3), (4, 4, 5), (6, 13)})
+# Least and most digits behind a country code; where a code isn't listed, 7 to 15 with it.
+_NATIONAL = {
+    "1": (10, 10), "7": (10, 10), "20": (8, 10), "27": (9, 9), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9), "36": (8, 9), "39": (6, 11), "40": (9, 9), "41": (9, 9), "43": (4, 13), "44": (9, 10),
+    "45": (8, 8), "46": (7, 9), "47": (8, 8), "48": (9, 9), "49": (5, 11), "52": (10, 10), "54": (10, 11), "55": (10, 11), "61": (9, 9), "64": (8, 10), "81": (9, 10), "86": (10, 11), "90": (10, 10), "91": (10, 10),
+    "351": (9, 9), "352": (5, 9), "353": (7, 9), "357": (8, 8), "358": (5, 12), "359": (7, 9), "370": (8, 8), "380": (9, 9), "385": (8, 9), "386": (8, 8), "420": (9, 9), "421": (9, 9),
+}
 _NAME = re.compile(rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.?[ ]+)?(?P<given>{'|'.join(sorted(_GENDER, key=len, reverse=True))})[ ]+(?P<surname>{_SURNAME})(?!\w)|(?<!\w)(?:{'|'.join(TITLES)})\.?[ ]+(?P<only>{_SURNAME})(?!\w)")
 _CUES = frozenset(_GENDER) | frozenset(TITLES) | {t + "." for t in TITLES}
 _DIGIT_OR_AT = re.compile(r"[\d@]")
@@ -82,34 +92,102 @@ def iban_check(country: str, account: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in account + country + '00')) % 97:02d}"
 
 
+def _closed(text: str, end: int) -> bool:
+    """Whether a word ends there."""
+    return end == len(text) or not (text[end].isalnum() or text[end] == "_")
+
+
+def _national(value: str) -> bool:
+    """Whether a number with a country or bracketed area code has as many digits as numbers of that plan."""
+    digits = [c for c in value.replace("(0)", "") if c.isdecimal()]
+    if value[0] == "(":
+        return len(digits) == 10 if int(digits[0]) else 9 <= len(digits) <= 12
+    code = next((c for k in (3, 2, 1) if (c := "".join(str(int(d)) for d in digits[:k])) in _NATIONAL), None)
+    return code is not None and _NATIONAL[code][0] <= len(digits) - len(code) <= _NATIONAL[code][1]
+
+
+def _valid(kind: str, value: str) -> bool:
+    plain = re.sub(r"\W", "", value)
+    if kind == "iban":
+        return iban_check(plain[:2], plain[4:]) == plain[2:4]
+    return 7 <= len(plain) <= 15 if kind == "phone" else True
+
+
+def _spans(kind: str, text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """Entities of a kind between two places: of every start the longest valid end, for phones one of the national length first."""
+    pattern = PATTERNS[kind]
+    while m := pattern.search(text, a, b):
+        start, end = m.span()
+        if kind in ("iban", "phone"):
+            open_ = (lambda e: text[e : e + 1] == "-" or (text[e : e + 1] == "." and text[e + 1 : e + 2].isdecimal())) if kind == "phone" else lambda e: False
+            ends = [e for e in range(end, start, -1) if text[e - 1].isalnum() and _closed(text, e) and not open_(e) and pattern.fullmatch(text, start, e) and _valid(kind, text[start:e])]
+            if kind == "phone" and text[start] in "+(":
+                ends.sort(key=lambda e: not _national(text[start:e]))
+            end = ends[0] if ends else 0
+        elif kind != "email" and not _closed(text, end):
+            end = 0
+        if end:
+            yield start, end
+        a = end or start + 1
+
+
+def _cards(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """Cards in runs of digit groups: those grouped as on cards anywhere, others from the start of what is left of a run."""
+    for run in _RUN.finditer(text, a, b):
+        if run.end() - run.start() < 13:
+            continue
+        groups = [m.span() for m in _DIGITS.finditer(text, *run.span())]
+
+        def longest(i: int, stop: int, natural: bool, groups=groups) -> int:
+            """The group behind the longest valid card from group i, 0 if there is none."""
+            found, digits = 0, ""
+            for j in range(i, stop):
+                digits += text[slice(*groups[j])]
+                if (n := len(digits)) > 19:
+                    break
+                sizes = tuple(y - x for x, y in groups[i : j + 1])
+                if n >= 13 and (not natural or j == i or sizes in _CARD_GROUPS) and _closed(text, groups[j][1]) and luhn(digits[:-1]) == int(digits[-1]):
+                    found = j + 1
+            return found
+
+        def taken(i: int, stop: int, natural: bool, groups=groups, longest=longest) -> Iterator[tuple[int, int]]:
+            while i < stop:
+                j = longest(i, stop, natural)
+                if j:
+                    yield i, j
+                elif not natural:  # as far as one card reaches
+                    n, k = 0, i
+                    while k < stop and (n := n + groups[k][1] - groups[k][0]) <= 19:
+                        k += 1
+                    j = max(k, i + 1)
+                i = j or i + 1
+
+        fits = list(taken(0, len(groups), True))
+        left = zip([0, *[y for _, y in fits]], [*[x for x, _ in fits], len(groups)], strict=True)
+        for x, y in fits + [f for i, j in left for f in taken(i, j, False)]:
+            yield groups[x][0], groups[y - 1][1]
+
+
 def find(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every entity, in order of place, none overlapping."""
     if not text:
         return []
     out: list[tuple[int, int, str]] = []
     if _DIGIT_OR_AT.search(text):
-        taken: list[tuple[int, int]] = []
-        for kind, pattern in PATTERNS.items():
+        for kind in PATTERNS:
             if kind == "email" and "@" not in text:
                 continue
-            for m in pattern.finditer(text):
-                a, b, value = m.start(), m.end(), m.group()
-                plain = re.sub(r"\W", "", value)
-                if kind == "card" and luhn(plain[:-1]) != int(plain[-1]):
-                    continue
-                if kind == "iban" and iban_check(plain[:2], plain[4:]) != plain[2:4]:
-                    continue
-                if kind == "phone" and not 7 <= len(plain) <= 15:
-                    continue
-                if all(b <= x or a >= y for x, y in taken):
-                    taken.append((a, b))
-                    out.append((a, b, kind))
+            # Only what earlier kinds left; their neighbours are found whole.
+            gaps = zip([0, *[b for _, b, _ in out]], [*[a for a, _, _ in out], len(text)], strict=True)
+            out += [(x, y, kind) for a, b in list(gaps) if a < b for x, y in (_cards(text, a, b) if kind == "card" else _spans(kind, text, a, b))]
+            out.sort()
     if not _CUES.isdisjoint(_SPLIT.split(text)):
+        taken = list(out)
         for m in _NAME.finditer(text):
             for part in ("given", "surname", "only"):
                 if m.group(part):
                     a, b = m.span(part)
-                    if all(b <= x or a >= y for x, y, _ in out):
+                    if all(b <= x or a >= y for x, y, _ in taken):
                         out.append((a, b, "given" if part == "given" else "surname"))
     return sorted(out)
 

@@ -103,3 +103,28 @@ def test_one_odd_text_does_not_fail_the_job(spark):
     assert [out[i].n_entities for i in range(3)] == [3, 1, 1]
     assert all(out[i].text != t and len(out[i].text.split()) == len(t.split()) for i, t in enumerate(texts))
     assert "İ" in out[0].text and "ẞ" in out[1].text
+
+
+def found_in(text):
+    return [(kind, text[a:b]) for a, b, kind in P.find(text)]
+
+
+def test_neighbouring_numbers():
+    """Written by hand: what stands beside an entity neither hides it nor becomes a part of it."""
+    card, iban = "4111 1111 1111 1111", "AT61 1904 3002 3457 3201"
+    for text, want in {
+        "+1 (826) 555-4081 190.137.223.204": [("phone", "+1 (826) 555-4081"), ("ip", "190.137.223.204")],
+        "+1 (843) 555-7672 170.106.47.218": [("phone", "+1 (843) 555-7672"), ("ip", "170.106.47.218")],
+        f"{card} 12/25": [("card", card)],
+        "12 4111111111111111": [("card", "4111111111111111")],
+        f"7 {card} 3 and 4111-1111-1111-1111": [("card", card), ("card", "4111-1111-1111-1111")],
+        f"{card} {card}": [("card", card), ("card", card)],
+        f"{iban} BIC BKAUATWW": [("iban", iban)],
+        f"AB12 CDEF {iban} 99": [("iban", iban)],
+        "+1 (310) 555-4510 12 people": [("phone", "+1 (310) 555-4510")],
+        "+44 20 7946 0958 300 times": [("phone", "+44 20 7946 0958")],
+        "(310) 555-4510 12 people": [("phone", "(310) 555-4510")],
+        f"{card} 514-555-8389 10.1.2.3 123-45-6789": [("card", card), ("phone", "514-555-8389"), ("ip", "10.1.2.3"), ("ssn", "123-45-6789")],
+        "1.2.3.4.5 and 4111 1111 1111 1112": [],
+    }.items():
+        assert found_in(text) == want, text
