@@ -7,7 +7,16 @@ shape: digits stay digits, vowels vowels, a script its script, check digits are
 name goes to one of the same gender and script.  A permutation keeps distinct values distinct and
 gives a value the same surrogate in every document, without any shared state.
 
-The collision check covers the whole corpus: a surrogate that is itself an original somewhere
+Names of persons are those that the lists GIVEN (some 145 names in Latin, Cyrillic and Greek script)
+and TITLES give away: a listed given name before a capitalized surname (up to two initials between,
+capitals throughout allowed), or a title before a surname.  Other capitalized mentions of the given
+names and surnames so found in a text are replaced with them, hyphenated surnames also by part (a
+part has a surrogate of its own); surnames that are FUNCTION_WORDS aren't followed.  Persons of other
+given names without a title, and names in other scripts, stay.
+
+The collision check covers the whole corpus, given names apart, whose surrogates are always listed
+names; a surname that clashes in SURNAME_WALK rounds, as nearly all values of its shape are
+originals, keeps its first surrogate: a surrogate that is itself an original somewhere
 would be mistaken for that person.  Distinct originals are joined with the surrogates; those that
 clash get their image under another permutation, unless that clashes with an original or a
 surrogate given before, and so on.  The few values so changed go to the tasks in slices of
@@ -51,7 +60,15 @@ GIVEN = {
 # Forms of address before a surname.
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Señor Señora Sr Sra Господин Госпожа Κύριος Κυρία".split()
 
+# Function words that are no surname by themselves; they aren't followed through a text.
+FUNCTION_WORDS = frozenset(
+    "a an and are as at be but by for from had has he her his i if in is it its me my no not of on or our she so that the their they this to was we were who will with you your "
+    "aber am auf aus bei das dem den der die ein eine er es für hat ich ihr im ist mit nach sie und von war wir zu au aux ce de des dit du elle en est et il je la le les leur lui ne on ou par pas pour qui que sa se ses son sur un une "
+    "al como con del el ella los las lo para pero por se su sus una uno y и в во на не он она они это как но что с со к по за из ο η το και να με σε".split()
+)
+
 _GENDER = {name: group for group, names in GIVEN.items() for name in names}
+_CAPITALS = {name.upper(): name for name in _GENDER}
 _UP = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω"
 _SURNAME = rf"[{_UP}][^\W\d_]+(?:-[{_UP}][^\W\d_]+)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -72,8 +89,10 @@ _NATIONAL = {
     "45": (8, 8), "46": (7, 9), "47": (8, 8), "48": (9, 9), "49": (5, 11), "52": (10, 10), "54": (10, 11), "55": (10, 11), "61": (9, 9), "64": (8, 10), "81": (9, 10), "86": (10, 11), "90": (10, 10), "91": (10, 10),
     "351": (9, 9), "352": (5, 9), "353": (7, 9), "357": (8, 8), "358": (5, 12), "359": (7, 9), "370": (8, 8), "380": (9, 9), "385": (8, 9), "386": (8, 8), "420": (9, 9), "421": (9, 9),
 }
-_NAME = re.compile(rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.?[ ]+)?(?P<given>{'|'.join(sorted(_GENDER, key=len, reverse=True))})[ ]+(?P<surname>{_SURNAME})(?!\w)|(?<!\w)(?:{'|'.join(TITLES)})\.?[ ]+(?P<only>{_SURNAME})(?!\w)")
-_CUES = frozenset(_GENDER) | frozenset(TITLES) | {t + "." for t in TITLES}
+_NAME = re.compile(rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.?[ ]+)?(?P<given>{'|'.join(sorted([*_GENDER, *_CAPITALS], key=len, reverse=True))})[ ]+(?:[{_UP}]\.?[ ]+){{0,2}}(?P<surname>{_SURNAME})(?!\w)|(?<!\w)(?:{'|'.join(TITLES)})\.?[ ]+(?P<only>{_SURNAME})(?!\w)")
+_CAPITALIZED = re.compile(rf"(?<!\w)[{_UP}][^\W\d_]*(?:-[{_UP}][^\W\d_]*)*(?!\w)")
+_LETTERS = re.compile(r"[^-]+")
+_CUES = frozenset(_GENDER) | frozenset(_CAPITALS) | frozenset(TITLES) | {t + "." for t in TITLES}
 _DIGIT_OR_AT = re.compile(r"[\d@]")
 _SPLIT = re.compile(r"[^\w.]+")
 
@@ -168,6 +187,23 @@ def _cards(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
             yield groups[x][0], groups[y - 1][1]
 
 
+def _bare(text: str, names: dict[str, str], found: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
+    """Other mentions, capitalized, of a text's names where nothing is found yet."""
+    if not names:
+        return
+    spans = sorted((a, b) for a, b, _ in found)
+    k = 0
+    kind_of = lambda word: names.get(word) or names.get(_CAPITALS.get(word, "")) or names.get(lowered(word))
+    for m in _CAPITALIZED.finditer(text):
+        # A hyphenated name that isn't known as a whole may be so in parts.
+        for one in [m] if kind_of(m.group()) else _LETTERS.finditer(text, *m.span()):
+            a, b = one.span()
+            while k < len(spans) and spans[k][1] <= a:
+                k += 1
+            if (kind := kind_of(one.group())) and (k == len(spans) or spans[k][0] >= b):
+                yield a, b, kind
+
+
 def find(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every entity, in order of place, none overlapping."""
     if not text:
@@ -182,13 +218,18 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
             out += [(x, y, kind) for a, b in list(gaps) if a < b for x, y in (_cards(text, a, b) if kind == "card" else _spans(kind, text, a, b))]
             out.sort()
     if not _CUES.isdisjoint(_SPLIT.split(text)):
-        taken = list(out)
+        taken, names = list(out), {}
         for m in _NAME.finditer(text):
             for part in ("given", "surname", "only"):
                 if m.group(part):
                     a, b = m.span(part)
+                    kind = "given" if part == "given" else "surname"
                     if all(b <= x or a >= y for x, y, _ in taken):
-                        out.append((a, b, "given" if part == "given" else "surname"))
+                        out.append((a, b, kind))
+                        if lowered(text[a:b]) not in FUNCTION_WORDS:
+                            names[canonical(kind, text[a:b])] = kind
+                            names |= {lowered(part): kind for part in text[a:b].split("-") if "-" in text[a:b] and kind == "surname"}
+        out += _bare(text, names, out)
     return sorted(out)
 
 
@@ -209,7 +250,7 @@ def canonical(kind: str, mention: str) -> str:
         return (code.group() + "|" if code else "+|" if mention[0] == "+" else "") + re.sub(r"\D", "", mention[code.end() if code else 0 :])
     if kind == "iban":
         return mention.replace(" ", "")
-    return mention if kind == "given" else lowered(mention)
+    return _CAPITALS.get(mention, mention) if kind == "given" else lowered(mention)
 
 
 class Surrogates:
@@ -290,7 +331,7 @@ class Surrogates:
 def dress(kind: str, mention: str, surrogate: str) -> str:
     """A canonical surrogate in the spelling of the mention: its separators and capitals."""
     if kind in ("given", "ip"):
-        return surrogate
+        return surrogate.upper() if kind == "given" and mention in _CAPITALS else surrogate
     source = iter(surrogate.rpartition("|")[2] if kind == "phone" else surrogate)
     if kind == "phone":
         code = re.match(r"\+\d{1,3}(?=\D)", mention)
@@ -301,7 +342,9 @@ def dress(kind: str, mention: str, surrogate: str) -> str:
     return "".join(next(source) if c.isalnum() else c for c in mention)
 
 
-_WALKED = ("email", "iban", "card", "ssn", "ip", "phone")
+_WALKED = ("email", "iban", "card", "ssn", "ip", "phone", "surname")
+#: Rounds after which surnames keep their first surrogate: of a short shape nearly all values may be originals.
+SURNAME_WALK = 16
 
 
 def entities(df: DataFrame, text: str = "text") -> DataFrame:
@@ -339,10 +382,13 @@ def walked(found: DataFrame, key: bytes = KEY) -> DataFrame:
     found = found.where(F.col("kind").isin(*_WALKED))
     originals = found.select("kind", F.col("value").alias("surrogate"))
     first = with_surrogates(found, key)
-    left = first.join(originals, ["kind", "surrogate"], "left_semi").select("kind", "value").persist()
+    # A surname without a letter of the alphabets has no other value to go to.
+    left = first.where("kind <> 'surname' OR surrogate <> value").join(originals, ["kind", "surrogate"], "left_semi").select("kind", "value").persist()
     taken = first.join(originals, ["kind", "surrogate"], "left_anti").select("kind", "surrogate")
     out = None
     for r in range(1, MAX_WALK):
+        if r == SURNAME_WALK:
+            left = left.where("kind <> 'surname'")
         if left.isEmpty():
             break
         asked = with_surrogates(left, key + b"#%d" % r)

@@ -128,3 +128,30 @@ def test_neighbouring_numbers():
         "1.2.3.4.5 and 4111 1111 1111 1112": [],
     }.items():
         assert found_in(text) == want, text
+
+
+def test_names_are_followed_through_a_text():
+    text = "Maria Müller came. Müller said that Maria, MÜLLER's sister, saw MARIA K. MÜLLER-HUBER. Huber and Mr The left. The müller stays, Müllers too."
+    assert found_in(text) == [
+        ("given", "Maria"), ("surname", "Müller"), ("surname", "Müller"), ("given", "Maria"), ("surname", "MÜLLER"), ("given", "MARIA"), ("surname", "MÜLLER-HUBER"), ("surname", "Huber"), ("surname", "The"),
+    ]
+    new = surrogate_text(text)
+    s = P.Surrogates()
+    assert "Müller " not in new and "Maria" not in new and "MÜLLER" not in new and "MARIA" not in new
+    other = P.dress("surname", "Müller", s.of("surname", "müller"))
+    assert new.startswith(f"{s.of('given', 'Maria')} {other} came. {other} said that {s.of('given', 'Maria')}, {other.upper()}'s")
+    assert found_in("Müller said that Maria came.") == []
+
+
+def test_surnames_are_walked(spark):
+    """No surname's surrogate is another's original, unless the shape is used up."""
+    s = P.Surrogates()
+    chain = ["müllerson"]
+    for _ in range(3):
+        chain.append(s.of("surname", chain[-1]))
+    full = [a + b for a in "bcdfghjklmnpqrstvwxyz" for b in "aeiou"]
+    found = spark.createDataFrame([("surname", v) for v in [*chain, "äöß"]], "kind string, value string")
+    walked = {r.value: r.surrogate for r in P.walked(found).collect()}
+    images = [walked.get(v, s.of("surname", v)) for v in chain]
+    assert len(set(images)) == len(chain) and not set(images) & set(chain)
+    assert P.walked(spark.createDataFrame([("surname", v) for v in full], "kind string, value string")).count() == 0
