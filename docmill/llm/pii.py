@@ -14,6 +14,11 @@ names and surnames so found in a text are replaced with them, hyphenated surname
 part has a surrogate of its own); surnames that are FUNCTION_WORDS aren't followed.  Persons of other
 given names without a title, and names in other scripts, stay.
 
+Phones without '+' or a bracketed area code are those of three, three and four digits, also behind
+a trunk 1; 555-1234; groups behind a trunk 0, nine to eleven digits; and other groups of two to four
+digits, nine or ten in all.  Left on purpose: what reads as a date, as years, a version or a number
+in thousands; digits in one group; pairs that don't start with 0; seven digits without a dash.
+
 The collision check covers the whole corpus, given names apart, whose surrogates are always listed
 names; a surname that clashes in SURNAME_WALK rounds, as nearly all values of its shape are
 originals, keeps its first surrogate: a surrogate that is itself an original somewhere
@@ -72,13 +77,20 @@ _CAPITALS = {name.upper(): name for name in _GENDER}
 _UP = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω"
 _SURNAME = rf"[{_UP}][^\W\d_]+(?:-[{_UP}][^\W\d_]+)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+#: Phones without '+' or brackets: North American with and without trunk, local; French pairs; behind a trunk 0; nine or ten digits in groups.
+_LOCAL = (
+    r"(?:1[ .-])?\d{3}(?P<us>[ .-])\d{3}(?P=us)\d{4}|[2-9]\d{2}-\d{4}|0[1-9](?P<fr>[ .-])\d{2}(?:(?P=fr)\d{2}){3}"
+    r"|0\d{1,4}(?:[ ./-]\d{2,8}){1,4}|[1-9]\d{1,3}(?P<any>[ -])\d{2,4}(?:(?P=any)\d{2,4}){1,3}"
+)
+#: Those whose end is known.
+_LOCAL_FIRST = _LOCAL[: _LOCAL.index("|0\\d{1,4}")]
 PATTERNS = {
     "email": re.compile(r"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),
     "card": re.compile(r"(?<![\w+])\d(?:[ -]?\d)*"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "ip": re.compile(rf"(?<![\w.])(?<!ersion ){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d)"),
-    "phone": re.compile(r"(?<![\w+.])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,5}){2,6}|(?<![\w+.])\(\d{2,4}\) ?\d{2,4}(?:[ .-]\d{2,4}){1,3}|(?<![\w+.-])\d{3}([ .-])\d{3}\1\d{4}"),
+    "phone": re.compile(r"(?<![\w+.])\+\d{1,3}(?:[ .-]?\(\d{1,4}\))?(?:[ .-]?\d{1,5}){2,6}|(?<![\w+.])\(\d{2,4}\) ?\d{2,4}(?:[ .-]\d{2,4}){1,3}|(?<![\w+.-])(?:" + _LOCAL + ")"),
 }
 _RUN, _DIGITS = PATTERNS["card"], re.compile(r"\d+")
 #: How digits stand on cards, besides in one group.
@@ -119,17 +131,39 @@ def _closed(text: str, end: int) -> bool:
 def _national(value: str) -> bool:
     """Whether a number with a country or bracketed area code has as many digits as numbers of that plan."""
     digits = [c for c in value.replace("(0)", "") if c.isdecimal()]
+    if value[0] not in "+(":
+        return re.fullmatch(_LOCAL_FIRST, value) is not None
     if value[0] == "(":
         return len(digits) == 10 if int(digits[0]) else 9 <= len(digits) <= 12
     code = next((c for k in (3, 2, 1) if (c := "".join(str(int(d)) for d in digits[:k])) in _NATIONAL), None)
     return code is not None and _NATIONAL[code][0] <= len(digits) - len(code) <= _NATIONAL[code][1]
 
 
+_DATE = re.compile(r"(?:\d{1,2}([ ./-])\d{1,2}\1|\d{1,2}[ ./-])?(?:19|20)\d{2}(?!\d)|(?:19|20)\d{2}([ ./-])(?:0?[1-9]|1[0-2])\2(?:0?[1-9]|[12]\d|3[01])(?!\d)")
+
+
+def _grouped(value: str) -> bool:
+    """Whether digits without '+' or brackets are grouped as in phone numbers and don't read as a date, years, a version or a plain number."""
+    groups = _DIGITS.findall(value)
+    sizes, n = [len(g) for g in groups], sum(map(len, groups))
+    if sizes in ([3, 3, 4], [1, 3, 3, 4]):
+        return True
+    if sizes == [3, 4] and value[3] == "-":
+        return int(value[0]) > 1
+    if _DATE.match(value):
+        return False
+    if int(value[0]) == 0:
+        return 9 <= n <= 11 and len(groups) > 1 and ("." not in value or sizes == [2] * 5)
+    return 9 <= n <= 10 and not all(x == 3 for x in sizes[1:]) and any(x > 2 for x in sizes)
+
+
 def _valid(kind: str, value: str) -> bool:
     plain = re.sub(r"\W", "", value)
     if kind == "iban":
         return iban_check(plain[:2], plain[4:]) == plain[2:4]
-    return 7 <= len(plain) <= 15 if kind == "phone" else True
+    if kind == "phone":
+        return 7 <= len(plain) <= 15 if value[0] in "+(" else _grouped(value)
+    return True
 
 
 def _spans(kind: str, text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
@@ -140,7 +174,7 @@ def _spans(kind: str, text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
         if kind in ("iban", "phone"):
             open_ = (lambda e: text[e : e + 1] == "-" or (text[e : e + 1] == "." and text[e + 1 : e + 2].isdecimal())) if kind == "phone" else lambda e: False
             ends = [e for e in range(end, start, -1) if text[e - 1].isalnum() and _closed(text, e) and not open_(e) and pattern.fullmatch(text, start, e) and _valid(kind, text[start:e])]
-            if kind == "phone" and text[start] in "+(":
+            if kind == "phone":
                 ends.sort(key=lambda e: not _national(text[start:e]))
             end = ends[0] if ends else 0
         elif kind != "email" and not _closed(text, end):
@@ -319,7 +353,7 @@ class Surrogates:
             return ".".join(self._move([str(o) for o in octets], groups, "ip"))
         if kind == "phone":
             code, bar, rest = value.rpartition("|")
-            leading = "01" if rest[0] in "01" else "23456789"
+            leading = rest[0] if rest[0] in "01" else "23456789"
             return code + bar + "".join(self._move(list(rest), [leading, *["0123456789"] * (len(rest) - 1)], ("phone", code, len(rest))))
         if kind == "given":
             names = GIVEN[_GENDER[value]]

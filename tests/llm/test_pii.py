@@ -155,3 +155,14 @@ def test_surnames_are_walked(spark):
     images = [walked.get(v, s.of("surname", v)) for v in chain]
     assert len(set(images)) == len(chain) and not set(images) & set(chain)
     assert P.walked(spark.createDataFrame([("surname", v) for v in full], "kind string, value string")).count() == 0
+
+
+def test_national_phones_and_what_is_none():
+    for phone in ("1-800-555-1234", "020 7946 0958", "06 12 34 56 78", "555-1234", "030/1234567", "0171-1234567", "91 123 45 67", "612 34 56 78", "01.23.45.67.89", "514.555.8389", "0161 496 0000", "1 800 555 1234", "06 12 34 56 78 "):
+        for text in (f"call {phone.strip()} now", f"({phone.strip()})", f"{phone.strip()}.", f"{phone.strip()} 12 people" if not phone.startswith(("91", "612", "030", "0171", "0161", "020")) else phone):
+            assert found_in(text) == [("phone", phone.strip())], text
+    for text in (
+        "06-12-2024", "06.12.2024 12:30", "2024-10-12", "2024-10-12 12:30", "2024 10 12 30", "12 10 2024 1800", "1990 1991 1992", "1990-1995", "10 000 000", "300 000 000", "4.10.2024", "0.12.3456", "01.02.03", "12 34 56 78 90", "100-2000",
+        "5551234567", "555 1234", "1.800.5551", "0.1234 0.5678",
+    ):
+        assert found_in(f"on {text} so") == [], text
