@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 MAX_RULES = 200_000
 _TOKEN = re.compile(r"[a-z0-9]+")
 _UPPER, _LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FOLD = str.maketrans(_UPPER, _LOWERED)
 
 
 @dataclass(frozen=True)
@@ -47,9 +48,9 @@ class HostRule:
         return rf"^(?:[^/]*\.)?{re.escape(self.host)}{re.escape(self.path)}"
 
     def tokens(self) -> list[str]:
-        runs = [m for m in _TOKEN.finditer(self.path)]
-        open_end = runs and runs[-1].end() == len(self.path)
-        return _TOKEN.findall(self.host) + [m.group() for m in runs[: -1 if open_end else None] if m.group() == m.group().lower()]
+        """Runs of host and path, lower-cased like the URL's, that stand there whole; one at the open end may go on."""
+        name = self.name.translate(_FOLD)
+        return [m.group() for m in _TOKEN.finditer(name) if m.end() < len(name)]
 
 
 @dataclass(frozen=True)
@@ -156,9 +157,6 @@ def judged(df: DataFrame, url: str = "url", rules: Sequence[Rule] = RULES) -> Da
     return parts.select(*kept, "host", "path", *[F.col(f"__url_verdict.{c}").alias(c) for c in ("rule", "pattern", "n_candidates", "verdict")])
 
 
-_FOLD = str.maketrans(_UPPER, _LOWERED)
-
-
 def op10_url_filters(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return judged(pages).select("page_id", "host", "path", "rule", "verdict", "pattern")

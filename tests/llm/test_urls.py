@@ -44,3 +44,18 @@ def test_candidates_only(spark):
     df = spark.createDataFrame([(1, "https://plain.net/page"), (2, "https://casino.net/")], "page_id long, url string")
     got = {r.page_id: r.n_candidates for r in U.judged(df).collect()}
     assert got[1] == 0 and got[2] >= 1
+
+
+def test_capitals_and_escapes_against_all_rules(spark):
+    """Every rule tried on every URL gives the same."""
+    rules = tuple(U.HostRule("block", h, p) for h, p in (("a.org", "/Es/"), ("b.org", "/caf%C3%A9/"), ("c.org", "/EN/"), ("d.org", "/x/Ab"), ("e.org", ""), ("f.org", "/éA/"), ("g.org", "/a.B-c/"))) + (U.PatternRule("block", "^casino^"),)
+    urls = [f"https://{h}{p}" for h in ("a.org", "x.b.org", "C.ORG", "d.org", "e.org", "e.organic", "f.org", "g.org") for p in ("/Es/1", "/es/1", "/caf%C3%A9/", "/EN/x", "/x/Abc", "/x/Ab", "/éA/", "/a.B-c/casino", "")]
+    got = {r.page_id: (r.rule, r.verdict) for r in U.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()}
+    low = str.maketrans(U._UPPER, U._LOWERED)
+    for i, u in enumerate(urls):
+        host, slash, path = u.removeprefix("https://").partition("/")
+        fits = [r.name for r in rules if isinstance(r, U.HostRule) and re.search(r.regex(), host.translate(low) + slash + path)]
+        rule = max(fits, key=len, default=None)
+        assert got[i] == (rule, "block" if rule or "/casino" in u else "allow"), u
+    assert sum(1 for r, _ in got.values() if r) >= 14
+    assert rules[0].tokens() == ["a", "org", "es"] and rules[1].tokens() == ["b", "org", "caf", "c3", "a9"]
