@@ -378,7 +378,7 @@ def dress(kind: str, mention: str, surrogate: str) -> str:
 
 _WALKED = ("email", "iban", "card", "ssn", "ip", "phone", "surname")
 #: Rounds after which surnames keep their first surrogate: of a short shape nearly all values may be originals.
-SURNAME_WALK = 16
+SURNAME_WALK = 6
 
 
 def entities(df: DataFrame, text: str = "text") -> DataFrame:

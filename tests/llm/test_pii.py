@@ -143,7 +143,7 @@ def test_names_are_followed_through_a_text():
     assert found_in("Müller said that Maria came.") == []
 
 
-def test_surnames_are_walked(spark):
+def test_surnames_are_walked(spark, monkeypatch):
     """No surname's surrogate is another's original, unless the shape is used up."""
     s = P.Surrogates()
     chain = ["müllerson"]
@@ -154,6 +154,7 @@ def test_surnames_are_walked(spark):
     walked = {r.value: r.surrogate for r in P.walked(found).collect()}
     images = [walked.get(v, s.of("surname", v)) for v in chain]
     assert len(set(images)) == len(chain) and not set(images) & set(chain)
+    monkeypatch.setattr(P, "SURNAME_WALK", 1)
     assert P.walked(spark.createDataFrame([("surname", v) for v in full], "kind string, value string")).count() == 0
 
 
