@@ -353,7 +353,7 @@ r(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, depth + 1 FROM r JOIN e
 SELECT node, min(depth)::INTEGER AS depth FROM r GROUP BY node""")
 def crawl_closure(spark, d):
     edges = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("src"), F.col("l_partkey").cast("long").alias("dst")).distinct()
-    return crawl.closure(edges, spark.range(1, 2).select(F.col("id").alias("node")), 8)
+    return crawl.closure(edges, spark.range(1, 2).select(F.col("id").alias("node")))
 
 
 @query(r"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages),

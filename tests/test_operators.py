@@ -248,6 +248,14 @@ def test_crawl(spark):
     assert ok(crawl.related(F.array(F.lit("short"), F.lit("long enough")))) == ["long enough"] and ok(crawl.related(F.array(F.lit("x")))) is None
 
 
+def test_closure_goes_to_the_end(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(18)] + [(18, 0)], "src long, dst long").coalesce(1)
+    root = spark.createDataFrame([(0,)], "node long")
+    assert {r.node: r.depth for r in crawl.closure(edges, root).collect()} == {i: i for i in range(19)}
+    with pytest.raises(RuntimeError):
+        crawl.closure(edges, root, 3)
+
+
 def test_chat(spark):
     rows = [("c", 1, "user", "hi", "sent"), ("c", 2, "assistant", "yes", "generated"), ("c", 3, "user", "bad", "error"), ("c", 4, "user", "more", "sent")]
     df = spark.createDataFrame(rows, "conv string, turn int, role string, text string, status string")
