@@ -10,11 +10,11 @@ have equal anchors, and a run of strings with one anchor is a short segment of t
 2. Those segments go, each distinct one once a shard, to shards by anchor.  There their suffixes are
    sorted by Larsson-Sadakane refinement; neighbours that share `length` bytes or more (Kasai) are
    one string, and its first place is kept.
-3. An anchor with more segments than a shard takes is sorted shard by shard; the sorted strings of
-   each are looked up in those before by binary search.
+3. An anchor with more segments than a shard takes is sorted shard by shard; each sends its distinct
+   strings as two hashes with their first places, of which Spark takes the first.
 
-The texts are joined with their marks once more to be cut.  Shards are bounded in bytes; the
-strings of a single anchor, as hashes, are what one task must hold at most.
+The texts are joined with their marks once more to be cut.  Shards are bounded in bytes, and
+no task holds more than a shard; one task still reads all segments of an anchor, one shard after another.
 
 Defined cases: null and empty texts, and shorter ones than `length`, keep all bytes; ids are
 integers, null comes last; rows with equal id and text are one document and get equal results;
@@ -254,41 +254,35 @@ def kept(shard: Shard, length: int) -> tuple[np.ndarray, np.ndarray]:
     return segment[first], offset[first]
 
 
-class Merged:
-    """Distinct strings of one anchor over many shards, as two hashes in order, and their first places."""
+_PLACES = f"{_MARKS}, key long, check long, start int"
 
-    def __init__(self) -> None:
-        self.keys, self.rest = np.zeros(0, np.uint64), np.zeros((4, 0), np.int64)
 
-    def add(self, shard: Shard, length: int) -> None:
-        segment, offset = kept(shard, length)
-        prefix = A.prefix_hash(shard.text)
-        at = shard.bounds[:-1][segment] + offset
-        key = A.range_hash(prefix, at, at + length)
-        check = A.mix(A.range_hash(A.prefix_hash(shard.text ^ np.uint8(0x5A)), at, at + length)).view(np.int64)
-        ids, hashes, start = (p[segment] for p in shard.places)
-        new = np.stack([check, ids, hashes, start + offset])
-        order = np.argsort(key, kind="stable")
-        key, new = key[order], new[:, order]
-        # Strings known already by binary search: the earlier place stays.
-        at = np.searchsorted(self.keys, key)
-        hit = (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == key) if len(self.keys) else np.zeros(len(key), bool)
-        hit[hit] &= self.rest[0, at[hit]] == new[0, hit]
-        old, mine = self.rest[1:, at[hit]], new[1:, hit]
-        earlier = (mine[0] < old[0]) | ((mine[0] == old[0]) & ((mine[1] < old[1]) | ((mine[1] == old[1]) & (mine[2] < old[2]))))
-        self.rest[1:, at[hit][earlier]] = mine[:, earlier]
-        self.rest = np.insert(self.rest, at[~hit], new[:, ~hit], axis=1)
-        self.keys = np.insert(self.keys, at[~hit], key[~hit])
-
-    def places(self) -> np.ndarray:
-        return self.rest[1:]
+def hashed(shard: Shard, length: int) -> pa.RecordBatch:
+    """Two hashes and the first place of every distinct string of a shard, for an anchor that fills several."""
+    segment, offset = kept(shard, length)
+    at = shard.bounds[:-1][segment] + offset
+    key = A.range_hash(A.prefix_hash(shard.text), at, at + length).view(np.int64)
+    check = A.mix(A.range_hash(A.prefix_hash(shard.text ^ np.uint8(0x5A)), at, at + length)).view(np.int64)
+    ids, hashes, start = (p[segment] for p in shard.places)
+    columns = [pa.array(ids), pa.array(hashes.astype(np.int32)), pa.nulls(len(ids), pa.binary()), pa.array(key), pa.array(check), pa.array((start + offset).astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=[ID, H, "packed", "key", "check", "start"])
 
 
-def keepers(cut: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The places of the strings that are first of their kind, as marks without an anchor."""
+def merged(found: DataFrame) -> DataFrame:
+    """The marks in what keepers found; of hashed strings the first place, which Spark takes in parts before and after its shuffle."""
+    place = F.min(F.struct(ID, H, "start")).alias("place")
+    first = found.where("packed IS NULL").groupBy("key", "check").agg(place).select("place.*")
 
-    def out(ids, hashes, start) -> pa.RecordBatch:
-        return _packed(ids, hashes, _records(start, np.ones(len(start), np.int32)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hashes, start = (batch.column(k).to_numpy() for k in range(3))
+            yield _packed(ids, hashes, _records(start, np.ones(len(start), np.int32)))
+
+    return found.where("packed IS NOT NULL").select(ID, H, "packed").unionByName(first.mapInArrow(run, _MARKS))
+
+
+def keepers(cut: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The places of the strings that are first of their kind, as marks without an anchor; those of an anchor that fills several shards hashed."""
 
     def whole(parts: list[pa.Table]) -> pa.RecordBatch | None:
         shard = shard_of(parts)
@@ -299,7 +293,11 @@ def keepers(cut: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -> Data
         at = np.flatnonzero(first)
         count = np.diff(np.append(at, len(segment)))
         ids, hashes, start = (p[segment[at]] for p in shard.places)
-        return _packed(ids, hashes, _records(start + offset[at], count)) if len(at) else None
+        if not len(at):
+            return None
+        marks = _packed(ids, hashes, _records(start + offset[at], count))
+        none = [pa.nulls(marks.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int32())]
+        return pa.RecordBatch.from_arrays([*marks.columns, *none], names=[ID, H, "packed", "key", "check", "start"])
 
     def shard_of(parts: list[pa.Table]) -> Shard:
         table = pa.concat_tables(parts).combine_chunks()
@@ -308,7 +306,7 @@ def keepers(cut: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[pa.Table] = []
-        size, merged, merging = 0, None, None
+        size, merging = 0, None
         for batch in batches:
             table = pa.Table.from_batches([batch])
             anchor = table.column("anchor").to_numpy()
@@ -331,14 +329,12 @@ def keepers(cut: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -> Data
                 ends = np.flatnonzero(anchors_now != anchors_now[-1])
                 split = int(ends[-1]) + 1 if len(ends) else 0
                 if merging is not None and anchors_now[0] != merging:
-                    yield out(*merged.places())
-                    merged = merging = None
+                    merging = None
                 if merging is not None:
                     stop = int(np.flatnonzero(anchors_now == merging)[-1]) + 1
-                    merged.add(shard_of([every.slice(0, stop)]), length)
+                    yield hashed(shard_of([every.slice(0, stop)]), length)
                     if stop < len(anchors_now):
-                        yield out(*merged.places())
-                        merged = merging = None
+                        merging = None
                     every = every.slice(stop)
                 elif split:
                     done = whole([every.slice(0, split)])
@@ -346,8 +342,8 @@ def keepers(cut: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -> Data
                         yield done
                     every = every.slice(split)
                 else:  # one anchor fills the shard
-                    merged, merging = Merged(), anchors_now[0]
-                    merged.add(shard_of([every]), length)
+                    merging = anchors_now[0]
+                    yield hashed(shard_of([every]), length)
                     every = every.slice(len(anchors_now))
                 parts = [every] if every.num_rows else []
                 size = sum(pc.sum(pc.binary_length(p.column("segment"))).as_py() or 0 for p in parts)
@@ -355,15 +351,14 @@ def keepers(cut: DataFrame, length: int, shard_bytes: int = SHARD_BYTES) -> Data
             every = pa.concat_tables(parts) if parts else None
             stop = int((every.column("anchor").to_numpy() == merging).sum()) if every else 0
             if stop:
-                merged.add(shard_of([every.slice(0, stop)]), length)
-            yield out(*merged.places())
+                yield hashed(shard_of([every.slice(0, stop)]), length)
             parts = [every.slice(stop)] if every and stop < every.num_rows else []
         if parts:
             done = whole(parts)
             if done is not None:
                 yield done
 
-    return cut.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(run, _MARKS)
+    return cut.repartition(F.col("anchor")).sortWithinPartitions("anchor").mapInArrow(run, _PLACES)
 
 
 def removed_flags(n: int, gone: np.ndarray, keep: np.ndarray, length: int) -> np.ndarray:
@@ -388,7 +383,8 @@ def deduplicated(df: DataFrame, row_id: str = "doc_id", text: str = "text", leng
     buckets = max(8, total // BUCKET_BYTES)
     marks, _ = written(anchors(docs, buckets, length).groupBy("bucket").applyInArrow(repeats, _MARKS), "repeats")
     cut = cut_out(docs, marks.groupBy(ID, H).agg(F.collect_list("packed").alias("marks")), length)
-    first, _ = written(keepers(cut, length, shard_bytes), "keepers")
+    found, _ = written(keepers(cut, length, shard_bytes), "keepers")
+    first = merged(found)
     none = F.lit(None).cast("binary")
     both = marks.select(ID, H, F.col("packed").alias("gone"), none.alias("keep")).unionByName(first.select(ID, H, none.alias("gone"), F.col("packed").alias("keep")))
     told = both.groupBy(ID, H).agg(F.collect_list("gone").alias("__cut_gone"), F.collect_list("keep").alias("__cut_keep"))

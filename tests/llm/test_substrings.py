@@ -83,3 +83,15 @@ def test_odd_cases(spark, docs, rows, empty):
     want = brute([*order, *[r for r in unique if r[0] is None and r[1]]], S.LENGTH)
     assert {k: got[k] for k in simple} == {k: want[k] for k in simple}
     assert S.deduplicated(empty).count() == 0
+
+
+def test_strings_of_a_large_anchor_leave_shard_by_shard(spark):
+    """No task gathers them: every shard sends its own hashes, and Spark takes the first places."""
+    r = random.Random(9)
+    passage = "".join(r.choices("abcdefgh", k=80))
+    cut = spark.createDataFrame([(7, bytearray((passage[:60] + str(i % 5)).encode()), i, 0, 0) for i in range(40)], f"anchor long, segment binary, {S.ID} long, {S.H} int, start int").coalesce(1)
+    found = S.keepers(cut, 60, 300)
+    hashed = found.where("packed IS NULL")
+    distinct = hashed.select("key", "check").distinct().count()
+    assert hashed.count() > distinct
+    assert sorted(m[S.ID] for m in S.merged(found).collect()) == [0, 1, 2, 3, 4]
