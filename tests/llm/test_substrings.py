@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from docmill.llm import substrings as S
 from docmill.llm.suffixes import common_prefixes, suffix_array
@@ -57,41 +58,53 @@ def corpus(seed, n, copies=0.6):
     return rows
 
 
-@pytest.mark.parametrize("shard_bytes", [S.SHARD_BYTES, 600])
-def test_equal_to_brute_force(spark, shard_bytes):
+@pytest.mark.parametrize("limits", [{}, {"shard_bytes": 600}, {"shard_bytes": 600, "hot_in_block": 1, "hot_segments": 2}, {"hot_segments": 0}])
+def test_equal_to_brute_force(spark, limits):
     rows = corpus(4, 60) + [(1000, "z" * 400), (1001, "ab" * 150), (1002, None), (1003, "")]
     df = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "doc_id long, text string").repartition(4)
-    assert digest(S.deduplicated(df, length=40, shard_bytes=shard_bytes)) == brute(rows, 40)
+    assert digest(S.deduplicated(df, length=40, **limits)) == brute(rows, 40)
 
 
-def test_one_anchor_over_many_shards(spark):
+@pytest.mark.parametrize("hot", [(1, 4096), (16, 10), (16, 4096)])
+def test_one_anchor_over_many_shards(spark, hot):
     """A passage followed by a different text in every document: its last segments differ, their anchor is one."""
     r = random.Random(9)
     passage = "".join(r.choices("abcdefgh", k=80))
     rows = [(i, passage + "".join(r.choices("ij", k=40))) for i in range(150)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert digest(S.deduplicated(df, length=60, shard_bytes=300)) == brute(rows, 60)
+    assert digest(S.deduplicated(df, length=60, shard_bytes=300, hot_in_block=hot[0], hot_segments=hot[1])) == brute(rows, 60)
+
+
+def test_segments_of_a_hot_anchor_leave_for_many_shards(spark):
+    """No task reads them all: they carry a salt by content, and the shards' runs meet by digest."""
+    r = random.Random(9)
+    passage = "".join(r.choices("abcdefgh", k=80))
+    rows = [(i, 0, passage + "".join(r.choices("ij", k=40))) for i in range(150)]
+    docs = spark.createDataFrame(rows, f"{S.ID} long, {S.H} int, {S.TEXT} string").repartition(3)
+    marks = S.anchors(docs, 8, 60, 4).groupBy("bucket").applyInArrow(lambda group: S.repeats(group), S._MARKS)
+    cut = S.cut_out(docs, marks.where("octet_length(asked) > 0").groupBy(S.ID, S.H).agg(F.collect_list("asked").alias("marks")), 60)
+    hot = cut.where("salt >= 0")
+    assert hot.select("key").distinct().count() < hot.select("key", "salt").distinct().count()
+    assert S.sorted_shards(cut, 60, 8, 300).where("bucket IS NOT NULL").select("bucket").distinct().count() > 1
+
+
+def test_equal_rolling_hashes_are_told_apart(spark):
+    """Complementary Thue-Morse words have one polynomial hash modulo a power of two; they aren't the same string."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba")))]
+    for length in (100, 1024):
+        assert digest(S.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), length=length)) == brute(rows, length)
 
 
 def test_odd_cases(spark, docs, rows, empty):
-    unique = {(r[0], r[1]) for r in rows}
+    """Every row, those of a null id and of one id with two texts included; ids repeat, so results are held by id and text."""
     out = S.deduplicated(docs.selectExpr("*", "'mine' AS start", "'mine' AS anchor", "1 AS marks"))
     assert out.count() == len(rows) and out.where("start <> 'mine' OR anchor <> 'mine' OR marks <> 1").count() == 0
-    simple = {r[0] for r in rows if r[0] is not None} - {4}
-    got = digest(out.where("doc_id IS NOT NULL AND doc_id <> 4"))
-    order = sorted((r for r in unique if r[0] is not None), key=lambda r: (r[0], r[1] == "another text under the same id"))
-    want = brute([*order, *[r for r in unique if r[0] is None and r[1]]], S.LENGTH)
-    assert {k: got[k] for k in simple} == {k: want[k] for k in simple}
+    tie = {t: h for t, h in spark.createDataFrame([(r[1],) for r in rows if r[1]], "text string").select("text", F.hash("text")).collect()}
+    unique = sorted({(r[0], r[1]) for r in rows}, key=lambda x: (x[0] is None, x[0] or 0, tie.get(x[1], 42)))
+    want = brute([(x, x[1]) for x in unique], S.LENGTH)
+    got = {((r.doc_id, r.text), r.n_bytes, sum(x.end - x.start for x in r.removed), len(r.removed), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out.collect()}
+    assert got == {(x, *want[x]) for x in unique}
     assert S.deduplicated(empty).count() == 0
-
-
-def test_strings_of_a_large_anchor_leave_shard_by_shard(spark):
-    """No task gathers them: every shard sends its own hashes, and Spark takes the first places."""
-    r = random.Random(9)
-    passage = "".join(r.choices("abcdefgh", k=80))
-    cut = spark.createDataFrame([(7, bytearray((passage[:60] + str(i % 5)).encode()), i, 0, 0) for i in range(40)], f"anchor long, segment binary, {S.ID} long, {S.H} int, start int").coalesce(1)
-    found = S.keepers(cut, 60, 300)
-    hashed = found.where("packed IS NULL")
-    distinct = hashed.select("key", "check").distinct().count()
-    assert hashed.count() > distinct
-    assert sorted(m[S.ID] for m in S.merged(found).collect()) == [0, 1, 2, 3, 4]
