@@ -46,7 +46,7 @@ from docmill.llm.suffixes import common_prefixes, suffix_array
 LENGTH = 100
 GRAM = 20
 #: Bytes of documents whose anchors one bucket takes, whose hot strings one bucket takes, of a block of documents, and of segments sorted at once.
-BUCKET_BYTES, HOT_BYTES, DOC_BYTES, SHARD_BYTES = 32 << 20, 8 << 20, 4 << 20, 4 << 20
+BUCKET_BYTES, HOT_BYTES, DOC_BYTES, SHARD_BYTES = 16 << 20, 8 << 20, 4 << 20, 1 << 20
 #: Distinct segments of an anchor that one block, and all blocks together, treat as usual.
 HOT_IN_BLOCK, HOT_SEGMENTS = 16, 4096
 LAST = (1 << 63) - 1
@@ -129,7 +129,13 @@ def block_records(docs: np.ndarray, data: np.ndarray, offsets: np.ndarray, bucke
 
     An anchor with more than `most` distinct segments here sends a notice, and its segments as asked for already.
     """
-    row, start, count, anchor = segments(data, offsets, length)
+    found, at = [], 0
+    while at < len(docs):  # a part of the block at a time
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + A.BLOCK_BYTES, "right")) - 1)
+        part = segments(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], length)
+        found.append((part[0] + at, *part[1:]))
+        at = to
+    row, start, count, anchor = map(np.concatenate, zip(*found, strict=True))
     again = np.ones(len(docs), bool)  # one document in several rows is read once
     again[np.unique(docs, return_index=True)[1]] = False
     keep = ~again[row]
@@ -256,7 +262,7 @@ def cut_out(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
                     hashes.append(h)
                     starts.append(s)
                     size += len(part)
-                if size > DOC_BYTES:
+                if size > A.BLOCK_BYTES:
                     yield found(keys, salts, parts, ids, hashes, starts)
                     keys, salts, parts, ids, hashes, starts, size = [], [], [], [], [], [], 0
             yield found(keys, salts, parts, ids, hashes, starts)
