@@ -8,6 +8,7 @@ depends on the block size (or its longest single text) and not on the number of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -91,8 +92,38 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
+#: Longer strings are hashed by BLAKE2.
+SHORT = 64
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def string_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges: eight bytes after another are mixed in, strings over SHORT bytes go through BLAKE2.
+
+    No sums of powers, which agree on whole families of strings (complementary Thue-Morse words, for one).
+    """
+    size = (ends - starts).astype(np.int64)
+    out = mix(size.astype(np.uint64) * _GOLD + np.uint64(1))
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))  # from any byte on
+    todo = np.flatnonzero(size <= SHORT)
+    at, left = starts[todo], size[todo]
+    while len(todo):
+        out[todo] = mix(out[todo] * _GOLD + (eight[at] & _LOW[np.minimum(left, 8)]))
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        raw = data.tobytes()
+        out[long] = np.frombuffer(b"".join([blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]), np.uint64)
+    return out
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """One longer than data; range_hash takes the hash of any range from it."""
+    """One longer than data; range_hash takes a rolling hash of any range from it.
+
+    For cutting texts at places that depend on their content, where equal hashes of different strings do no harm;
+    what decides whether strings are equal takes string_hash.
+    """
     up, _ = _POWERS.get(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=out[1:])
@@ -116,7 +147,7 @@ class Words:
         self.counts = np.diff(self.first)
         self.row = np.repeat(np.arange(self.rows), self.counts)
         if hashes:
-            self.hashes = range_hash(prefix_hash(data), self.starts, self.ends)
+            self.hashes = string_hash(data, self.starts, self.ends)
 
 
 def window_hash(hashes: np.ndarray, size: int) -> np.ndarray:

@@ -71,9 +71,7 @@ CURRENT = POLICIES["prose-1"]
 
 def measure_block(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """The measurements of each text of a block of UTF-8 bytes."""
-    words = A.Words(data, offsets, A.SPACED, lower=False, hashes=False)
-    prefix = A.prefix_hash(data)
-    words.hashes = A.range_hash(prefix, words.starts, words.ends)
+    words = A.Words(data, offsets, A.SPACED, lower=False)
     total = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])[offsets])
     out = {
         "n_words": words.counts,
@@ -86,7 +84,7 @@ def measure_block(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
     row = np.searchsorted(offsets, starts, "right") - 1
     full = np.searchsorted(words.starts, ends) > np.searchsorted(words.starts, starts)
     starts, ends, row = starts[full], ends[full], row[full]
-    keys = A.mix(A.range_hash(prefix, starts, ends) + row.astype(np.uint64) * A._GOLD)
+    keys = A.mix(A.string_hash(data, starts, ends) + row.astype(np.uint64) * A._GOLD)
     later = np.ones(len(keys), bool)
     later[np.unique(keys, return_index=True)[1]] = False
     rows = len(offsets) - 1
