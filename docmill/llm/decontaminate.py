@@ -1,19 +1,22 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
-Each task holds a shard of documents and builds the suffix array of its word sequences; every
-test suffix is then located in it by binary search, all test suffixes at once.  A window is ten
-consecutive words of a test item (the whole item if it has fewer), so suffixes are sorted to the
-depth of a window, and only those enter the array whose first words occur in a row in the test
-set: no other can match.  Windows that touch or overlap join into maximal verbatim matches with
-their places.  Shards are independent: no document is moved, no index is kept.
+Each task holds a shard of documents and builds the suffix array of all its words by
+Larsson-Sadakane refinement.  Every suffix of the test set is then located in it by binary search,
+all together and word by word: the range of the array that agrees with a test suffix shrinks until
+it is empty, so the last one is its longest verbatim match in the shard, and what leaves the range
+before are shorter ones.  Agreements of a window (ten words, or a whole item of fewer) are hits.
+Test suffixes that agree with one range at one length stand for one another, so a passage that
+thousands of items share costs what it costs once; which items hold a window is looked up by window.
+Shards are independent: no document is moved, no index is kept.
 
 The test set is read in slices of at most SLICE_BYTES, each sent to all tasks once its size is
 known; a larger set takes more slices, one pass after the other over the same task's rows.
 
 Defined cases: null texts have no words, match nothing and aren't contaminated; an item without
-words has no window; items with one id count as one item, a null id is called `null`; repeated
-rows give equal rows; empty tables give an empty result or no match; extra columns pass through,
-those named like a result are replaced.
+words has no window; items with one id count as one item, a null id is called `null`; texts of any
+length are read whole, one longer than a shard being one; of equally long matches at a place the
+item first by id and place is named; repeated rows give equal rows; empty tables give an empty
+result or no match; extra columns pass through, those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -22,165 +25,172 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.llm import arrays as A
 from docmill.llm.shared import bounded_batches
+from docmill.llm.suffixes import refined
 
 WINDOW = 10
-#: First words that a suffix must share with the test set to enter the array.
-LEAD = 3
 SLICE_BYTES = 16 << 20
-MATCH = T.ArrayType(
-    T.StructType([T.StructField("item_id", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType())])
-)
+MATCH = T.ArrayType(T.StructType([T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("item_id", T.StringType()), T.StructField("item_word", T.LongType())]))
 
 
 class TestSet:
-    """The distinct windows of a slice of the test set, as word hashes, and the items that hold each."""
+    """All words of a slice of the test set, by rank of their hash, and which items hold each window."""
 
     __test__ = False
 
     def __init__(self, ids: list[str], texts: pa.Array, window: int = WINDOW) -> None:
-        self.ids = ids
-        keys, lengths, rows, items, at = [], [], [], [], 0
-        for first, _, data, offsets in A.blocks(texts):
+        #: In the order of ids, so that the first of several items is the first by id.
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        self.ids = sorted(set(ids))
+        number = {x: k for k, x in enumerate(self.ids)}
+        hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for _, _, data, offsets in A.blocks(texts.take(pa.array(order, pa.int64()))):
             words = A.Words(data, offsets, A.ALNUM, lower=True)
-            hashes = np.concatenate([_no_zero(words.hashes), np.zeros(window, np.uint64)])
-            size = np.minimum(window, words.counts)
-            starts = np.concatenate([np.arange(f, f + n - s + 1) for f, n, s in zip(words.first, words.counts, size, strict=False) if n] or [np.zeros(0, np.int64)])
-            row = words.row[starts]
-            m = size[row]
-            grid = hashes[starts[:, None] + np.arange(window)]
-            grid[np.arange(window) >= m[:, None]] = 0
-            rows.append(grid)
-            lengths.append(m)
-            items.append(row + first + at)
-        self.grid, self.length, items = (np.concatenate(x) if x else np.zeros(shape, kind) for x, shape, kind in ((rows, (0, window), np.uint64), (lengths, 0, np.int64), (items, 0, np.int64)))
-        del keys
-        if len(self.grid):
-            self.grid, back = np.unique(self.grid, axis=0, return_inverse=True)
-            self.length = (self.grid != 0).sum(axis=1)
-            pairs = np.unique(np.stack([back.reshape(-1), items]), axis=1)
-        else:
-            pairs = np.zeros((2, 0), np.int64)
-        self.of_window = np.searchsorted(pairs[0], np.arange(len(self.grid) + 1))
-        self.items = pairs[1]
-        #: For each number of lead words in use: a bitmap over 20 bits of their hash, and the hashes.
-        self.leads = []
-        for q in range(1, LEAD + 1):
-            own = self.grid[np.minimum(self.length, LEAD) == q][:, :q]
-            if len(own):
-                found = np.unique(_fold(own))
-                bitmap = np.zeros(1 << 20, bool)
-                bitmap[(found >> np.uint64(44)).astype(np.int64)] = True
-                self.leads.append((q, bitmap, found))
-
-
-def _no_zero(hashes: np.ndarray) -> np.ndarray:
-    """0 stands for `no word`."""
-    return np.where(hashes == 0, np.uint64(1), hashes)
-
-
-def _fold(grid: np.ndarray) -> np.ndarray:
-    out = grid[:, 0].copy()
-    for k in range(1, grid.shape[1]):
-        out = A.mix(out * A._GOLD + grid[:, k])
-    return out
-
-
-def suffix_array(words: np.ndarray, room: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
-    """starts in the order of the word sequences that begin there, compared over `depth` words; words past room[start] sort first.
-
-    Groups of equal beginnings are refined by one more word each round; a suffix alone in its group is done.
-    """
-    word = lambda s, d: np.where(room[s] > d, words[np.minimum(s + d, len(words) - 1)], np.uint64(0))
-    order = starts[np.argsort(word(starts, 0), kind="stable")]
-    first = word(order, 0)
-    new = np.ones(len(order), bool)
-    new[1:] = first[1:] != first[:-1]
-    for d in range(1, depth):
-        group = np.cumsum(new)
-        alone = new.copy()
-        alone[:-1] &= new[1:]
-        at = np.flatnonzero(~alone)
-        if not len(at):
-            break
-        key = word(order[at], d)
-        sub = np.lexsort((key, group[at]))
-        order[at] = order[at][sub]
-        key, group = key[sub], group[at]
-        new[at[1:]] |= (key[1:] != key[:-1]) | (group[1:] != group[:-1])
-    return order
-
-
-def locate(words: np.ndarray, room: np.ndarray, order: np.ndarray, test: TestSet) -> tuple[np.ndarray, np.ndarray]:
-    """For each window the range of the suffix array that begins with it: two binary searches a word, all windows together."""
-    low, high = np.zeros(len(test.grid), np.int64), np.full(len(test.grid), len(order), np.int64)
-    for d in range(test.grid.shape[1]):
-        open_ = np.flatnonzero((test.length > d) & (low < high))
-        if not len(open_):
-            break
-        want = test.grid[open_, d]
+            hashes.append(words.hashes)
+            counts.append(words.counts)
+        hashes, counts = np.concatenate(hashes), np.concatenate(counts)
+        self.vocabulary, self.word = np.unique(hashes, return_inverse=True)
+        n = len(hashes)
+        first = np.cumsum(counts) - counts
+        row = np.repeat(np.arange(len(counts)), counts)
+        self.item = np.array([number[ids[i]] for i in order], np.int64)[row]
+        self.place = np.arange(n) - first[row]
+        #: Words from here to the item's end, and how many make a window here (0: none starts here).
+        self.room = counts[row] - self.place
+        self.need = np.where(self.room >= window, window, np.where((self.place == 0) & (counts[row] < window), self.room, 0))
+        self.longest = int(counts.max(initial=0))
+        #: Windows by content: equal ones have one number, and items_of[bounds[w]:bounds[w + 1]] hold it.
+        starts = np.flatnonzero(self.need)
+        grid = np.full((len(starts), window), -1, np.int64)
+        for k in range(window):
+            inside = self.need[starts] > k
+            grid[inside, k] = self.word[starts[inside] + k]
+        self.window = np.full(n, -1, np.int64)
+        windows = np.zeros((0, window), np.int64)
+        if len(starts):
+            windows, self.window[starts] = np.unique(grid, axis=0, return_inverse=True)
+        pairs = np.unique(np.stack([self.window[starts], self.item[starts]]), axis=1)
+        self.bounds, self.items_of = np.searchsorted(pairs[0], np.arange(len(windows) + 1)), pairs[1]
+
+
+class Shard:
+    """The suffix array of the words of a block of texts."""
+
+    def __init__(self, words: A.Words, depth: int) -> None:
+        self.words = words
+        self.vocabulary, self.word = np.unique(words.hashes, return_inverse=True)
+        self.end = words.first[1:][words.row]
+        self.order = refined(self.word, words.first, depth)
+
+    def at(self, places: np.ndarray, d: int) -> np.ndarray:
+        """The word d places behind, -1 past the end of the text."""
+        suffix = self.order[places] + d
+        return np.where(suffix < self.end[self.order[places]], self.word[np.minimum(suffix, len(self.word) - 1)], -1)
+
+    def narrowed(self, low: np.ndarray, high: np.ndarray, d: int, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of ranges that agree in d words, the parts whose next word is the wanted one: two binary searches, all ranges together."""
         ends = []
         for upper in (False, True):
-            a, b = low[open_].copy(), high[open_].copy()
+            a, b = low.copy(), high.copy()
             while (todo := np.flatnonzero(a < b)).size:
                 mid = (a[todo] + b[todo]) // 2
-                s = order[mid]
-                got = np.where(room[s] > d, words[np.minimum(s + d, len(words) - 1)], np.uint64(0))
+                got = self.at(mid, d)
                 right = got <= want[todo] if upper else got < want[todo]
                 a[todo] = np.where(right, mid + 1, a[todo])
                 b[todo] = np.where(right, b[todo], mid)
             ends.append(a)
-        low[open_], high[open_] = ends
-    return low, high
+        return ends[0], ends[1]
+
+
+def _distinct(*columns: np.ndarray) -> np.ndarray:
+    """The first of the rows that agree in all columns, in ascending order."""
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[order[1:]] != c[order[:-1]] for c in columns])
+    return np.sort(order[new])
+
 
+def _expanded(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of ranges, the number of the range and every place in it."""
+    n = high - low
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
 
-def match_block(data: np.ndarray, offsets: np.ndarray, test: TestSet) -> tuple[np.ndarray, list[list[dict]]]:
-    """Words of each text, and its maximal matches."""
+
+def located(shard: Shard, test: TestSet) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where the shard agrees with test suffixes in a window or more.
+
+    Ranges of the array as low and high, the number of words in which all their suffixes agree with the
+    test suffix and no further, that suffix; and for each window of the test set the range that holds it (low, high as two rows).
+    """
+    known = np.searchsorted(shard.vocabulary, test.vocabulary)
+    known = np.where((known < len(shard.vocabulary)) & (shard.vocabulary[np.minimum(known, len(shard.vocabulary) - 1)] == test.vocabulary), known, -1)
+    word = known[test.word]
+    counts = np.bincount(shard.word, minlength=len(shard.vocabulary))
+    ends = np.cumsum(counts)
+    # One word: the array's part of it is known from the counts.
+    suffix = np.flatnonzero((word >= 0) & (test.need > 0))
+    low, high = (ends - counts)[word[suffix]], ends[word[suffix]]
+    windows = np.zeros((2, len(test.bounds) - 1), np.int64)
+    out: list[tuple[np.ndarray, ...]] = []
+    d = 1
+    while len(suffix):
+        full = test.need[suffix] == d
+        windows[:, test.window[suffix[full]]] = low[full], high[full]
+        more = test.room[suffix] > d
+        want = np.where(more, word[np.minimum(suffix + d, len(word) - 1)], -2)
+        a, b = low.copy(), low.copy()
+        go = np.flatnonzero(want >= 0)
+        a[go], b[go] = shard.narrowed(low[go], high[go], d, want[go])
+        # What leaves the range here agrees in d words.
+        some = test.need[suffix] <= d
+        for x, y in ((low, a), (b, high)):
+            left = np.flatnonzero(some & (x < y))
+            if len(left):
+                left = left[_distinct(x[left], y[left])]
+                out.append((x[left], y[left], np.full(len(left), d), suffix[left]))
+        keep = b > a
+        suffix, low, high = suffix[keep], a[keep], b[keep]
+        d += 1
+    found = [np.concatenate(c) if out else np.zeros(0, np.int64) for c in (zip(*out, strict=True) if out else ((),) * 4)]
+    return *found, windows
+
+
+def match_block(data: np.ndarray, offsets: np.ndarray, test: TestSet) -> tuple[np.ndarray, list[list[dict]], list[list[str]]]:
+    """Words of each text, its longest verbatim matches (none inside another), and the items whose windows it holds."""
     words = A.Words(data, offsets, A.ALNUM, lower=True)
-    hashes, n = _no_zero(words.hashes), len(words.hashes)
     matches: list[list[dict]] = [[] for _ in range(words.rows)]
-    if not n or not len(test.grid):
-        return words.counts, matches
-    room = words.first[words.row + 1] - np.arange(n)
-    candidate = np.zeros(n, bool)
-    for q, bitmap, found in test.leads:
-        lead = A.window_hash(hashes, q)
-        at = np.flatnonzero(bitmap[(lead >> np.uint64(44)).astype(np.int64)])
-        at = at[(room[at] >= q) & (found[np.minimum(np.searchsorted(found, lead[at]), len(found) - 1)] == lead[at])]
-        candidate[at] = True
-    starts = np.flatnonzero(candidate)
-    if not len(starts):
-        return words.counts, matches
-    order = suffix_array(hashes, room, starts, test.grid.shape[1])
-    low, high = locate(hashes, room, order, test)
-    window = np.flatnonzero(high > low)
-    if not len(window):
-        return words.counts, matches
-    n_at = high[window] - low[window]
-    at = order[np.repeat(low[window] - np.cumsum(n_at) + n_at, n_at) + np.arange(n_at.sum())]
-    window = np.repeat(window, n_at)
-    n_items = test.of_window[window + 1] - test.of_window[window]
-    item = test.items[np.repeat(test.of_window[window] - np.cumsum(n_items) + n_items, n_items) + np.arange(n_items.sum())]
-    first, size = np.repeat(at, n_items), np.repeat(test.length[window], n_items)
-    row = words.row[first]
-    by = np.lexsort((first, item, row))
-    row, item, first, last = row[by], item[by], first[by], (first + size)[by]
-    fresh = np.ones(len(row), bool)
-    fresh[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1])
-    # Within a text and item, ends grow with starts, or nearly: a running maximum finds the gaps.
-    base = np.cumsum(fresh) * (n + 1)
-    reach = np.maximum.accumulate(base + last) - base
-    fresh[1:] |= first[1:] > reach[:-1]
-    begin = np.flatnonzero(fresh)
-    end = np.append(begin[1:], len(row)) - 1
-    for r, i, a, b in zip(row[begin], item[begin], first[begin] - words.first[row[begin]], reach[end] - words.first[row[begin]], strict=True):
-        matches[r].append({"item_id": test.ids[i], "first_word": int(a), "n_words": int(b - a)})
-    return words.counts, matches
+    items: list[list[str]] = [[] for _ in range(words.rows)]
+    if not len(words.hashes) or not len(test.word):
+        return words.counts, matches, items
+    shard = Shard(words, test.longest)
+    low, high, size, suffix, windows = located(shard, test)
+    if not len(low):
+        return words.counts, matches, items
+    which, at = _expanded(low, high)
+    place = shard.order[at]
+    size, suffix = size[which], suffix[which]
+    by = np.lexsort((test.place[suffix], test.item[suffix], -size, place))
+    place, size, suffix = place[by], size[by], suffix[by]
+    # Ends never pass a text's end: a match that ends where an earlier one does, or before, lies inside it.
+    reach = np.maximum.accumulate(place + size)
+    keep = np.ones(len(place), bool)
+    keep[1:] = (place + size)[1:] > reach[:-1]
+    for p, n, t in zip(place[keep].tolist(), size[keep].tolist(), suffix[keep].tolist(), strict=True):
+        r = words.row[p]
+        matches[r].append({"first_word": int(p - words.first[r]), "n_words": n, "item_id": test.ids[test.item[t]], "item_word": int(test.place[t])})
+    window, at = _expanded(*windows)
+    pairs = np.unique(np.stack([words.row[shard.order[at]], window]), axis=1)
+    k, entry = _expanded(test.bounds[pairs[1]], test.bounds[pairs[1] + 1])
+    held = np.unique(np.stack([pairs[0][k], test.items_of[entry]]), axis=1)
+    for r, i in held.T.tolist():
+        items[r].append(test.ids[i])
+    return words.counts, matches, items
 
 
 def test_slices(bench: DataFrame, item_id: str, text: str, slice_bytes: int = SLICE_BYTES) -> Iterator[TestSet]:
@@ -190,38 +200,49 @@ def test_slices(bench: DataFrame, item_id: str, text: str, slice_bytes: int = SL
     n = max(1, -(-total // slice_bytes))
     for k in range(n):
         part = (items if n == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)).toArrow()
-        yield TestSet(part.column(0).to_pylist(), part.column(1))
+        yield TestSet(part.column(0).to_pylist(), part.column(1).combine_chunks())
+
+
+def covered_words(matches: Column) -> Column:
+    """Words inside any of the matches."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
+
+    def step(s: Column, m: Column) -> Column:
+        end = m["first_word"] + m["n_words"]
+        return F.struct((s["n"] + F.greatest(F.lit(0), end - F.greatest(s["to"], m["first_word"]))).alias("n"), F.greatest(s["to"], end).alias("to"))
+
+    return F.aggregate(F.array_sort(matches), start, step, lambda s: s["n"])
 
 
 def matched(df: DataFrame, bench: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """df with n_words, n_hit (words inside a match), matches (item_id, first_word, n_words), items (sorted ids) and contaminated."""
+    """df with n_words, n_hit (words inside a match), matches (first_word, n_words, item_id, item_word), items (sorted ids) and contaminated."""
     names = ["n_words", "n_hit", "matches", "items", "contaminated"]
     kept = [c for c in df.columns if c not in names]
     own = "__leak_text" if text in names else text
-    out = df.select(*[F.col(f"`{c}`") for c in kept], *([F.col(f"`{text}`").alias(own)] if own not in kept else []), F.lit(0).cast("long").alias("n_words"), F.array().cast(MATCH).alias("matches"))
+    out = df.select(*[F.col(f"`{c}`") for c in kept], *([F.col(f"`{text}`").alias(own)] if own not in kept else []), F.lit(0).cast("long").alias("n_words"), F.array().cast(MATCH).alias("matches"), F.array().cast("array<string>").alias("items"))
     spark = df.sparkSession
     bounded_batches(spark)
     for test in test_slices(bench, item_id, item_text, slice_bytes):
         sent = spark.sparkContext.broadcast(test)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            kind = pa.list_(pa.struct([("item_id", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64())]))
+            kinds = {"matches": pa.list_(pa.struct([("first_word", pa.int64()), ("n_words", pa.int64()), ("item_id", pa.string()), ("item_word", pa.int64())])), "items": pa.list_(pa.string())}
             for batch in batches:
-                n_words, found = [np.zeros(0, np.int64)], []
+                n_words, found = [np.zeros(0, np.int64)], {"matches": [], "items": []}
                 for _, _, data, offsets in A.blocks(batch.column(batch.schema.get_field_index(own))):
-                    counts, more = match_block(data, offsets, sent.value)
+                    counts, matches, items = match_block(data, offsets, sent.value)
                     n_words.append(counts)
-                    found += more
-                before = batch.column(batch.schema.get_field_index("matches")).to_pylist()
-                column = pa.array([a + b if a else b for a, b in zip(before, found, strict=True)], kind)
-                new = {"n_words": pa.array(np.concatenate(n_words)), "matches": column}
+                    found["matches"] += matches
+                    found["items"] += items
+                new = {"n_words": pa.array(np.concatenate(n_words))}
+                for c, kind in kinds.items():
+                    before = batch.column(batch.schema.get_field_index(c)).to_pylist()
+                    new[c] = pa.array([a + b if a else b for a, b in zip(before, found[c], strict=True)], kind)
                 yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(batch.schema.names)], names=batch.schema.names)
 
         out = out.mapInArrow(run, out.schema)
-    inside = F.flatten(F.transform("matches", lambda m: F.sequence(m["first_word"], m["first_word"] + m["n_words"] - 1)))
     return out.select(
-        *[F.col(f"`{c}`") for c in kept], "n_words", F.size(F.array_distinct(inside)).cast("long").alias("n_hit"), "matches",
-        F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"]))).alias("items"), (F.size("matches") > 0).alias("contaminated"),
+        *[F.col(f"`{c}`") for c in kept], "n_words", covered_words(F.col("matches")).alias("n_hit"), "matches", F.array_sort(F.array_distinct("items")).alias("items"), (F.size("matches") > 0).alias("contaminated"),
     )
 
 

@@ -6,23 +6,36 @@ import numpy as np
 
 
 def suffix_array(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Positions of all suffixes of the strings text[bounds[i]:bounds[i + 1]], in order.
+    """Positions of all suffixes of the byte strings text[bounds[i]:bounds[i + 1]], in order.
 
     A suffix ends with its string; the ends are symbols below all bytes, ordered by string, so that
-    no two suffixes are equal.  Suffixes start sorted by seven symbols; then every round sorts the
-    groups that are still tied by the rank of what follows the sorted part, which doubles it.
+    no two suffixes are equal.  Suffixes start sorted by seven symbols.
     """
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
-    string = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    end = bounds[1:][string]
+    end = np.repeat(bounds[1:], np.diff(bounds))
     symbol = np.concatenate([text.astype(np.uint64) + np.uint64(1), np.zeros(7, np.uint64)])
     at = np.arange(n)
     key = np.zeros(n, np.uint64)
     for k in range(7):
         key = (key << np.uint64(9)) | np.where(at + k < end, symbol[k : k + n], np.uint64(0))
-    order = np.argsort(key)
+    return _refined(key, bounds, 7, None)
+
+
+def refined(symbols: np.ndarray, bounds: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """The suffix array of strings of numbers, sorted by `depth` symbols at least (all without); equal beginnings of that length stay in any order."""
+    return _refined(symbols, bounds, 1, depth) if len(symbols) else np.zeros(0, np.int64)
+
+
+def _refined(key: np.ndarray, bounds: np.ndarray, h: int, depth: int | None) -> np.ndarray:
+    """Suffixes sorted by their first h symbols, which key stands for; then every round sorts the groups
+    that are still tied by the rank of what follows the sorted part, which doubles it."""
+    n, strings = len(key), len(bounds) - 1
+    string = np.repeat(np.arange(strings), np.diff(bounds))
+    end = bounds[1:][string]
+    at = np.arange(n)
+    order = np.argsort(key, kind="stable")
     sorted_key = key[order]
     new = np.ones(n, bool)
     new[1:] = sorted_key[1:] != sorted_key[:-1]
@@ -30,8 +43,7 @@ def suffix_array(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     rank[order] = np.maximum.accumulate(np.where(new, at, 0))
     alone = new & np.append(new[1:], True)
     tied = np.flatnonzero(~alone)
-    strings, h = len(bounds) - 1, 7
-    while len(tied):
+    while len(tied) and (depth is None or h < depth):
         suffix = order[tied]
         group = rank[suffix]
         after = suffix + h

@@ -39,7 +39,6 @@ def test_random_texts(spark):
     text = lambda n: " ".join(word() for _ in range(n))
     bench = [(i, text(r.choice([0, 1, 2, 3, 5, 9, 10, 11, 25]))) for i in range(25) if i % 6] + [(None, "only null id " * 4), (3, "a second text of item three with more than ten words in it"), (77, None)]
     docs = [(i, text(r.randint(0, 60))) for i in range(60)] + [(100 + i, f"{text(5)} {b[1]} {text(4)}") for i, b in enumerate(bench)] + [(500, None), (501, "")]
-    bench = [b for b in bench if b[1] is None or len(words(b[1])) != 1]
     df, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
     assert got(D.matched(df.repartition(3), b)) == brute(docs, bench)
     assert got(D.matched(df, b, slice_bytes=200)) == brute(docs, bench)
@@ -51,7 +50,55 @@ def test_one_word_items_and_places(spark):
     df, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
     out = {r.doc_id: r for r in D.matched(df, b).collect()}
     assert got(D.matched(df, b)) == brute(docs, bench)
-    assert [(m.item_id, m.first_word, m.n_words) for m in out[2].matches] == [("2", 1, 11)] and out[3].matches == []
+    assert [tuple(m) for m in out[2].matches] == [(1, 11, "2", 0)] and out[3].matches == []
+
+
+def test_matches_are_verbatim(spark):
+    """Windows that touch in the text but not in the item are two matches; each names where it stands in the item."""
+    w = [f"w{i}" for i in range(20)]
+    bench = [(1, " ".join(w)), (2, " ".join(w[5:]))]
+    docs = [(1, " ".join([*w[10:], *w[:10]])), (2, " ".join(["x", *w[5:18], "y"])), (3, " ".join(w[:9])), (4, " ".join([*w[:12], *w[3:15]]))]
+    df, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    out = {r.doc_id: [tuple(m) for m in r.matches] for r in D.matched(df, b).collect()}
+    assert out == {1: [(0, 10, "1", 10), (10, 10, "1", 0)], 2: [(1, 13, "1", 5)], 3: [], 4: [(0, 12, "1", 0), (12, 12, "1", 3)]}
+    assert got(D.matched(df, b)) == brute(docs, bench)
+
+
+def test_longest_matches_against_brute_force(spark):
+    r = random.Random(8)
+    text = lambda n: [r.choice("ab cd ef".split()) for _ in range(n)]
+    bench = [(i, " ".join(text(r.randint(8, 30)))) for i in range(12)]
+    docs = [(i, " ".join(text(80))) for i in range(15)]
+    df, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame(bench, "item_id long, text string")
+    for row in D.matched(df, b).collect():
+        w = words(row.text)
+        longest = {}
+        for s in range(len(w)):
+            for _, t in bench:
+                v = words(t)
+                for p in range(len(v)):
+                    n = next((k for k in range(min(len(v) - p, len(w) - s)) if v[p + k] != w[s + k]), min(len(v) - p, len(w) - s))
+                    if n >= 10 or (len(v) < 10 and n == len(v)):
+                        longest[s] = max(longest.get(s, 0), n)
+        want, reach = [], 0
+        for s, n in sorted(longest.items()):
+            if s + n > reach:
+                want.append((s, n))
+                reach = s + n
+        assert [(m.first_word, m.n_words) for m in row.matches] == want
+        for m in row.matches:
+            v = words(dict(bench)[int(m.item_id)])
+            assert v[m.item_word : m.item_word + m.n_words] == w[m.first_word : m.first_word + m.n_words]
+
+
+def test_one_window_in_thousands_of_items(spark):
+    """A hot passage: one match in the row, all items by id."""
+    passage = " ".join(f"p{i}" for i in range(12))
+    bench = [(i, f"{passage} own{i} tail{i}") for i in range(2000)]
+    docs = [(i, f"start{i} {passage} end{i}") for i in range(300)]
+    df, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    rows = D.matched(df, b).collect()
+    assert all([tuple(m) for m in r.matches] == [(1, 12, "0", 0)] and len(r["items"]) == 2000 and r.n_hit == 12 for r in rows)
 
 
 def test_odd_cases(spark, docs, rows, empty):
