@@ -1,25 +1,29 @@
 """N-gram Jaccard join: documents whose shingle sets have a similarity of 0.8 or more.
 
 Texts become sets of hashed word shingles.  Documents with equal sets form a class, and only
-classes are joined.  Shingles have one global order, rare ones first, by a fixed-size sketch of
-their counts over all documents.  Two sets can only be similar if they share a shingle among the
-first n - ceil(0.8 n) + 1 of each; classes therefore meet in the posting lists of such prefix
-shingles, where the length and the positional filter drop most pairs.  What is left is verified
-once per pair, behind a suffix filter, with both whole sets.
+classes are joined.  Shingles have one global order, rare ones first: those in at least
+total / 2^HOT_BITS sets are hot and come last, by their counts (tasks count what they read in
+portions, send what occurs SEEN times or more in one, and Spark adds up; so at most 2^HOT_BITS are sent to
+the tasks, whatever the input, and a count is short by less than SEEN a portion).  Two sets can only
+be similar if they share a shingle among the first n - ceil(0.8 n) + 1 of each; classes therefore
+meet in the posting lists of such prefix shingles, where the length and the positional filter drop
+most pairs.  What is left is verified once per pair, behind a suffix filter, with both whole sets.
 
 Groups of thousands of near copies would make all their pairs.  Each posting list first pairs
 only its hub, the member with the fewest rarer shingles, with the others; verified links give
-components; then the lists are read again and pair only members of different components.  No
-link between components is lost, and pairs inside one can't change the result.
+components; then the lists with members of different components are read again and pair only those.
+No link between components is lost, and pairs inside one can't change the result.
 
-Hot shingles are known from the sketch beforehand.  Their postings are dealt out over a grid of
-cells, each pair of parts meeting in one, so no list outgrows 2 * LIST_PART members.
+Hot shingles are known beforehand.  Their postings are dealt out over a grid of cells, each pair of
+parts meeting in one, so no list outgrows 2 * LIST_PART members; what is read again is dealt likewise
+in parts of CELL_PART.  The pairs of a hub are dealt by HUB_PAIRS, its text going to each portion once.
 
 Defined cases: null texts, and texts without a word, have the empty set and link with nothing,
 not even each other; fewer words than a shingle make one shingle; repeated rows and equal ids
 fall in one class if their sets are equal; a null id never names a component unless all of it
 is null; an empty table gives an empty result; other columns are left out of the result, so
-extra columns can't clash.
+extra columns can't clash; texts of any length are read whole; of members equally far back in a list the
+one with the smaller key is the hub, which changes no result.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docmill.llm import arrays as A
 from docmill.llm.components import components
@@ -39,9 +44,10 @@ from docmill.llm.shared import bounded_batches, written
 WORDS = 5
 #: The similarity as a fraction.
 NUM, DEN = 4, 5
-SKETCH_BITS = 20
-SKETCH_ROWS = 64
-LIST_PART = 50_000
+HOT_BITS, SEEN = 20, 4
+#: Shingles counted at once.
+COUNTED = 4_000_000
+LIST_PART, CELL_PART, HUB_PAIRS = 50_000, 512, 1024
 #: Postings a group of buckets aims at.
 BUCKET_POSTINGS = 500_000
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -101,50 +107,71 @@ def with_keys(df: DataFrame, text: str, n_name: str, key_name: str) -> DataFrame
     return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs (id, text) as (id, n, key): the size and class of each set."""
-    return with_keys(docs.select("id", "text"), "text", "n", "key").select("id", "n", "key")
+def keyed(docs: DataFrame, counted: int = COUNTED, seen: int = SEEN) -> DataFrame:
+    """docs (id, text) as (id, n, key): the size and class of each set; and rows (token, count) of what a portion of `counted`
+    shingles holds `seen` times or more, the portion itself counting as one row without a token.  `kind` tells: row, token, portion."""
 
+    def counts(parts: list[np.ndarray]) -> pa.RecordBatch:
+        token, times = np.unique(np.concatenate(parts), return_counts=True)
+        often = times >= seen
+        token, times = token[often].view(np.int64), times[often]
+        n = len(token) + 1
+        return pa.RecordBatch.from_arrays([pa.array(["token"] * (n - 1) + ["portion"]), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([*token, None], pa.int64()), pa.array([*times, 1], pa.int64())], names=schema.names)
 
-def sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
-    """How many sets hold a shingle, summed by `bits` of its hash over all documents: 2^bits counters, whatever the input.
-
-    Tasks send their counters as SKETCH_ROWS slices, which are added up slice by slice.
-    """
-    width = (1 << bits) // SKETCH_ROWS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
-        for batch in batches:
-            for _, _, data, offsets in A.blocks(batch.column(0)):
-                total += np.bincount((shingle_sets(data, offsets)[0] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        yield slices(total.reshape(SKETCH_ROWS, width))
-
-    def slices(rows, ids=range(SKETCH_ROWS)) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(ids), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["slice", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(raw.as_buffer(), np.int64)
-        yield slices(total.values(), total)
-
-    schema = "slice int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition(SKETCH_ROWS, "slice").mapInArrow(add, schema).collect()
-    out = np.zeros((SKETCH_ROWS, width), np.int64)
-    for r in rows:
-        out[r["slice"]] = np.frombuffer(r["counts"], np.int64)
-    return np.minimum(out.ravel(), np.iinfo(np.int32).max).astype(np.int32)
-
-
-def postings(docs: DataFrame, counts, buckets: int) -> DataFrame:
+            n, keys = [np.zeros(0, np.int64)], [np.zeros(0, object)]
+            for _, _, data, offsets in A.blocks(batch.column(1)):
+                hashes, bounds = shingle_sets(data, offsets)
+                n.append(np.diff(bounds))
+                keys.append(class_keys(hashes, bounds))
+                parts.append(hashes)
+                held += len(hashes)
+                if held >= counted:
+                    yield counts(parts)
+                    parts, held = [], 0
+            rows = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(["row"] * rows, pa.string()), batch.column(0), pa.array(np.concatenate(n)), pa.array(np.concatenate(keys), pa.binary()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names=schema.names)
+        if held:
+            yield counts(parts)
+
+    schema = T.StructType([T.StructField("kind", T.StringType()), T.StructField("id", docs.schema["id"].dataType), *T.StructType.fromDDL("n long, key binary, token long, count long").fields])
+    id_type = to_arrow_type(docs.schema["id"].dataType)
+    return docs.select("id", "text").mapInArrow(run, schema)
+
+
+class Hot:
+    """The hot shingles, ascending, and their counts."""
+
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray) -> None:
+        order = np.argsort(tokens)
+        self.tokens, self.counts = tokens[order], np.minimum(counts[order], np.iinfo(np.int32).max).astype(np.int32)
+        self.bitmap = np.zeros(1 << 22, bool)
+        self.bitmap[(tokens >> np.uint64(42)).astype(np.int64)] = True
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        """Counts, 0 for those that aren't hot."""
+        out = np.zeros(len(tokens), np.int32)
+        some = np.flatnonzero(self.bitmap[(tokens >> np.uint64(42)).astype(np.int64)])
+        if len(some):
+            at = np.minimum(np.searchsorted(self.tokens, tokens[some]), len(self.tokens) - 1)
+            out[some] = np.where(self.tokens[at] == tokens[some], self.counts[at], 0)
+        return out
+
+
+def hot_shingles(found: DataFrame, bits: int = HOT_BITS, seen: int = SEEN) -> Hot:
+    """Of what keyed gives, the shingles whose count reaches total / 2^bits, and what portions could hide: at most 2^bits of them."""
+    total, portions = found.agg(F.sum("n"), F.count(F.when(F.col("kind") == "portion", 1))).first()
+    least = max((total or 0) >> bits, seen * portions, 1)
+    hot = found.where("kind = 'token'").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= least).toArrow()
+    return Hot(hot.column(0).to_numpy().astype(np.int64).view(np.uint64), hot.column(1).to_numpy().astype(np.int64))
+
+
+def postings(docs: DataFrame, hot, buckets: int, list_part: int = LIST_PART) -> DataFrame:
     """The prefix shingles of every class, once a task: rows (bucket, keys, n, token, at, pos), `at` pointing into keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
-        shift = np.uint64(64 - int(len(table)).bit_length() + 1)
-        usual = int(np.median(table))
         seen: set[bytes] = set()
         for batch in batches:
             for _, _, data, offsets in A.blocks(batch.column(0)):
@@ -155,7 +182,7 @@ def postings(docs: DataFrame, counts, buckets: int) -> DataFrame:
                 fresh = np.array([bool(k) and k not in seen and not seen.add(k) for k in keys], bool)
                 row = np.repeat(np.arange(len(keys)), np.diff(bounds))
                 hashes, row = hashes[fresh[row]], row[fresh[row]]
-                count = table[(hashes >> shift).astype(np.int64)]
+                count = hot.value.of(hashes)
                 order = np.lexsort((hashes, count, row))
                 hashes, row, count = hashes[order], row[order], count[order]
                 n = np.where(fresh, np.diff(bounds), 0)
@@ -163,16 +190,16 @@ def postings(docs: DataFrame, counts, buckets: int) -> DataFrame:
                 keep = pos < prefix_length(n)[row]
                 token, row, pos, count = hashes[keep], row[keep], pos[keep], count[keep]
                 # Hot shingles: part s of parts goes to the cells (s, t) and (t, s) of a grid, named by a hash.
-                parts = np.maximum(1, -(-(count.astype(np.int64) - usual) // LIST_PART))
-                hot = np.flatnonzero(parts > 1)
-                if len(hot):
-                    own = (A.mix(np.array([int.from_bytes(keys[r][:8], "little") for r in row[hot]], np.uint64)) % parts[hot].astype(np.uint64)).astype(np.int64)
-                    times = parts[hot]
+                parts = np.maximum(1, -(-count.astype(np.int64) // list_part))
+                many = np.flatnonzero(parts > 1)
+                if len(many):
+                    own = (A.mix(np.array([int.from_bytes(keys[r][:8], "little") for r in row[many]], np.uint64)) % parts[many].astype(np.uint64)).astype(np.int64)
+                    times = parts[many]
                     other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                     low, high = np.minimum(np.repeat(own, times), other), np.maximum(np.repeat(own, times), other)
-                    cell = A.mix(np.repeat(token[hot], times) + A.mix((low * (1 << 20) + high + 1).astype(np.uint64)))
+                    cell = A.mix(np.repeat(token[many], times) + A.mix((low * (1 << 20) + high + 1).astype(np.uint64)))
                     cold = parts == 1
-                    token, row, pos = np.concatenate([token[cold], cell]), np.concatenate([row[cold], np.repeat(row[hot], times)]), np.concatenate([pos[cold], np.repeat(pos[hot], times)])
+                    token, row, pos = np.concatenate([token[cold], cell]), np.concatenate([row[cold], np.repeat(row[many], times)]), np.concatenate([pos[cold], np.repeat(pos[many], times)])
                 bucket = (A.mix(token) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 bucket, token, row, pos = bucket[order], token[order], row[order], pos[order]
@@ -224,7 +251,7 @@ def meet(group: pa.Table) -> pa.Table:
     hub = np.repeat(start, size)
     me = np.arange(len(token))
     ok = (hub != me) & allowed(n[at], pos, n[at[hub]], pos[hub])
-    pairs = np.unique(np.stack([np.minimum(at[hub[ok]], at[ok]), np.maximum(at[hub[ok]], at[ok])]), axis=1)
+    pairs = np.unique(np.stack([at[hub[ok]], at[ok]]), axis=1)
     raw = [k.tobytes() for k in keys]
     a, b = [raw[i] for i in pairs[0]], [raw[i] for i in pairs[1]]
     rows = [(None, None, int(token[s].view(np.int64)), keys[at[s : s + k]].tobytes(), n[at[s : s + k]].tobytes(), pos[s : s + k].tobytes()) for s, k in zip(start, size, strict=True) if k > 2]
@@ -236,19 +263,17 @@ def meet(group: pa.Table) -> pa.Table:
 
 
 def across(group: pa.Table) -> pa.Table:
-    """A list whose members have labels: pairs of different labels that pass the filters.
-
-    The members of the commonest label are never compared with each other.
-    """
+    """A cell of a list, one part or two: pairs of different labels that pass the filters, of two parts only those between them."""
     label = np.unique(np.array(group.column("label").to_pylist(), object), return_inverse=True)[1]
-    n, pos, keys = (group.column(c).to_numpy() if c != "key" else group.column(c).to_pylist() for c in ("n", "pos", "key"))
-    rest = np.flatnonzero(label != np.bincount(label).argmax())
-    everyone = np.arange(len(label))
-    pairs: set[tuple[bytes, bytes]] = set()
-    for x in rest:
-        other = everyone[(label != label[x]) & allowed(n, pos, n[x], pos[x])]
-        pairs.update((min(keys[x], keys[y]), max(keys[x], keys[y])) for y in other)
-    return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+    n, pos, part = (group.column(c).to_numpy() for c in ("n", "pos", "part"))
+    key = group.column("key").combine_chunks()
+    left, right = np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())
+    meets = (label[left][:, None] != label[right]) & allowed(n[left][:, None], pos[left][:, None], n[right], pos[right])
+    x, y = np.nonzero(meets)
+    x, y = left[x], right[y]
+    if part.min() == part.max():
+        x, y = x[x < y], y[x < y]
+    return pa.table({"a": key.take(pa.array(x)), "b": key.take(pa.array(y))})
 
 
 def suffix_filter(x: np.ndarray, y: np.ndarray, need: int, depth: int = 3) -> bool:
@@ -263,24 +288,39 @@ def suffix_filter(x: np.ndarray, y: np.ndarray, need: int, depth: int = 3) -> bo
     return bound(x, y, depth) >= need
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar; sets: (key, text)."""
-    one = sets.select(F.col("key").alias("a"), F.col("text").alias("one"))
-    two = sets.select(F.col("key").alias("b"), F.col("text").alias("two"))
+def verified(pairs: DataFrame, sets: DataFrame, most: int = HUB_PAIRS) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar; sets: (key, text).
+
+    The text of b comes to its a, whose own text comes once for every `most` pairs.
+    """
+    hubs = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / most).cast("int").alias("portions"))
+    dealt = pairs.join(hubs, "a").select("a", "b", F.pmod(F.hash("b"), "portions").alias("portion"))
+    members = dealt.join(sets, dealt["b"] == sets["key"]).select("a", "portion", "b", "text")
+    heads = hubs.join(sets, hubs["a"] == sets["key"]).select("a", F.explode(F.sequence(F.lit(0), F.col("portions") - 1)).alias("portion"), F.lit(None).cast("binary").alias("b"), "text")
+    rows = heads.unionByName(members).repartition("a", "portion").sortWithinPartitions("a", "portion", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            keep = []
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                both = [[h[b[i] : b[i + 1]] for _, _, d, o in A.blocks(part.column(k)) for h, b in [shingle_sets(d, o)] for i in range(len(o) - 1)] for k in (2, 3)]
-                for x, y in zip(*both, strict=True):
-                    need = int(least_overlap(len(x), len(y)))
-                    keep.append(suffix_filter(x, y, need) and len(np.intersect1d(x, y, assume_unique=True)) >= need)
-            mask = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(mask)), batch.column(1).take(pa.array(mask))], names=["a", "b"])
-
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two").mapInArrow(run, "a binary, b binary")
+            keep, at = [], 0
+            names, others = batch.column(0).to_pylist(), batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            for _, _, data, offsets in A.blocks(batch.column(2)):
+                hashes, bounds = shingle_sets(data, offsets)
+                for i in range(len(bounds) - 1):
+                    x = hashes[bounds[i] : bounds[i + 1]]
+                    if others[at]:
+                        head, own = names[at], x
+                    elif names[at] == head:
+                        need = int(least_overlap(len(own), len(x)))
+                        if suffix_filter(own, x, need) and len(np.intersect1d(own, x, assume_unique=True)) >= need:
+                            keep.append(at)
+                    else:
+                        raise AssertionError("a pair without its first text")
+                    at += 1
+            mask = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(mask), batch.column(1).take(mask)], names=["a", "b"])
+
+    return rows.select("a", "b", "text").mapInArrow(run, "a binary, b binary")
 
 
 def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -299,43 +339,59 @@ def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(wanted, "key", "left_semi").groupBy("key").agg(F.any_value("text").alias("text"))
 
 
-def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, list_part: int = LIST_PART, cell_part: int = CELL_PART, bucket_postings: int = BUCKET_POSTINGS, hub_pairs: int = HUB_PAIRS, seen: int = SEEN) -> tuple[DataFrame, DataFrame]:
     """docs (id, text): (id, n, key) of every row, and (node, label) of the classes that link with others."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows, _ = written(keyed(docs), "classes")
+    found, _ = written(keyed(docs, seen=seen), "classes")
+    hot = spark.sparkContext.broadcast(hot_shingles(found, seen=seen))
+    rows = found.where("kind = 'row'").select("id", "n", "key")
     total = rows.groupBy("key").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] or 0
-    counts = spark.sparkContext.broadcast(sketch(docs))
-    buckets = max(8, total * (DEN - NUM) // DEN // BUCKET_POSTINGS)
-    met, _ = written(postings(docs, counts, buckets).groupBy("bucket").applyInArrow(meet, _LISTS), "lists")
-    pairs = met.where("a IS NOT NULL").select("a", "b").distinct()
-    members = met.where("list IS NOT NULL").select("list", "keys", "n", "pos")
-    opened = members.mapInArrow(_open_lists, "list long, key binary, n int, pos int")
+    buckets = max(8, total * (DEN - NUM) // DEN // bucket_postings)
+    met, _ = written(postings(docs, hot, buckets, list_part).groupBy("bucket").applyInArrow(meet, _LISTS), "lists")
+    # A pair once, whichever of the two is the hub.
+    once = met.where("a IS NOT NULL").groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.min("a").alias("a"))
+    pairs = once.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
+    opened = opened_lists(met.where("list IS NOT NULL").select("list", "keys", "n", "pos"), cell_part)
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(opened.select("key")).distinct()
     texts, _ = written(class_texts(docs, wanted), "texts")
-    first, _ = written(verified(pairs, texts), "links")
+    first, _ = written(verified(pairs, texts, hub_pairs), "links")
     labels, _ = written(components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
-    labelled = opened.join(labels, opened["key"] == labels["node"], "left").select("list", "key", "n", "pos", F.coalesce("label", "key").alias("label"))
-    more = labelled.groupBy("list").applyInArrow(across, "a binary, b binary").distinct().join(pairs, ["a", "b"], "left_anti")
-    second, _ = written(verified(more, texts), "links")
+    labelled = opened.join(labels, opened["key"] == labels["node"], "left").select("list", "key", "n", "pos", "part", "parts", F.coalesce("label", "key").alias("label"))
+    mixed = labelled.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("list")
+    cells = labelled.join(mixed, "list", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = cells.select("list", "key", "n", "pos", "part", "label", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    more = dealt.groupBy("list", "low", "high").applyInArrow(across, "a binary, b binary")
+    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    second, _ = written(verified(more.join(tried, ["a", "b"], "left_anti"), texts, hub_pairs), "links")
     if second.isEmpty():
         return rows, labels
     joined = labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(second.select(F.col("a").alias("u"), F.col("b").alias("v")))
     return rows, written(components(joined), "labels")[0]
 
 
-def _open_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            keys = np.frombuffer(batch.column(1)[i].as_py(), "V16")
-            n, pos = (np.frombuffer(batch.column(k)[i].as_py(), np.int32) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(keys), pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(n), pa.array(pos)], names=["list", "key", "n", "pos"])
+def opened_lists(lists: DataFrame, part: int) -> DataFrame:
+    """A row for each member of a list, with the number of its part and how many there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                keys = np.frombuffer(batch.column(1)[i].as_py(), "V16")
+                n, pos = (np.frombuffer(batch.column(k)[i].as_py(), np.int32) for k in (2, 3))
+                size = len(keys)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column(0)[i].as_py()] * size, pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary()), pa.array(n), pa.array(pos), pa.array(np.arange(size) // part, pa.int32()), pa.array([-(-size // part)] * size, pa.int32())],
+                    names=["list", "key", "n", "pos", "part", "parts"],
+                )
+
+    return lists.mapInArrow(run, "list long, key binary, n int, pos int, part int, parts int")
 
 
-def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
     """One row for each row of df: the id, n_shingles and component_id, the smallest id that links reach."""
     docs = df.select(F.col(f"`{row_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    rows, labels = links(docs)
+    rows, labels = links(docs, **limits)
     named = rows.join(labels, rows["key"] == labels["node"], "left").select("id", "n", F.coalesce("label", "key").alias("component"))
     # The empty set links with nothing: its rows keep their own ids and leave the join below.
     empty = named.where("n = 0").select("id", "n", F.col("id").alias("component_id"))

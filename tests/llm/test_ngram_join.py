@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+import pytest
+
 from docmill.llm import ngram_join as N
 from docmill.llm.components import components
 
@@ -68,28 +71,56 @@ def test_chains_equal_brute_force(spark):
     assert got(N.near_duplicates(df)) == brute(rows)
 
 
-def test_hot_lists_in_a_grid(spark, monkeypatch):
-    """One large group of near copies, its lists dealt over grid cells of few members."""
-    monkeypatch.setattr(N, "LIST_PART", 7)
-    monkeypatch.setattr(N, "BUCKET_POSTINGS", 100)
-    rows = chains(seed=3, groups=2, copies=45)
+@pytest.mark.parametrize("limits", [{"list_part": 7}, {"cell_part": 5}, {"hub_pairs": 4}, {"list_part": 9, "cell_part": 4, "hub_pairs": 3, "bucket_postings": 100, "seen": 1}])
+def test_hot_lists_in_a_grid(spark, limits):
+    """Large groups of near copies, their lists, cells and hubs dealt out in small parts."""
+    rows = chains(seed=3, groups=3, copies=45)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert got(N.near_duplicates(df)) == brute(rows)
-
-
-def test_one_of_each(spark, docs, rows):
-    kept = [(r.doc_id, r.text) for r in N.one_of_each(docs).collect()]
-    assert {1, 4, 5, 6, 7, 8}.issubset({i for i, _ in kept}) and 2 not in {i for i, _ in kept} and 3 not in {i for i, _ in kept} and 9 not in {i for i, _ in kept}
+    assert got(N.near_duplicates(df, **{"seen": 1, **limits})) == brute(rows)
+
+
+def test_hot_shingles_are_counted(spark):
+    """Counts over all portions; those under the threshold of the portions aren't hot."""
+    rows = [(i, "a b c d e" if i % 2 else f"one two three four five w{i}") for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    found = N.keyed(df, seen=1)
+    hot = N.hot_shingles(found, seen=1)
+    assert sorted(hot.counts.tolist()) == [50, 50]
+    assert hot.of(hot.tokens).tolist() == hot.counts.tolist() and hot.of(np.array([12345], np.uint64)).tolist() == [0]
+    assert found.where("kind = 'row'").count() == 100
+
+
+def test_equal_rolling_hashes_are_told_apart(spark):
+    """Complementary Thue-Morse words share every polynomial hash modulo a power of two."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, word), (2, other), (3, f"x y z {word} q"), (4, f"x y z {other} q")]
+    assert got(N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_clashing_columns_and_one_of_each(spark, docs, rows):
+    """One row of each class of linked texts, the one of the smallest id, its columns untouched; texts without a word all stay."""
+    clash = docs.selectExpr("*", "'mine' AS key", "'mine' AS n", "'mine' AS component", "'mine' AS label")
+    kept = N.one_of_each(clash)
+    assert kept.columns == clash.columns and kept.where("key <> 'mine' OR n <> 'mine' OR component <> 'mine' OR label <> 'mine'").count() == 0
+    kept = [(r.doc_id, r.text) for r in kept.collect()]
     wordless = [r for r in rows if not shingles(r[1])]
-    classes = {c for _, _, c in brute([(r[0], r[1]) for r in rows if shingles(r[1])])}
-    assert len([k for k in kept if not shingles(k[1])]) == len(wordless)
-    assert len(kept) >= len(classes)
+    assert sorted(map(repr, (k for k in kept if not shingles(k[1])))) == sorted(repr((r[0], r[1])) for r in wordless)
+    full = [(r[0], r[1]) for r in rows if shingles(r[1])]
+    sets = [shingles(t) for _, t in full]
+    up = list(range(len(full)))
+    for i in range(len(full)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                up = [up[i] if x == up[j] else x for x in up]
+    want = [min((full[k] for k in range(len(full)) if up[k] == g), key=lambda x: (x[0] is None, x[0] or 0))[0] for g in set(up)]
+    assert sorted(map(repr, (k[0] for k in kept if shingles(k[1])))) == sorted(map(repr, want))
 
 
 def test_filters_are_safe():
     r = random.Random(2)
-    import numpy as np
-
     for _ in range(300):
         universe = r.randint(10, 60)
         x = np.array(sorted(r.sample(range(universe), r.randint(5, universe - 1))))
