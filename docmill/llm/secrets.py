@@ -6,11 +6,14 @@ path it came from and the words around it.  The forest is fitted on labelled fin
 table that is a parameter; by default it is made by rule (`labelled_findings`), real formats
 with random bodies against placeholders, digests, identifiers and references.
 
-Candidates are found where the texts are and scored row by row; nothing is shuffled.
+The dictionary is counted from the corpus itself: the DICTIONARY words that most documents hold, in
+one pass with partial counts before the shuffle.  Candidates are found where the texts are and
+scored row by row; nothing else is shuffled.
 
 Defined cases: null and empty texts have no candidate, hence no row; a null path counts as an
-empty one; overlapping candidates go to the pattern listed first; repeated rows give repeated
-findings; an empty table gives an empty result; the result has its own columns and the id alone,
+empty one; overlapping candidates go to the pattern listed first, and of one pattern to the first by place;
+words that equally many documents hold enter the dictionary by name; texts of any length are read whole, in
+time proportional to it; repeated rows give repeated findings; an empty table gives an empty result; the result has its own columns and the id alone,
 so extra columns can't clash.
 """
 
@@ -19,6 +22,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,20 +36,24 @@ from docmill.llm.shared import bounded_batches
 
 TREES, DEPTH, SEED, MAX_FINDINGS = 40, 8, 7, 100_000
 THRESHOLD = 0.5
+#: Words of the dictionary, and letters of a word of it.
+DICTIONARY, LETTERS = 20_000, range(4, 13)
 #: Characters of context on each side in which neighbouring words are read.
 AROUND = 60
 
 _NAMES = r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential)"
 PATTERNS = (
-    ("private_key", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----")),
+    ("private_key", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")),
     ("cloud_key", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])")),
     ("forge_token", re.compile(r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}(?![A-Za-z0-9])")),
     ("chat_token", re.compile(r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}")),
     ("web_key", re.compile(r"(?<![A-Za-z0-9])AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])")),
     ("signed_token", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
-    ("assigned", re.compile(rf"(?i)(?<![a-z])[a-z_-]*{_NAMES}[a-z_-]*[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?(?P<value>[^\s\"',;]{{6,}})")),
+    ("assigned", re.compile(rf"(?i){_NAMES}[a-z_-]*")),
     ("opaque", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*\d)(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")),
 )
+_KEY_END = re.compile(r"-----END [A-Z ]{0,40}PRIVATE KEY-----")
+_VALUE = re.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<value>[^\s\"',;]{6,})")
 KINDS = tuple(k for k, _ in PATTERNS)
 # Words that speak for or against a secret, in it, beside it or in its path.
 WORDS = "access account admin authorization bearer change changeme client config credential default demo development digest dummy example fake foobar insert letmein local login mysql object password placeholder private production public redacted sample secret server session string system template test token user username value welcome your".split()
@@ -53,53 +61,102 @@ FOR = frozenset("key keys password passwd pwd secret secrets token tokens creden
 AGAINST = frozenset("example sample placeholder dummy fake test checksum digest sha sha1 sha256 md5 hash commit revision uuid guid etag version build id integrity fingerprint image".split())
 _PATH_FOR = re.compile(r"(?i)\.env|config|settings|prod|deploy|\.ya?ml|\.ini|\.pem")
 _PATH_AGAINST = re.compile(r"(?i)test|example|fixture|sample|docs?/|readme|mock|lock")
-_WORD = re.compile("|".join(sorted(WORDS, key=len, reverse=True)))
 _HINT = re.compile(rf"(?i)-----BEGIN|A[KS]IA|gh[pousr]_|xox[abprs]-|AIza|eyJ|{_NAMES}|[A-Za-z0-9+/_-]{{24}}")
 
 FEATURES = ("length", "changes", "digits", "upper", "distinct", "natural", "dictionary", "hex", "words_for", "words_against", "path_for", "path_against", "reference", *KINDS)
 
 
-def _bigrams() -> dict[str, float]:
-    """Log probability of a letter after another in dictionary words."""
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    n = {a + b: 0.5 for a in letters for b in letters}
-    for w in WORDS:
-        for a, b in zip(w, w[1:], strict=False):
-            n[a + b] += 1
-    return {p: math.log(c / sum(n[p[0] + b] for b in letters)) for p, c in n.items()}
+class Dictionary:
+    """Words, and how likely a letter follows another in them."""
 
+    def __init__(self, counts: dict[str, int]) -> None:
+        self.words = frozenset(counts) | frozenset(WORDS)
+        self.sizes = sorted({len(w) for w in self.words}, reverse=True)
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        n = {a + b: 0.5 for a in letters for b in letters}
+        for w in self.words:
+            for a, b in zip(w, w[1:], strict=False):
+                if a + b in n:
+                    n[a + b] += 1
+        self.likely = {p: math.log(c / sum(n[p[0] + b] for b in letters)) for p, c in n.items()}
 
-_LIKELY = _bigrams()
+    def covered(self, text: str) -> int:
+        """Characters under words, the longest word of every place taken."""
+        at = total = 0
+        while at < len(text):
+            size = next((k for k in self.sizes if text[at : at + k] in self.words), 0)
+            total += size
+            at += size or 1
+        return total
+
+
+def dictionary(df: DataFrame, text: str = "text", size: int = DICTIONARY) -> Dictionary:
+    """The `size` words of LETTERS lower-case letters that most rows of df hold."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = re.compile(rf"(?<![^\W\d_])[a-z]{{{LETTERS[0]},{LETTERS[-1]}}}(?![^\W\d_])")
+        for batch in batches:
+            seen: Counter[str] = Counter()
+            for t in batch.column(0):
+                seen.update(set(word.findall(t.as_py() or "")))
+            rows = sorted(seen.items())
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["word", "n"])
+
+    counts = df.select(F.col(f"`{text}`")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return Dictionary({r["word"]: r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()})
 
 
 def _class(c: str) -> int:
     return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
 
 
-def features(kind: str, value: str, before: str, after: str, path: str) -> list[float]:
+def features(kind: str, value: str, before: str, after: str, path: str, words: Dictionary) -> list[float]:
     n, low = len(value), value.lower()
     kinds = [_class(c) for c in value]
-    pairs = [_LIKELY.get(low[i : i + 2], -5.0) for i in range(n - 1)]
+    pairs = [words.likely.get(low[i : i + 2], -5.0) for i in range(n - 1)]
     near = set(re.findall(r"[a-z0-9]+", (before + " " + after).lower()))
     return [
         float(n), sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, n - 1), kinds.count(2) / n, kinds.count(1) / n, len(set(value)) / n,
-        sum(pairs) / max(1, len(pairs)), sum(m.end() - m.start() for m in _WORD.finditer(low)) / n, float(bool(re.fullmatch(r"[0-9a-fA-F-]+", value))),
+        sum(pairs) / max(1, len(pairs)), words.covered(low) / n, float(bool(re.fullmatch(r"[0-9a-fA-F-]+", value))),
         float(len(near & FOR)), float(len(near & AGAINST)), float(bool(_PATH_FOR.search(path))), float(bool(_PATH_AGAINST.search(path))),
         float(bool(re.search(r"[$<{(%\[]|\.[a-z_]+[.(\[]|x{4,}|\*{3,}|\.{3}", value))), *[float(kind == k) for k in KINDS],
     ]
 
 
-def candidates(text: str | None, path: str | None = None) -> list[tuple[str, int, int, str, list[float]]]:
+def _spans(kind: str, pattern: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
+    """Places of a pattern, every character read a bounded number of times."""
+    at = 0
+    while m := pattern.search(text, at):
+        a, at = m.span()
+        if kind == "private_key":
+            end = _KEY_END.search(text, at)
+            if not end:  # nor for any later beginning
+                return
+            at = end.end()
+        elif kind == "assigned":
+            value = _VALUE.match(text, at)
+            if not value:
+                continue
+            a, at = value.span("value")
+        yield a, at
+
+
+def candidates(text: str | None, path: str | None = None, words: Dictionary | None = None) -> list[tuple[str, int, int, str, list[float]]]:
     """(kind, start, end, value, features) of each candidate."""
     out: list[tuple[str, int, int, str, list[float]]] = []
     if not text or not _HINT.search(text):
         return out
+    words = words or Dictionary({})
+    taken: list[tuple[int, int, str]] = []
     for kind, pattern in PATTERNS:
-        for m in pattern.finditer(text):
-            a, b = m.span("value") if kind == "assigned" else m.span()
-            if all(b <= x or a >= y for _, x, y, _, _ in out):
-                out.append((kind, a, b, text[a:b], features(kind, text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND], path or "")))
-    return sorted(out)
+        fresh, k = [], 0
+        for a, b in _spans(kind, pattern, text):
+            while k < len(taken) and taken[k][1] <= a:
+                k += 1
+            if k == len(taken) or taken[k][0] >= b:
+                fresh.append((a, b, kind))
+        taken = sorted(taken + fresh)
+    return [(kind, a, b, text[a:b], features(kind, text[a:b], text[max(0, a - AROUND) : a], text[b : b + AROUND], path or "", words)) for a, b, kind in taken]
 
 
 def labelled_findings(n: int = 2400, seed: int = SEED) -> list[tuple[str, str, int]]:
@@ -136,29 +193,30 @@ def labelled_findings(n: int = 2400, seed: int = SEED) -> list[tuple[str, str, i
     out = []
     for i in range(n):
         label = i % 2
-        path = r.choice(["src0", "src7", "", "app/config.yml", "deploy/prod.env", "src/main.py"] if label or r.random() < 0.5 else ["tests/data.txt", "docs/readme.md", "package-lock.json", "examples/a.py"])
+        path = r.choice(["", "notes", "feed", "app/config.yml", "deploy/prod.env", "src/main.py"] if label or r.random() < 0.5 else ["tests/data.txt", "docs/readme.md", "package-lock.json", "examples/a.py"])
         out.append((f"{prose()} {r.choice(yes if label else no)()} {prose()}", path, label))
     return out
 
 
-def trained(spark: SparkSession, labelled: list[tuple[str, str, int]] | None = None) -> RandomForestClassificationModel:
+def trained(spark: SparkSession, words: Dictionary, labelled: list[tuple[str, str, int]] | None = None) -> RandomForestClassificationModel:
     """A forest fitted on labelled findings (text, path, 0 or 1), at most MAX_FINDINGS of them."""
     labelled = labelled_findings() if labelled is None else labelled
     if len(labelled) > MAX_FINDINGS:
         raise ValueError(f"{len(labelled)} labelled findings; fitting is bounded by {MAX_FINDINGS}")
-    rows = [(float(y), f) for text, path, y in labelled for *_, f in candidates(text, path)]
+    rows = [(float(y), f) for text, path, y in labelled for *_, f in candidates(text, path, words)]
     table = spark.createDataFrame(rows, "label double, raw array<double>").select("label", array_to_vector("raw").alias("features")).coalesce(1)
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, cacheNodeIds=False).fit(table)
 
 
-def scanned(df: DataFrame, model: RandomForestClassificationModel, row_id: str = "doc_id", text: str = "text", path: str = "source", threshold: float = THRESHOLD) -> DataFrame:
+def scanned(df: DataFrame, model: RandomForestClassificationModel, words: Dictionary, row_id: str = "doc_id", text: str = "text", path: str = "source", threshold: float = THRESHOLD) -> DataFrame:
     """One row per candidate: the id, kind, start and end in the text, value, probability and is_secret."""
     bounded_batches(df.sparkSession)
+    sent = df.sparkSession.sparkContext.broadcast(words)
     schema = T.StructType([T.StructField(row_id, df.schema[row_id].dataType), *T.StructType.fromDDL("kind string, start int, end int, value string, raw array<double>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(i, *c) for i, (t, p) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)) for c in candidates(t, p)]
+            found = [(i, *c) for i, (t, p) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)) for c in candidates(t, p, sent.value)]
             ids = batch.column(0).take(pa.array([f[0] for f in found], pa.int32()))
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.float64())]
             yield pa.RecordBatch.from_arrays([ids, *[pa.array([f[k + 1] for f in found], kind) for k, kind in enumerate(kinds)]], names=schema.names)
@@ -171,4 +229,5 @@ def scanned(df: DataFrame, model: RandomForestClassificationModel, row_id: str =
 
 def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return scanned(docs, trained(spark))
+    words = dictionary(docs)
+    return scanned(docs, trained(spark, words), words)
