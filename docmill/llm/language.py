@@ -3,16 +3,19 @@
 A text is the set of byte n-grams (1 to 3) it contains; the kernel of two texts is the number
 of n-grams they share over the geometric mean of their own numbers.  Landmarks of every language
 span a Nyström approximation of that kernel, and kernel ridge regression in it gives one linear
-function per language, one against the rest.  A batch of texts is scored by two matrix products:
-presence matrix times landmarks, kernel values times coefficients.
+function per language, one against the rest.  Landmarks and coefficients multiply to one weight for
+each n-gram and language, so a batch of texts is scored by the product of its sparse presence
+matrix with those weights.
 
-Fitting reads a bounded sample of the labelled rows: TRAIN_ROWS per language, those of smallest
-hash of id and text among texts of at most TRAIN_BYTES, and at most MAX_LANGUAGES languages.
-Scoring reads every text whole; each row is independent, so nothing is shuffled.
+Fitting reads a bounded sample of the labelled rows: at most TRAIN_ROWS of each language and
+SAMPLE_BYTES in all, texts of at most TRAIN_BYTES, drawn by hash of text with a chance that makes
+about that many; LANDMARKS of each language, LANDMARKS_IN_ALL together (one of each at least).  The number of languages
+isn't bounded, but their weights are (MODEL_BYTES; more is refused).  Scoring reads every text whole;
+each row is independent, so nothing is shuffled.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0, and so is every text
 where no language could be learned; rows without a language are never learned from; a null id
-counts as the empty text; repeated rows give equal rows; ties go to the language that sorts
+counts as the empty text; texts of any length are read whole; repeated rows give equal rows; ties go to the language that sorts
 first; an empty table gives an empty result; extra columns pass through, those named like a
 result are replaced.
 """
@@ -24,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,10 +35,13 @@ from docmill.llm import arrays as A
 from docmill.llm.shared import bounded_batches
 
 ORDERS = (1, 2, 3)
-TRAIN_ROWS, LANDMARKS, TRAIN_BYTES, MAX_LANGUAGES = 300, 40, 16_384, 400
+TRAIN_ROWS, LANDMARKS, TRAIN_BYTES = 300, 40, 16_384
+SAMPLE_BYTES, LANDMARKS_IN_ALL, MODEL_BYTES = 128 << 20, 2000, 256 << 20
+#: Rows drawn for each one wanted, as texts that are too long or equal to another are left out.
+DRAWN = 2
 RIDGE = 1e-3
-#: Texts scored at once.
-ROWS = 512
+#: Numbers of a matrix held at once.
+CELLS = 1 << 23
 
 
 def presence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,78 +64,103 @@ def presence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Model:
     languages: list[str]
     vocabulary: np.ndarray  # codes, ascending
-    landmarks: np.ndarray  # vocabulary x landmarks: presence over the root of the landmark's own number
-    coefficients: np.ndarray  # landmarks x languages
+    weights: np.ndarray  # vocabulary x languages
 
-    def kernel(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
         row, code = presence(data, offsets)
         own = np.maximum(np.bincount(row, minlength=n), 1)
         at = np.minimum(np.searchsorted(self.vocabulary, code), len(self.vocabulary) - 1)
         known = self.vocabulary[at] == code
         row, at = row[known], at[known]
-        out = np.empty((n, self.landmarks.shape[1]), np.float32)
-        cut = np.searchsorted(row, np.arange(0, n + ROWS, ROWS))
-        for k, first in enumerate(range(0, n, ROWS)):
-            rows = min(ROWS, n - first)
-            block = np.zeros((rows, len(self.vocabulary)), np.float32)
-            part = slice(cut[k], cut[k + 1])
-            block[row[part] - first, at[part]] = 1
-            out[first : first + rows] = block @ self.landmarks
-        return out / np.sqrt(own)[:, None].astype(np.float32)
+        out = np.zeros((n, len(self.languages)))
+        step = max(1, CELLS // len(self.languages))
+        for first in range(0, len(row), step):
+            part = slice(first, first + step)
+            starts = np.flatnonzero(np.diff(row[part], prepend=-1))
+            out[row[part][starts]] += np.add.reduceat(self.weights[at[part]], starts, axis=0)
+        return out / np.sqrt(own)[:, None]
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        return self.kernel(data, offsets) @ self.coefficients
+
+def packed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
+def kernel(one: list[str], two: list[str]) -> np.ndarray:
+    """Shared n-grams over the geometric mean of both numbers, a slice of the vocabulary at a time."""
+    (row, code), (other, theirs) = presence(*packed(one)), presence(*packed(two))
+    vocabulary = np.unique(theirs)
+    step = max(1, CELLS // max(1, len(one) + len(two)))
+    out = np.zeros((len(one), len(two)))
+    by, from_ = np.argsort(code, kind="stable"), np.argsort(theirs, kind="stable")
+    for first in range(0, len(vocabulary), step):
+        part = vocabulary[first : first + step]
+        sides = []
+        for n, rows, codes, order in ((len(one), row, code, by), (len(two), other, theirs, from_)):
+            cut = order[np.searchsorted(codes[order], part[0]) : np.searchsorted(codes[order], part[-1], "right")]
+            at = np.minimum(np.searchsorted(part, codes[cut]), len(part) - 1)
+            known = part[at] == codes[cut]
+            side = np.zeros((n, len(part)), np.float32)
+            side[rows[cut][known], at[known]] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    size = lambda rows, n: np.maximum(np.bincount(rows, minlength=n), 1)
+    return out / np.sqrt(size(row, len(one))[:, None] * size(other, len(two)))
 
 
 def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
     """texts in any fixed order; the first `landmarks` of each label are its landmarks."""
     if not texts:
         return None
-    languages = sorted(set(labels))
-    chosen = [i for lang in languages for i in [i for i, y in enumerate(labels) if y == lang][:landmarks]]
-    raw = [t.encode() for t in texts]
-
-    def packed(some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)])
-
-    row, code = presence(*packed([raw[i] for i in chosen]))
-    vocabulary, at = np.unique(code, return_inverse=True)
-    own = np.maximum(np.bincount(row, minlength=len(chosen)), 1)
-    marks = np.zeros((max(1, len(vocabulary)), len(chosen)), np.float32)
-    marks[at, row] = 1
-    marks /= np.sqrt(own).astype(np.float32)
-    model = Model(languages, vocabulary if len(vocabulary) else np.array([-1]), marks, np.zeros((len(chosen), len(languages)), np.float32))
-    between = model.kernel(*packed([raw[i] for i in chosen])).astype(np.float64)
+    languages, label, counts = np.unique(np.array(labels, object), return_inverse=True, return_counts=True)
+    landmarks = min(landmarks, max(1, LANDMARKS_IN_ALL // len(languages)))
+    order = np.argsort(label, kind="stable")
+    nth = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts)
+    chosen = [texts[i] for i in order[nth < landmarks]]
+    between = kernel(chosen, chosen)
     value, vector = np.linalg.eigh((between + between.T) / 2)
     keep = value > 1e-6 * max(value.max(), 1e-12)
     nystrom = vector[:, keep] / np.sqrt(value[keep])
-    features = model.kernel(*packed(raw)).astype(np.float64) @ nystrom
-    target = np.where(np.array(labels)[:, None] == np.array(languages), 1.0, -1.0)
+    features = kernel(texts, chosen) @ nystrom
+    target = np.where(label[:, None] == np.arange(len(languages)), 1.0, -1.0)
     # Languages count alike, however many rows each has.
-    weight = 1 / np.array([labels.count(y) for y in labels], float)[:, None]
+    weight = 1 / counts[label].astype(float)[:, None]
     gram = features.T @ (features * weight) + ridge * np.eye(features.shape[1])
-    model.coefficients = (nystrom @ np.linalg.solve(gram, features.T @ (target * weight))).astype(np.float32)
-    return model
+    coefficients = nystrom @ np.linalg.solve(gram, features.T @ (target * weight))
+    row, code = presence(*packed(chosen))
+    vocabulary, at = np.unique(code, return_inverse=True)
+    if not len(vocabulary):
+        vocabulary, row, at = np.array([-1]), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if (size := 8 * len(vocabulary) * len(languages)) > MODEL_BYTES:
+        raise ValueError(f"weights of {size} bytes, which every task gets, are bounded by {MODEL_BYTES}; take fewer landmarks")
+    own = np.maximum(np.bincount(row, minlength=len(chosen)), 1)
+    weights = np.zeros((len(vocabulary), len(languages)))
+    for k in range(len(languages)):
+        weights[:, k] = np.bincount(at, (coefficients[:, k] / np.sqrt(own))[row], minlength=len(vocabulary))
+    return Model(languages.tolist(), vocabulary, weights)
 
 
 def training_rows(df: DataFrame, text: str, label: str, rows: int = TRAIN_ROWS) -> DataFrame:
-    """At most `rows` rows of each label (its first MAX_LANGUAGES by name), chosen by hash; columns text and label."""
-    fits = df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").cast("string").alias("label")).where(
-        F.col("text").isNotNull() & F.col("label").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES) & F.col("text").rlike(r"\p{L}")
-    )
-    hashed = fits.select(F.xxhash64("text").alias("h"), "label").distinct()
-    picked = hashed.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("k") <= rows)
-    named = picked.select("label").distinct().orderBy("label").limit(MAX_LANGUAGES)
-    # Both sides of these joins are bounded by MAX_LANGUAGES * rows.
-    picked = picked.join(F.broadcast(named), "label", "left_semi")
-    chosen = fits.withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), ["label", "h"], "left_semi").dropDuplicates(["label", "h"])
-    return chosen.select("text", "label", "h")
-
-
-def trained(df: DataFrame, text: str = "text", label: str = "lang", **kw) -> Model | None:
-    found = sorted((r["label"], r["h"], r["text"]) for r in training_rows(df, text, label).collect())
-    return fit([t for _, _, t in found], [y for y, _, _ in found], **kw)
+    """About DRAWN * `rows` rows of each label, drawn by hash of text; columns text, label and h.  Labels are counted first, with partial counts."""
+    own = df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").cast("string").alias("label"))
+    counts = own.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n"))
+    # One row a label: Spark broadcasts it below its own threshold.
+    chances = counts.select(F.col("label").alias("__lang"), F.least(F.lit(1.0), F.lit(float(DRAWN * rows)) / F.col("n")).alias("chance"))
+    fits = own.where(F.col("text").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES)).withColumn("h", F.xxhash64("text"))
+    drawn = fits.join(chances, F.col("label") == F.col("__lang")).where(F.pmod("h", F.lit(1 << 30)) < F.col("chance") * float(1 << 30))
+    return drawn.where(F.col("text").rlike(r"\p{L}")).select("text", "label", "h")
+
+
+def trained(df: DataFrame, text: str = "text", label: str = "lang", rows: int = TRAIN_ROWS, **kw) -> Model | None:
+    n = df.where(F.col(f"`{label}`").isNotNull()).select(F.count_distinct(F.col(f"`{label}`").cast("string"))).first()[0]
+    rows = max(1, min(rows, SAMPLE_BYTES // (DRAWN * TRAIN_BYTES * max(1, n))))
+    found, last, taken = [], None, 0
+    for y, h, t in sorted({(r["label"], r["h"], r["text"]) for r in training_rows(df, text, label, rows).toLocalIterator()}):
+        last, taken = y, taken + 1 if y == last else 1
+        if taken <= rows:
+            found.append((y, t))
+    return fit([t for _, t in found], [y for y, _ in found], **kw)
 
 
 def identified(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
