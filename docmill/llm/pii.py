@@ -9,10 +9,11 @@ gives a value the same surrogate in every document, without any shared state.
 
 Names of persons are those that the lists GIVEN (some 145 names in Latin, Cyrillic and Greek script)
 and TITLES give away: a listed given name before a capitalized surname (up to two initials between,
-capitals throughout allowed), or a title before a surname.  Other capitalized mentions of the given
+capitals throughout allowed), a title before a surname, or a phrase of INTRODUCTIONS before two or
+three capitalized words, whatever they are.  Other capitalized mentions of the given
 names and surnames so found in a text are replaced with them, hyphenated surnames also by part (a
 part has a surrogate of its own); surnames that are FUNCTION_WORDS aren't followed.  Persons of other
-given names without a title, and names in other scripts, stay.
+given names without a title or an introduction, and names in scripts without capitals, stay.
 
 Phones without '+' or a bracketed area code are those of three, three and four digits, also behind
 a trunk 1; 555-1234; groups behind a trunk 0, nine to eleven digits; and other groups of two to four
@@ -20,9 +21,9 @@ digits, nine or ten in all.  Left on purpose: what reads as a date, as years, a
 in thousands; digits in one group; pairs that don't start with 0; seven digits without a dash.
 
 The collision check covers the whole corpus, given names apart, whose surrogates are always listed
-names; a surname that clashes in SURNAME_WALK rounds, as nearly all values of its shape are
-originals, keeps its first surrogate: a surrogate that is itself an original somewhere
-would be mistaken for that person.  Distinct originals are joined with the surrogates; those that
+names: a surrogate that is itself an original somewhere would be mistaken for that person.
+Where nearly all values of a shape are originals, so that IDLE_ROUNDS rounds settle none, those
+left keep their first surrogate, which is still their own: no other value has it.  Distinct originals are joined with the surrogates; those that
 clash get their image under another permutation, unless that clashes with an original or a
 surrogate given before, and so on.  The few values so changed go to the tasks in slices of
 MAX_SENT, one pass each.
@@ -46,12 +47,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmill.llm.shared import bounded_batches
+from docmill.llm.shared import bounded_batches, written
 
 KEY = b"docmill-surrogates-1"
 MAX_SENT = 200_000
-#: Rounds of the collision check; a value is refused in one with a chance of originals / values of its shape.
-MAX_WALK = 64
+#: Rounds of the collision check, and how many in a row may settle nothing; a value is refused in one with a chance of originals / values of its shape.
+MAX_WALK, IDLE_ROUNDS = 64, 8
 
 # Common given names by gender and script.
 GIVEN = {
@@ -65,6 +66,9 @@ GIVEN = {
 # Forms of address before a surname.
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Señor Señora Sr Sra Господин Госпожа Κύριος Κυρία".split()
 
+# Phrases that introduce a person's full name.
+INTRODUCTIONS = ("my name is", "My name is", "Name:", "Full name:", "Contact:", "Attn:", "Signed,", "Signed:", "Sincerely,", "Regards,", "je m'appelle", "Je m'appelle", "Nom :", "me llamo", "Me llamo", "Nombre:", "ich heiße", "Ich heiße")
+
 # Function words that are no surname by themselves; they aren't followed through a text.
 FUNCTION_WORDS = frozenset(
     "a an and are as at be but by for from had has he her his i if in is it its me my no not of on or our she so that the their they this to was we were who will with you your "
@@ -102,6 +106,8 @@ _NATIONAL = {
     "351": (9, 9), "352": (5, 9), "353": (7, 9), "357": (8, 8), "358": (5, 12), "359": (7, 9), "370": (8, 8), "380": (9, 9), "385": (8, 9), "386": (8, 8), "420": (9, 9), "421": (9, 9),
 }
 _NAME = re.compile(rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.?[ ]+)?(?P<given>{'|'.join(sorted([*_GENDER, *_CAPITALS], key=len, reverse=True))})[ ]+(?:[{_UP}]\.?[ ]+){{0,2}}(?P<surname>{_SURNAME})(?!\w)|(?<!\w)(?:{'|'.join(TITLES)})\.?[ ]+(?P<only>{_SURNAME})(?!\w)")
+_INTRODUCED = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, INTRODUCTIONS))})\s+(?P<name>{_SURNAME}(?:[ ]+{_SURNAME}){{1,2}})(?!\w)")
+_WORD = re.compile(_SURNAME)
 _CAPITALIZED = re.compile(rf"(?<!\w)[{_UP}][^\W\d_]*(?:-[{_UP}][^\W\d_]*)*(?!\w)")
 _LETTERS = re.compile(r"[^-]+")
 _CUES = frozenset(_GENDER) | frozenset(_CAPITALS) | frozenset(TITLES) | {t + "." for t in TITLES}
@@ -238,6 +244,17 @@ def _bare(text: str, names: dict[str, str], found: list[tuple[int, int, str]]) -
                 yield a, b, kind
 
 
+def _free(spans: list[tuple[int, int, str]], taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The spans that overlap none of those taken; both in order of place."""
+    out, k = [], 0
+    for a, b, kind in spans:
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if k == len(taken) or taken[k][0] >= b:
+            out.append((a, b, kind))
+    return out
+
+
 def find(text: str | None) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every entity, in order of place, none overlapping."""
     if not text:
@@ -251,18 +268,17 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
             gaps = zip([0, *[b for _, b, _ in out]], [*[a for a, _, _ in out], len(text)], strict=True)
             out += [(x, y, kind) for a, b in list(gaps) if a < b for x, y in (_cards(text, a, b) if kind == "card" else _spans(kind, text, a, b))]
             out.sort()
-    if not _CUES.isdisjoint(_SPLIT.split(text)):
-        taken, names = list(out), {}
-        for m in _NAME.finditer(text):
-            for part in ("given", "surname", "only"):
-                if m.group(part):
-                    a, b = m.span(part)
-                    kind = "given" if part == "given" else "surname"
-                    if all(b <= x or a >= y for x, y, _ in taken):
-                        out.append((a, b, kind))
-                        if lowered(text[a:b]) not in FUNCTION_WORDS:
-                            names[canonical(kind, text[a:b])] = kind
-                            names |= {lowered(part): kind for part in text[a:b].split("-") if "-" in text[a:b] and kind == "surname"}
+    listed = not _CUES.isdisjoint(_SPLIT.split(text))
+    if listed or _INTRODUCED.search(text):
+        names: dict[str, str] = {}
+        persons = [(*m.span(part), "given" if part == "given" else "surname") for m in _NAME.finditer(text) for part in ("given", "surname", "only") if m.group(part)] if listed else []
+        persons = _free(persons, out)
+        persons += _free([(*w.span(), "given" if w.group() in _GENDER else "surname") for m in _INTRODUCED.finditer(text) for w in _WORD.finditer(text, *m.span("name"))], sorted(out + persons))
+        for a, b, kind in persons:
+            if lowered(text[a:b]) not in FUNCTION_WORDS:
+                names[canonical(kind, text[a:b])] = kind
+                names |= {lowered(part): kind for part in text[a:b].split("-") if "-" in text[a:b] and kind == "surname"}
+        out += persons
         out += _bare(text, names, out)
     return sorted(out)
 
@@ -305,21 +321,31 @@ class Surrogates:
             b = (b + self._number(tweak, r, "b", a)) % right
         return a * right + b
 
+    def _restore(self, value: int, left: int, right: int, tweak: object) -> int:
+        """The inverse of _permute."""
+        a, b = divmod(value, right)
+        for r in reversed(range(8)):
+            b = (b - self._number(tweak, r, "b", a)) % right
+            a = (a - self._number(tweak, r, "a", b)) % left
+        return a * right + b
+
     def _move(self, symbols: list[str], alphabets: list[tuple[str, ...] | str], tweak: object) -> list[str]:
-        """Each symbol within its alphabet, all together permuted; no value stays itself where there is another."""
+        """Each symbol within its alphabet, all together permuted; no value stays itself where there is another.
+
+        Values are permuted, shifted by a keyed number that isn't 0, and permuted back: one to one, and without a fixed point as the shift has none.
+        """
         sizes = [len(s) for s in alphabets]
         half, left, right = len(sizes) // 2, 1, 1
         for i, n in enumerate(sizes):
             left, right = (left * n, right) if i < half else (left, right * n)
+        if (total := left * right) == 1:
+            return list(symbols)
         value = 0
         for x, s in zip(symbols, alphabets, strict=True):
             value = value * len(s) + s.index(x)
-        total, to = left * right, (lambda v: self._permute(v, left, right, (tweak, tuple(sizes))))
-        moved = to(value)
-        if moved == value:
-            moved = to((value + 1) % total)
-        elif to((value - 1) % total) == (value - 1) % total:
-            moved = (value - 1) % total
+        way = (left, right, (tweak, tuple(sizes)))
+        shift = 1 + self._number("shift", way) % (total - 1)
+        moved = self._restore((self._permute(value, *way) + shift) % total, *way)
         out = []
         for s in reversed(alphabets):
             moved, k = divmod(moved, len(s))
@@ -377,8 +403,6 @@ def dress(kind: str, mention: str, surrogate: str) -> str:
 
 
 _WALKED = ("email", "iban", "card", "ssn", "ip", "phone", "surname")
-#: Rounds after which surnames keep their first surrogate: of a short shape nearly all values may be originals.
-SURNAME_WALK = 6
 
 
 def entities(df: DataFrame, text: str = "text") -> DataFrame:
@@ -415,23 +439,23 @@ def walked(found: DataFrame, key: bytes = KEY) -> DataFrame:
     """
     found = found.where(F.col("kind").isin(*_WALKED))
     originals = found.select("kind", F.col("value").alias("surrogate"))
-    first = with_surrogates(found, key)
-    # A surname without a letter of the alphabets has no other value to go to.
-    left = first.where("kind <> 'surname' OR surrogate <> value").join(originals, ["kind", "surrogate"], "left_semi").select("kind", "value").persist()
+    first, _ = written(with_surrogates(found, key), "surrogates")
+    # What has no other value to go to (a surname without a letter of the alphabets) stays.
+    left, _ = written(first.where("surrogate <> value").join(originals, ["kind", "surrogate"], "left_semi").select("kind", "value"), "clashes")
     taken = first.join(originals, ["kind", "surrogate"], "left_anti").select("kind", "surrogate")
-    out = None
+    out, idle = None, 0
     for r in range(1, MAX_WALK):
-        if r == SURNAME_WALK:
-            left = left.where("kind <> 'surname'")
-        if left.isEmpty():
+        if idle == IDLE_ROUNDS or left.isEmpty():
             break
         asked = with_surrogates(left, key + b"#%d" % r)
-        good = asked.join(originals, ["kind", "surrogate"], "left_anti").join(taken, ["kind", "surrogate"], "left_anti").select("kind", "value", "surrogate").persist()
+        good, _ = written(asked.join(originals, ["kind", "surrogate"], "left_anti").join(taken, ["kind", "surrogate"], "left_anti").select("kind", "value", "surrogate"), "surrogates")
+        if good.isEmpty():
+            idle += 1
+            continue
+        idle = 0
         out = good if out is None else out.unionByName(good)
         taken = taken.unionByName(good.select("kind", "surrogate"))
-        left = left.join(good, ["kind", "value"], "left_anti").persist()
-    else:
-        raise RuntimeError(f"surrogates still clash after {MAX_WALK} rounds; take another key")
+        left, _ = written(left.join(good, ["kind", "value"], "left_anti"), "clashes")
     return out if out is not None else found.sparkSession.createDataFrame([], "kind string, value string, surrogate string")
 
 
@@ -446,7 +470,7 @@ def replaced(df: DataFrame, text: str = "text", key: bytes = KEY, max_sent: int
     """df with its text column replaced, n_entities, and entities (kind, start, end in the old text, surrogate)."""
     spark = df.sparkSession
     bounded_batches(spark)
-    exceptions = walked(entities(df, text).persist(), key)
+    exceptions = walked(written(entities(df, text), "entities")[0], key)
     n = max(1, -(-exceptions.count() // max_sent))
     entity = "array<struct<kind: string, start: int, end: int, surrogate: string>>"
     names = ["n_entities", "entities"]
