@@ -4,10 +4,12 @@ Sizes (words) are summed per source; a source's target is its weighted share of
 stopped at `most` times its size, the excess shared again by weight among the others.  Its rate
 is target / size; a document appears floor(rate) times and once more with the fraction's
 probability, decided by a hash of seed and id, so reruns and retried tasks agree and no document
-waits for another.  Only one row per source is ever gathered.
+waits for another.  Sizes and targets, one row per source, are written to the shared folder; they
+are broadcast where they are BROADCAST_SOURCES rows or fewer, and joined by a shuffle beyond.
 
 Defined cases: a null or empty text has size 0 and takes nothing; null is a source of its own,
-ranked last; rows that repeat an id share its draw; a source of size 0 has target and rate 0;
+ranked last; texts of any length count whole; rows that repeat an id share its draw; sources that
+reach their caps at one level do so in the order of their names; a source of size 0 has target and rate 0;
 an empty table gives an empty result.  Working columns carry a prefix no input should have, so
 extra columns of any name pass through.
 """
@@ -17,9 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.llm.shared import written
+
 WEIGHTS = (5, 2, 1)
 SHARE_PERCENT = 150
 MOST = 2
+#: Rows of some hundred bytes at most that are sent to every task.
+BROADCAST_SOURCES = 100_000
 SEED = "mix-1"
 P = "__mix_"
 
@@ -41,7 +47,8 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights: tuple[int,
 
     With caps at `most` times the size, the targets are min(cap, level * weight).  Sources in
     order of cap / weight reach their caps one after another; the level that the rest then have
-    is right at the first source it doesn't fill.  These windows run over one row per source.
+    is right at the first source it doesn't fill.  These windows run in one task over one row per
+    source, which Spark spills if they are many.
     """
     totals = sizes.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -70,7 +77,9 @@ def mixed(df: DataFrame, row_id: str = "doc_id", text: str = "text", source: str
     targets = source_targets(sized.select(F.col(f"`{source}`").alias(P + "source"), P + "size"), P + "source", P + "size", **plan)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.select(F.col("source").alias(P + "key"), *[F.col(c).alias(P + c) for c in ("source_size", "target")], rate.alias(P + "rate"))
-    # Catalyst broadcasts the targets only while they stay under its size threshold.
+    targets, _ = written(targets, "targets")
+    if targets.count() <= BROADCAST_SOURCES:
+        targets = F.broadcast(targets)
     out = sized.join(targets, F.col(f"`{source}`").eqNullSafe(F.col(P + "key")), "left").drop(P + "key")
     whole = F.floor(P + "rate")
     extra = (draw(F.col(f"`{row_id}`"), seed) < F.col(P + "rate") - whole).cast("int")
