@@ -10,7 +10,8 @@ a literal token are tried on every URL.
 The rule list is a parameter of the job, bounded by MAX_RULES, and goes to the tasks with the
 function; the URLs are judged where they are, without a shuffle, so a hot host costs nothing.
 
-Defined cases: a null URL, or one without `://`, has an empty host and path, meets no host rule
+Defined cases: of fitting host rules with names of one length a block outweighs an allow, then the
+name that sorts last decides, and of fitting patterns the first by name; URLs of any length are read whole; a null URL, or one without `://`, has an empty host and path, meets no host rule
 and is allowed unless a pattern fits its text; repeated rows are judged alike; an empty table
 gives an empty result; other columns pass through, those named like a result are replaced.
 """
@@ -104,11 +105,16 @@ def path_of(url: Column) -> Column:
 
 
 def token_frequency(df: DataFrame, url: str, rules: Sequence[Rule]) -> dict[str, int]:
-    """In how many rows of df each literal token of the rules stands; at most one entry per token of a rule."""
+    """In how many rows of df each literal token of the rules stands; at most one entry per token of a rule.
+
+    The wanted tokens are a small table, bounded as the rules are, that is sent to every task.
+    """
     wanted = sorted({t for r in rules for t in r.tokens()})
+    if not wanted:
+        return {}
     tokens = F.array_distinct(F.regexp_extract_all(F.translate(F.col(f"`{url}`"), _UPPER, _LOWERED), F.lit("[a-z0-9]+"), F.lit(0)))
-    known = F.array_intersect(tokens, F.array(*[F.lit(t) for t in wanted]).cast("array<string>"))
-    counts = df.select(F.explode(known).alias("token")).groupBy("token").count()
+    table = df.sparkSession.createDataFrame(pd.DataFrame({"token": wanted}))
+    counts = df.select(F.explode(tokens).alias("token")).join(F.broadcast(table), "token").groupBy("token").count()
     return dict.fromkeys(wanted, 0) | {r["token"]: r["count"] for r in counts.toLocalIterator()}
 
 
@@ -141,13 +147,14 @@ def judged(df: DataFrame, url: str = "url", rules: Sequence[Rule] = RULES) -> Da
                 for k in found:
                     of_host, action, name, _ = facts[k]
                     if of_host:
-                        if (best is None or len(name) > len(best[1])) and compiled[k].search(key):
-                            best = (action, name)
+                        rank = (len(name), action == "block", name)
+                        if (best is None or rank > best[0]) and compiled[k].search(key):
+                            best = (rank, action, name)
                     elif compiled[k].search(text):
                         patterns.append((action != "block", name))
                 first = min(patterns, default=None)
-                verdict = best[0] if best else ("allow" if first is None or first[0] else "block")
-                out.append((best and best[1], None if best or first is None else first[1], len(found), verdict))
+                verdict = best[1] if best else ("allow" if first is None or first[0] else "block")
+                out.append((best and best[2], None if best or first is None else first[1], len(found), verdict))
             yield pd.DataFrame(out, columns=["rule", "pattern", "n_candidates", "verdict"])
 
     verdicts = F.pandas_udf(judge, "rule string, pattern string, n_candidates int, verdict string")

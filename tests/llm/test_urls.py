@@ -1,3 +1,4 @@
+import random
 import re
 
 from docmill.llm import urls as U
@@ -40,6 +41,23 @@ def test_index_takes_the_rarest_token():
     assert rules[2].tokens() == ["example", "org", "en"] and rules[1].tokens() == []
 
 
+def test_ties_and_thousands_of_rules(spark):
+    """Every rule tried on every URL gives the same; rules of one length are told apart by action, then name."""
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcde", k=r.randint(1, 3)))
+    rules = tuple({U.HostRule(r.choice(["allow", "block"]), f"{word()}.{word()}", f"/{word()}{r.choice(['', '/'])}") for _ in range(2500)}) + tuple({U.PatternRule(r.choice(["allow", "block"]), f"^{word()}-{word()}^") for _ in range(1500)})
+    urls = [f"https://{'.'.join(word() for _ in range(r.randint(2, 4)))}/{'/'.join(word() for _ in range(r.randint(0, 3)))}-{word()}?{word()}" for _ in range(900)]
+    got = {x.page_id: (x.rule, x.verdict) for x in U.judged(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules).collect()}
+    assert 20 < sum(1 for rule, _ in got.values() if rule)
+    compiled = [(x, re.compile(x.regex())) for x in rules]
+    for i, u in enumerate(urls):
+        key = u.removeprefix("https://").partition("?")[0]
+        fits = [(len(x.name), x.action == "block", x.name, x.action) for x, c in compiled if isinstance(x, U.HostRule) and c.search(key)]
+        hits = {x.action for x, c in compiled if isinstance(x, U.PatternRule) and c.search(u)}
+        best = max(fits, default=None)
+        assert got[i] == (best and best[2], best[3] if best else "block" if "block" in hits else "allow"), u
+
+
 def test_candidates_only(spark):
     df = spark.createDataFrame([(1, "https://plain.net/page"), (2, "https://casino.net/")], "page_id long, url string")
     got = {r.page_id: r.n_candidates for r in U.judged(df).collect()}
