@@ -4,8 +4,9 @@ Byte-level BPE splits a text before every space that a non-space follows, whatev
 it, so the token count of a text is the sum over such pieces.  Tier one is a compact table of
 frequent pieces and their token counts, broadcast once; tier two is a cache in every Python
 worker, filled by encoding the pieces that both miss, a batch at a time.  Both are bounded
-(TABLE_PIECES, CACHE_PIECES).  Which pieces the table holds is chosen from a bounded sample of
-rows (SAMPLE_ROWS); their counts come from the tokenizer, so this choice changes speed alone.
+(TABLE_PIECES, CACHE_PIECES).  Which pieces the table holds is chosen from the beginnings of the
+first SAMPLE_ROWS rows at hand; their counts come from the tokenizer and what the table lacks goes to the
+second tier, so this choice changes speed alone.  Texts are read once, and no piece is moved.
 
 Defined cases: a null or empty text has 0 bytes and 0 tokens; special strings inside a text
 count as the one token that the library's default makes of them; texts of any length are read
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from docmill.llm.shared import bounded_batches
 
-SAMPLE_ROWS = 4096
+SAMPLE_ROWS, SAMPLE_CHARS = 4096, 8192
 TABLE_PIECES = 1 << 16
 CACHE_PIECES = 1 << 18
 #: Bytes of texts cut into pieces at a time.
@@ -145,22 +146,12 @@ class _Chain(dict):
 
 
 def frequent_table(df: DataFrame, text: str, path: str, sample_rows: int = SAMPLE_ROWS, size: int = TABLE_PIECES) -> Table:
-    """Counts of the most frequent pieces of about sample_rows rows drawn from all of df."""
-    rows = df.count()
-    sample = df.select(F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull()).sample(min(1.0, sample_rows / max(1, rows)), seed=1)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(pieces(t))
-            if len(seen) > 4 * size:
-                seen = Counter(dict(seen.most_common(2 * size)))
-        top = [(p, n) for p, n in seen.most_common(size) if len(p) <= CACHED_CHARS]
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
-
-    top = sample.mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1")
-    found = [r["piece"] for r in top.orderBy(F.desc("n"), "piece").limit(size).select("piece").collect()]
+    """Counts of the most frequent pieces in the first sample_rows rows, SAMPLE_CHARS of each: Spark reads as few partitions as hold them."""
+    sample = df.select(F.left(F.col(f"`{text}`"), F.lit(SAMPLE_CHARS)).alias("text")).where("text IS NOT NULL").take(sample_rows)
+    seen: Counter[str] = Counter()
+    for row in sample:
+        seen.update(pieces(row["text"]))
+    found = [p for p, n in seen.most_common(size) if n > 1 and len(p) <= CACHED_CHARS]
     return Table.of(dict(zip(found, Encoder(path).counts(found), strict=True)))
 
 
