@@ -12,7 +12,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmill.functions import markup
+from docmill.functions import markup, office
 from docmill.functions import values as V
 from docmill.operators import retrieval
 
@@ -68,6 +68,7 @@ def describable(kind: Column, content: Column) -> Column:
 EXTRACTORS: dict[str, Callable[[Column], Column]] = {
     "text": V.decoded_text,
     "xml": lambda content: markup.xml_text(V.decoded_text(content), F.lit(50)),
+    **{kind: (lambda content, kind=kind: office.text(content, kind)) for kind in ("docx", "xlsx", "pptx")},
 }
 
 

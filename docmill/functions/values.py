@@ -144,9 +144,9 @@ def hashed_vectors(lists: pd.Series) -> pd.Series:
 
 
 def json_bytes(*columns: Column) -> Column:
-    """Bytes of a JSON object of the columns with a space behind commas and colons between its parts, as Python writes it."""
-    made = F.struct(*columns)
-    return F.octet_length(F.to_json(made)) + F.lit(2 * len(columns) - 1)
+    """UTF-8 bytes of a flat JSON object of the columns as Python writes it: a space behind commas and colons, null fields kept."""
+    made = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    return F.octet_length(made) + F.lit(2 * len(columns) - 1)
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))

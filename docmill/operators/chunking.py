@@ -24,46 +24,53 @@ def paragraphs(text: Column, separator: str = "\n\n") -> Column:
     return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
 
 
-def _tokens(text: Column) -> Column:
-    return F.floor(F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")) / F.lit(1.33)).cast("int")
+def _estimate(words: Column) -> Column:
+    """Tokens of so many words."""
+    return F.floor(words / F.lit(1.33)).cast("int")
+
+
+def _joined(parts: Column, starts: Column, joiner: str) -> Column:
+    """The parts between one start and the next, as texts."""
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(parts)))
+    return F.zip_with(starts, ends, lambda a, b: F.array_join(F.slice(parts, a + 1, b - a), joiner))
 
 
 def greedy(parts: Column, low: int = MIN_TOKENS, high: int = MAX_TOKENS, joiner: str = "\n\n") -> Column:
-    """Parts merged while the sum stays within `high` tokens; a chunk still under `low` takes the next part even so."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+    """Parts merged while the merged text stays within `high` tokens; a chunk still under `low` takes the next part even so.
+
+    The fold carries the words of the chunk at hand and the places where chunks start; texts are joined once, behind it.
+    """
+    kind = "struct<starts: array<int>, at: int, words: int>"
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"), F.lit(0).alias("words")).cast(kind)
 
-    def step(state: Column, part: Column) -> Column:
-        both = F.concat(state["now"], F.lit(joiner), part)
-        grow = (_tokens(state["now"]) + _tokens(part) <= high) | (_tokens(state["now"]) < low)
-        return (
-            F.when(state["now"] == "", F.struct(state["done"].alias("done"), part.alias("now")))
-            .when(grow, F.struct(state["done"].alias("done"), both.alias("now")))
-            .otherwise(F.struct(F.concat(state["done"], F.array(state["now"])).alias("done"), part.alias("now")))
-        )
+    def step(s: Column, n: Column) -> Column:
+        grow = (s["at"] > 0) & ((_estimate(s["words"] + n) <= high) | (_estimate(s["words"]) < low))
+        starts = F.when(grow, s["starts"]).otherwise(F.concat(s["starts"], F.array(s["at"])))
+        return F.struct(starts.alias("starts"), (s["at"] + 1).alias("at"), (F.when(grow, s["words"]).otherwise(0) + n).alias("words")).cast(kind)
 
-    return F.aggregate(parts, start, step, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
+    return _joined(parts, F.aggregate(F.transform(parts, X.n_words), start, step, lambda s: s["starts"]), joiner)
 
 
 def semantic(parts: Column, vectors: Column, low: int = MIN_TOKENS, high: int = MAX_TOKENS, likeness: float = LIKENESS, joiner: str = "\n\n") -> Column:
-    """Parts merged while short, then while alike: the next part joins if the sum stays within `high` and, once the chunk
+    """Parts merged while short, then while alike: the next part joins if the merged text stays within `high` and, once the chunk
     has `low` tokens, if its vector is like the chunk's mean.  The mean after a merge of n parts in all is (mean * n + new) / (n + 1).
     """
-    kind = "struct<done: array<string>, now: string, mean: array<double>, n: int>"
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.array().cast("array<double>").alias("mean"), F.lit(0).alias("n")).cast(kind)
-    items = F.arrays_zip(parts.alias("p"), vectors.alias("v"))
+    kind = "struct<starts: array<int>, at: int, words: int, mean: array<double>, n: int>"
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"), F.lit(0).alias("words"), F.array().cast("array<double>").alias("mean"), F.lit(0).alias("n")).cast(kind)
+    items = F.arrays_zip(F.transform(parts, X.n_words).alias("words"), vectors.alias("v"))
 
     def step(s: Column, item: Column) -> Column:
-        part, vector = item["p"], item["v"]
-        fits = _tokens(s["now"]) + _tokens(part) <= high
+        vector = item["v"]
+        fits = _estimate(s["words"] + item["words"]) <= high
         alike = F.coalesce(V.cosine(s["mean"], vector), F.lit(0.0)) >= likeness
-        merge = fits & ((_tokens(s["now"]) < low) | alike)
+        merge = (s["n"] > 0) & fits & ((_estimate(s["words"]) < low) | alike)
         n = s["n"] + 1
         mean = F.zip_with(s["mean"], vector, lambda a, b: (a * n + b) / (n + 1))
-        fresh = lambda done: F.struct(done.alias("done"), part.alias("now"), vector.alias("mean"), F.lit(1).alias("n"))
-        joined = F.struct(s["done"].alias("done"), F.concat(s["now"], F.lit(joiner), part).alias("now"), mean.alias("mean"), n.alias("n"))
-        return F.when(s["n"] == 0, fresh(s["done"])).when(merge, joined).otherwise(fresh(F.concat(s["done"], F.array(s["now"])))).cast(kind)
+        starts = F.when(merge, s["starts"]).otherwise(F.concat(s["starts"], F.array(s["at"])))
+        words = F.when(merge, s["words"]).otherwise(0) + item["words"]
+        return F.struct(starts.alias("starts"), (s["at"] + 1).alias("at"), words.alias("words"), F.when(merge, mean).otherwise(vector).alias("mean"), F.when(merge, n).otherwise(1).alias("n")).cast(kind)
 
-    return F.aggregate(items, start, step, lambda s: F.when(s["n"] == 0, s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
+    return _joined(parts, F.aggregate(items, start, step, lambda s: s["starts"]), joiner)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -15,6 +15,11 @@ def already_stored(files: DataFrame, stored: DataFrame, *keys: str) -> DataFrame
     return files.join(stored.select(*keys), [*keys], "left_semi")
 
 
+def source_hint(prefix: Column) -> Column:
+    """The first part of a prefix that has several; null of one alone."""
+    return F.when(F.contains(prefix, F.lit("/")), F.split_part(prefix, F.lit("/"), F.lit(1)))
+
+
 def under_folder(path: Column, folder: str) -> Column:
     """In the folder itself or below: the folder's name ends at a slash."""
     return path.startswith(folder.rstrip("/") + "/")

@@ -182,11 +182,16 @@ def lexical_rerank(candidates: DataFrame, query: str, k: int, *tie: Column, text
     return candidates.withColumn("rerank", have / F.lit(max(1, len(asked)))).orderBy(F.desc("rerank"), *tie).limit(k)
 
 
-def cascade(vectors: DataFrame, request: Request, query: str, text: str = "text", row_id: str = "vec_id", reranker=None) -> DataFrame:
-    """Vector candidates above the threshold, merged over libraries; first of each text; best 25 by BM25; best 5 by the reranker (else kept in order)."""
+def cascade(vectors: DataFrame, request: Request, query: str, text: str = "text", row_id: str = "vec_id", reranker=None, texts: DataFrame | None = None) -> DataFrame:
+    """Vector candidates above the threshold, merged over libraries; first of each text; best 25 by BM25; best 5 by the reranker (else kept in order).
+
+    texts (row_id, text): where the texts are if vectors don't carry them; it is joined with the candidates alone.
+    """
     hits = by_library(vectors, request, row_id=row_id)
     position = F.row_number().over(Window.orderBy(F.desc("score"), "library_order", "hit"))
     placed = hits.withColumn("pos", position).withColumnRenamed("score", "vector_score")  # at most CANDIDATES rows
+    if texts is not None:
+        placed = texts.join(F.broadcast(placed), row_id)
     unique = first_of_text(placed, text, "pos").persist()  # CANDIDATES rows, read for their statistics and for their scores
     best = bm25_top(unique, query, LEXICAL, F.col("pos"), text=text)
     if reranker:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docmill.functions import markup
 from docmill.functions import text as X
 from docmill.functions import values as V
-from docmill.operators import chat, chunking, crawl, ingest, register, retrieval
+from docmill.operators import answer, chat, chunking, crawl, ingest, laws, load, register, retrieval
 from docmill.sources.tables import table
 from docmill.streaming import incremental
 
@@ -107,9 +107,10 @@ uni AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY p
 cand AS (SELECT vec_id AS id, text, pos FROM uni), {_BM25}
 SELECT cand.id AS vec_id, round(coalesce(s, 0), 6) AS score FROM cand LEFT JOIN sc ON sc.id = cand.id ORDER BY coalesce(s, 0) DESC, pos LIMIT 5""")
 def hybrid_pipeline(spark, d):
+    """Vectors are ranked first; only the candidates' texts are fetched."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
-    vectors = _library_vectors(spark, d).withColumn("library", F.lit("public")).join(docs, "vec_id")
-    found = retrieval.cascade(vectors, retrieval.Request(_request_vector(spark, d), threshold=0.0), _QUERY)
+    vectors = _library_vectors(spark, d).withColumn("library", F.lit("public")).join(docs.select("vec_id"), "vec_id", "left_semi")
+    found = retrieval.cascade(vectors, retrieval.Request(_request_vector(spark, d), threshold=0.0), _QUERY, texts=docs)
     return found.select("vec_id", F.round("score", 6).alias("score"))
 
 
@@ -152,13 +153,14 @@ def token_stats_by_source(spark, d):
 
 
 _PARTS = r"list_filter(list_transform(string_split(text, chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '')"
-_N = r"floor(len(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> '')) / 1.33::DOUBLE)::INTEGER"
+_WORDS_OF_PARTS = r"list_transform(parts, lambda p: len(list_filter(regexp_split_to_array(p, '\s+'), lambda w: w <> ''))::INTEGER)"
 
 
-@query(rf"""WITH RECURSIVE p AS (SELECT doc_id, parts, list_transform(parts, lambda q: {_N.format('q')}) AS n FROM (SELECT doc_id, {_PARTS} AS parts FROM documents) WHERE len(parts) > 0),
-f AS (SELECT doc_id, 1 AS i, parts[1] AS now, 0 AS ordinal, NULL::VARCHAR AS done, parts, n FROM p
-UNION ALL SELECT doc_id, i + 1, CASE WHEN grow THEN now || chr(10) || parts[i + 1] ELSE parts[i + 1] END, CASE WHEN grow THEN ordinal ELSE ordinal + 1 END, CASE WHEN grow THEN NULL ELSE now END, parts, n
-  FROM (SELECT *, {_N.format('now')} + n[i + 1] <= 100 OR {_N.format('now')} < 30 AS grow FROM f WHERE i < len(parts)))
+# The rule as stated: what the merged text would have, words over 1.33, against the most; what the chunk has against the least.
+@query(rf"""WITH RECURSIVE p AS (SELECT doc_id, parts, {_WORDS_OF_PARTS} AS n FROM (SELECT doc_id, {_PARTS} AS parts FROM documents) WHERE len(parts) > 0),
+f AS (SELECT doc_id, 1 AS i, parts[1] AS now, n[1] AS words, 0 AS ordinal, NULL::VARCHAR AS done, parts, n FROM p
+UNION ALL SELECT doc_id, i + 1, CASE WHEN grow THEN now || chr(10) || parts[i + 1] ELSE parts[i + 1] END, CASE WHEN grow THEN words + n[i + 1] ELSE n[i + 1] END, CASE WHEN grow THEN ordinal ELSE ordinal + 1 END, CASE WHEN grow THEN NULL ELSE now END, parts, n
+  FROM (SELECT *, floor((words + n[i + 1]) / 1.33::DOUBLE) <= 100 OR floor(words / 1.33::DOUBLE) < 30 AS grow FROM f WHERE i < len(parts)))
 SELECT doc_id, (ordinal - 1)::INTEGER AS ordinal, md5(done) AS chunk FROM f WHERE done IS NOT NULL UNION ALL SELECT doc_id, ordinal::INTEGER, md5(now) FROM f WHERE i = len(parts)""")
 def chunk_token_greedy(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -348,9 +350,10 @@ def crawl_predicates(spark, d):
     return urls.select("page_id", "url", crawl.follow_bulletin(u).alias("bulletin"), crawl.follow_resolution(u).alias("resolution"), crawl.follow_provision(u).alias("provision"), crawl.follow_ruling(u).alias("ruling"), crawl.follow_notary(u).alias("notary"))
 
 
+# Every node keeps the depth at which it is first reached; the recursion ends when no new node is found.
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey::BIGINT AS src, l_partkey::BIGINT AS dst FROM lineitem),
-r(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = node WHERE depth < 8)
-SELECT node, min(depth)::INTEGER AS depth FROM r GROUP BY node""")
+r(node, depth) USING KEY (node) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, min(r.depth) + 1 FROM r JOIN e ON e.src = r.node WHERE e.dst NOT IN (SELECT node FROM recurring.r) GROUP BY e.dst)
+SELECT node, depth::INTEGER AS depth FROM r""")
 def crawl_closure(spark, d):
     edges = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("src"), F.col("l_partkey").cast("long").alias("dst")).distinct()
     return crawl.closure(edges, spark.range(1, 2).select(F.col("id").alias("node")))
@@ -521,3 +524,91 @@ def latest_events(spark, d):
 def corpus_rollup(spark, d):
     counts = table(spark, d, "documents").rollup("lang", "source").agg(F.count("*").alias("n"))
     return counts.select(F.coalesce("lang", F.lit("TOTAL")).alias("lang"), F.coalesce("source", F.lit("TOTAL")).alias("source"), "n")
+
+
+@query(rf"""WITH RECURSIVE p AS (SELECT doc_id, source, text, parts, {_WORDS_OF_PARTS} AS n FROM (SELECT doc_id, source, text, {_PARTS} AS parts FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))),
+f AS (SELECT doc_id, 1 AS i, n[1] AS words, 1 AS chunks, n FROM p WHERE len(n) > 0
+UNION ALL SELECT doc_id, i + 1, CASE WHEN grow THEN words + n[i + 1] ELSE n[i + 1] END, CASE WHEN grow THEN chunks ELSE chunks + 1 END, n
+  FROM (SELECT *, floor((words + n[i + 1]) / 1.33::DOUBLE) <= 100 OR floor(words / 1.33::DOUBLE) < 30 AS grow FROM f WHERE i < len(n))),
+c AS (SELECT doc_id, max(chunks) AS chunks FROM f GROUP BY doc_id)
+SELECT source || '/' || doc_id || '.txt' AS storage_path, CASE WHEN l.doc_id IS NOT NULL THEN 'skipped' WHEN c.chunks IS NULL THEN 'deleted' ELSE 'processed' END AS outcome,
+CASE WHEN l.doc_id IS NULL THEN coalesce(c.chunks, 0) ELSE 0 END::INTEGER AS chunks, CASE WHEN l.doc_id IS NULL THEN coalesce(ceil(c.chunks / 96.0), 0) ELSE 0 END::INTEGER AS batches
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) LEFT JOIN c USING (doc_id)""")
+def ingest_pipeline(spark, d):
+    """The documents as text files, loaded into a vector table that has those with a label."""
+    docs = table(spark, d, "documents")
+    path = F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = docs.select(path.alias("storage_path"), F.encode("text", "UTF-8").alias("content"), F.lit("text").alias("processor"))
+    stored = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select(path.alias("storage_path"), F.lit("").alias("chunk_id"), F.lit("").alias("chunk_text"))
+    _, outcomes = load.ingested(files, stored, mode="greedy", overwrite=False, separator="\n", low=30, high=100)
+    return outcomes.select("storage_path", "outcome", "chunks", "batches")
+
+
+@query("""WITH e AS (SELECT source AS lane, doc_id AS pos, 'https://host.example/law?n=' || doc_id AS url, 'Decreto 5 Marzo 2020, n. ' || doc_id AS title, left(replace(text, chr(10), ' '), 40) AS subtitle, doc_id FROM documents),
+n AS (SELECT *, max(CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 1 ELSE 0 END) OVER (PARTITION BY lane ORDER BY pos) AS seen FROM e)
+SELECT pos, 'dlgs_05_marzo_2020_n_' || doc_id || '.txt' AS file,
+md5('url: ' || url || chr(10) || 'title: ' || title || chr(10) || 'subtitle: ' || subtitle || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'Law ' || doc_id || chr(10) || chr(10) || 'Art. 1' || chr(10) || 'Words of law ' || doc_id || chr(10)) AS text
+FROM n WHERE seen = 0 AND contains(subtitle, 'e') AND doc_id % 7 <> 0""")
+def relevance_pipeline(spark, d):
+    """A listing of laws, one lane a source: those before the first stored one that a stand-in model finds relevant and whose page is in force."""
+    docs = table(spark, d, "documents").withColumn("url", F.concat(F.lit("https://host.example/law?n="), F.col("doc_id").cast("string")))
+    number = F.col("doc_id").cast("string")
+    entries = docs.select(F.col("source").alias("lane"), F.col("doc_id").alias("pos"), "url", F.concat(F.lit("Decreto 5 Marzo 2020, n. "), number).alias("title"), F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(40)).alias("subtitle"))
+    page = F.concat(F.lit("<html><head><title>Law "), number, F.lit("</title></head><body><div class='bodyTesto'><h2 class='article-num-akn'>Art. 1</h2><div class='art-comma-div-akn'>Words of law "), number, F.lit("</div></div></body></html>"))
+    fetched = docs.select("url", F.when(F.col("doc_id") % 7 == 0, laws.NOT_PUBLISHED).otherwise(page).alias("body"))
+    stored = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select("url", F.lit(None).cast("string").alias("file"))
+    model = lambda subtitle: F.when(F.contains(subtitle, F.lit("e")), 'Yes: {"relevant": true}').otherwise('{"relevant": false}')
+    files, _ = laws.relevant_laws(entries, stored, fetched, model)
+    return files.select("pos", "file", F.md5("text").alias("text"))
+
+
+_HISTORY_SQL = "SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text) AS history FROM conversations WHERE role IN ('user', 'assistant') AND conv_id % 4 <> 0 GROUP BY conv_id"
+
+
+@query(f"""WITH r AS (SELECT DISTINCT conv_id, 'Question ' || conv_id AS message, CASE WHEN conv_id % 3 = 0 THEN 'file ' || conv_id END AS attachments FROM conversations),
+h AS ({_HISTORY_SQL}),
+k AS (SELECT r.*, coalesce(history, '') AS history, coalesce(history, '') = '' OR conv_id % 5 <> 0 AS retrieve FROM r LEFT JOIN h USING (conv_id)),
+docs AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY doc_id) AS i, source, md5(text) AS t FROM (SELECT DISTINCT conv_id FROM conversations) c JOIN documents ON doc_id IN (2 * conv_id, 2 * conv_id + 1) ),
+c AS (SELECT conv_id, count(*) AS n, string_agg('<Documento n.' || i || ' estratto dalla Knowledge Base>' || chr(10) || '        |Fonte|: ' || source || chr(10) || '        |Contenuto|: ' || t, chr(10) || '----------' || chr(10) ORDER BY i) AS context FROM docs GROUP BY conv_id),
+j AS (SELECT k.*, CASE WHEN retrieve THEN context END AS context, CASE WHEN retrieve THEN coalesce(n, 0) ELSE 0 END AS n FROM k LEFT JOIN c USING (conv_id)),
+p AS (SELECT *, concat_ws(chr(10) || chr(10), CASE WHEN retrieve THEN 'Answer from the documents given. Be brief.' ELSE 'Answer from general knowledge. Be brief.' END, nullif(history, ''),
+  nullif(concat_ws(chr(10) || chr(10), '<<<Allegati dell''utente>>>' || chr(10) || attachments, '<<<Knowledge Base>>>' || chr(10) || context), ''), message) AS prompt FROM j)
+SELECT conv_id, retrieve, n::INTEGER AS n_documents, md5(prompt) AS prompt, 'answer ' || md5(prompt) AS answer FROM p""")
+def chat_answers(spark, d):
+    """A request for each conversation, a judge that declines every fifth, two documents each."""
+    talks = table(spark, d, "conversations")
+    ids = talks.select("conv_id").distinct()
+    number = F.col("conv_id").cast("string")
+    requests = ids.select(
+        F.col("conv_id").alias("request_id"), "conv_id", F.concat(F.lit("Question "), number).alias("message"), F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("file "), number)).alias("attachments"),
+        F.array().cast("array<string>").alias("image_texts"), F.lit("Be brief.").alias("tone"),
+    )
+    wanted = ids.select(F.col("conv_id").alias("request_id"), F.explode(F.array(2 * F.col("conv_id"), 2 * F.col("conv_id") + 1)).alias("doc_id"))
+    documents = wanted.join(table(spark, d, "documents").select("doc_id", F.col("source").alias("name"), F.md5("text").alias("text")), "doc_id").select("request_id", F.col("doc_id").alias("rank"), "name", "text")
+    judge = lambda text: F.when(F.regexp_extract(text, r"Question (\d+)$", 1).cast("long") % 5 == 0, '{"retrieve": false}').otherwise("retrieve: True")
+    out = answer.answered(requests, talks.where("conv_id % 4 <> 0"), documents, judge)
+    return out.select("conv_id", "retrieve", "n_documents", F.md5("prompt").alias("prompt"), "answer")
+
+
+@query(f"""WITH r AS (SELECT DISTINCT conv_id FROM conversations), h AS ({_HISTORY_SQL}),
+p AS (SELECT conv_id, coalesce(history, '') <> '' AS refined, concat_ws(chr(10) || chr(10), CASE WHEN coalesce(history, '') <> '' THEN 'Refine the document written before.' ELSE 'Write a document by the template.' END, nullif(coalesce(history, ''), ''), 'template', '{{}}', 'Write ' || conv_id) AS prompt FROM r LEFT JOIN h USING (conv_id))
+SELECT conv_id, refined, 'answer ' || md5(prompt) AS document FROM p""")
+def write_documents(spark, d):
+    talks = table(spark, d, "conversations")
+    requests = talks.select("conv_id").distinct().select("conv_id", F.concat(F.lit("Write "), F.col("conv_id").cast("string")).alias("message"), F.lit("template").alias("template"), F.lit("{}").alias("requirements"))
+    return answer.written(requests, talks.where("conv_id % 4 <> 0")).select("conv_id", "refined", "document")
+
+
+@query(r"""WITH s AS (SELECT octet_length(encode('{"page_id": ' || page_id || ', "url": "' || replace(replace(url, '\', '\\'), '"', '\"') || '", "label": ' || CASE WHEN page_id % 3 = 0 THEN 'null' ELSE '"è' || page_id || '"' END || '}')) AS n FROM pages)
+SELECT count(*)::BIGINT AS n, sum(n)::BIGINT AS total_bytes, round(avg(n), 6) AS mean_bytes FROM s""")
+def metadata_bytes(spark, d):
+    label = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("è"), F.col("page_id").cast("string"))).alias("label")
+    sizes = table(spark, d, "pages").select(V.json_bytes(F.col("page_id"), F.col("url"), label).alias("n"))
+    return sizes.agg(F.count("*").alias("n"), F.sum("n").cast("long").alias("total_bytes"), F.round(F.avg("n"), 6).alias("mean_bytes"))
+
+
+@query("""SELECT page_id, CASE WHEN contains(p, '/') THEN split_part(p, '/', 1) END AS hint FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'a' || page_id ELSE 'b' || page_id || '/c/d' END AS p FROM pages)""")
+def source_hints(spark, d):
+    number = F.col("page_id").cast("string")
+    prefix = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("a"), number)).otherwise(F.concat(F.lit("b"), number, F.lit("/c/d")))
+    return table(spark, d, "pages").select("page_id", ingest.source_hint(prefix).alias("hint"))

@@ -15,10 +15,12 @@ _own = ""
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all machines share; a local one where it is unset."""
+    """The folder of spark.checkpoint.dir, which all machines share; where it is unset, a local one if all runs on one machine."""
     global _own
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         _own = found = _own or "file://" + tempfile.mkdtemp(prefix="docmill-")
     return found.rstrip("/")
 

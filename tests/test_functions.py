@@ -101,7 +101,7 @@ def test_markup(spark):
     assert [(x.href, x.text) for x in one(spark, markup.links("h"), h=PAGE)] == [("/n", "Nav"), ("/d.pdf", "doc")]
     assert [(x.cap_code, x.comune) for x in one(spark, markup.table_pairs("h"), h=PAGE)] == [("00100", "Roma")]
     assert one(spark, markup.title(C("h")), h=PAGE) == "Head line"
-    assert one(spark, markup.hrefs(C("h")), h=PAGE) == ["/d.pdf"]
+    assert one(spark, markup.hrefs(C("h")), h=PAGE) == ["/n", "/d.pdf"]
     assert one(spark, markup.xml_text("h", F.lit(50)), h="<a>x<b>y</b>z</a>") == "x\ny\nz"
     assert one(spark, markup.xml_text("h", F.lit(50)), h="<a>") is None
     law = '<l xmlns="u:x"><article><num>Art. 1</num><p>Text  one</p></article><article id="2"><p>two</p></article></l>'

@@ -86,7 +86,7 @@ def greedy_plain(parts, low, high):
     for p in parts:
         if not now:
             now = p
-        elif tokens(now) + tokens(p) <= high or tokens(now) < low:
+        elif tokens(now + "\n" + p) <= high or tokens(now) < low:
             now += "\n" + p
         else:
             out.append(now)
@@ -109,7 +109,7 @@ def semantic_plain(parts, low, high, like):
         if n:
             size = math.sqrt(sum(x * x for x in mean)) * math.sqrt(sum(x * x for x in v))
             alike = size > 0 and sum(a * b for a, b in zip(mean, v, strict=True)) / size >= like
-            if tokens(now) + tokens(p) <= high and (tokens(now) < low or alike):
+            if tokens(now + "\n" + p) <= high and (tokens(now) < low or alike):
                 n += 1
                 now, mean = now + "\n" + p, [(a * n + b) / (n + 1) for a, b in zip(mean, v, strict=True)]
                 continue
