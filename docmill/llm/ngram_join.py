@@ -1,11 +1,10 @@
 """N-gram Jaccard join: documents whose shingle sets have a similarity of 0.8 or more.
 
 Texts become sets of hashed word shingles.  Documents with equal sets form a class, and only
-classes are joined.  Shingles have one global order, rare ones first: those in at least
-total / 2^HOT_BITS sets are hot and come last, by their counts (tasks count what they read in
-portions, send what occurs SEEN times or more in one, and Spark adds up; so at most 2^HOT_BITS are sent to
-the tasks, whatever the input, and a count is short by less than SEEN a portion).  Two sets can only
-be similar if they share a shingle among the first n - ceil(0.8 n) + 1 of each; classes therefore
+classes are joined.  Shingles have one global order, rare ones first, by a sketch of their counts over
+all documents: one counter for each CELL_SHINGLES shingles of the input, at most 2^MOST_BITS, kept as
+logarithms in a byte each where they are broadcast.  Two sets can only be similar if they share a
+shingle among the first n - ceil(0.8 n) + 1 of each; classes therefore
 meet in the posting lists of such prefix shingles, where the length and the positional filter drop
 most pairs.  What is left is verified once per pair, behind a suffix filter, with both whole sets.
 
@@ -14,7 +13,7 @@ only its hub, the member with the fewest rarer shingles, with the others; verifi
 components; then the lists with members of different components are read again and pair only those.
 No link between components is lost, and pairs inside one can't change the result.
 
-Hot shingles are known beforehand.  Their postings are dealt out over a grid of cells, each pair of
+Hot shingles are known from the sketch beforehand.  Their postings are dealt out over a grid of cells, each pair of
 parts meeting in one, so no list outgrows 2 * LIST_PART members; what is read again is dealt likewise
 in parts of CELL_PART.  The pairs of a hub are dealt by HUB_PAIRS, its text going to each portion once.
 
@@ -44,9 +43,10 @@ from docmill.llm.shared import bounded_batches, written
 WORDS = 5
 #: The similarity as a fraction.
 NUM, DEN = 4, 5
-HOT_BITS, SEEN = 20, 4
-#: Shingles counted at once.
-COUNTED = 4_000_000
+#: Counters of the sketch: how many shingles share one, least and most bits; slices in which they are added up, and shingles counted at once.
+CELL_SHINGLES, LEAST_BITS, MOST_BITS, SLICES, COUNTED = 64, 16, 24, 64, 4_000_000
+#: Bytes of text for one shingle, about.
+SHINGLE_BYTES = 6
 LIST_PART, CELL_PART, HUB_PAIRS = 50_000, 512, 1024
 #: Postings a group of buckets aims at.
 BUCKET_POSTINGS = 500_000
@@ -107,19 +107,24 @@ def with_keys(df: DataFrame, text: str, n_name: str, key_name: str) -> DataFrame
     return df.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
-def keyed(docs: DataFrame, counted: int = COUNTED, seen: int = SEEN) -> DataFrame:
-    """docs (id, text) as (id, n, key): the size and class of each set; and rows (token, count) of what a portion of `counted`
-    shingles holds `seen` times or more, the portion itself counting as one row without a token.  `kind` tells: row, token, portion."""
+def sketch_bits(text_bytes: int) -> int:
+    """Bits of a sketch for so many bytes of text."""
+    return min(MOST_BITS, max(LEAST_BITS, int(text_bytes / SHINGLE_BYTES / CELL_SHINGLES).bit_length()))
 
-    def counts(parts: list[np.ndarray]) -> pa.RecordBatch:
-        token, times = np.unique(np.concatenate(parts), return_counts=True)
-        often = times >= seen
-        token, times = token[often].view(np.int64), times[often]
-        n = len(token) + 1
-        return pa.RecordBatch.from_arrays([pa.array(["token"] * (n - 1) + ["portion"]), pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([*token, None], pa.int64()), pa.array([*times, 1], pa.int64())], names=schema.names)
+
+def keyed(docs: DataFrame, bits: int, counted: int = COUNTED) -> DataFrame:
+    """docs (id, text) as (id, n, key): the size and class of each set; and, with a null key, every task's counters of how many
+    sets hold a shingle, summed by `bits` of its hash, as SLICES compressed slices (slice, counts)."""
+    width = (1 << bits) // SLICES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
+        total, parts, held = np.zeros(1 << bits, np.int32), [], 0
+
+        def add() -> None:
+            if parts:
+                total[:] += np.bincount((np.concatenate(parts) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
+                parts.clear()
+
         for batch in batches:
             n, keys = [np.zeros(0, np.int64)], [np.zeros(0, object)]
             for _, _, data, offsets in A.blocks(batch.column(1)):
@@ -129,49 +134,53 @@ def keyed(docs: DataFrame, counted: int = COUNTED, seen: int = SEEN) -> DataFram
                 parts.append(hashes)
                 held += len(hashes)
                 if held >= counted:
-                    yield counts(parts)
-                    parts, held = [], 0
+                    add()
+                    held = 0
             rows = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(["row"] * rows, pa.string()), batch.column(0), pa.array(np.concatenate(n)), pa.array(np.concatenate(keys), pa.binary()), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64())], names=schema.names)
-        if held:
-            yield counts(parts)
-
-    schema = T.StructType([T.StructField("kind", T.StringType()), T.StructField("id", docs.schema["id"].dataType), *T.StructType.fromDDL("n long, key binary, token long, count long").fields])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n)), pa.array(np.concatenate(keys), pa.binary()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=schema.names)
+        add()
+        filled = [k for k in range(SLICES) if total[k * width : (k + 1) * width].any()]
+        # Byte plane by byte plane, which compresses well: most counters are small.
+        planes = [pa.compress(np.ascontiguousarray(total[k * width : (k + 1) * width].view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True) for k in filled]
+        rows = len(filled)
+        yield pa.RecordBatch.from_arrays([pa.nulls(rows, id_type), pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.binary()), pa.array(filled, pa.int32()), pa.array(planes, pa.binary())], names=schema.names)
+
+    schema = T.StructType([T.StructField("id", docs.schema["id"].dataType), *T.StructType.fromDDL("n long, key binary, slice int, counts binary").fields])
     id_type = to_arrow_type(docs.schema["id"].dataType)
     return docs.select("id", "text").mapInArrow(run, schema)
 
 
-class Hot:
-    """The hot shingles, ascending, and their counts."""
+#: The largest count that a byte of the sketch stands for: eight steps double it.
+_COUNT_OF = np.ceil(2.0 ** (np.arange(256) / 8)).astype(np.int64) - 1
 
-    def __init__(self, tokens: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(tokens)
-        self.tokens, self.counts = tokens[order], np.minimum(counts[order], np.iinfo(np.int32).max).astype(np.int32)
-        self.bitmap = np.zeros(1 << 22, bool)
-        self.bitmap[(tokens >> np.uint64(42)).astype(np.int64)] = True
 
-    def of(self, tokens: np.ndarray) -> np.ndarray:
-        """Counts, 0 for those that aren't hot."""
-        out = np.zeros(len(tokens), np.int32)
-        some = np.flatnonzero(self.bitmap[(tokens >> np.uint64(42)).astype(np.int64)])
-        if len(some):
-            at = np.minimum(np.searchsorted(self.tokens, tokens[some]), len(self.tokens) - 1)
-            out[some] = np.where(self.tokens[at] == tokens[some], self.counts[at], 0)
-        return out
+def sketch(found: DataFrame, bits: int) -> np.ndarray:
+    """The counters of what keyed gives, added up slice by slice, as places in _COUNT_OF: one byte for each of 2^bits."""
+    width = (1 << bits) // SLICES
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                planes = np.frombuffer(pa.decompress(raw.as_buffer(), 4 * width, codec="zstd", asbytes=True), np.uint8)
+                total[k] = total.get(k, 0) + planes.reshape(4, width).T.copy().view(np.int32).ravel().astype(np.int64)
+        codes = [np.minimum(np.searchsorted(_COUNT_OF, t), 255).astype(np.uint8).tobytes() for t in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(codes, pa.binary())], names=["slice", "codes"])
 
-def hot_shingles(found: DataFrame, bits: int = HOT_BITS, seen: int = SEEN) -> Hot:
-    """Of what keyed gives, the shingles whose count reaches total / 2^bits, and what portions could hide: at most 2^bits of them."""
-    total, portions = found.agg(F.sum("n"), F.count(F.when(F.col("kind") == "portion", 1))).first()
-    least = max((total or 0) >> bits, seen * portions, 1)
-    hot = found.where("kind = 'token'").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= least).toArrow()
-    return Hot(hot.column(0).to_numpy().astype(np.int64).view(np.uint64), hot.column(1).to_numpy().astype(np.int64))
+    rows = found.where("slice IS NOT NULL").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(add, "slice int, codes binary").collect()
+    out = np.zeros((SLICES, width), np.uint8)
+    for r in rows:
+        out[r["slice"]] = np.frombuffer(r["codes"], np.uint8)
+    return out.ravel()
 
 
-def postings(docs: DataFrame, hot, buckets: int, list_part: int = LIST_PART) -> DataFrame:
+def postings(docs: DataFrame, counts, buckets: int, list_part: int = LIST_PART) -> DataFrame:
     """The prefix shingles of every class, once a task: rows (bucket, keys, n, token, at, pos), `at` pointing into keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = counts.value
+        shift = np.uint64(64 - len(table).bit_length() + 1)
+        usual = int(np.median(_COUNT_OF[table]))
         seen: set[bytes] = set()
         for batch in batches:
             for _, _, data, offsets in A.blocks(batch.column(0)):
@@ -182,7 +191,7 @@ def postings(docs: DataFrame, hot, buckets: int, list_part: int = LIST_PART) ->
                 fresh = np.array([bool(k) and k not in seen and not seen.add(k) for k in keys], bool)
                 row = np.repeat(np.arange(len(keys)), np.diff(bounds))
                 hashes, row = hashes[fresh[row]], row[fresh[row]]
-                count = hot.value.of(hashes)
+                count = table[(hashes >> shift).astype(np.int64)]
                 order = np.lexsort((hashes, count, row))
                 hashes, row, count = hashes[order], row[order], count[order]
                 n = np.where(fresh, np.diff(bounds), 0)
@@ -190,7 +199,7 @@ def postings(docs: DataFrame, hot, buckets: int, list_part: int = LIST_PART) ->
                 keep = pos < prefix_length(n)[row]
                 token, row, pos, count = hashes[keep], row[keep], pos[keep], count[keep]
                 # Hot shingles: part s of parts goes to the cells (s, t) and (t, s) of a grid, named by a hash.
-                parts = np.maximum(1, -(-count.astype(np.int64) // list_part))
+                parts = np.maximum(1, -(-(_COUNT_OF[count] - usual) // list_part))
                 many = np.flatnonzero(parts > 1)
                 if len(many):
                     own = (A.mix(np.array([int.from_bytes(keys[r][:8], "little") for r in row[many]], np.uint64)) % parts[many].astype(np.uint64)).astype(np.int64)
@@ -339,16 +348,17 @@ def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(wanted, "key", "left_semi").groupBy("key").agg(F.any_value("text").alias("text"))
 
 
-def links(docs: DataFrame, list_part: int = LIST_PART, cell_part: int = CELL_PART, bucket_postings: int = BUCKET_POSTINGS, hub_pairs: int = HUB_PAIRS, seen: int = SEEN) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, list_part: int = LIST_PART, cell_part: int = CELL_PART, bucket_postings: int = BUCKET_POSTINGS, hub_pairs: int = HUB_PAIRS) -> tuple[DataFrame, DataFrame]:
     """docs (id, text): (id, n, key) of every row, and (node, label) of the classes that link with others."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    found, _ = written(keyed(docs, seen=seen), "classes")
-    hot = spark.sparkContext.broadcast(hot_shingles(found, seen=seen))
-    rows = found.where("kind = 'row'").select("id", "n", "key")
+    bits = sketch_bits(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    found, _ = written(keyed(docs, bits), "classes")
+    counts = spark.sparkContext.broadcast(sketch(found, bits))
+    rows = found.where("slice IS NULL").select("id", "n", "key")
     total = rows.groupBy("key").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] or 0
     buckets = max(8, total * (DEN - NUM) // DEN // bucket_postings)
-    met, _ = written(postings(docs, hot, buckets, list_part).groupBy("bucket").applyInArrow(meet, _LISTS), "lists")
+    met, _ = written(postings(docs, counts, buckets, list_part).groupBy("bucket").applyInArrow(meet, _LISTS), "lists")
     # A pair once, whichever of the two is the hub.
     once = met.where("a IS NOT NULL").groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.min("a").alias("a"))
     pairs = once.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))

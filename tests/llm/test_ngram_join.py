@@ -71,23 +71,27 @@ def test_chains_equal_brute_force(spark):
     assert got(N.near_duplicates(df)) == brute(rows)
 
 
-@pytest.mark.parametrize("limits", [{"list_part": 7}, {"cell_part": 5}, {"hub_pairs": 4}, {"list_part": 9, "cell_part": 4, "hub_pairs": 3, "bucket_postings": 100, "seen": 1}])
+@pytest.mark.parametrize("limits", [{"cell_part": 5}, {"list_part": 9, "cell_part": 4, "hub_pairs": 3, "bucket_postings": 100}])
 def test_hot_lists_in_a_grid(spark, limits):
     """Large groups of near copies, their lists, cells and hubs dealt out in small parts."""
     rows = chains(seed=3, groups=3, copies=45)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert got(N.near_duplicates(df, **{"seen": 1, **limits})) == brute(rows)
+    assert got(N.near_duplicates(df, **limits)) == brute(rows)
 
 
-def test_hot_shingles_are_counted(spark):
-    """Counts over all portions; those under the threshold of the portions aren't hot."""
+def test_sketch_counts_all_sets(spark):
+    """Every counter is the sum over all tasks, up to the step of its logarithm."""
     rows = [(i, "a b c d e" if i % 2 else f"one two three four five w{i}") for i in range(100)]
     df = spark.createDataFrame(rows, "id long, text string").repartition(4)
-    found = N.keyed(df, seen=1)
-    hot = N.hot_shingles(found, seen=1)
-    assert sorted(hot.counts.tolist()) == [50, 50]
-    assert hot.of(hot.tokens).tolist() == hot.counts.tolist() and hot.of(np.array([12345], np.uint64)).tolist() == [0]
-    assert found.where("kind = 'row'").count() == 100
+    found = N.keyed(df, 16, counted=10)
+    table = N.sketch(found, 16)
+    want = np.zeros(1 << 16, np.int64)
+    for _, t in rows:
+        data = np.frombuffer(t.encode(), np.uint8)
+        want[(N.shingle_sets(data, np.array([0, len(data)]))[0] >> np.uint64(48)).astype(np.int64)] += 1
+    got = N._COUNT_OF[table]
+    assert (got >= want).all() and (got <= 1.1 * want + 1).all() and want.max() == 50
+    assert found.where("slice IS NULL").count() == 100 and N.sketch_bits(0) == 16 and N.sketch_bits(1 << 60) == N.MOST_BITS
 
 
 def test_equal_rolling_hashes_are_told_apart(spark):

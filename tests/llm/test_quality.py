@@ -45,6 +45,35 @@ def test_empty_table_and_clashing_columns(spark, docs, empty):
     assert Q.ledger(clash).schema["n_words"].dataType.simpleString() == "bigint"
 
 
+def test_labelled_junk_goes_and_the_rest_stays(spark):
+    """Recall on documents labelled as junk, and what the rules beyond the base take of the others."""
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality").distinct()
+    book = Q.ledger(spark.read.parquet(f"{d}/documents.parquet")).join(labels, "doc_id")
+    judged = book.select("quality", Q.passes(Q.CURRENT).alias("kept"), Q.passes(Q.BASE).alias("base")).collect()
+    junk, good = [r for r in judged if not r.quality], [r for r in judged if r.quality]
+    assert len(junk) > 20 and sum(not r.kept for r in junk) >= 0.98 * len(junk)
+    assert len(good) > 100 and sum(r.base and not r.kept for r in good) <= 0.005 * len(good)
+
+
+def test_equal_rolling_hashes_are_told_apart():
+    """Complementary Thue-Morse lines share every polynomial hash modulo a power of two; neither repeats the other."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for text in (f"{word}\n{other}", f"{word} x y {other} x y", f"{word}\n{word}"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        got = Q.measure_block(data, np.array([0, len(data)]))
+        assert {m: int(got[m][0]) for m in Q.MEASURES} == plain(text)
+
+
+def test_string_hash_takes_every_byte():
+    texts = [b"", b"a", b"a\0", b"\0a", b"abcdefgh", b"abcdefghi", b"abcdefgh\0", b"x" * 64, b"x" * 65, b"x" * 64 + b"y", b"x" * 200]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    assert len(set(A.string_hash(data, ends - [len(t) for t in texts], ends).tolist())) == len(texts)
+
+
 def test_kernels():
     data = np.frombuffer("ab ab ab cd".encode(), np.uint8)
     w = A.Words(data, np.array([0, 5, len(data)]), A.SPACED, lower=True)
