@@ -371,6 +371,8 @@ def links(docs: DataFrame, list_part: int = LIST_PART, cell_part: int = CELL_PAR
     mixed = labelled.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("list")
     cells = labelled.join(mixed, "list", "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = cells.select("list", "key", "n", "pos", "part", "label", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    # Dealt anew, over all tasks: by the list alone, as the join leaves them, all cells of a list would stay in one.
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "list", "low", "high")
     more = dealt.groupBy("list", "low", "high").applyInArrow(across, "a binary, b binary")
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
