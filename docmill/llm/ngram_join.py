@@ -273,7 +273,7 @@ def meet(group: pa.Table) -> pa.Table:
 
 def across(group: pa.Table) -> pa.Table:
     """A cell of a list, one part or two: pairs of different labels that pass the filters, of two parts only those between them."""
-    label = np.unique(np.array(group.column("label").to_pylist(), object), return_inverse=True)[1]
+    label = group.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
     n, pos, part = (group.column(c).to_numpy() for c in ("n", "pos", "part"))
     key = group.column("key").combine_chunks()
     left, right = np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())
@@ -376,7 +376,9 @@ def links(docs: DataFrame, list_part: int = LIST_PART, cell_part: int = CELL_PAR
     more = dealt.groupBy("list", "low", "high").applyInArrow(across, "a binary, b binary")
     more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second, _ = written(verified(more.join(tried, ["a", "b"], "left_anti"), texts, hub_pairs), "links")
+    # Written first, as verified reads its pairs twice.
+    fresh, new = written(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+    second, two = written(verified(fresh, texts, hub_pairs), "links")
     if second.isEmpty():
         return rows, labels
     joined = labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(second.select(F.col("a").alias("u"), F.col("b").alias("v")))
