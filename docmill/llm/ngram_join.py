@@ -38,7 +38,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from docmill.llm import arrays as A
 from docmill.llm.components import components
-from docmill.llm.shared import bounded_batches, written
+from docmill.llm.shared import bounded_batches, drop, written
 
 WORDS = 5
 #: The similarity as a fraction.
@@ -358,14 +358,14 @@ def links(docs: DataFrame, list_part: int = LIST_PART, cell_part: int = CELL_PAR
     rows = found.where("slice IS NULL").select("id", "n", "key")
     total = rows.groupBy("key").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] or 0
     buckets = max(8, total * (DEN - NUM) // DEN // bucket_postings)
-    met, _ = written(postings(docs, counts, buckets, list_part).groupBy("bucket").applyInArrow(meet, _LISTS), "lists")
+    met, lists = written(postings(docs, counts, buckets, list_part).groupBy("bucket").applyInArrow(meet, _LISTS), "lists")
     # A pair once, whichever of the two is the hub.
     once = met.where("a IS NOT NULL").groupBy(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).agg(F.min("a").alias("a"))
     pairs = once.select("a", F.when(F.col("a") == F.col("low"), F.col("high")).otherwise(F.col("low")).alias("b"))
     opened = opened_lists(met.where("list IS NOT NULL").select("list", "keys", "n", "pos"), cell_part)
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(opened.select("key")).distinct()
-    texts, _ = written(class_texts(docs, wanted), "texts")
-    first, _ = written(verified(pairs, texts, hub_pairs), "links")
+    texts, kept = written(class_texts(docs, wanted), "texts")
+    first, one = written(verified(pairs, texts, hub_pairs), "links")
     labels, _ = written(components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
     labelled = opened.join(labels, opened["key"] == labels["node"], "left").select("list", "key", "n", "pos", "part", "parts", F.coalesce("label", "key").alias("label"))
     mixed = labelled.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("list")
@@ -379,10 +379,12 @@ def links(docs: DataFrame, list_part: int = LIST_PART, cell_part: int = CELL_PAR
     # Written first, as verified reads its pairs twice.
     fresh, new = written(more.join(tried, ["a", "b"], "left_anti"), "pairs")
     second, two = written(verified(fresh, texts, hub_pairs), "links")
-    if second.isEmpty():
-        return rows, labels
-    joined = labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(second.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return rows, written(components(joined), "labels")[0]
+    if not second.isEmpty():
+        joined = labels.select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(second.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        labels, _ = written(components(joined), "labels")
+    for path in (lists, kept, one, new, two):  # nothing reads them any more
+        drop(spark, path)
+    return rows, labels
 
 
 def opened_lists(lists: DataFrame, part: int) -> DataFrame:
