@@ -108,6 +108,14 @@ def unique_images(images: DataFrame, key: str, *order: str) -> DataFrame:
     return images.groupBy(key, F.md5("content").alias("hash")).agg(F.min_by(F.struct(*[c for c in images.columns if c != key]), F.struct(*order)).alias("__i")).select(key, "hash", "__i.*")
 
 
+def answered_files(files: DataFrame, stored: DataFrame, model: Model, key: str = "storage_path", text: str = "text") -> DataFrame:
+    """files (key, text) that stored doesn't have, with the model's output and status; an empty text has an empty output, and no answer is an error."""
+    new = files.join(stored.select(key).distinct(), key, "left_anti")
+    blank = F.trim(F.coalesce(F.col(text), F.lit(""))) == ""
+    out = new.withColumn("output", F.when(blank, "").otherwise(model(F.col(text))))
+    return out.withColumn("status", F.when(F.col("output").isNull(), "error").otherwise("success"))
+
+
 def law_text(*ways: Column) -> Column:
     """The articles of the first way that found any."""
     return F.coalesce(*[F.when(F.size(w) > 0, w) for w in ways])

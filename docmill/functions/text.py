@@ -166,9 +166,23 @@ def absolute(href: Column, page: Column) -> Column:
         .when(href.startswith("#") | href.startswith("?"), F.concat(F.regexp_replace(page, "#.*$", ""), href))
         .otherwise(F.concat(beside, href))
     )
-    for _ in range(8):  # a/../ and ./, as deep as addresses go
-        full = F.regexp_replace(F.regexp_replace(full, r"(?<=/)\./", ""), r"(?<=[^/])/(?!\.\./)[^/?#]+/\.\./", "/")
-    return full
+    return _without_dots(full)
+
+
+def _without_dots(url: Column) -> Column:
+    """`.` and `..` in a path resolved, however many; those above the root stay."""
+    whole = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/|[^/?#]*/)([^?#]*)(.*)$"
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        up = (part == "..") & (F.size(done) > 0) & (F.element_at(done, -1) != "..")
+        return F.when(part == ".", done).when(up, F.slice(done, 1, F.size(done) - 1)).otherwise(F.concat(done, F.array(part)))
+
+    path = F.regexp_extract(url, whole, 2)
+    # A dot at the end leaves the folder.
+    parts = F.split(F.regexp_replace(path, r"(^|/)(\.\.?)$", "$1$2/"), "/")
+    clean = F.array_join(F.aggregate(parts, none, step), "/")
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(F.regexp_extract(url, whole, 1), clean, F.regexp_extract(url, whole, 3))).otherwise(url)
 
 
 def url_slug(url: Column) -> Column:
@@ -238,22 +252,29 @@ def file_name_download(url: Column) -> Column:
     return F.when(F.lower(name).endswith(".pdf"), name).otherwise(F.concat(name, F.lit(".pdf")))
 
 
+# Fixed value: how a decree's title names its date and number.
+_DECREE = r"(?i)(\d{1,2})\s+(\w+)\s+(\d{4}),?\s*n\.?\s*(\d+)"
+
+
 def decree_name(title: Column) -> Column:
     """dlgs_DD_month_YYYY_n_N.txt from a title that names date and number, else its cleaned text."""
-    pattern = r"(?i)(\d{1,2})\s+(\w+)\s+(\d{4}),?\s*n\.?\s*(\d+)"
-    part = lambda k: F.regexp_extract(title, pattern, k)
+    part = lambda k: F.regexp_extract(title, _DECREE, k)
     exact = F.concat(F.lit("dlgs_"), F.lpad(part(1), 2, "0"), F.lit("_"), F.lower(part(2)), F.lit("_"), part(3), F.lit("_n_"), part(4), F.lit(".txt"))
     rest = F.nullif(F.left(trim_set(F.regexp_replace(F.regexp_replace(title, "[^A-Za-z0-9_-]", "_"), "__+", "_"), "_"), F.lit(100)), F.lit(""))
     return F.when(part(4) != "", exact).otherwise(F.concat(F.lit("dlgs_"), rest, F.lit(".txt")))
 
 
+# The prefix of an author line, names glued by "e", a contribution glued to its name, and names joined by "e".
+_BY, _GLUED, _CONTRIBUTION, _AND = r"^di\s*", r"(\w)e([A-Z])", "(contributo di)([A-Z])", r"\s+e\s+"
+
+
 def author_detail(author: Column) -> Column:
-    spaced = F.regexp_replace(F.regexp_replace(author, r"^di\s*", ""), r"(\w)e([A-Z])", "$1 e $2")
-    return F.regexp_replace(spaced, "(contributo di)([A-Z])", "$1 $2")
+    spaced = F.regexp_replace(F.regexp_replace(author, _BY, ""), _GLUED, "$1 e $2")
+    return F.regexp_replace(spaced, _CONTRIBUTION, "$1 $2")
 
 
 def author_list(author: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(author, r"^di\s*", ""), r"\s+e\s+", ", "), r"\s+", " ")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(author, _BY, ""), _AND, ", "), r"\s+", " ")
 
 
 def title_join(title: Column, subtitle: Column) -> Column:

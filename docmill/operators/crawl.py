@@ -27,6 +27,11 @@ def inside(url: Column, base: str) -> Column:
     return url.startswith(base)
 
 
+def followed(url: Column, base: str, rule) -> Column:
+    """Links that stay on the site and meet an archive's rule."""
+    return inside(url, base) & rule(url)
+
+
 def follow_bulletin(url: Column) -> Column:
     low = F.lower(url)
     return low.contains("circolari") & ~has_any(low, BULLETINS_NOT)

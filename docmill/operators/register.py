@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docmill.functions import markup
 from docmill.functions import text as X
 from docmill.functions import values as V
 
@@ -32,6 +33,15 @@ def extracted(pages: DataFrame, text: str = "text") -> DataFrame:
     return pages.withColumns(found)
 
 
+def page_records(pages: DataFrame, html: str = "html") -> DataFrame:
+    """pages with the register's fields and `telefono`, read by place in the page; by pattern alone where it has no main block."""
+    box = pages.withColumn("__box", markup.register_box(html)).withColumn("__lines", F.col("__box.lines"))
+    name = F.nullif(F.left(F.trim(F.regexp_replace("__box.name", r"^[Ii]scritto\s*:?\s*", "")), F.lit(200)), F.lit(""))
+    found = extracted(box, "__lines")
+    office = F.coalesce(F.left("__box.address", F.lit(200)), F.col("sede_studio"))
+    return found.withColumns({"nome_completo": F.coalesce(name, "nome_completo"), "sede_studio": office, "telefono": F.coalesce("__box.phone", F.lit(""))}).drop("__box", "__lines")
+
+
 def pager_total(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"di\s+(\d+)", 1), F.lit("")).cast("int")
 
@@ -62,6 +72,11 @@ def cleaned(records: DataFrame, upper: str = "revisore_contabile", dates: tuple[
     return records.where(some).withColumns(out)
 
 
+def built(pages: DataFrame, html: str, *order: str) -> DataFrame:
+    """The register from its pages: fields read by place, cleaned, rows without a name and an order left out, the first of each name, order and birth kept."""
+    return keep_first(cleaned(page_records(pages, html).drop(html)), ["nome_completo", "ordine", "data_nascita"], *order)
+
+
 def statistics(records: DataFrame) -> DataFrame:
     """One row of counts over the register."""
     filled = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c))

@@ -168,9 +168,18 @@ def chunk_token_greedy(spark, d):
     return docs.select("doc_id", F.posexplode(chunks).alias("ordinal", "chunk")).select("doc_id", "ordinal", F.md5("chunk").alias("chunk"))
 
 
-@query()
+_VECTOR = r"list_transform(range(16), lambda i: len(list_filter(regexp_extract_all(lower({0}), '[a-z0-9]+'), lambda t: md5(t)[1] = substr('0123456789abcdef', (i + 1)::INTEGER, 1)))::DOUBLE)"
+_DOT = "list_sum(list_transform(range(16), lambda z: {0}[z + 1] * {1}[z + 1]))"
+
+
+@query(rf"""WITH RECURSIVE p AS (SELECT doc_id, parts, {_WORDS_OF_PARTS} AS n, list_transform(parts, lambda p: {_VECTOR.format('p')}) AS counts FROM (SELECT doc_id, {_PARTS} AS parts FROM documents) WHERE len(parts) > 0),
+u AS (SELECT doc_id, parts, n, list_transform(counts, lambda c: CASE WHEN list_sum(c) > 0 THEN list_transform(c, lambda x: x / sqrt({_DOT.format('c', 'c')})) ELSE c END) AS v FROM p),
+f AS (SELECT doc_id, 1 AS i, parts[1] AS now, n[1] AS words, v[1] AS mean, 1 AS k, 0 AS ordinal, NULL::VARCHAR AS done, parts, n, v FROM u
+UNION ALL SELECT doc_id, i + 1, CASE WHEN grow THEN now || chr(10) || parts[i + 1] ELSE parts[i + 1] END, CASE WHEN grow THEN words + n[i + 1] ELSE n[i + 1] END,
+  CASE WHEN grow THEN list_transform(range(16), lambda j: (mean[j + 1] * (k + 1) + v[i + 1][j + 1]) / (k + 2)) ELSE v[i + 1] END, CASE WHEN grow THEN k + 1 ELSE 1 END, CASE WHEN grow THEN ordinal ELSE ordinal + 1 END, CASE WHEN grow THEN NULL ELSE now END, parts, n, v
+  FROM (SELECT *, floor((words + n[i + 1]) / 1.33::DOUBLE) <= 100 AND (floor(words / 1.33::DOUBLE) < 30 OR (size > 0 AND {_DOT.format('mean', 'v[i + 1]')} / size >= 0.6)) AS grow FROM (SELECT *, sqrt({_DOT.format('mean', 'mean')}) * sqrt({_DOT.format('v[i + 1]', 'v[i + 1]')}) AS size FROM f WHERE i < len(parts))))
+SELECT doc_id, (ordinal - 1)::INTEGER AS ordinal, done AS chunk FROM f WHERE done IS NOT NULL UNION ALL SELECT doc_id, ordinal::INTEGER, now FROM f WHERE i = len(parts)""")
 def chunk_semantic(spark, d):
-    """Held against a plain fold in the tests: hashed vectors have no counterpart in SQL."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     parts = chunking.paragraphs(F.col("text"), "\n")
     chunks = chunking.semantic(parts, V.hashed_vectors(parts), 30, 100, 0.6, "\n")
@@ -612,3 +621,17 @@ def source_hints(spark, d):
     number = F.col("page_id").cast("string")
     prefix = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("a"), number)).otherwise(F.concat(F.lit("b"), number, F.lit("/c/d")))
     return table(spark, d, "pages").select("page_id", ingest.source_hint(prefix).alias("hint"))
+
+
+@query("""SELECT min(c_custkey) AS c_custkey, c_mktsegment AS nome_completo, n_name AS ordine, '01/02/1970' AS data_nascita, 'SI' AS revisore_contabile, left(c_mktsegment, 1) AS sezione, 'Via ' || c_nationkey AS sede_studio, '059' || c_nationkey AS telefono
+FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 10 <> 0 GROUP BY c_mktsegment, n_name, c_nationkey""")
+def register_pipeline(spark, d):
+    """Register pages made of the customers, every tenth without a record, read, cleaned and each person kept once."""
+    people = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    nation = F.col("c_nationkey").cast("string")
+    html = F.concat(
+        F.lit("<div id='main-content'><h2><i class='fa fa-user'></i> Iscritto "), "c_mktsegment", F.lit("</h2><div class='box-avvisi row row-evento'><div><p>Ordine di: "), "n_name", F.lit(" </p></div><div><p>Nato a: Roma il: 01/02/1970</p><p>Revisore contabile: si </p></div><div><p>Sezione: "),
+        F.left("c_mktsegment", F.lit(1)), F.lit("</p></div><div><strong><i class='fa fa-map-marker'></i> Via  "), nation, F.lit("<i class='fa fa-phone'></i> 059 "), nation, F.lit("</strong></div></div></div>"),
+    )
+    pages = people.select("c_custkey", F.when(F.col("c_custkey") % 10 == 0, "<p>Nothing here</p>").otherwise(html).alias("html"))
+    return register.built(pages, "html", "c_custkey").select("c_custkey", "nome_completo", "ordine", "data_nascita", "revisore_contabile", "sezione", "sede_studio", "telefono")

@@ -105,6 +105,21 @@ def write_absent(df: DataFrame, path: str, key: str) -> DataFrame:
     return new
 
 
+def write_mark(spark: SparkSession, path: str, key: str) -> None:
+    """The key of the last entry done, for resumed() of a later run; an older one is replaced."""
+    spark.createDataFrame([(key,)], "value string").write.mode("overwrite").text(path)
+
+
+def read_mark(spark: SparkSession, path: str) -> str | None:
+    """The key written last; null where none was."""
+    try:
+        return next((r["value"] for r in spark.read.text(path).head(1)), None)
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
+
+
 def failure_report(outcomes: DataFrame, path: str) -> int:
     """`file | step | error` lines of the failed files; an older report is replaced, or emptied if nothing failed."""
     failed = outcomes.where("outcome = 'failed'").select(F.concat_ws(" | ", "storage_path", "step", "message").alias("value"))

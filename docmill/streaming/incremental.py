@@ -29,6 +29,24 @@ def load_new(spark: SparkSession, source: str, schema, target: str, checkpoint:
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def delivered(stream: DataFrame, send: Callable[[DataFrame], None], failed: str, checkpoint: str, attempts: int = 3) -> StreamingQuery:
+    """Every micro-batch sent, again where sending fails; one that fails `attempts` times is written to `failed` with its error, and the next follows.
+
+    A batch counts as done once it is sent or written there, so a restart repeats at most the batch at hand; send must bear repetition.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
+        error: Exception | None = None
+        for _ in range(attempts):
+            try:
+                return send(df)
+            except Exception as e:
+                error = e
+        df.withColumn("batch", F.lit(number)).withColumn("error", F.lit(str(error)[:1000])).write.mode("append").parquet(failed)
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def first_seen(stream: DataFrame, keys: list[str], time: str, within: str = "1 day") -> DataFrame:
     """Rows whose keys weren't seen within the time; state is dropped behind the watermark."""
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, within).dropDuplicatesWithinWatermark(keys)

@@ -1,7 +1,7 @@
+import hashlib
 import math
 import random
 import re
-import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,7 +97,7 @@ def greedy_plain(parts, low, high):
 def vector(t):
     v = [0.0] * 16
     for w in re.findall("[a-z0-9]+", t.lower()):
-        v[zlib.crc32(w.encode()) % 16] += 1
+        v[int(hashlib.md5(w.encode()).hexdigest()[0], 16)] += 1
     n = math.sqrt(sum(x * x for x in v))
     return [x / n for x in v] if n else v
 

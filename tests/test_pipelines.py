@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from docmill.functions import adapters, markup, office
 from docmill.functions import text as X
 from docmill.functions import values as V
-from docmill.operators import answer, crawl, ingest, laws, load, retrieval
+from docmill.operators import answer, crawl, ingest, laws, load, register, retrieval
 from docmill.sources import tables
+from docmill.streaming import incremental
 
 W, S, P, R = (f'xmlns:{k}="urn:{k}"' for k in "wspr")
 
@@ -153,6 +154,7 @@ def test_small_predicates_and_projections(spark):
     value = lambda c: one.select(c.alias("v")).first().v
     assert [value(crawl.not_found(F.lit(t))) for t in ("Pagina NON TROVATA", "Notizie")] == [True, False]
     assert [value(crawl.is_category(F.lit(t))) for t in ("/docs/12-leggi-tributi", "/docs/leggi", "/docs/12-leggi?x")] == [True, False, False]
+    assert [value(crawl.followed(F.lit(u), "https://h.it", crawl.follow_resolution)) for u in ("https://h.it/risoluzioni/1", "https://k.it/risoluzioni/1", "https://h.it/altro")] == [True, False, False]
     assert [value(ingest.source_hint(F.lit(t))) for t in ("a/b/c", "a")] == ["a", None]
     assert [value(laws.not_published(F.lit(t))) for t in (f"x {laws.NOT_PUBLISHED} y", "x")] == [True, False]
     assert value(X.target_path(F.lit("a"), F.lit(None).cast("string"), F.lit("b.pdf"))) == "a/b.pdf" and value(X.one_space(F.lit(" a \t b\n"))) == "a b"
@@ -174,3 +176,69 @@ def test_rerank_and_pages_of_a_category(spark):
     assert sorted(r.page for r in ingest.stop_after_idle(listing, "category", "page").collect()) == [0, 1, 2, 3, 4]
     page = '<ul><li class="pager next"><a href="/list?page=2">2</a></li></ul>'
     assert spark.createDataFrame([(page,)], "h string").select(markup.next_page(F.col("h")).alias("n")).first().n == "/list?page=2"
+
+
+def test_article_cards_and_details(spark):
+    listing = """<div class="aprev big"><span class="meta-part subsection">Temi</span><h3 class="aprev-title"><a href="/art/x-1">A long enough title</a></h3><p class="aprev-excerpt">Opening.</p><p class="auth">di Anna e Carlo</p>
+      <time class="time" datetime="2024-05-06">6 maggio</time><div class="aprev-rel-item"><a href="/art/y">Related piece</a><a href="/z">tiny</a></div></div>
+      <div class="archcard"><h3>Archived long title</h3><p>First paragraph</p><a href="#top">x</a></div><div class="aprev"><h3 class="aprev-title">short</h3></div><div class="aprev"><h3 class="aprev-title">A long enough title</h3></div>"""
+    page = '<h1>Main</h1><h2 class="asummary">Sub</h2><p class="atabs-txt">Other</p><span class="subsection">Sec</span><p class="byline">di Anna RossieCarlo</p><time>oggi</time>'
+    rows = spark.createDataFrame([(1, listing), (2, page), (3, "<h1>Pagina non trovata</h1>"), (4, None)], "i int, html string")
+    out = {r.i: r for r in rows.select("i", markup.article_cards("html").alias("c"), markup.article_details("html").alias("d")).collect()}
+    assert [tuple(c) for c in out[1].c] == [
+        ("A long enough title", "Temi", "Opening.", "di Anna e Carlo", "2024-05-06", "/art/x-1", ["Related piece"]), ("Archived long title", None, "First paragraph", None, None, None, None),
+    ]
+    assert tuple(out[2].d) == ("Main", "Sub", "Other", "Sec", "di Anna RossieCarlo", "oggi")
+    assert out[3].d.title is None and out[4].d.title is None and out[4].c is None
+
+
+def test_register_by_place(spark):
+    box = """<div id="main-content"><h2><i class="fa fa-user"></i> Iscritto  ROSSI ANNA</h2><div class="box-avvisi row row-evento"><div><p>Ordine di: Modena</p></div><div><p>Nato a: Roma il: 01/02/1970</p><p>Titolo professionale: Dottore</p><p>Revisore contabile: Si</p></div>
+      <div><p>Data anzianità: 03/04/2000</p><p>Iscritto all'Albo: 05/06/2001</p><p>Sezione: A</p></div><div><strong><i class="fa fa-map-marker"></i> VIA ROMA 17 <b>41121</b> (MO) <i class="fa fa-phone"></i> 059 551605 <br/></strong></div></div><p>Data ultima modifica: 07/08/2020</p></div>"""
+    plain = "<p>Iscritto: BIANCHI CARLO</p><p>Ordine di: Roma</p><p>Sede studio: Via Po 1</p>"
+    rows = spark.createDataFrame([(1, box), (2, plain), (3, None)], "i int, html string")
+    out = {r.i: r.asDict() for r in register.page_records(rows).collect()}
+    want = {"nome_completo": "ROSSI ANNA", "luogo_nascita": "Roma", "data_nascita": "01/02/1970", "ordine": "Modena", "data_anzianita": "03/04/2000", "titolo_professionale": "Dottore", "revisore_contabile": "Si", "data_iscrizione": "05/06/2001", "sezione": "A", "sede_studio": "VIA ROMA 17 41121 (MO)", "telefono": "059551605", "data_modifica": "07/08/2020"}
+    assert {k: out[1][k] for k in want} == want
+    assert (out[2]["nome_completo"], out[2]["ordine"], out[2]["sede_studio"], out[2]["telefono"]) == ("BIANCHI CARLO", "Roma", "Via Po 1", "")
+    assert out[3]["nome_completo"] in ("", None)
+
+
+def test_any_number_of_dots(spark):
+    deep = "https://h/" + "a/" * 12 + "x.html"
+    cases = [("../" * 12 + "y.pdf", deep, "https://h/y.pdf"), ("./z", deep, "https://h/" + "a/" * 12 + "z"), ("/p/./q/../r?x=../s", deep, "https://h/p/r?x=../s"), ("..", "https://h/a/b/c", "https://h/a/"), ("https://k/plain", deep, "https://k/plain")]
+    df = spark.createDataFrame(cases, "href string, page string, want string")
+    for r in df.select("*", X.absolute(F.col("href"), F.col("page")).alias("got")).collect():
+        assert r.got == r.want
+
+
+def test_marks_and_model_files(spark, tmp_path):
+    mark = str(tmp_path / "mark")
+    assert tables.read_mark(spark, mark) is None
+    for key in ("k1", "k2"):
+        tables.write_mark(spark, mark, key)
+    listing = spark.createDataFrame([("k1", 1), ("k2", 2), ("k3", 3)], "key string, pos int")
+    assert [r.key for r in ingest.resumed(listing, "key", tables.read_mark(spark, mark), "pos").orderBy("pos").collect()] == ["k2", "k3"]
+    files = spark.createDataFrame([("a", "x"), ("b", " "), ("c", "bad"), ("d", "old")], "storage_path string, text string")
+    out = adapters.answered_files(files, files.where("text = 'old'"), lambda t: F.when(t != "bad", F.upper(t)))
+    assert {r.storage_path: (r.output, r.status) for r in out.collect()} == {"a": ("X", "success"), "b": ("", "success"), "c": (None, "error")}
+
+
+def test_batches_are_sent_again(spark, tmp_path):
+    schema = "i int"
+    for k in range(2):
+        spark.createDataFrame([(k,)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    tries: list[int] = []
+
+    def send(df):
+        tries.append(1)
+        if len(tries) == 1:
+            raise RuntimeError("once")
+        if df.where("i = 1").count():
+            raise RuntimeError("always")
+        df.write.mode("append").parquet(str(tmp_path / "out"))
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    incremental.delivered(stream, send, str(tmp_path / "failed"), str(tmp_path / "state")).awaitTermination()
+    assert [r.i for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [0]
+    assert [(r.i, r.error) for r in spark.read.parquet(str(tmp_path / "failed")).collect()] == [(1, "always")]
