@@ -1,6 +1,6 @@
 """The queries opN_<name> of this subpackage, and SQL for those that SQL can express."""
 
-from docmill.llm import decontaminate, language, mixing, ngram_join, pii, quality, secrets, substrings, tokens, urls
+from docmill.llm import decontaminate, infill, language, mixing, ngram_join, pii, quality, secrets, substrings, tokens, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
     "op10_url_filters": urls.op10_url_filters,
+    "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
 
 ORACLE_SQL = {
@@ -21,4 +22,5 @@ ORACLE_SQL = {
     "op8_decontamination": decontaminate.SQL,
     "op9_mixing": mixing.SQL,
     "op10_url_filters": urls.SQL,
+    "op13_fill_in_middle": infill.SQL,
 }
