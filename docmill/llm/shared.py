@@ -29,9 +29,14 @@ def drop(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def folder(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/docmill-{what}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder, read again, and its path: lost executors cost no more than a new read of it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/docmill-{what}-{uuid.uuid4().hex}"
+    path = folder(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
