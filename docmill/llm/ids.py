@@ -90,6 +90,19 @@ class SentencePieceFile(Library):
     def token_bytes(self) -> list[bytes]:
         return [bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(self.pieces)]
 
+    def altered(self) -> set[str] | None:
+        """The characters that its ids don't give back; None where texts may be altered in other ways, or merges pass a space behind a non-space."""
+        if any("▁" in p.lstrip("▁") for p in self.pieces) or not all(self.library.piece_to_id(f"<0x{b:02X}>") != self.library.unk_id() for b in range(256)):
+            return None
+        out: set[str] = set()
+        every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and c != 0x20]
+        for at in range(0, len(every), 1 << 14):
+            some = every[at : at + (1 << 14)]
+            if self.library.normalize("".join(some)) == "▁" + "".join(some) and "▁" not in some:
+                continue
+            out |= {c for c in some if c == "▁" or self.library.normalize(c) != "▁" + c}
+        return out if len(out) < 1000 and self.library.normalize("a  b ") == "▁a▁▁b▁" else None
+
 
 class Cache:
     """Ids of texts by a library.  spaced: texts are read with a space before them."""

@@ -1,6 +1,6 @@
 """The queries opN_<name> of this subpackage, and SQL for those that SQL can express."""
 
-from docmill.llm import decontaminate, infill, language, mixing, ngram_join, pii, quality, secrets, substrings, token_files, tokens, urls
+from docmill.llm import alignment, decontaminate, infill, language, mixing, ngram_join, pii, quality, secrets, substrings, token_files, tokens, urls
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_mixing": mixing.op9_mixing,
     "op10_url_filters": urls.op10_url_filters,
+    "op11_cross_tokenizer": alignment.op11_cross_tokenizer,
     "op12_token_files": token_files.op12_token_files,
     "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
@@ -23,6 +24,7 @@ ORACLE_SQL = {
     "op8_decontamination": decontaminate.SQL,
     "op9_mixing": mixing.SQL,
     "op10_url_filters": urls.SQL,
+    "op11_cross_tokenizer": alignment.op11_cross_tokenizer,
     "op12_token_files": token_files.op12_token_files,
     "op13_fill_in_middle": infill.SQL,
 }
