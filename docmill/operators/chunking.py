@@ -29,6 +29,11 @@ def _estimate(words: Column) -> Column:
     return F.floor(words / F.lit(1.33)).cast("int")
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value made once: an expression given to a lambda several times would be computed for each call of it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _joined(parts: Column, starts: Column, joiner: str) -> Column:
     """The parts between one start and the next, as texts."""
     ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(parts)))
@@ -48,7 +53,7 @@ def greedy(parts: Column, low: int = MIN_TOKENS, high: int = MAX_TOKENS, joiner:
         starts = F.when(grow, s["starts"]).otherwise(F.concat(s["starts"], F.array(s["at"])))
         return F.struct(starts.alias("starts"), (s["at"] + 1).alias("at"), (F.when(grow, s["words"]).otherwise(0) + n).alias("words")).cast(kind)
 
-    return _joined(parts, F.aggregate(F.transform(parts, X.n_words), start, step, lambda s: s["starts"]), joiner)
+    return _bound(parts, lambda p: _joined(p, F.aggregate(F.transform(p, X.n_words), start, step, lambda s: s["starts"]), joiner))
 
 
 def semantic(parts: Column, vectors: Column, low: int = MIN_TOKENS, high: int = MAX_TOKENS, likeness: float = LIKENESS, joiner: str = "\n\n") -> Column:
@@ -57,8 +62,6 @@ def semantic(parts: Column, vectors: Column, low: int = MIN_TOKENS, high: int =
     """
     kind = "struct<starts: array<int>, at: int, words: int, mean: array<double>, n: int>"
     start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"), F.lit(0).alias("words"), F.array().cast("array<double>").alias("mean"), F.lit(0).alias("n")).cast(kind)
-    items = F.arrays_zip(F.transform(parts, X.n_words).alias("words"), vectors.alias("v"))
-
     def step(s: Column, item: Column) -> Column:
         vector = item["v"]
         fits = _estimate(s["words"] + item["words"]) <= high
@@ -70,7 +73,11 @@ def semantic(parts: Column, vectors: Column, low: int = MIN_TOKENS, high: int =
         words = F.when(merge, s["words"]).otherwise(0) + item["words"]
         return F.struct(starts.alias("starts"), (s["at"] + 1).alias("at"), words.alias("words"), F.when(merge, mean).otherwise(vector).alias("mean"), F.when(merge, n).otherwise(1).alias("n")).cast(kind)
 
-    return _joined(parts, F.aggregate(items, start, step, lambda s: s["starts"]), joiner)
+    def cut(b: Column) -> Column:
+        items = F.arrays_zip(F.transform(b["parts"], X.n_words).alias("words"), b["vectors"].alias("v"))
+        return _joined(b["parts"], F.aggregate(items, start, step, lambda s: s["starts"]), joiner)
+
+    return _bound(F.struct(parts.alias("parts"), vectors.alias("vectors")), cut)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -111,18 +118,20 @@ def split_oversized(text: Column, most: int = CHUNK_BYTES) -> Column:
 
 def chunked(df: DataFrame, mode: str = "semantic", text: str = "text", separator: str = "\n\n", low: int = MIN_TOKENS, high: int = MAX_TOKENS, likeness: float = LIKENESS, most: int = CHUNK_BYTES, vectors=V.hashed_vectors) -> DataFrame:
     """df exploded into (…, ordinal, chunk).  mode: semantic (token rule alone above 800 paragraphs), greedy, or whole."""
-    parts = paragraphs(F.col(text), separator)
-    joiner = separator
+    # Columns of their own, so that neither is made twice.
+    df = df.withColumn("__parts", paragraphs(F.col(text), separator))
+    parts, joiner = F.col("__parts"), separator
     if mode == "whole":
         chunks = F.filter(F.array(F.col(text)), lambda t: F.trim(t) != "")
     elif mode == "greedy":
         chunks = greedy(parts, low, high, joiner)
     else:
-        alike = semantic(parts, vectors(parts), low, high, likeness, joiner)
+        df = df.withColumn("__vectors", vectors(parts))
+        alike = semantic(parts, F.col("__vectors"), low, high, likeness, joiner)
         chunks = F.when(F.size(parts) <= 1, parts).when(F.size(parts) > MANY_PARAGRAPHS, greedy(parts, low, high, joiner)).otherwise(alike)
-    whole = df.select(*[c for c in df.columns if c != text], F.posexplode(chunks).alias("merged", "part"))
+    keys = [c for c in df.columns if c not in (text, "__parts", "__vectors")]
+    whole = df.select(*keys, F.posexplode(chunks).alias("merged", "part"))
     cut = whole.select(*[c for c in whole.columns if c != "part"], F.posexplode(split_oversized(F.col("part"), most)).alias("cut", "chunk"))
-    keys = [c for c in df.columns if c != text]
     if not keys:
         return cut.select("merged", "cut", "chunk")
     before = F.row_number().over(Window.partitionBy(*keys).orderBy("merged", "cut")) - 1
