@@ -18,9 +18,20 @@ import numpy as np
 
 from docmill.llm.tokens import _EDGE, _UNSAFE
 
-CACHE_PIECES = 1 << 19
+CACHE_PIECES = 1 << 20
 #: Pieces that go to the library as one text, and longer ones that aren't cached.
 JOINED, CACHED_CHARS = 256, 256
+#: Words of Latin letters with ASCII marks behind them, single line ends between: their split by the
+#: byte-level pattern is plain (letters, marks, line ends), whatever follows a space.
+_LATIN, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r'!"#$%&()*+,\-./:;<=>?@\[\]^_`{|}~\\'
+_PLAIN = re.compile(f"[{_LATIN}]+[{_MARKS}]*(?:\n[{_LATIN}]+[{_MARKS}]*)*")
+_RUNS = re.compile(f"[{_LATIN}]+|[{_MARKS}]+|\n")
+
+
+def _alphabet() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for what follows from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in set(shown))}
 
 
 class Library:
@@ -61,14 +72,32 @@ class TokenizersFile(Library):
         if added and not plain:
             self.special = re.compile("|".join(re.escape(t["content"]) for t in sorted(added, key=lambda t: -len(t["content"]))))
         self.added = {t["content"]: t["id"] for t in added}
+        self.model = self.library.model
+        alphabet = _alphabet()
+        self.shown = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in range(0x250)}
 
     def encode(self, texts: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, words: Sequence[str]) -> list[list[int] | None]:
+        """Ids of each word behind a space, by the library's model alone, None for words that its pattern may split otherwise."""
+        tokens, plain, runs, shown = self.model.tokenize, _PLAIN.fullmatch, _RUNS.findall, self.shown
+        out: list[list[int] | None] = []
+        for w in words:
+            if w.isascii() and w.isalpha():
+                out.append([t.id for t in tokens("Ġ" + w)])
+            elif plain(w):
+                first, *rest = runs(w)
+                ids = [t.id for t in tokens("Ġ" + (first if first.isascii() else first.translate(shown)))]
+                for r in rest:
+                    ids += [t.id for t in tokens("Ċ" if r == "\n" else r if r.isascii() else r.translate(shown))]
+                out.append(ids)
+            else:
+                out.append(None)
+        return out
+
     def token_bytes(self) -> list[bytes]:
-        # The byte-level alphabet: printable Latin-1 stands for itself, the rest follows from U+0100 on.
-        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        byte = {chr(b): b for b in shown} | {chr(0x100 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+        byte = {c: b for b, c in _alphabet().items()}
         out = [b""] * self.library.get_vocab_size(with_added_tokens=True)
         for token, i in self.library.get_vocab(with_added_tokens=True).items():
             out[i] = token.encode() if token in self.added else bytes(byte[c] for c in token)
@@ -149,6 +178,13 @@ class Cache:
         together = [k for k in keys if type(k) is str and k and " " not in k] if self.opens is not None else []
         alone = [k for k in keys if not (type(k) is str and k and " " not in k)] if together else keys
         flat, sizes, done = [], [], []
+        if together and isinstance(self.library, TokenizersFile):
+            got = self.library.words(together)
+            done = [k for k, ids in zip(together, got, strict=True) if ids]
+            together = [k for k, ids in zip(together, got, strict=True) if not ids]
+            known = [ids for ids in got if ids]
+            sizes.append(np.array([len(x) for x in known], np.int64))
+            flat.append(np.fromiter(chain.from_iterable(known), np.int32, int(sizes[0].sum())))
         for at in range(0, len(together), JOINED):
             some = together[at : at + JOINED]
             ids = np.array(self.library.encode([" " + " ".join(some)])[0], np.int32)
