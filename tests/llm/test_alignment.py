@@ -53,35 +53,61 @@ def brute(rows):
     return sorted(out), counts
 
 
-def check(spark, rows, **kw):
-    found = L.align(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), L.byte_level(A), L.sentence_piece(B), **kw)
+@pytest.fixture(params=["align", "relational"])
+def form(request, spark):
+    f = getattr(L, request.param)
+
+    def run(rows, block_bytes=2_000):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        return f(df, L.byte_level(A), L.sentence_piece(B), **({"block_bytes": block_bytes} if request.param == "relational" else {}))
+
+    return run
+
+
+def check(form, rows, **kw):
+    found = form(rows, **kw)
     want, counts = brute(rows)
     assert sorted((repr(r[0]), *r[1:]) for r in found.documents.collect()) == want
     assert {(r.a, r.b): r["count"] for r in found.pairs.collect()} == dict(counts)
 
 
-def test_equals_brute_force(spark, rows):
+def test_equals_brute_force(form, rows):
     r = random.Random(2)
     letters = "ab Z9'é  \n\t\r\x1c\x85\xa0　!<|endoftext>▁.😀́ﬁÅ"
     odd = ["".join(r.choice(letters) for _ in range(r.randint(0, 40))) for _ in range(400)]
     more = ["<|endoftext|>", "<s> a </s>", "<0x41>", "a\x00b", " ", "  ", "\n", "▁", "x" * 3000, "a ▁b", "don't  stop\n\n now"]
-    check(spark, [(r_[0], r_[1]) for r_ in rows] + [(1000 + i, t) for i, t in enumerate(odd + more)], block_bytes=30_000)
+    check(form, [(r_[0], r_[1]) for r_ in rows] + [(1000 + i, t) for i, t in enumerate(odd + more)], block_bytes=30_000)
 
 
-def test_hot_text_and_hot_word(spark):
+def test_hot_text_and_hot_word(form):
     rows = [(i, "the same text for a third of all rows") for i in range(300)] + [(i, f"the the the the {i}") for i in range(300, 900)]
-    check(spark, rows, block_bytes=2_000)
+    check(form, rows, block_bytes=2_000)
 
 
-def test_pairs_beyond_the_broadcast(spark, rows, monkeypatch):
+def test_pairs_beyond_the_broadcast(form, rows, monkeypatch):
     monkeypatch.setattr(L, "SENT_PAIRS", 0)
-    check(spark, [(r[0], r[1]) for r in rows[:12]])
+    check(form, [(r[0], r[1]) for r in rows[:12]])
 
 
-def test_tokenizers_that_cut_otherwise(spark, rows, monkeypatch):
+def test_tokenizers_that_cut_otherwise(form, rows, monkeypatch):
     """A whole text is then a piece, and those whose tokens alter it have none."""
     monkeypatch.setattr(I.SentencePieceFile, "altered", lambda self: None)
-    check(spark, [(r[0], r[1]) for r in rows] + [(50, "a▁b"), (51, "a b")])
+    check(form, [(r[0], r[1]) for r in rows] + [(50, "a▁b"), (51, "a b")])
+
+
+def test_small_tables_and_long_pieces(monkeypatch):
+    r = random.Random(6)
+    texts = [" ".join("".join(r.choices("abcé.", k=r.randint(1, 6))) for _ in range(r.randint(0, 30))) for _ in range(200)] + ["x" * 200 + " y", None, "", "a▁b c", "▁"]
+    monkeypatch.setattr(L, "LONG_PIECE", 100)
+    table = L.Pieces(L.byte_level(A), L.sentence_piece(B), L.CUT, size=30)
+    for at in range(0, len(texts), 7):
+        some = texts[at : at + 7]
+        numbers, said, links, bounds = table.of(some)
+        for i, t in enumerate(some):
+            g = groups(t) or []
+            assert numbers[:, i].tolist() == [sum(len(x) for x, _ in g), sum(len(y) for _, y in g), len(g)]
+            assert said[i] == ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in g)
+            assert list(zip(*links[:, bounds[i] : bounds[i + 1]].tolist(), strict=True)) == [(x[-1], y[-1]) for x, y in g]
 
 
 def test_altered_characters():
