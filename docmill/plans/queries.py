@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -10,14 +11,19 @@ from pyspark.sql import functions as F
 from docmill.functions import markup
 from docmill.functions import text as X
 from docmill.functions import values as V
-from docmill.operators import answer, chat, chunking, crawl, ingest, laws, load, register, retrieval
-from docmill.sources.tables import table
+from docmill.operators import answer, chat, chunking, crawl, ingest, laws, load, names, nearest, register, retrieval
+from docmill.sources import buckets
+from docmill.sources.tables import shared_dir, table
 from docmill.streaming import incremental
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
 
+def _folder(spark, what: str) -> str:
+    return f"{shared_dir(spark)}/docmill-{what}-{uuid.uuid4().hex}"
+
+
 def query(sql: str | None = None):
     def add(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
@@ -78,6 +84,31 @@ def retrieve_batch_queries(spark, d):
     return found.select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
+@query("SELECT count(*)::BIGINT AS n_queries, true AS recall_reached, true AS exact_scores FROM embeddings WHERE vec_id % 50 = 0")
+def retrieve_nearest(spark, d):
+    """The inverted file against the exact way, for every vector whose id is divisible by 50: is the mean recall of the best 10 at least 0.95, and are all scores exact?"""
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    path = _folder(spark, "nearest")
+    nearest.build(vectors, path)
+    asked = vectors.where("vec_id % 50 = 0")
+    found = nearest.search(spark, path, asked, 10).select("query_id", F.col("id").alias("vec_id"), F.col("score").alias("near"))
+    exact = retrieval.batch_top_k(vectors, asked, 10).join(found, ["query_id", "vec_id"], "left")
+    each = exact.groupBy("query_id").agg((F.count("near") / F.count("*")).alias("recall"), F.max(F.abs(F.col("near") - F.col("score"))).alias("off"))
+    return each.agg(F.count("*").alias("n_queries"), (F.avg("recall") >= 0.95).alias("recall_reached"), (F.coalesce(F.max("off"), F.lit(0.0)) < 1e-5).alias("exact_scores"))
+
+
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, {_COS} AS score FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id AS id, round(score, 5) AS score FROM r WHERE rank <= 10""")
+def retrieve_nearest_all_cells(spark, d):
+    """With all cells probed the inverted file loses nothing but what codes rank below 20 times k."""
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    path = _folder(spark, "nearest")
+    index = nearest.build(vectors, path)
+    found = nearest.search(spark, path, vectors.where("vec_id % 50 = 0"), 10, probes=len(index.centres))
+    return found.select("query_id", "rank", "id", F.round("score", 5).alias("score"))
+
+
 _QUERY = "the that with and from"
 _BM25 = r"""
 tok AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM cand),
@@ -376,6 +407,60 @@ def file_paths(spark, d):
     return links.select("page_id", "href", X.file_name(shown, F.lit("https://host.example/a/b")).alias("file"))
 
 
+@query("""WITH l AS (SELECT DISTINCT p_partkey::VARCHAR AS l FROM part), r AS (SELECT DISTINCT o_orderkey::VARCHAR AS r FROM orders) SELECT l, r FROM l, r WHERE contains(l, r) OR contains(r, l)""")
+def containment_pairs(spark, d):
+    """Part numbers and order numbers of which one contains the other."""
+    left, right = (table(spark, d, t).select(F.col(c).cast("string").alias("name")) for t, c in (("part", "p_partkey"), ("orders", "o_orderkey")))
+    return names.containment(left, right)
+
+
+_CRAWL_SQL = """o AS (SELECT o_custkey AS lane, o_orderkey AS page, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders),
+i AS (SELECT DISTINCT lane, page, pos, l_partkey AS item FROM o JOIN lineitem ON l_orderkey = page),
+f AS (SELECT *, row_number() OVER (PARTITION BY lane, item ORDER BY pos) AS nth, item IN (SELECT p_partkey FROM part WHERE p_size <= 40) AS known FROM i),
+p AS (SELECT o.lane, o.page, o.pos, count(item) AS n_new FROM o LEFT JOIN (SELECT * FROM f WHERE nth = 1 AND NOT known) x ON x.lane = o.lane AND x.page = o.page GROUP BY o.lane, o.page, o.pos),
+z AS (SELECT *, sum(CASE WHEN n_new = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY lane ORDER BY pos ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) = 2 AS idle FROM p),
+w AS (SELECT * FROM (SELECT *, coalesce(sum(CASE WHEN idle THEN 1 ELSE 0 END) OVER (PARTITION BY lane ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM z) WHERE before = 0),
+l AS (SELECT lane, max(pos) AS last, count(*) AS pages, sum(n_new) AS new FROM w GROUP BY lane)"""
+
+
+def _customers_pages(spark, d) -> tuple[DataFrame, ...]:
+    """Each customer's orders as a chain of pages, which ends where it began for every second customer; parts are the items, those up to size 40 stored."""
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("lane"), F.col("o_orderkey").alias("page"))
+    own = Window.partitionBy("lane").orderBy("page")
+    back = F.when(F.col("lane") % 2 == 0, F.first("page").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    edges = orders.select("page", F.coalesce(F.lead("page").over(own), back).alias("next"))
+    starts = orders.groupBy("lane").agg(F.min("page").alias("page"))
+    items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_partkey").alias("item"))
+    return edges, starts, items, table(spark, d, "part").where("p_size <= 40").select(F.col("p_partkey").alias("item"))
+
+
+@query(f"""WITH {_CRAWL_SQL} SELECT f.lane, f.item, f.page, f.pos FROM f JOIN l USING (lane) WHERE nth = 1 AND NOT known AND pos <= last""")
+def paged_crawl(spark, d):
+    return crawl.category_crawl(*_customers_pages(spark, d))[0]
+
+
+@query(f"""WITH {_CRAWL_SQL} SELECT lane, any_value(pages)::BIGINT AS pages, count(item)::BIGINT AS seen, any_value(new)::BIGINT AS new, (count(item) - count(CASE WHEN nth = 1 THEN 1 END))::BIGINT AS repeated, count(CASE WHEN nth = 1 AND known THEN 1 END)::BIGINT AS known
+FROM l LEFT JOIN (SELECT lane AS fl, * EXCLUDE (lane) FROM f) ON fl = lane AND pos <= last GROUP BY lane""")
+def paged_crawl_counters(spark, d):
+    return crawl.category_crawl(*_customers_pages(spark, d))[1]
+
+
+@query("""SELECT source || '/' || doc_id AS storage_path, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'again ' || md5(text) ELSE md5(text) END AS text, source FROM documents WHERE source <> 'src2' AND doc_id % 1000 <> 7""")
+def stored_twice(spark, d):
+    """Documents stored in buckets, those with a label stored again, one source and some paths deleted; read back from the files."""
+    path = _folder(spark, "buckets")
+    docs = table(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("storage_path"), F.md5("text").alias("text"), "source")
+    rows = docs.select("storage_path", "text", "source")
+    buckets.create(rows, path, buckets=16)
+    labelled = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    buckets.upsert(labelled.select("storage_path", F.concat(F.lit("again "), "text").alias("text"), "source"), path)
+    buckets.delete(spark, path, source="src2")
+    for r in docs.where("doc_id % 1000 = 7 AND doc_id < 5000").select("storage_path").collect():  # five paths at most, one by one
+        buckets.delete(spark, path, key=r[0])
+    gone = docs.where("doc_id % 1000 = 7 AND doc_id >= 5000").select("storage_path")
+    return buckets.read(spark, path).join(gone, "storage_path", "left_anti")
+
+
 @query(r"""WITH y AS (SELECT strftime(o_orderdate, '%Y') AS year FROM orders)
 SELECT coalesce(year, 'TOTAL') AS year, count(*)::BIGINT AS n FROM y WHERE year IS NOT NULL GROUP BY ROLLUP (year)""")
 def files_per_year(spark, d):
@@ -440,10 +525,6 @@ def attachment_decode(spark, d):
 @query()
 def stream_incremental(spark, d):
     """The documents loaded by a file stream, twice: the second run finds nothing new."""
-    import uuid
-
-    from docmill.sources.tables import shared_dir
-
     base = f"{shared_dir(spark)}/docmill-stream-{uuid.uuid4().hex}"
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
     docs.write.parquet(f"{base}/in")
@@ -455,10 +536,6 @@ def stream_incremental(spark, d):
 @query()
 def stream_dedup_state(spark, d):
     """The events' first (user, type) within a day, through a stream with state."""
-    import uuid
-
-    from docmill.sources.tables import shared_dir
-
     base = f"{shared_dir(spark)}/docmill-stream-{uuid.uuid4().hex}"
     events = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
     events.write.parquet(f"{base}/in")
