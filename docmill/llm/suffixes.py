@@ -28,9 +28,31 @@ def refined(symbols: np.ndarray, bounds: np.ndarray, depth: int | None = None) -
     return _refined(symbols, bounds, 1, depth) if len(symbols) else np.zeros(0, np.int64)
 
 
-def _refined(key: np.ndarray, bounds: np.ndarray, h: int, depth: int | None) -> np.ndarray:
+def ranked(symbols: np.ndarray, bounds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffix array of strings of numbers, sorted by more than `depth` symbols, and the ranks of every round.
+
+    Row k of the ranks is equal for two suffixes only if their first 2^k symbols are equal and inside their strings,
+    so the length in which two suffixes agree is read from the rows, the largest first.
+    """
+    rounds: list[np.ndarray] = []
+    order = _refined(symbols, bounds, 1, depth + 1, rounds) if len(symbols) else np.zeros(0, np.int64)
+    return order, np.stack(rounds) if rounds else np.zeros((0, len(symbols)), np.int32)
+
+
+def agreement(ranks: np.ndarray, end: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many symbols the suffixes x and y agree, pair by pair; end of each place's string."""
+    out, last = np.zeros(len(x), np.int64), ranks.shape[1] - 1
+    for k in range(len(ranks) - 1, -1, -1):
+        a, b = x + out, y + out
+        same = (a < end[x]) & (b < end[y])
+        same &= ranks[k, np.minimum(a, last)] == ranks[k, np.minimum(b, last)]
+        out += same.astype(np.int64) << k
+    return out
+
+
+def _refined(key: np.ndarray, bounds: np.ndarray, h: int, depth: int | None, rounds: list[np.ndarray] | None = None) -> np.ndarray:
     """Suffixes sorted by their first h symbols, which key stands for; then every round sorts the groups
-    that are still tied by the rank of what follows the sorted part, which doubles it."""
+    that are still tied by the rank of what follows the sorted part, which doubles it.  rounds takes the ranks of each."""
     n, strings = len(key), len(bounds) - 1
     string = np.repeat(np.arange(strings), np.diff(bounds))
     end = bounds[1:][string]
@@ -43,6 +65,8 @@ def _refined(key: np.ndarray, bounds: np.ndarray, h: int, depth: int | None) ->
     rank[order] = np.maximum.accumulate(np.where(new, at, 0))
     alone = new & np.append(new[1:], True)
     tied = np.flatnonzero(~alone)
+    if rounds is not None:
+        rounds.append(rank.astype(np.int32))
     while len(tied) and (depth is None or h < depth):
         suffix = order[tied]
         group = rank[suffix]
@@ -58,6 +82,8 @@ def _refined(key: np.ndarray, bounds: np.ndarray, h: int, depth: int | None) ->
         single = fresh & np.append(fresh[1:], True)
         tied = tied[~single]
         h *= 2
+        if rounds is not None:
+            rounds.append(rank.astype(np.int32))
     return order
 
 

@@ -109,3 +109,44 @@ def test_odd_cases(spark, docs, rows, empty):
     assert D.matched(empty, bench).count() == 0
     none = D.matched(docs, spark.createDataFrame([], "item_id long, text string"))
     assert none.where("contaminated").count() == 0 and none.count() == len(rows)
+
+
+def test_bounded_on_repeated_words_and_long_items(monkeypatch):
+    """One word 500,000 times against 1,000 times, and an item of 50,000 words whole in a text."""
+    import time
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    def run(texts, bench):
+        test = D.TestSet([str(i) for i in range(len(bench))], pa.array(bench))
+        m = D.Matcher(test)
+        raw = [t.encode() for t in texts]
+        m.add(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        m.flush()
+        return m
+
+    tracemalloc.start()
+    began = time.process_time()
+    m = run(["0 " * 500_000], ["0 " * 1000])
+    assert len(m.matches[0]) == 499_001 and m.matches[0][7] == {"first_word": 7, "n_words": 1000, "item_id": "0", "item_word": 0}
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30 and time.process_time() - began < 120
+    tracemalloc.stop()
+    r = random.Random(4)
+    item = " ".join(f"w{r.randint(0, 5000)}" for _ in range(50_000))
+    began = time.process_time()
+    m = run([f"a b {item} c", "x"], ["other words here", item])
+    assert m.matches == [[{"first_word": 2, "n_words": 50_000, "item_id": "1", "item_word": 0}], []] and time.process_time() - began < 10
+
+
+def test_small_shards_give_the_same(spark, monkeypatch):
+    r = random.Random(11)
+    text = lambda n: " ".join(r.choice("ab cd".split()) for _ in range(n))
+    bench = [(i, text(r.choice([2, 9, 10, 15, 40]))) for i in range(12)]
+    docs = [(i, text(r.randint(0, 120))) for i in range(60)]
+    df, b = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(bench, "item_id long, text string")
+    at_once = sorted(map(repr, D.matched(df, b).collect()))
+    monkeypatch.setattr(D, "SHARD_WORDS", 50)
+    monkeypatch.setattr(D.A, "BLOCK_BYTES", 300)
+    assert sorted(map(repr, D.matched(df, b).collect())) == at_once
