@@ -7,9 +7,11 @@ function per language, one against the rest.  Landmarks and coefficients multipl
 each n-gram and language, so a batch of texts is scored by the product of its sparse presence
 matrix with those weights.
 
-Fitting reads a bounded sample of the labelled rows: at most TRAIN_ROWS of each language and
-SAMPLE_BYTES in all, texts of at most TRAIN_BYTES, drawn by hash of text with a chance that makes
-about that many; LANDMARKS of each language, LANDMARKS_IN_ALL together (one of each at least).  The number of languages
+Fitting reads a bounded sample of the labelled rows: at most TRAIN_ROWS distinct texts of each language and
+SAMPLE_BYTES in all, of longer texts the first TRAIN_CHARS characters.  They are drawn by hash of text with a
+chance from the number of a language's distinct texts, wide enough that a language with few texts, or with
+few repeated over many rows, gives all of them, and none is lost; repeated texts are dropped before they leave the
+tasks.  LANDMARKS of each language, LANDMARKS_IN_ALL together (one of each at least).  The number of languages
 isn't bounded, but their weights are (MODEL_BYTES; more is refused).  Scoring reads every text whole;
 each row is independent, so nothing is shuffled.
 
@@ -35,10 +37,10 @@ from docmill.llm import arrays as A
 from docmill.llm.shared import bounded_batches
 
 ORDERS = (1, 2, 3)
-TRAIN_ROWS, LANDMARKS, TRAIN_BYTES = 300, 40, 16_384
+TRAIN_ROWS, LANDMARKS, TRAIN_CHARS = 300, 40, 8192
 SAMPLE_BYTES, LANDMARKS_IN_ALL, MODEL_BYTES = 128 << 20, 2000, 256 << 20
-#: Rows drawn for each one wanted, as texts that are too long or equal to another are left out.
-DRAWN = 2
+#: Texts drawn for each one wanted, and for each language besides: the draw falls short of what is wanted with a chance below 10^-12.
+DRAWN, MORE = 2, 40
 RIDGE = 1e-3
 #: Numbers of a matrix held at once.
 CELLS = 1 << 23
@@ -141,22 +143,26 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
     return Model(languages.tolist(), vocabulary, weights)
 
 
-def training_rows(df: DataFrame, text: str, label: str, rows: int = TRAIN_ROWS) -> DataFrame:
-    """About DRAWN * `rows` rows of each label, drawn by hash of text; columns text, label and h.  Labels are counted first, with partial counts."""
-    own = df.select(F.col(f"`{text}`").alias("text"), F.col(f"`{label}`").cast("string").alias("label"))
-    counts = own.where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n"))
+def training_rows(df: DataFrame, text: str, label: str, rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> DataFrame:
+    """Distinct texts (their first `chars` characters) of each label, drawn by hash: about DRAWN * `rows` + MORE, or all where there are fewer; columns label, text and h.
+
+    Distinct texts are counted first, by sketches that are merged.
+    """
+    own = df.select(F.left(F.col(f"`{text}`"), F.lit(chars)).alias("text"), F.col(f"`{label}`").cast("string").alias("label"))
+    fits = own.where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
+    counts = fits.groupBy("label").agg(F.approx_count_distinct("h").alias("n"))
     # One row a label: Spark broadcasts it below its own threshold.
-    chances = counts.select(F.col("label").alias("__lang"), F.least(F.lit(1.0), F.lit(float(DRAWN * rows)) / F.col("n")).alias("chance"))
-    fits = own.where(F.col("text").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES)).withColumn("h", F.xxhash64("text"))
+    chances = counts.select(F.col("label").alias("__lang"), F.least(F.lit(1.0), F.lit(float(DRAWN * rows + MORE)) / F.col("n")).alias("chance"))
     drawn = fits.join(chances, F.col("label") == F.col("__lang")).where(F.pmod("h", F.lit(1 << 30)) < F.col("chance") * float(1 << 30))
-    return drawn.where(F.col("text").rlike(r"\p{L}")).select("text", "label", "h")
+    return drawn.select("label", "text", "h").dropDuplicates(["label", "h"])
 
 
 def trained(df: DataFrame, text: str = "text", label: str = "lang", rows: int = TRAIN_ROWS, **kw) -> Model | None:
-    n = df.where(F.col(f"`{label}`").isNotNull()).select(F.count_distinct(F.col(f"`{label}`").cast("string"))).first()[0]
-    rows = max(1, min(rows, SAMPLE_BYTES // (DRAWN * TRAIN_BYTES * max(1, n))))
+    n = max(1, df.where(F.col(f"`{label}`").isNotNull()).select(F.count_distinct(F.col(f"`{label}`").cast("string"))).first()[0])
+    rows = max(1, min(rows, SAMPLE_BYTES // (DRAWN * 4096 * n)))
+    chars = max(64, min(TRAIN_CHARS, SAMPLE_BYTES // (4 * (DRAWN * rows + MORE) * n)))
     found, last, taken = [], None, 0
-    for y, h, t in sorted({(r["label"], r["h"], r["text"]) for r in training_rows(df, text, label, rows).toLocalIterator()}):
+    for y, h, t in sorted((r["label"], r["h"], r["text"]) for r in training_rows(df, text, label, rows, chars).toLocalIterator()):
         last, taken = y, taken + 1 if y == last else 1
         if taken <= rows:
             found.append((y, t))

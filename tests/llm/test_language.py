@@ -38,11 +38,24 @@ def test_odd_cases(spark, docs, rows, empty):
 
 
 def test_training_is_bounded_and_needs_labels(spark, docs):
-    some = L.training_rows(docs, "text", "lang", rows=2).collect()
-    assert some and all(r.label and len(r.text.encode()) <= L.TRAIN_BYTES for r in some)
+    some = L.training_rows(docs, "text", "lang", rows=2, chars=100).collect()
+    assert some and all(r.label and len(r.text) <= 100 for r in some) and len({(r.label, r.text) for r in some}) == len(some)
     many = spark.range(20_000).selectExpr("concat('text ', id) AS text", "if(id % 100 = 0, 'b', 'a') AS lang")
     drawn = {r.label: r.n for r in L.training_rows(many, "text", "lang", rows=100).groupBy("label").count().withColumnRenamed("count", "n").collect()}
-    assert 120 < drawn["a"] < 280 and 120 < drawn["b"] <= 200
+    assert 150 < drawn["a"] < 340 and drawn["b"] == 200
+
+
+def test_no_language_is_lost(spark):
+    """Many texts, three texts over many rows, and few texts that are all very long."""
+    english = spark.range(20_000).selectExpr("concat('the word and the number ', id, ' of them') AS text", "'en' AS lang")
+    french = spark.range(20_000).selectExpr("element_at(array('le mot et la phrase', 'une autre phrase du texte', 'et les mots de la fin'), cast(id % 3 AS int) + 1) AS text", "'fr' AS lang")
+    german = spark.range(500).selectExpr("concat(repeat('das Wort und der Satz von ihm ', 700), id) AS text", "'de' AS lang")
+    rows = english.unionByName(french).unionByName(german)
+    model = L.trained(rows)
+    assert model.languages == ["de", "en", "fr"]
+    out = L.identified(rows, model)
+    assert out.where("lang_pred <> lang").count() == 0
+    assert {r.label: r.n for r in L.training_rows(rows, "text", "lang").groupBy("label").agg({"h": "count"}).withColumnRenamed("count(h)", "n").collect()}["fr"] == 3
 
 
 def test_a_label_without_bound_on_their_number(spark):

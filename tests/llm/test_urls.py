@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from docmill.llm import urls as U
 
@@ -77,3 +78,21 @@ def test_capitals_and_escapes_against_all_rules(spark):
         assert got[i] == (rule, "block" if rule or "/casino" in u else "allow"), u
     assert sum(1 for r, _ in got.values() if r) >= 14
     assert rules[0].tokens() == ["a", "org", "es"] and rules[1].tokens() == ["b", "org", "caf", "c3", "a9"]
+
+
+def test_linear_patterns_equal_plain_ones_and_long_urls_end():
+    r = random.Random(7)
+    for _ in range(3000):
+        rule = U.PatternRule("block", "".join(r.choice("ab.^*") for _ in range(r.randint(1, 7))))
+        text = "".join(r.choice("ab./") for _ in range(r.randint(0, 9)))
+        assert bool(re.search(rule.regex(), text, re.DOTALL)) == bool(re.search(rule.linear(), text, re.DOTALL)), (rule.pattern, text)
+    began = time.process_time()
+    for pattern in ("*a*b*c^", "a*a*a*a*b", "^x*y*z^"):
+        assert not re.search(U.PatternRule("block", pattern).linear(), "http://h/" + "a" * 100_000, re.DOTALL)
+    assert time.process_time() - began < 2
+
+
+def test_long_url(spark):
+    df = spark.createDataFrame([(1, "http://a.example.org/es/" + "a-" * 50_000 + "casino/"), (2, "x" * 100_000)], "page_id long, url string")
+    out = {x.page_id: x for x in U.judged(df, rules=(*U.RULES, U.PatternRule("block", "*a*b*c^"))).collect()}
+    assert out[1].verdict == "block" and out[1].rule == "example.org/es/" and out[2].verdict == "allow"
