@@ -34,12 +34,14 @@ from pyspark.sql import types as T
 
 from docmill.llm import ids as I
 from docmill.llm.shared import bounded_batches, drop, settings, written
-from docmill.llm.token_files import _parts
+from docmill.llm.token_files import _parts as parts_of
 from docmill.llm.tokens import _WHITE
 
 #: Bytes of texts of a block.
 BLOCK_BYTES = 16 << 20
 MAX_BLOCKS = 1 << 22
+#: Bytes of texts taken at a time.
+TEXT_BYTES = 1 << 19
 #: Pieces whose groups a worker keeps.
 TABLE_PIECES = 1 << 19
 #: Id pairs that are sent to all tasks with their counts; with more they are joined by a shuffle.
@@ -130,7 +132,7 @@ class Pieces:
         floor = max(2, int(np.partition(hits, -(self.size // 3))[-(self.size // 3)]) + 1) if have > self.size // 3 else 2
         kept = [(p, i) for p, i in self.index.items() if hits[i] >= floor]
         at = np.array([i for _, i in kept], np.int64)
-        old = self.groups, self.numbers[:, at], self.same[at], self.links[:, _ranges(self.starts[at], self.numbers[2, at])]
+        old = self.groups, self.numbers[:, at], self.same[at], self.links[:, I.ranges(self.starts[at], self.numbers[2, at])]
         self.clear()
         self._keep([p for p, _ in kept], [old[0][i] for i in at.tolist()], old[1], old[2], old[3])
 
@@ -195,7 +197,7 @@ class Pieces:
         groups = [";".join(map(self.groups.__getitem__, at[x:y].tolist())) if g else "" for x, y, g in zip(edges[:-1].tolist(), edges[1:].tolist(), good.tolist(), strict=True)]
         numbers = np.stack([np.where(good, total(self.numbers[k][at]), 0) for k in range(3)])
         at = at[np.repeat(good, n)]
-        links = self.links[:, _ranges(self.starts[at], self.numbers[2, at])]
+        links = self.links[:, I.ranges(self.starts[at], self.numbers[2, at])]
         if self.index and max(map(len, fresh), default=0) > LONG_PIECE:  # used once: not kept for their length
             self.clear()
         return numbers, groups, links, np.append(0, np.cumsum(numbers[2]))
@@ -208,11 +210,6 @@ class Pieces:
         return [" " + w for w in text[1:].split(" ")]
 
 
-def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """All places of ranges, one after another."""
-    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-
-
 def _inside(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which of the ascending x are among the ascending y."""
     if not len(y):
@@ -311,7 +308,7 @@ def align(df: DataFrame, a: Side, b: Side, row_id: str = "doc_id", text: str = "
         pieces = I.worker(("pieces", *a.key, *b.key, cut), lambda: Pieces(a, b, cut))
         for batch in batches:
             row = 0
-            for part in _parts(batch.column(1)):
+            for part in parts_of(batch.column(1), TEXT_BYTES):
                 numbers, texts, links, bounds = pieces.of(part.to_pylist())
                 offsets = pa.array(bounds.astype(np.int32))
                 columns = [batch.column(0).slice(row, len(part)), *[pa.array(x) for x in numbers], pa.array(texts, pa.string()), *[pa.ListArray.from_arrays(offsets, pa.array(x)) for x in links]]

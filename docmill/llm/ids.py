@@ -15,12 +15,19 @@ from collections.abc import Callable, Sequence
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from docmill.llm.tokens import _EDGE, _UNSAFE
+from docmill.llm.tokens import _EDGE, _UNSAFE, _WHITE
 
 CACHE_PIECES = 1 << 20
 #: Pieces that go to the library as one text, and longer ones that aren't cached.
 JOINED, CACHED_CHARS = 256, 256
+#: A space before white space or at the end, and white space at the beginning, as RE2 writes them.
+_RE2_WHITE = _WHITE.replace("\\x85", "\\x{85}").replace("\\xa0", "\\x{a0}")
+for _c in ("1680", "2000", "200a", "2028", "2029", "202f", "205f", "3000"):
+    _RE2_WHITE = _RE2_WHITE.replace("\\u" + _c, "\\x{" + _c + "}")
+_UNSAFE_RE2, _WHITE_FIRST = f" (?:[{_RE2_WHITE}]|$)", f"^[{_RE2_WHITE}]"
 #: Words of Latin letters with ASCII marks behind them, single line ends between: their split by the
 #: byte-level pattern is plain (letters, marks, line ends), whatever follows a space.
 _LATIN, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r'!"#$%&()*+,\-./:;<=>?@\[\]^_`{|}~\\'
@@ -225,42 +232,82 @@ class Cache:
             out += self._cut(part)
         return out
 
-    def ids(self, texts: Sequence[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, texts: Sequence[str] | pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, `end` behind each where given, and the bounds of each text's."""
-        rows = [self.cut(t) for t in texts]
-        if end is not None:
-            last = (None, end)
-            if last not in self.index:
-                self._kept([last], np.array([end]), np.array([1]))
-            for row in rows:
-                row.append(last)
-        fresh = set().union(*rows).difference(self.index)
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        odd = self._odd(column)
+        rows = [self.cut(t) for t in column.filter(pa.array(odd)).to_pylist()]
+        even = column.filter(pa.array(~odd))
+        # Words by Arrow, each distinct one looked up once.
+        words = pc.split_pattern(even, " ")
+        sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        known: list = coded.dictionary.to_pylist()
+        first = np.cumsum(sizes) - sizes
+        if self.spaced:
+            firsts = []
+        else:  # no space precedes the first word of a text
+            which, place = np.unique(word[first], return_inverse=True)
+            firsts = [(known[w],) for w in which.tolist()]
+            word[first] = len(known) + place
+        keys = known + firsts
+        last = [(None, end)] if end is not None else []
+        fresh = set(keys).union(*rows).difference(self.index)
         if len(self.index) + len(fresh) > self.size and len(self.index) > 1:
             self._thin()
-            if end is not None and last not in self.index:
-                self._kept([last], np.array([end]), np.array([1]))
-            fresh = set().union(*rows).difference(self.index)
+            fresh = set(keys).union(*rows).difference(self.index)
+        if last and last[0] not in self.index:
+            self._kept(last, np.array([end]), np.array([1]))
+        fresh.discard(("",))
         length = lambda k: len(k) if type(k) is str else len(k[0] or "")
         long = [k for k in fresh if length(k) > CACHED_CHARS]
-        keys = list(fresh.difference(long)) if long else list(fresh)
-        if keys:
-            self._encode(keys)
+        if short := list(fresh.difference(long)) if long else list(fresh):
+            self._encode(short)
         before = self.used, self.have
+        if ("",) not in self.index:
+            self._kept([("",)], np.zeros(0, np.int32), np.array([0]))
+            before = self.used, self.have
         if long:
             self._encode(long)
+        look = self.index.__getitem__
+        slot = np.fromiter(map(look, keys), np.int64, len(keys))[word] if len(keys) else np.zeros(0, np.int64)
         n_pieces = np.array([len(r) for r in rows], np.int64)
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(rows)), np.int64, int(n_pieces.sum()))
+        other = np.fromiter(map(look, chain.from_iterable(rows)), np.int64, int(n_pieces.sum()))
+        # Back into the order of the texts.
+        starts, counts = np.empty(len(column), np.int64), np.empty(len(column), np.int64)
+        starts[~odd], counts[~odd] = first, sizes
+        starts[odd], counts[odd] = len(slot) + np.cumsum(n_pieces) - n_pieces, n_pieces
+        at = np.concatenate([slot, other])[ranges(starts, counts)]
+        if last:
+            at, counts = np.insert(at, np.cumsum(counts), look(last[0])), counts + 1
         self.hits[: self.have] += np.bincount(at, minlength=self.have)
-        counts = self.counts[at]
-        ends = np.cumsum(counts)
-        ids = self.flat[np.repeat(self.starts[at] - (ends - counts), counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        bounds = np.concatenate([[0], np.concatenate([[0], ends])[np.cumsum(n_pieces)]]).astype(np.int64)
+        n = self.counts[at]
+        ids = self.flat[ranges(self.starts[at], n)]
+        bounds = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(counts))].astype(np.int64)
         if long:  # used once, not kept
             self.used, self.have = before
             for k in long:
                 del self.index[k]
         return ids, bounds
 
+    def _odd(self, column: pa.Array) -> np.ndarray:
+        """Texts that aren't cut at every space, or hold special strings."""
+        if not self.library.cuts:
+            return np.ones(len(column), bool)
+        odd = pc.match_substring_regex(column, _UNSAFE_RE2)
+        if self.spaced:  # the space in front meets the text's own white space
+            odd = pc.or_(odd, pc.or_(pc.equal(column, ""), pc.match_substring_regex(column, _WHITE_FIRST)))
+        if self.library.special is not None:
+            for s in self.library.added:
+                odd = pc.or_(odd, pc.match_substring(column, s))
+        return odd.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All places of ranges, one after another."""
+    return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
+
 
 _WORKER: dict[tuple, Cache] = {}
 

@@ -38,7 +38,7 @@ SHARD_BYTES, MAX_SHARDS = 32 << 20, 1 << 18
 #: Bytes of a row group and of a page, and rows of a page at most.
 GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 8 << 20, 256 << 10, 512
 #: Bytes of texts encoded at a time.
-TEXT_BYTES = 1 << 19
+TEXT_BYTES = 4 << 20
 IDS = "ids.list.element"
 
 
@@ -68,7 +68,7 @@ def encoded(df: DataFrame, tokenizer: str, end: int | None) -> DataFrame:
         for batch in batches:
             doc, row = batch.column(batch.schema.get_field_index("doc_id")), 0
             for part in _parts(batch.column(batch.schema.get_field_index("text"))):
-                flat, bounds = cache.ids(part.to_pylist(), end)
+                flat, bounds = cache.ids(part, end)
                 n = len(part)
                 columns = [doc.slice(row, n), pa.array(np.full(n, shard, np.int32)), pa.array(before + bounds[:-1]), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
