@@ -72,21 +72,33 @@ EXTRACTORS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def extracted(files: DataFrame, extractors: dict[str, Callable[[Column], Column]] = EXTRACTORS) -> DataFrame:
+def extracted(files: DataFrame, extractors: dict[str, Callable[[Column], Column]] = EXTRACTORS, describer: Model | None = None) -> DataFrame:
     """files (storage_path, content, processor) with text, status and message.
 
-    A format without an extractor is skipped with a message that says so; pass one to read it.
+    A reader is handed the content of its own files and null for all others, so none is opened by another's reader.  A format
+    without one is skipped with a message that says so; pass one to read it.  describer says what images show: of those that
+    a vision model takes (`describable`); others are skipped.
     """
-    text = F.lit(None).cast("string")
-    for name, extract in extractors.items():
-        text = F.when(F.col("processor") == name, extract(F.col("content"))).otherwise(text)
-    known = F.coalesce(F.col("processor").isin(*extractors), F.lit(False))
+    processor, content = F.col("processor"), F.col("content")
+    readers = dict(extractors)
+    taken = F.coalesce(processor.isin(*readers), F.lit(False))
+    unfit = F.lit(False)
+    if describer:
+        fits = F.coalesce(describable(V.content_type(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("storage_path")), content), F.lit(False))
+        readers["image"] = lambda own: describer(F.when(fits, own))
+        unfit = F.coalesce(processor == "image", F.lit(False)) & ~fits
+        taken = taken | (F.coalesce(processor == "image", F.lit(False)) & fits)
+    text = F.coalesce(*[F.when(processor == name, read(F.when(processor == name, content))) for name, read in readers.items()])
+    return judged(files.withColumn("text", text), taken, unfit)
+
+
+def judged(read: DataFrame, taken: Column, unfit: Column | None = None) -> DataFrame:
+    """read (processor, text) with status and message; taken: has a reader; unfit: an image that no model takes."""
     blank = F.trim(F.coalesce(F.col("text"), F.lit(""))) == ""
-    message = (
-        F.when(F.col("processor").isNull(), "No document processor available").when(~known, F.concat(F.lit("format not supported: "), "processor")).when(blank, "No chunks generated").otherwise("")
-    )
-    status = F.when(F.col("processor").isNull(), "error").when(~known, "skipped").when(blank, "error").otherwise("success")
-    return files.withColumn("text", text).withColumn("status", status).withColumn("message", message)
+    why = F.when(unfit if unfit is not None else F.lit(False), F.lit("image not supported: format or size")).otherwise(F.concat(F.lit("format not supported: "), "processor"))
+    message = F.when(F.col("processor").isNull(), "No document processor available").when(~taken, why).when(blank, "No chunks generated").otherwise("")
+    status = F.when(F.col("processor").isNull(), "error").when(~taken, "skipped").when(blank, "error").otherwise("success")
+    return read.withColumn("status", status).withColumn("message", message)
 
 
 def page_text(text: Column, image_texts: Column) -> Column:

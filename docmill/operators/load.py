@@ -10,17 +10,27 @@ from pyspark.sql import functions as F
 from docmill.functions import adapters, office
 from docmill.functions import text as X
 from docmill.operators import chunking, ingest
+from docmill.sources import buckets
+from docmill.sources.tables import written
 
 
-def paged(files: DataFrame) -> DataFrame:
+OFFICE = ("docx", "xlsx", "pptx")
+
+
+def paged(files: DataFrame, describer: adapters.Model | None = None) -> DataFrame:
     """files (storage_path, content, processor) with pages (number, name, text), status and message.
 
     Office files have a page for each sheet or slide; other formats one; what has no reader is skipped with a message that says so.
+    Every file is opened by its own reader, once.
     """
-    read = adapters.extracted(files)
-    kinds = F.col("processor").isin("docx", "xlsx", "pptx")
-    pages = F.when(kinds, office.pages_by(F.col("content"), F.col("processor"))).otherwise(F.array(F.struct(F.lit(1).alias("page"), F.lit(None).cast("string").alias("name"), F.col("text"))))
-    return read.withColumn("pages", pages)
+    single = {k: f for k, f in adapters.EXTRACTORS.items() if k not in OFFICE}
+    office_file = F.coalesce(F.col("processor").isin(*OFFICE), F.lit(False))
+    read = files.withColumn("__pages", office.pages_by(F.when(office_file, F.col("content")), F.col("processor")))
+    read = adapters.extracted(read, single, describer).withColumn("text", F.when(office_file, F.array_join("__pages.text", "\n\n")).otherwise(F.col("text")))
+    taken = office_file | (F.col("status") != "skipped")
+    whole = F.array(F.struct(F.lit(1).alias("page"), F.lit(None).cast("string").alias("name"), F.col("text")))
+    said = adapters.judged(read.withColumn("__kept", F.col("message")), taken).withColumn("message", F.when(F.col("status") == "skipped", F.col("__kept")).otherwise(F.col("message")))
+    return said.withColumn("pages", F.when(office_file, F.col("__pages")).otherwise(whole)).drop("__pages", "__kept")
 
 
 def embedded(chunks: DataFrame, embedder: Callable[[Column], Column] = adapters.embed, text: str = "chunk") -> DataFrame:
@@ -29,20 +39,38 @@ def embedded(chunks: DataFrame, embedder: Callable[[Column], Column] = adapters.
 
 
 def ingested(
-    files: DataFrame, stored: DataFrame, library: str = "public", mode: str = "semantic", overwrite: bool = True, embedder: Callable[[Column], Column] = adapters.embed, **cut
+    files: DataFrame, stored: DataFrame, library: str = "public", mode: str = "semantic", overwrite: bool = True, embedder: Callable[[Column], Column] = adapters.embed, describer: adapters.Model | None = None, **cut
 ) -> tuple[DataFrame, DataFrame]:
     """The vector table after loading files (storage_path, content, processor), and an outcome for each file.
 
     Without overwrite files that the table has are skipped; with it their old rows go.  Vectors carry the batch of
     EMBED_ROWS that embeds them and the request that stores them (payloads packed by size); a file's chunks alone are
-    ordered, never the table's.
+    ordered, never the table's.  Pages and vectors are tables in the shared folder: a file is read once and a chunk
+    embedded once, whatever is made of them.
     """
-    known = F.col("__known").isNotNull() & F.lit(not overwrite)
+    vectors, outcomes = loaded(files, stored, library, mode, overwrite, embedder, describer, **cut)
+    return ingest.replaced(stored, vectors.select(*stored.columns), "storage_path"), outcomes
+
+
+def stored_into(files: DataFrame, path: str, **how) -> DataFrame:
+    """Loads files into the bucketed vector table at path (see sources.buckets): their rows replace those of their paths, other buckets aren't written; returns the outcomes."""
+    stored = buckets.read(files.sparkSession, path)
+    vectors, outcomes = loaded(files, stored, **how)
+    buckets.upsert(vectors.select(*stored.columns), path)
+    return outcomes
+
+
+def loaded(files: DataFrame, stored: DataFrame, library: str = "public", mode: str = "semantic", overwrite: bool = True, embedder: Callable[[Column], Column] = adapters.embed, describer: adapters.Model | None = None, **cut) -> tuple[DataFrame, DataFrame]:
+    """The vectors of files, as a written table, and their outcomes."""
     have = stored.select("storage_path").distinct().withColumn("__known", F.lit(True))
-    told = paged(files).join(have, "storage_path", "left").withColumn("known", known).drop("__known")
+    asked = files.join(have, "storage_path", "left").withColumn("known", F.col("__known").isNotNull() & F.lit(not overwrite)).drop("__known")
+    # What is skipped isn't opened.
+    content = F.when(~F.col("known"), F.col("content"))
+    told = written(paged(asked.withColumn("content", content), describer).select("storage_path", "known", "pages", "status", "message"), "pages")
     pages = told.where("status = 'success' AND NOT known").select("storage_path", F.explode("pages").alias("p")).select("storage_path", F.col("p.page").alias("page"), F.col("p.text").alias("text"))
     chunks = chunking.with_ids(chunking.chunked(pages, mode, **cut), "storage_path", "page")
-    batched = chunking.fixed_batches(embedded(chunks, embedder), "storage_path", "page", "ordinal")
+    made = written(embedded(chunks, embedder), "vectors")
+    batched = chunking.fixed_batches(made, "storage_path", "page", "ordinal")
     payload = F.struct("chunk_id", F.col("embedding").alias("values"), F.col("chunk").alias("chunk_text"), "storage_path", "page")
     sized = batched.withColumn("__size", F.octet_length(F.to_json(payload)).cast("long"))
     order = F.array_sort(F.collect_list(F.struct("page", "ordinal", F.col("__size").alias("size"))))
@@ -53,10 +81,11 @@ def ingested(
         "storage_path", "page", "ordinal", "chunk_id", F.col("chunk").alias("chunk_text"), "embedding", "batch", "request",
         X.base_name(F.col("storage_path")).alias("doc_name"), F.lit(library).alias("library"), X.first_segment(F.col("storage_path")).alias("source"),
     )
-    made = vectors.groupBy("storage_path").agg(F.count("*").alias("n"), F.count_distinct("batch").alias("batches"))
-    result = told.join(made, "storage_path", "left")
+    counts = made.groupBy("storage_path").agg(F.count("*").alias("n"))
+    result = told.join(counts, "storage_path", "left")
     message = F.when((F.col("status") == "success") & ~F.col("known") & F.col("n").isNull(), "No chunks generated").otherwise(F.col("message"))
     status = F.when(message == "No chunks generated", "error").otherwise(F.col("status"))
-    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int")
-    outcomes = result.select("storage_path", ingest.outcome(status, message, F.col("known"), F.lit(False)).alias("outcome"), message.alias("message"), n("n").alias("chunks"), n("n").alias("upserted"), n("batches").alias("batches"))
-    return ingest.replaced(stored, vectors.select(*stored.columns), "storage_path"), outcomes
+    n = F.coalesce(F.col("n"), F.lit(0)).cast("int")
+    batches = F.ceil(n / F.lit(chunking.EMBED_ROWS)).cast("int")
+    outcomes = result.select("storage_path", ingest.outcome(status, message, F.col("known"), F.lit(False)).alias("outcome"), message.alias("message"), n.alias("chunks"), n.alias("upserted"), batches.alias("batches"))
+    return vectors, outcomes

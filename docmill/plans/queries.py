@@ -545,6 +545,19 @@ def stream_dedup_state(spark, d):
     return spark.read.parquet(f"{base}/out").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
+@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+def stream_visited(spark, d):
+    """The first event of every user and type through a stream whose state has no horizon, in two runs over growing input."""
+    base = _folder(spark, "stream")
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    middle = events.agg(F.expr("percentile_approx(event_id, 0.5)")).first()[0] or 0
+    for part in ("event_id <= {}", "event_id > {}"):
+        events.where(part.format(middle)).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{base}/in")
+        incremental.visited(stream, ["user_id", "event_type"], "event_id", f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("user_id", "event_type", "event_id")
+
+
 @query("SELECT c_nationkey, c_custkey, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer) WHERE rank <= 3")
 def first_n_per_group(spark, d):
     rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey"))
@@ -629,6 +642,25 @@ def ingest_pipeline(spark, d):
     return outcomes.select("storage_path", "outcome", "chunks", "batches")
 
 
+@query(rf"""WITH RECURSIVE p AS (SELECT doc_id, source, {_PARTS} AS parts, {_WORDS_OF_PARTS} AS n FROM (SELECT doc_id, source, text, {_PARTS} AS parts FROM documents)),
+f AS (SELECT doc_id, source, 1 AS i, n[1] AS words, parts[1] AS part, 0 AS chunk, parts, n FROM p WHERE len(n) > 0
+UNION ALL SELECT doc_id, source, i + 1, CASE WHEN grow THEN words + n[i + 1] ELSE n[i + 1] END, CASE WHEN grow THEN part || chr(10) || parts[i + 1] ELSE parts[i + 1] END, CASE WHEN grow THEN chunk ELSE chunk + 1 END, parts, n
+  FROM (SELECT *, floor((words + n[i + 1]) / 1.33::DOUBLE) <= 100 OR floor(words / 1.33::DOUBLE) < 30 AS grow FROM f WHERE i < len(n))),
+c AS (SELECT doc_id, source, chunk, max_by(part, i) AS text FROM f GROUP BY doc_id, source, chunk)
+SELECT source || '/' || doc_id || '.txt' AS storage_path, chunk::INTEGER AS ordinal, md5(text) AS chunk_text, (chunk // 96)::INTEGER AS batch, doc_id || '.txt' AS doc_name, 'public' AS library, source FROM c""")
+def ingest_vectors(spark, d):
+    """The vector table that loading all documents writes into buckets, twice over: the second load replaces the first."""
+    docs = table(spark, d, "documents")
+    path = F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = docs.select(path.alias("storage_path"), F.encode("text", "UTF-8").alias("content"), F.lit("text").alias("processor"))
+    to = _folder(spark, "vectors")
+    kind = "storage_path string, page int, ordinal int, chunk_id string, chunk_text string, embedding array<double>, batch int, request int, doc_name string, library string, source string"
+    buckets.create(spark.createDataFrame([], kind), to, buckets=16)
+    for _ in range(2):
+        load.stored_into(files, to, mode="greedy", separator="\n", low=30, high=100)
+    return buckets.read(spark, to).select("storage_path", "ordinal", F.md5("chunk_text").alias("chunk_text"), "batch", "doc_name", "library", "source")
+
+
 @query("""WITH e AS (SELECT source AS lane, doc_id AS pos, 'https://host.example/law?n=' || doc_id AS url, 'Decreto 5 Marzo 2020, n. ' || doc_id AS title, left(replace(text, chr(10), ' '), 40) AS subtitle, doc_id FROM documents),
 n AS (SELECT *, max(CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 1 ELSE 0 END) OVER (PARTITION BY lane ORDER BY pos) AS seen FROM e)
 SELECT pos, 'dlgs_05_marzo_2020_n_' || doc_id || '.txt' AS file,

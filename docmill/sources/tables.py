@@ -77,7 +77,7 @@ def count_lines(spark: SparkSession, path: str) -> int:
 
 
 def write_enveloped(df: DataFrame, path: str, source: str, processed_at: str) -> None:
-    """Records as JSON lines, and their number, time and source in a file beside them: no task holds all records."""
+    """Records as JSON lines, and their number, time and source in a file beside them.  One file of both: sources.enveloped."""
     df.write.mode("overwrite").json(f"{path}/records")
     facts = df.agg(F.count("*").alias("total_records")).select("total_records", F.lit(processed_at).alias("processed_at"), F.lit(source).alias("source"))
     facts.coalesce(1).write.mode("overwrite").json(f"{path}/metadata")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import timedelta
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 
@@ -52,6 +55,55 @@ def first_seen(stream: DataFrame, keys: list[str], time: str, within: str = "1 d
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, within).dropDuplicatesWithinWatermark(keys)
 
 
+class _Visited(StatefulProcessor):
+    """A key's state is that it was seen; its first row goes on, all others are left out."""
+
+    def __init__(self, order: str, forget_ms: int | None) -> None:
+        self.order, self.forget_ms = order, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "n long", self.forget_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        known, first = self.seen.exists(), None
+        for part in rows:
+            if not known:
+                best = part.sort_values(self.order, kind="stable").iloc[:1]
+                first = best if first is None or best[self.order].iloc[0] < first[self.order].iloc[0] else first
+        if first is not None:
+            self.seen.update((1,))
+            yield first
+
+    def close(self) -> None:
+        pass
+
+
+def visited(stream: DataFrame, keys: list[str], order: str, target: str, checkpoint: str, forget: timedelta | None = None) -> StreamingQuery:
+    """Appends to target (Parquet) the first row by `order` of every key that no batch had before, and stops when all input at hand is read.
+
+    What was visited is state without a horizon, kept over restarts by the checkpoint; with `forget` a key's state goes that
+    long after it was seen.  Repeated rows of a key are dropped in their tasks first, so a key of many rows moves few.
+    """
+    spark = stream.sparkSession
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.select([*keys, order]).to_pandas()
+            keep = own.sort_values(order, kind="stable").drop_duplicates(keys).index
+            yield batch.take(pa.array(sorted(keep)))
+
+    mode = "None" if forget is None else "ProcessingTime"
+    processor = _Visited(order, None if forget is None else int(forget.total_seconds() * 1000))
+    fresh = stream.mapInArrow(thinned, stream.schema).groupBy(*keys).transformWithStateInPandas(processor, stream.schema, "Append", mode)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return fresh.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(name, before)
+
+
 def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Rows by key in windows of the given width; later rows than `late` are left out."""
     timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
