@@ -8,8 +8,9 @@ name goes to one of the same gender and script.  A permutation keeps distinct va
 gives a value the same surrogate in every document, without any shared state.
 
 Names of persons are those that the lists GIVEN (some 145 names in Latin, Cyrillic and Greek script)
-and TITLES give away: a listed given name before a capitalized surname (up to two initials between,
-capitals throughout allowed), a title before a surname, or a phrase of INTRODUCTIONS before two or
+and TITLES give away: a listed given name before a capitalized surname (up to two initials and PARTICLES between,
+capitals throughout allowed; a second listed name takes one more word), a title before capitalized words (all of
+them up to four, particles and initials between), or a phrase of INTRODUCTIONS before two or
 three capitalized words, whatever they are.  Other capitalized mentions of the given
 names and surnames so found in a text are replaced with them, hyphenated surnames also by part (a
 part has a surrogate of its own); surnames that are FUNCTION_WORDS aren't followed.  Persons of other
@@ -53,6 +54,8 @@ KEY = b"docmill-surrogates-1"
 MAX_SENT = 200_000
 #: Rounds of the collision check, and how many in a row may settle nothing; a value is refused in one with a chance of originals / values of its shape.
 MAX_WALK, IDLE_ROUNDS = 64, 8
+#: Capitalized words taken behind a title, besides the first.
+MORE = 3
 
 # Common given names by gender and script.
 GIVEN = {
@@ -66,6 +69,9 @@ GIVEN = {
 # Forms of address before a surname.
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Señor Señora Sr Sra Господин Госпожа Κύριος Κυρία".split()
 
+# Particles of surnames.
+PARTICLES = "de la las los del della di da dal dos das du des van der den von vom zu zum le bin ibn ben al el ter ten af av".split()
+
 # Phrases that introduce a person's full name.
 INTRODUCTIONS = ("my name is", "My name is", "Name:", "Full name:", "Contact:", "Attn:", "Signed,", "Signed:", "Sincerely,", "Regards,", "je m'appelle", "Je m'appelle", "Nom :", "me llamo", "Me llamo", "Nombre:", "ich heiße", "Ich heiße")
 
@@ -89,7 +95,7 @@ _LOCAL = (
 #: Those whose end is known.
 _LOCAL_FIRST = _LOCAL[: _LOCAL.index("|0\\d{1,4}")]
 PATTERNS = {
-    "email": re.compile(r"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])"),
+    "email": re.compile(r"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:['.][A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])"),
     "iban": re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),
     "card": re.compile(r"(?<![\w+])\d(?:[ -]?\d)*"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
@@ -105,7 +111,13 @@ _NATIONAL = {
     "45": (8, 8), "46": (7, 9), "47": (8, 8), "48": (9, 9), "49": (5, 11), "52": (10, 10), "54": (10, 11), "55": (10, 11), "61": (9, 9), "64": (8, 10), "81": (9, 10), "86": (10, 11), "90": (10, 10), "91": (10, 10),
     "351": (9, 9), "352": (5, 9), "353": (7, 9), "357": (8, 8), "358": (5, 12), "359": (7, 9), "370": (8, 8), "380": (9, 9), "385": (8, 9), "386": (8, 8), "420": (9, 9), "421": (9, 9),
 }
-_NAME = re.compile(rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.?[ ]+)?(?P<given>{'|'.join(sorted([*_GENDER, *_CAPITALS], key=len, reverse=True))})[ ]+(?:[{_UP}]\.?[ ]+){{0,2}}(?P<surname>{_SURNAME})(?!\w)|(?<!\w)(?:{'|'.join(TITLES)})\.?[ ]+(?P<only>{_SURNAME})(?!\w)")
+#: What may stand right before a surname: particles, and a letter with an apostrophe.
+_BEFORE = rf"(?:(?:{'|'.join(PARTICLES)})[ ]+){{0,3}}(?:[A-Z]['’])?"
+_NAME = re.compile(
+    rf"(?<!\w)(?:(?:{'|'.join(TITLES)})\.?[ ]+)?(?P<given>{'|'.join(sorted([*_GENDER, *_CAPITALS], key=len, reverse=True))})[ ]+(?:[{_UP}]\.?[ ]+){{0,2}}{_BEFORE}(?P<surname>{_SURNAME})(?!\w)"
+    rf"|(?<!\w)(?:{'|'.join(TITLES)})\.?[ ]+(?:[{_UP}]\.[ ]+){{0,2}}{_BEFORE}(?P<only>{_SURNAME})(?!\w)"
+)
+_NEXT = re.compile(rf"[ ]+(?:[{_UP}]\.[ ]+){{0,2}}{_BEFORE}(?P<more>{_SURNAME})(?!\w)")
 _INTRODUCED = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, INTRODUCTIONS))})\s+(?P<name>{_SURNAME}(?:[ ]+{_SURNAME}){{1,2}})(?!\w)")
 _WORD = re.compile(_SURNAME)
 _CAPITALIZED = re.compile(rf"(?<!\w)[{_UP}][^\W\d_]*(?:-[{_UP}][^\W\d_]*)*(?!\w)")
@@ -244,6 +256,19 @@ def _bare(text: str, names: dict[str, str], found: list[tuple[int, int, str]]) -
                 yield a, b, kind
 
 
+def _named(text: str) -> Iterator[tuple[int, int, str]]:
+    """Names by the lists: behind a title all capitalized words (MORE besides the first), behind two given names one more."""
+    at = 0
+    while m := _NAME.search(text, at):
+        for part in ("given", "surname", "only"):
+            if m.group(part):
+                yield (*m.span(part), "given" if part == "given" else "surname")
+        at, more = m.end(), MORE if m.group("only") else int(m.group("surname") in _GENDER)
+        while more and (n := _NEXT.match(text, at)) and lowered(n.group("more")) not in FUNCTION_WORDS:
+            yield (*n.span("more"), "surname")
+            at, more = n.end(), more - 1
+
+
 def _free(spans: list[tuple[int, int, str]], taken: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """The spans that overlap none of those taken; both in order of place."""
     out, k = [], 0
@@ -271,7 +296,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
     listed = not _CUES.isdisjoint(_SPLIT.split(text))
     if listed or _INTRODUCED.search(text):
         names: dict[str, str] = {}
-        persons = [(*m.span(part), "given" if part == "given" else "surname") for m in _NAME.finditer(text) for part in ("given", "surname", "only") if m.group(part)] if listed else []
+        persons = list(_named(text)) if listed else []
         persons = _free(persons, out)
         persons += _free([(*w.span(), "given" if w.group() in _GENDER else "surname") for m in _INTRODUCED.finditer(text) for w in _WORD.finditer(text, *m.span("name"))], sorted(out + persons))
         for a, b, kind in persons:

@@ -228,3 +228,22 @@ def test_national_phones_and_what_is_none():
         "5551234567", "555 1234", "1.800.5551", "0.1234 0.5678",
     ):
         assert found_in(f"on {text} so") == [], text
+
+
+def test_whole_names_behind_titles_particles_and_apostrophes():
+    """Words written down by hand: what has to be found, and nothing else."""
+    cases = {
+        "Mr Rajesh Gupta signed": ["Rajesh", "Gupta"],
+        "Then Dr. Anna-Maria Schmidt came.": ["Anna-Maria", "Schmidt"],
+        "Juan de la Cruz and John O'Brien met": ["Juan", "Cruz", "John", "Brien"],
+        "Herr van der Berg sagte": ["Berg"],
+        "Juan Carlos Perez wrote": ["Juan", "Carlos", "Perez"],
+        "Mrs. Fatima K. Hassan, The Director": ["Fatima", "Hassan"],
+        "Prof Xiaoming Wang The end": ["Xiaoming", "Wang"],
+        "write to john.o'neil@x.com now": ["john.o'neil@x.com"],
+        "'mary@x.com'": ["mary@x.com"],
+        "Peter Smith Street": ["Peter", "Smith"],
+        "The Miss of it": [],
+    }
+    for text, want in cases.items():
+        assert [text[a:b] for a, b, _ in P.find(text)] == want, text
