@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docmill.functions import markup
+
 
 def not_stored(files: DataFrame, stored: DataFrame, *keys: str) -> DataFrame:
     """The files whose key the stored table doesn't have."""
@@ -15,6 +17,12 @@ def already_stored(files: DataFrame, stored: DataFrame, *keys: str) -> DataFrame
     return files.join(stored.select(*keys), [*keys], "left_semi")
 
 
+def not_stored_by_header(listing: DataFrame, texts: DataFrame, url: str = "url", text: str = "text") -> DataFrame:
+    """Entries of a listing whose address no stored text has in its header."""
+    have = texts.select(markup.header_value(F.col(text), "url").alias(url)).where(F.col(url) != "").distinct()
+    return listing.join(have, url, "left_anti")
+
+
 def source_hint(prefix: Column) -> Column:
     """The first part of a prefix that has several; null of one alone."""
     return F.when(F.contains(prefix, F.lit("/")), F.split_part(prefix, F.lit("/"), F.lit(1)))

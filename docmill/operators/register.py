@@ -86,6 +86,18 @@ def statistics(records: DataFrame) -> DataFrame:
     )
 
 
+def processed(records: DataFrame, folder: str, source: str, processed_at: str, *order: str) -> tuple[DataFrame, DataFrame]:
+    """The register cleaned and kept first, exported three ways below folder (records.csv, by_ordine, records.json); returns it and its statistics before and after."""
+    from docmill.sources import enveloped, tables
+
+    before = statistics(records).withColumn("stage", F.lit("before"))
+    kept = tables.written(keep_first(cleaned(records), ["nome_completo", "ordine", "data_nascita"], *order), "register")
+    tables.write_csv(kept, f"{folder}/records.csv")
+    tables.write_by_group(kept, f"{folder}/by_ordine", "ordine")
+    enveloped.write_enveloped(kept, f"{folder}/records.json", source, processed_at)
+    return kept, before.unionByName(statistics(kept).withColumn("stage", F.lit("after")))
+
+
 def by_section(records: DataFrame, column: str = "sezione") -> DataFrame:
     """Rows by section; a missing one is Unknown, an empty one a group of its own."""
     return records.groupBy(F.coalesce(column, F.lit("Unknown")).alias("section")).agg(F.count("*").alias("n"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docmill.functions import markup
 from docmill.functions import text as X
 from docmill.functions import values as V
-from docmill.operators import answer, chat, chunking, crawl, ingest, laws, load, names, nearest, register, retrieval
+from docmill.operators import answer, chat, chunking, crawl, ingest, laws, load, names, nearest, pages, register, retrieval, summaries
 from docmill.sources import buckets
 from docmill.sources.tables import shared_dir, table
 from docmill.streaming import incremental
@@ -558,6 +558,49 @@ def stream_visited(spark, d):
     return spark.read.parquet(f"{base}/out").select("user_id", "event_type", "event_id")
 
 
+@query("""SELECT d.doc_id FROM documents d WHERE d.doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id % 3 <> 0)""")
+def not_stored_by_header(spark, d):
+    """Documents whose address isn't in the header of a stored text; every third stored text has its header too late."""
+    docs = table(spark, d, "documents").select("doc_id", "text", F.concat(F.lit("https://host.example/"), F.col("doc_id").cast("string")).alias("url"))
+    late = F.when(F.col("doc_id") % 3 == 0, F.repeat(F.lit("line\n"), 10)).otherwise("title: x\n")
+    stored = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select(F.concat(late, F.lit("url: "), "url", F.lit("\n\n"), "text").alias("text"))
+    return ingest.not_stored_by_header(docs.select("doc_id", "url"), stored).select("doc_id")
+
+
+@query("""WITH p AS (SELECT user_id AS f, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS page, event_id, event_type, props FROM events),
+n AS (SELECT f, count(*) AS pages, count(CASE WHEN event_type NOT IN ('error') AND f % 3 <> 0 THEN 1 END) AS texts FROM p GROUP BY f),
+r AS (SELECT p.*, texts = 0 AS ocr FROM p JOIN n USING (f) WHERE pages <= 400 AND (texts > 0 OR page <= 15)),
+i AS (SELECT f, page, 'image ' || props AS said FROM (SELECT *, row_number() OVER (PARTITION BY f, props ORDER BY page) AS nth FROM p) WHERE nth = 1),
+o AS (SELECT r.f, r.page, CASE WHEN ocr THEN 'ocr ' || event_id WHEN f % 3 = 0 OR event_type = 'error' THEN '' WHEN event_type = 'view' THEN NULL ELSE 'text ' || event_id END AS own, said FROM r LEFT JOIN i USING (f, page))
+SELECT f AS storage_path, page::INTEGER AS page, concat_ws(chr(10) || chr(10), nullif(own, ''), said) AS text FROM o WHERE coalesce(own, '') <> '' OR said IS NOT NULL""")
+def page_plan(spark, d):
+    """Every user's events as the pages of a file with an image each: broken texts, equal images, too many pages, and files without text."""
+    events = table(spark, d, "events")
+    page = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    rows = events.select(F.col("user_id").alias("storage_path"), page.alias("page"), "event_id", "event_type", "props")
+    lacking = (F.col("storage_path") % 3 == 0) | (F.col("event_type") == "error")
+    text = F.when(lacking, F.lit(" ")).when(F.col("event_type") == "view", F.lit("(CID:7) broken")).otherwise(F.concat(F.lit("text "), F.col("event_id").cast("string")))
+    of_pages = rows.select("storage_path", "page", text.alias("text"), F.col("event_id").cast("string").cast("binary").alias("content"))
+    images = rows.select("storage_path", "page", F.lit(0).alias("pos"), F.col("props").cast("binary").alias("content"))
+    say = lambda word: lambda content: F.concat(F.lit(word), content.cast("string"))
+    return pages.page_texts(of_pages, images, say("image "), say("ocr "))
+
+
+@query("""SELECT source AS "group", count(*)::BIGINT AS n, sum(n_chars)::DOUBLE AS total, round(avg(n_chars), 6) AS mean, min(n_chars)::DOUBLE AS least, max(n_chars)::DOUBLE AS most, true AS distinct_close, true AS median_close FROM documents GROUP BY source""")
+def load_statistics(spark, d):
+    """Statistics by source merged from five loads, one of them added twice; distinct texts within 5 %, the median's rank within 3 %, both held against exact counts."""
+    path = _folder(spark, "statistics")
+    docs = table(spark, d, "documents")
+    for k in (0, 1, 2, 3, 4, 2):
+        summaries.add(summaries.summarized(docs.where(F.pmod("doc_id", F.lit(5)) == k), f"load {k}", "source", "n_chars", "text"), path)
+    found = summaries.merged(spark, path)
+    exact = docs.groupBy(F.col("source").alias("of")).agg(F.count_distinct("text").alias("exact"))
+    below = docs.join(found.select(F.col("group").alias("source"), "q50"), "source").groupBy(F.col("source").alias("by")).agg(F.avg((F.col("n_chars") <= F.col("q50")).cast("double")).alias("share"), F.avg((F.col("n_chars") < F.col("q50")).cast("double")).alias("under"))
+    told = found.join(exact, F.col("group") == F.col("of")).join(below, F.col("group") == F.col("by"))
+    close = F.abs(F.col("n_distinct") - F.col("exact")) <= 0.05 * F.col("exact")
+    return told.select("group", "n", "total", F.round("mean", 6).alias("mean"), "least", "most", close.alias("distinct_close"), ((F.col("share") >= 0.47) & (F.col("under") <= 0.53)).alias("median_close"))
+
+
 @query("SELECT c_nationkey, c_custkey, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer) WHERE rank <= 3")
 def first_n_per_group(spark, d):
     rank = F.row_number().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey"))
