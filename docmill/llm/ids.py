@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 
 from docmill.llm.tokens import _EDGE, _UNSAFE, _WHITE
 
-CACHE_PIECES = 1 << 20
+CACHE_PIECES = 3 << 18
 #: Pieces that go to the library as one text, and longer ones that aren't cached.
 JOINED, CACHED_CHARS = 256, 256
 #: A space before white space or at the end, and white space at the beginning, as RE2 writes them.

@@ -38,7 +38,7 @@ SHARD_BYTES, MAX_SHARDS = 32 << 20, 1 << 18
 #: Bytes of a row group and of a page, and rows of a page at most.
 GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 8 << 20, 256 << 10, 512
 #: Bytes of texts encoded at a time.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 IDS = "ids.list.element"
 
 
