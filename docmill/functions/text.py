@@ -285,9 +285,15 @@ def short_id(text: Column) -> Column:
     return F.left(F.md5(text), F.lit(16))
 
 
+# Words that titles glue to the word before.
+GLUED = (r"(?iU)(\w+)(legge)\b", r"(?iU)(\w+)(decreto)\b")
+
+
 def unglue(text: Column) -> Column:
     """A space before `legge` and `decreto` where they end a word."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?iU)(\w+)(legge)\b", "$1 $2"), r"(?iU)(\w+)(decreto)\b", "$1 $2")
+    for pattern in GLUED:
+        text = F.regexp_replace(text, pattern, "$1 $2")
+    return text
 
 
 def bracketed(text: Column) -> Column:

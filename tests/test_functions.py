@@ -106,7 +106,6 @@ def test_markup(spark):
     assert one(spark, markup.xml_text("h", F.lit(50)), h="<a>") is None
     law = '<l xmlns="u:x"><article><num>Art. 1</num><p>Text  one</p></article><article id="2"><p>two</p></article></l>'
     assert [(a.num, a.text) for a in one(spark, markup.law_articles("h"), h=law)] == [("Art. 1", "Art. 1Text one"), ("2", "two")]
-    assert [c.title for c in one(spark, markup.cards(C("h")), h='<article><h2><a href="/x">A long enough title</a></h2></article><article><h2>short</h2></article>')] == ["A long enough title"]
 
 
 def test_extraction(spark):
