@@ -16,8 +16,10 @@ have equal anchors, and a run of strings with one anchor is a short segment of t
    their content, each shard sends its distinct strings as a sorted run of 128-bit digests to
    buckets by digest, and runs are merged by binary search, the first place of a string staying.
 
-The texts meet the repeats found in one last join, where they are cut.  Blocks, buckets and shards
-are bounded in bytes; no task holds all segments of an anchor unless they are few.
+The texts meet the repeats found in one last join, where they are cut.  Blocks and shards are bounded
+in bytes, and a task holds the strings of an anchor only if they are few.  Its records are not: one for each
+place of the anchor (29 bytes before compression) meets the others in one bucket, so a footer of a third of
+all documents makes a bucket of that many records.
 
 Defined cases: null and empty texts, and shorter ones than `length`, keep all bytes; ids are
 integers, null comes last; rows with equal id and text are one document and get equal results;
