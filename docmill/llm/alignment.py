@@ -43,7 +43,7 @@ MAX_BLOCKS = 1 << 22
 #: Bytes of texts taken at a time.
 TEXT_BYTES = 1 << 19
 #: Pieces whose groups a worker keeps.
-TABLE_PIECES = 1 << 19
+TABLE_PIECES = 3 << 17
 #: Id pairs that are sent to all tasks with their counts; with more they are joined by a shuffle.
 SENT_PAIRS = 1 << 20
 #: A worker that has met a longer piece starts its table anew.
