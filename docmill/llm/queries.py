@@ -24,7 +24,5 @@ ORACLE_SQL = {
     "op8_decontamination": decontaminate.SQL,
     "op9_mixing": mixing.SQL,
     "op10_url_filters": urls.SQL,
-    "op11_cross_tokenizer": alignment.op11_cross_tokenizer,
-    "op12_token_files": token_files.op12_token_files,
     "op13_fill_in_middle": infill.SQL,
 }
