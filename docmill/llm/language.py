@@ -34,13 +34,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.llm import arrays as A
-from docmill.llm.shared import bounded_batches
+from docmill.llm.shared import bounded_batches, written
 
 ORDERS = (1, 2, 3)
 TRAIN_ROWS, LANDMARKS, TRAIN_CHARS = 300, 40, 8192
 SAMPLE_BYTES, LANDMARKS_IN_ALL, MODEL_BYTES = 128 << 20, 2000, 256 << 20
 #: Texts drawn for each one wanted, and for each language besides: the draw falls short of what is wanted with a chance below 10^-12.
 DRAWN, MORE = 2, 40
+#: Labels whose chances are sent to all tasks; with more, texts are joined by a shuffle.
+SENT_LABELS = 100_000
 RIDGE = 1e-3
 #: Numbers of a matrix held at once.
 CELLS = 1 << 23
@@ -151,8 +153,10 @@ def training_rows(df: DataFrame, text: str, label: str, rows: int = TRAIN_ROWS,
     own = df.select(F.left(F.col(f"`{text}`"), F.lit(chars)).alias("text"), F.col(f"`{label}`").cast("string").alias("label"))
     fits = own.where(F.col("label").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
     counts = fits.groupBy("label").agg(F.approx_count_distinct("h").alias("n"))
-    # One row a label: Spark broadcasts it below its own threshold.
+    # One row a label, written so that their number is known before the texts are joined: those aren't moved.
+    counts, _ = written(counts, "labels")
     chances = counts.select(F.col("label").alias("__lang"), F.least(F.lit(1.0), F.lit(float(DRAWN * rows + MORE)) / F.col("n")).alias("chance"))
+    chances = F.broadcast(chances) if counts.count() <= SENT_LABELS else chances
     drawn = fits.join(chances, F.col("label") == F.col("__lang")).where(F.pmod("h", F.lit(1 << 30)) < F.col("chance") * float(1 << 30))
     return drawn.select("label", "text", "h").dropDuplicates(["label", "h"])
 
