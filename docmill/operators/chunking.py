@@ -116,8 +116,8 @@ def split_oversized(text: Column, most: int = CHUNK_BYTES) -> Column:
     return F.when(F.octet_length(text) <= most, F.filter(F.array(text), lambda t: F.trim(t) != "")).otherwise(_split(text, F.lit(most)))
 
 
-def chunked(df: DataFrame, mode: str = "semantic", text: str = "text", separator: str = "\n\n", low: int = MIN_TOKENS, high: int = MAX_TOKENS, likeness: float = LIKENESS, most: int = CHUNK_BYTES, vectors=V.hashed_vectors) -> DataFrame:
-    """df exploded into (…, ordinal, chunk).  mode: semantic (token rule alone above 800 paragraphs), greedy, or whole."""
+def chunked(df: DataFrame, mode: str = "semantic", text: str = "text", separator: str = "\n\n", low: int = MIN_TOKENS, high: int = MAX_TOKENS, likeness: float = LIKENESS, most: int | None = CHUNK_BYTES, vectors=V.hashed_vectors) -> DataFrame:
+    """df exploded into (…, ordinal, chunk).  mode: semantic (token rule alone above 800 paragraphs), greedy, or whole.  Chunks above `most` bytes are split; with None by the mode's rule alone."""
     # Columns of their own, so that neither is made twice.
     df = df.withColumn("__parts", paragraphs(F.col(text), separator))
     parts, joiner = F.col("__parts"), separator
@@ -131,7 +131,7 @@ def chunked(df: DataFrame, mode: str = "semantic", text: str = "text", separator
         chunks = F.when(F.size(parts) <= 1, parts).when(F.size(parts) > MANY_PARAGRAPHS, greedy(parts, low, high, joiner)).otherwise(alike)
     keys = [c for c in df.columns if c not in (text, "__parts", "__vectors")]
     whole = df.select(*keys, F.posexplode(chunks).alias("merged", "part"))
-    cut = whole.select(*[c for c in whole.columns if c != "part"], F.posexplode(split_oversized(F.col("part"), most)).alias("cut", "chunk"))
+    cut = whole.select(*[c for c in whole.columns if c != "part"], F.posexplode(F.array("part") if most is None else split_oversized(F.col("part"), most)).alias("cut", "chunk"))
     if not keys:
         return cut.select("merged", "cut", "chunk")
     before = F.row_number().over(Window.partitionBy(*keys).orderBy("merged", "cut")) - 1

@@ -3,6 +3,7 @@
 import json
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,3 +98,20 @@ def test_visited_over_restarts(spark, tmp_path):
             want["c"] = (9, "z")
         assert {r.k: (r.n, r.v) for r in spark.read.schema(schema).parquet(str(tmp_path / "out")).collect()} == want
     assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_registered_loads_follow_their_sql_on_long_paragraphs(spark, tmp_path):
+    import __spark_entry__
+
+    # A paragraph above CHUNK_BYTES, alone and behind a short one: the stated rule counts tokens, not bytes.
+    long = "word " * 9000 + "end"
+    rows = [(1, long, "s"), (2, f"a b c\n{long}\nlast", "s"), (3, "short", "t")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    duck = duckdb.connect()
+    for t in ("documents", "labels"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    for name in ("ingest_pipeline",):
+        got = __spark_entry__.queries()[name](spark, str(tmp_path))
+        want = duck.execute(f"SELECT {', '.join(got.columns)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want)
