@@ -1,9 +1,12 @@
-"""Pairs of names of which one contains the other, case apart, by joins on the contained name's rarest three letters.
+"""Pairs of names of which one contains the other, case apart, by joins on the contained name's rarest run of letters.
 
-If a name holds another, it holds all its runs of three letters, so it is enough to look where the
+If a name holds another, it holds all its runs of LETTERS letters, so it is enough to look where the
 rarest of them occurs: the contained name asks with one run, the containing one is posted under
-all of its own, and what meets is verified.  Names of one or two letters ask with themselves and meet the runs of
-that length.  Both directions are the same join with sides exchanged.
+all of its own, and what meets is verified.  Names of up to LETTERS letters ask with themselves and meet the runs of
+their length, so that what meets is a pair: numbers and other short names cost what they give.  Runs are posted
+in the lengths alone that the other side asks with.  Both directions are the same join with sides exchanged.
+
+Postings are many times their names, which Spark's size estimates don't see: these joins are sorted merges, never broadcasts.
 
 Defined cases: an empty name is contained in every name; null names are in no
 pair; equal names are a pair once; names that are repeated are joined once, by their distinct values.
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LETTERS = 3
+LETTERS = 8
 
 
 def runs(name: Column, size: int) -> Column:
@@ -25,13 +28,15 @@ def runs(name: Column, size: int) -> Column:
 
 def contained(small: DataFrame, large: DataFrame) -> DataFrame:
     """(small, large): distinct names of one column `name` each, lower-cased, not empty, where large holds small."""
-    posted = large.select(F.col("name").alias("large"), F.explode(F.concat(runs(F.col("name"), LETTERS), *[runs(F.col("name"), k) for k in range(1, LETTERS)])).alias("run"))
-    often = posted.groupBy("run").agg(F.count("*").alias("n"))
-    own = F.when(F.length("name") >= LETTERS, runs(F.col("name"), LETTERS)).otherwise(F.array("name"))
-    asked = small.select(F.col("name").alias("small"), F.explode(own).alias("run"))
+    name = F.col("name")
+    asks = [r[0] for r in small.select(F.least(F.length(name), F.lit(LETTERS))).distinct().collect()]  # LETTERS numbers at most
+    posted = lambda sizes: large.select(name.alias("large"), F.explode(F.concat(*[runs(name, k) for k in sizes])).alias("run"))
+    whole = small.where(F.length(name) <= LETTERS).select(name.alias("small"), name.alias("run"))
+    parts = small.where(F.length(name) > LETTERS).select(name.alias("small"), F.explode(runs(name, LETTERS)).alias("run"))
+    often = posted([LETTERS]).groupBy("run").agg(F.count("*").alias("n"))
     # A run that the other side doesn't have at all settles it: nothing holds the name.
-    rarest = asked.join(often, "run", "left").groupBy("small").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)), "run")).alias("run"))
-    return rarest.join(posted, "run").where(F.contains("large", "small")).select("small", "large")
+    rarest = parts.join(often.hint("merge"), "run", "left").groupBy("small").agg(F.min_by("run", F.struct(F.coalesce("n", F.lit(0)), "run")).alias("run"))
+    return posted(sorted(asks) or [LETTERS]).join(whole.unionByName(rarest).hint("merge"), "run").where(F.contains("large", "small")).select("small", "large")
 
 
 def containment(left: DataFrame, right: DataFrame, left_name: str = "name", right_name: str = "name") -> DataFrame:

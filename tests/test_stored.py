@@ -157,3 +157,18 @@ def test_category_crawl_equals_a_walk(spark):
 def test_exact_way_stays(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [r.vec_id for r in retrieval.batch_top_k(v, v.where(F.col("vec_id") == 0), 1).collect()] == [0]
+
+
+def test_containment_broadcasts_no_postings(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("ab1"), n))
+    small = sorted({word(int(n)) for n in rng.integers(1, 14, 200)})
+    large = sorted({word(int(n)) for n in rng.integers(1, 30, 200)} | {"x" + s + "y" for s in small[::3]})
+    a, b = (spark.createDataFrame([(s,) for s in side], "name string") for side in (small, large))
+    for df, at in ((a, "a"), (b, "b")):
+        df.write.parquet(str(tmp_path / at))
+    a, b = (spark.read.parquet(str(tmp_path / at)) for at in "ab")  # a few KB, as Spark estimates them
+    found = names.contained(a, b)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in found.collect()} == {(x, y) for x in small for y in large if x in y}
+    assert {tuple(r) for r in names.containment(a, b).collect()} == {(x, y) for x in small for y in large if x in y or y in x}
