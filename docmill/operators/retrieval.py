@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,8 @@ LIBRARIES = ("organization", "private", "public")
 #: Request defaults and the widths of the cascade.
 CANDIDATES, THRESHOLD, LEXICAL, FINAL, DEFAULT_TOP = 100, 0.3, 25, 5, 5
 K1, B, FLOOR = 1.5, 0.75, 0.25
+#: Decimals of a score that count in a rank, and scores that a task holds at once (16 MB).
+DECIMALS, SCORES = 9, 1 << 21
 
 
 @dataclasses.dataclass(frozen=True)
@@ -88,8 +91,9 @@ def hit_columns(hits: DataFrame) -> DataFrame:
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, row_id: str = "vec_id", values: str = "embedding", block: int = 4096) -> DataFrame:
     """(query_id, rank, row id, score): the best k rows by cosine for every row of queries.
 
-    Queries come in blocks of bounded size; a task scores its rows against a block by one matrix
-    product and keeps k a query, so what travels is k rows a query and task.
+    Queries come in blocks of bounded size; a task scores its rows against a block by matrix products of
+    SCORES numbers at most and keeps k a query, so what travels is k rows a query and task.  Scores are
+    ranked by 9 decimals and then by id: equal vectors have equal places, whatever the last bits of their products.
     """
     spark = vectors.sparkSession
     n = max(1, -(-queries.count() // block))
@@ -106,27 +110,59 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, row_id: str = "v
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value
-            best_id, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+            best = Best(len(q), k)
+            step = max(1, SCORES // len(q))
             for batch in batches:
-                v = np.array(batch.column(1).to_pylist(), np.float64)
-                if not len(v):
-                    continue
-                size = np.linalg.norm(v, axis=1)
-                score = np.where(size > 0, q @ v.T / np.where(size > 0, size, 1), -np.inf)
-                best = np.concatenate([best, score], axis=1)
-                best_id = np.concatenate([best_id, np.broadcast_to(batch.column(0).to_numpy(), score.shape)], axis=1)
-                order = np.lexsort((best_id, -best), axis=1)[:, :k]
-                best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
-            real = np.isfinite(best)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])[real.ravel()]), pa.array(best_id[real]), pa.array(best[real])], names=schema.names)
+                for part in (batch.slice(a, step) for a in range(0, len(batch), step)):
+                    if (pc.list_value_length(part.column(1)).to_numpy() != q.shape[1]).any():
+                        raise ValueError(f"vectors of other sizes than the queries' {q.shape[1]}")
+                    v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
+                    size = np.linalg.norm(v, axis=1)
+                    score = q @ (v / np.where(size > 0, size, 1)[:, None]).T
+                    score[:, ~(size > 0)] = -np.inf
+                    best.add(score, part.column(0).to_numpy())
+            at, near, score = best.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(near), pa.array(score)], names=schema.names)
 
         hits = vectors.select(F.col(row_id).cast("long"), F.col(values)).where(F.size(values) > 0).mapInArrow(run, schema)
         found = hits if found is None else found.unionByName(hits)
     found = spark.createDataFrame([], schema) if found is None else found
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), row_id))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", DECIMALS)), row_id))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+class Best:
+    """The best k of the rows seen so far for each of n queries, by score to DECIMALS and then by id."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.k = k
+        self.at, self.near, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        #: What a query's next row must reach, a rounding below its k-th best.
+        self.bar = np.full(n, -np.inf)
+
+    def add(self, score: np.ndarray, near: np.ndarray) -> None:
+        """score: of each query (row) and each new row (column), whose ids are near."""
+        score = np.where(np.isfinite(score), score, -np.inf)
+        bar, slack = self.bar, 2 * 10.0**-DECIMALS
+        if np.isneginf(bar).any() and score.shape[1] > self.k:
+            bar = np.maximum(bar, np.partition(score, -self.k, axis=1)[:, -self.k] - slack)
+        at, column = np.nonzero((score >= bar[:, None]) & (score > -np.inf))
+        if not len(at):
+            return
+        at, near, score = np.concatenate([self.at, at]), np.concatenate([self.near, near[column]]), np.concatenate([self.score, score[at, column]])
+        order = np.lexsort((near, -np.round(score, DECIMALS), at))
+        at, near, score = at[order], near[order], score[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        full = place == self.k - 1
+        self.bar[at[full]] = score[full] - slack
+        kept = place < self.k
+        self.at, self.near, self.score = at[kept], near[kept], score[kept]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score)"""
+        return self.at, self.near, self.score
+
+
 def first_of_text(df: DataFrame, text: str, order: str) -> DataFrame:
     """Of rows with one text the first by `order`; rows without text go."""
     some = df.where(F.coalesce(F.col(text), F.lit("")) != "")

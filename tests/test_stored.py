@@ -172,3 +172,20 @@ def test_containment_broadcasts_no_postings(spark, tmp_path):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in found.collect()} == {(x, y) for x in small for y in large if x in y}
     assert {tuple(r) for r in names.containment(a, b).collect()} == {(x, y) for x in small for y in large if x in y or y in x}
+
+
+def test_batch_top_k_ranks_equal_vectors_by_id_in_small_tiles(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((5, 8))
+    rows = [(i, [float(x * (1 + 0.37 * i)) for x in base[i % 5]]) for i in range(500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = retrieval.batch_top_k(df, df.where("vec_id < 5"), 7).orderBy("query_id", "rank").collect()
+    for q in range(5):
+        assert [r.vec_id for r in got if r.query_id == q] == [q + 5 * j for j in range(7)]
+    score, ids = np.round(rng.standard_normal((6, 400)), 1), rng.permutation(400)
+    best = retrieval.Best(6, 9)
+    for a in range(0, 400, 13):  # whatever the tiles
+        best.add(score[:, a : a + 13], ids[a : a + 13])
+    at, near, _ = best.rows()
+    for i in range(6):
+        assert near[at == i].tolist() == ids[np.lexsort((ids, -score[i]))][:9].tolist()
