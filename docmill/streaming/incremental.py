@@ -81,20 +81,37 @@ class _Visited(StatefulProcessor):
 def visited(stream: DataFrame, keys: list[str], order: str, target: str, checkpoint: str, forget: timedelta | None = None) -> StreamingQuery:
     """Appends to target (Parquet) the first row by `order` of every key that no batch had before, and stops when all input at hand is read.
 
-    What was visited is state without a horizon, kept over restarts by the checkpoint; with `forget` a key's state goes that
-    long after it was seen.  Repeated rows of a key are dropped in their tasks first, so a key of many rows moves few.
+    What was visited is state without a horizon, kept over restarts by the checkpoint: Spark's own dropDuplicates, to which a batch
+    hands one row a key.  Repeated rows of a key are dropped in their tasks first, so a key of many rows moves few.  With `forget`
+    a key's state goes that long after it was seen, which dropDuplicates doesn't know: a processor in Python sees every key.
     """
     spark = stream.sparkSession
 
+    def firsts(part: pa.Table) -> pa.Table:
+        own = part.select([*keys, order]).to_pandas()
+        return part.take(pa.array(sorted(own.sort_values(order, kind="stable").drop_duplicates(keys).index), pa.int64())).combine_chunks()
+
     def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.select([*keys, order]).to_pandas()
-            keep = own.sort_values(order, kind="stable").drop_duplicates(keys).index
-            yield batch.take(pa.array(sorted(keep)))
+            yield from firsts(pa.Table.from_batches([batch])).to_batches()
 
-    mode = "None" if forget is None else "ProcessingTime"
-    processor = _Visited(order, None if forget is None else int(forget.total_seconds() * 1000))
-    fresh = stream.mapInArrow(thinned, stream.schema).groupBy(*keys).transformWithStateInPandas(processor, stream.schema, "Append", mode)
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each key of a partition one row; what is held is twice its distinct keys."""
+        held: pa.Table | None = None
+        done = 0
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if len(held) > max(1 << 16, 2 * done):
+                held = firsts(held)
+                done = len(held)
+        if held is not None:
+            yield from firsts(held).to_batches()
+
+    few = stream.mapInArrow(thinned, stream.schema)
+    if forget is None:
+        fresh = few.repartition(*keys).mapInArrow(first, stream.schema).dropDuplicates(keys)
+    else:
+        fresh = few.groupBy(*keys).transformWithStateInPandas(_Visited(order, int(forget.total_seconds() * 1000)), stream.schema, "Append", "ProcessingTime")
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

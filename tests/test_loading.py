@@ -115,3 +115,12 @@ def test_registered_loads_follow_their_sql_on_long_paragraphs(spark, tmp_path):
         got = __spark_entry__.queries()[name](spark, str(tmp_path))
         want = duck.execute(f"SELECT {', '.join(got.columns)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall()
         assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_visited_keys_without_a_horizon_need_no_python_a_key(spark, tmp_path):
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("n", T.LongType())])
+    spark.createDataFrame([(i % 700, i) for i in reversed(range(7000))], schema).repartition(5).write.parquet(str(tmp_path / "in"))
+    run = incremental.visited(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), ["k"], "n", str(tmp_path / "out"), str(tmp_path / "state"))
+    run.awaitTermination()
+    assert "TransformWithState" not in run._jsq.explainInternal(False)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [(i, i) for i in range(700)]
