@@ -130,15 +130,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size)
 
 
+@lru_cache(1 << 16)
+def _place(token: str) -> int:
+    return int(hashlib.md5(token.encode()).hexdigest()[0], 16)
+
+
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def hashed_vectors(lists: pd.Series) -> pd.Series:
     """A stand-in for a hosted embedder: for each text of a list its counts of tokens by the first digit of their MD5 in 16 places, of length 1."""
-    place = lru_cache(1 << 16)(lambda token: int(hashlib.md5(token.encode()).hexdigest()[0], 16))
-
     def one(text: str) -> list[float]:
         counts = [0.0] * 16
         for token in re.findall("[a-z0-9]+", text.lower()):
-            counts[place(token)] += 1
+            counts[_place(token)] += 1
         size = math.sqrt(sum(c * c for c in counts))
         return [c / size for c in counts] if size else counts
 

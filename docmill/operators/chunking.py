@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from docmill.functions import text as X
 from docmill.functions import values as V
+from docmill.sources.tables import bounded_batches
 
 MIN_TOKENS, MAX_TOKENS, LIKENESS, MANY_PARAGRAPHS = 150, 1000, 0.70, 800
 CHUNK_BYTES = 40_960 - 2_048
@@ -126,6 +127,7 @@ def chunked(df: DataFrame, mode: str = "semantic", text: str = "text", separator
     elif mode == "greedy":
         chunks = greedy(parts, low, high, joiner)
     else:
+        bounded_batches(df.sparkSession)
         df = df.withColumn("__vectors", vectors(parts))
         alike = semantic(parts, F.col("__vectors"), low, high, likeness, joiner)
         chunks = F.when(F.size(parts) <= 1, parts).when(F.size(parts) > MANY_PARAGRAPHS, greedy(parts, low, high, joiner)).otherwise(alike)

@@ -11,7 +11,7 @@ from docmill.functions import adapters, office
 from docmill.functions import text as X
 from docmill.operators import chunking, ingest
 from docmill.sources import buckets
-from docmill.sources.tables import written
+from docmill.sources.tables import bounded_batches, written
 
 
 OFFICE = ("docx", "xlsx", "pptx")
@@ -35,6 +35,7 @@ def paged(files: DataFrame, describer: adapters.Model | None = None) -> DataFram
 
 def embedded(chunks: DataFrame, embedder: Callable[[Column], Column] = adapters.embed, text: str = "chunk") -> DataFrame:
     """chunks with the vector of their text; a hosted embedder gets them in Arrow batches."""
+    bounded_batches(chunks.sparkSession)
     return chunks.withColumn("embedding", embedder(F.array(F.col(text)))[0])
 
 

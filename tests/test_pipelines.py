@@ -249,3 +249,16 @@ def test_register_pages_are_read_once(spark):
     pages = spark.createDataFrame([(1, "<p>Nothing</p>")], "id int, html string")
     plan = register.built(pages, "html", "id")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("register_box(") == 1
+
+
+def test_vectors_are_made_in_bounded_batches(spark):
+    from docmill.operators import chunking
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, str(64 << 20))
+        got = chunking.chunked(spark.createDataFrame([(1, "a b\n\nc d")], "id int, text string")).collect()
+        assert [r.chunk for r in got] == ["a b\n\nc d"] and int(spark.conf.get(name)) <= tables.BATCH_BYTES
+    finally:
+        spark.conf.set(name, before)
