@@ -9,10 +9,11 @@ reach the wanted recall on queries held out of the sample; data without clusters
 `retrieval.batch_top_k` is the exact way.
 
 Sizes: the sample is SAMPLE rows at most, centres CELLS at most, queries come in blocks of
-BLOCK rows.  A cell of any size is spread over files.
+BLOCK rows.  A cell of any size is spread over files, and scored in tiles of SCORES numbers: a task holds
+BLOCK * wide * k rows of four numbers, a few times over, however many rows a cell has.
 
 Defined cases: null, empty, zero and wrongly long vectors are in no cell and never found; an empty table gives an
-empty index; equal scores go by id; repeated rows are found as often as they stand there.
+empty index; equal scores (to 9 decimals) go by id; repeated rows are found as often as they stand there.
 """
 
 from __future__ import annotations
@@ -27,12 +28,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docmill.operators.retrieval import DECIMALS
+
 SAMPLE, CELLS, ROUNDS = 20_000, 1024, 15
 #: Queries held out of the sample to choose the number of probes.
 HELD = 200
 BLOCK = 2048
 #: Rows of a query that are scored exactly, times k.
 WIDE = 20
+#: Scores that a task holds at once (8 MB), and steps of a unit query's numbers beside codes.
+SCORES, QUERY_STEPS = 1 << 20, 1 << 15
 
 
 @dataclass(frozen=True)
@@ -152,37 +157,74 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, row_id: s
     return out
 
 
+class Few:
+    """The best `most` of the rows seen so far for each of n queries, by score and then by id; holds four times as many at most, and those of one tile."""
+
+    def __init__(self, n: int, most: int) -> None:
+        self.most, self.room = most, 4 * n * most
+        self.parts: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32))]
+        self.held = 0
+        #: What a query's next row must reach.
+        self.bar = np.full(n, -np.inf)
+
+    def add(self, asking: np.ndarray, score: np.ndarray, ids: np.ndarray, cell: int) -> None:
+        """score: of each asking query (row) and each new row (column), whose ids are given."""
+        bar = self.bar[asking]
+        if score.shape[1] > self.most:
+            bar = np.maximum(bar, np.partition(score, -self.most, axis=1)[:, -self.most])
+            self.bar[asking] = bar
+        row, column = np.nonzero(score >= bar[:, None])
+        self.parts.append((asking[row].astype(np.int32), score[row, column], ids[column], np.full(len(row), cell, np.int32)))
+        self.held += len(row)
+        if self.held > self.room:
+            self.rows()
+
+    def rows(self) -> tuple[np.ndarray, ...]:
+        """(query, score, id, cell); the others are forgotten."""
+        at, near, ids, cell = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.lexsort((ids, -near, at))
+        place = np.arange(len(at)) - np.searchsorted(at[order], at[order])
+        last = order[place == self.most - 1]
+        self.bar[at[last]] = near[last]
+        order = order[place < self.most]
+        self.parts, self.held = [(at[order], near[order], ids[order], cell[order])], len(order)
+        return self.parts[0]
+
+
+def ranked_codes(batches: Iterator[pa.RecordBatch], q: np.ndarray, near: np.ndarray, centres: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """(at, near, id, cell): of the rows (cell, id, scale, code) the best `most` for each query by what their codes tell.
+
+    Products are of whole numbers and thus exact in any order: equal rows have equal scores, and go by id.
+    """
+    best, whole = Few(len(q), most), np.rint(q * np.float64(QUERY_STEPS))
+    for batch in batches:
+        cells = batch.column(0).to_numpy()
+        for cell in np.unique(cells):
+            asking = np.flatnonzero((near == cell).any(axis=1))
+            if not len(asking):
+                continue
+            base = (q[asking] * centres[cell].astype(np.float64)).sum(axis=1)
+            rows, step = np.flatnonzero(cells == cell), max(1, SCORES // len(asking))
+            for at in (rows[a : a + step] for a in range(0, len(rows), step)):
+                code = np.frombuffer(b"".join(batch.column(3).take(pa.array(at)).to_pylist()), np.int8).reshape(len(at), -1)
+                score = whole[asking] @ code.T.astype(np.float64)
+                score *= batch.column(2).to_numpy()[at] / (127 * QUERY_STEPS)
+                score += base[:, None]
+                best.add(asking, score, batch.column(1).to_numpy()[at], int(cell))
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in best.rows()], names=["at", "near", "id", "cell"])
+
+
 def _block(spark: SparkSession, index: Index, rows: list, k: int, probes: int, wide: int) -> DataFrame:
     ids, q = np.array([r["query_id"] for r in rows], np.int64), unit(np.array([r["q"] for r in rows], np.float32))
-    near = nearest_cells(q, index.centres, probes)
-    sent = spark.sparkContext.broadcast((q, np.sort(near, axis=1), index.centres))
+    near = nearest_cells(q, index.centres, probes).astype(np.int32)
+    sent = spark.sparkContext.broadcast((q, near, index.centres))
     wanted, most = [int(c) for c in np.unique(near)], wide * k
     stored = spark.read.schema("id long, v array<float>, scale float, code binary, cell int").parquet(f"{index.path}/all").where(F.col("cell").isin(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, near, centres = sent.value
-        best = [(np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros(0, np.int32)) for _ in range(len(q))]
-        for batch in batches:
-            cells = batch.column(0).to_numpy()
-            for cell in np.unique(cells):
-                asking = np.flatnonzero((near == cell).any(axis=1))
-                at = np.flatnonzero(cells == cell)
-                if not len(asking) or not len(at):
-                    continue
-                code = np.frombuffer(b"".join(batch.column(3).take(pa.array(at)).to_pylist()), np.int8).reshape(len(at), -1).astype(np.float32)
-                scale = batch.column(2).to_numpy()[at] / np.float32(127)
-                score = (q[asking] @ centres[cell])[:, None] + (q[asking] @ code.T) * scale[None, :]
-                id_ = batch.column(1).to_numpy()[at]
-                for i, s in zip(asking.tolist(), score, strict=True):
-                    a, b, c = (np.concatenate([old, new]) for old, new in zip(best[i], (s, id_, np.full(len(at), cell, np.int32)), strict=True))
-                    if len(a) > most:
-                        keep = np.lexsort((b, -a))[:most]
-                        a, b, c = a[keep], b[keep], c[keep]
-                    best[i] = a, b, c
-        n = [len(a) for a, _, _ in best]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(q), dtype=np.int32), n)), *[pa.array(np.concatenate([x[j] for x in best])) for j in (0, 1, 2)]], names=["at", "near", "id", "cell"])
-
-    codes = stored.select("cell", "id", "scale", "code").mapInArrow(run, T.StructType([T.StructField("at", T.IntegerType()), T.StructField("near", T.FloatType()), T.StructField("id", T.LongType()), T.StructField("cell", T.IntegerType())]))
+        yield from ranked_codes(batches, *sent.value, most)
+
+    codes = stored.select("cell", "id", "scale", "code").mapInArrow(run, T.StructType([T.StructField("at", T.IntegerType()), T.StructField("near", T.DoubleType()), T.StructField("id", T.LongType()), T.StructField("cell", T.IntegerType())]))
     place = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("near"), "id"))
     few = codes.withColumn("place", place).where(F.col("place") <= most).select("at", "id", "cell").distinct()
     # At most BLOCK * wide * k rows, of three numbers each.
@@ -199,5 +241,5 @@ def _block(spark: SparkSession, index: Index, rows: list, k: int, probes: int, w
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at]), batch.column(1), pa.array(s)], names=["query_id", "id", "score"])
 
     scored = exact.select("at", "id", "v").mapInArrow(scores, kind)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", DECIMALS)), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

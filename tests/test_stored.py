@@ -2,8 +2,10 @@
 
 import os
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +191,21 @@ def test_batch_top_k_ranks_equal_vectors_by_id_in_small_tiles(spark):
     at, near, _ = best.rows()
     for i in range(6):
         assert near[at == i].tolist() == ids[np.lexsort((ids, -score[i]))][:9].tolist()
+
+
+def test_nearest_scores_one_large_cell_in_tiles():
+    """What a task holds is bounded by queries, not by the rows of a cell; copies go by id."""
+    r = np.random.default_rng(2)
+    n, size, most = 10_000, 64, 20
+    q, centres = nearest.unit(r.normal(size=(2048, size)).astype(np.float32)), nearest.unit(r.normal(size=(1, size)).astype(np.float32))
+    v = nearest.unit(r.normal(size=(n, size)).astype(np.float32))
+    v[r.random(n) < 0.3] = q[0]  # more copies of one vector than are kept
+    placed = list(nearest._placed(centres)(iter([pa.RecordBatch.from_arrays([pa.array(r.permutation(n)), pa.array(v.tolist(), pa.list_(pa.float32()))], names=["id", "v"])])))[0]
+    batch = placed.select(["cell", "id", "scale", "code"])
+    tracemalloc.start()
+    got = list(nearest.ranked_codes(iter([batch] * 3), q, np.zeros((2048, 1), np.int32), centres, most))[0].to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20, peak
+    copies = sorted(batch.column("id").to_numpy()[(v == q[0]).all(axis=1)].tolist() * 3)
+    assert got["id"][:most] == copies[:most] and len(got["id"]) == 2048 * most
