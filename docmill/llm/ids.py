@@ -8,11 +8,13 @@ texts are one gather.  Where a tokenizer's file tells of another kind, whole tex
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
-from collections.abc import Callable, Sequence
-from itertools import chain
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from docmill.llm.tokens import _EDGE, _UNSAFE, _WHITE
 CACHE_PIECES = 3 << 18
 #: Pieces that go to the library as one text, and longer ones that aren't cached.
 JOINED, CACHED_CHARS = 256, 256
+#: Runs of letters, marks or line ends inside pieces whose ids a worker remembers.
+RUNS = 1 << 14
 #: A space before white space or at the end, and white space at the beginning, as RE2 writes them.
 _RE2_WHITE = _WHITE.replace("\\x85", "\\x{85}").replace("\\xa0", "\\x{a0}")
 for _c in ("1680", "2000", "200a", "2028", "2029", "202f", "205f", "3000"):
@@ -32,7 +36,8 @@ _UNSAFE_RE2, _WHITE_FIRST = f" (?:[{_RE2_WHITE}]|$)", f"^[{_RE2_WHITE}]"
 #: byte-level pattern is plain (letters, marks, line ends), whatever follows a space.
 _LATIN, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r'!"#$%&()*+,\-./:;<=>?@\[\]^_`{|}~\\'
 _PLAIN = re.compile(f"[{_LATIN}]+[{_MARKS}]*(?:\n[{_LATIN}]+[{_MARKS}]*)*")
-_RUNS = re.compile(f"[{_LATIN}]+|[{_MARKS}]+|\n")
+#: Their parts in the byte-level alphabet, in which no letter's byte is shown by a mark or a line end.
+_RUNS = re.compile(f"[^{_MARKS}Ċ]+|[{_MARKS}]+|Ċ")
 
 
 def _alphabet() -> dict[int, str]:
@@ -41,6 +46,18 @@ def _alphabet() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in set(shown))}
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for cycles inside: what is made there has none, and walking lists of ids took two fifths of the time."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Library:
     """A tokenizer's ids and bytes of texts.
 
@@ -82,22 +99,28 @@ class TokenizersFile(Library):
         self.model = self.library.model
         alphabet = _alphabet()
         self.shown = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in range(0x250)}
+        self.runs: dict[str, list[int]] = {}
 
     def encode(self, texts: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def words(self, words: Sequence[str]) -> list[list[int] | None]:
         """Ids of each word behind a space, by the library's model alone, None for words that its pattern may split otherwise."""
-        tokens, plain, runs, shown = self.model.tokenize, _PLAIN.fullmatch, _RUNS.findall, self.shown
+        tokens, plain, runs, shown, known = self.model.tokenize, _PLAIN.fullmatch, _RUNS.findall, self.shown, self.runs
+        if len(known) > RUNS:
+            known.clear()
         out: list[list[int] | None] = []
         for w in words:
             if w.isascii() and w.isalpha():
                 out.append([t.id for t in tokens("Ġ" + w)])
             elif plain(w):
-                first, *rest = runs(w)
-                ids = [t.id for t in tokens("Ġ" + (first if first.isascii() else first.translate(shown)))]
-                for r in rest:
-                    ids += [t.id for t in tokens("Ċ" if r == "\n" else r if r.isascii() else r.translate(shown))]
+                # Words behind line ends and marks come again and again in other pieces.
+                ids: list[int] = []
+                for r in runs("Ġ" + (w if w.isascii() else w.translate(shown)).replace("\n", "Ċ")):
+                    found = known.get(r)
+                    if found is None:
+                        found = known[r] = [t.id for t in tokens(r)]
+                    ids += found
                 out.append(ids)
             else:
                 out.append(None)
@@ -232,6 +255,7 @@ class Cache:
             out += self._cut(part)
         return out
 
+    @uncollected()
     def ids(self, texts: Sequence[str] | pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, `end` behind each where given, and the bounds of each text's."""
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
@@ -243,7 +267,7 @@ class Cache:
         sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = words.flatten().dictionary_encode()
         word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        known: list = coded.dictionary.to_pylist()
+        known: list = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         first = np.cumsum(sizes) - sizes
         if self.spaced:
             firsts = []
@@ -253,10 +277,10 @@ class Cache:
             word[first] = len(known) + place
         keys = known + firsts
         last = [(None, end)] if end is not None else []
-        fresh = set(keys).union(*rows).difference(self.index)
+        places, fresh = self._looked_up(keys, rows)
         if len(self.index) + len(fresh) > self.size and len(self.index) > 1:
             self._thin()
-            fresh = set(keys).union(*rows).difference(self.index)
+            places, fresh = self._looked_up(keys, rows)
         if last and last[0] not in self.index:
             self._kept(last, np.array([end]), np.array([1]))
         fresh.discard(("",))
@@ -271,7 +295,9 @@ class Cache:
         if long:
             self._encode(long)
         look = self.index.__getitem__
-        slot = np.fromiter(map(look, keys), np.int64, len(keys))[word] if len(keys) else np.zeros(0, np.int64)
+        missed = np.flatnonzero(places < 0).tolist()
+        places[missed] = [look(keys[i]) for i in missed]
+        slot = places[word] if len(keys) else np.zeros(0, np.int64)
         n_pieces = np.array([len(r) for r in rows], np.int64)
         other = np.fromiter(map(look, chain.from_iterable(rows)), np.int64, int(n_pieces.sum()))
         # Back into the order of the texts.
@@ -291,6 +317,12 @@ class Cache:
                 del self.index[k]
         return ids, bounds
 
+    def _looked_up(self, keys: list, rows: list[list]) -> tuple[np.ndarray, set]:
+        """Where each of keys is kept, -1 where it isn't, and what of keys and rows isn't."""
+        places = np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
+        fresh = {keys[i] for i in np.flatnonzero(places < 0).tolist()}
+        return places, fresh.union(set().union(*rows).difference(self.index))
+
     def _odd(self, column: pa.Array) -> np.ndarray:
         """Texts that aren't cut at every space, or hold special strings."""
         if not self.library.cuts:

@@ -1,3 +1,4 @@
+import gc
 import random
 import zlib
 from glob import glob
@@ -109,3 +110,27 @@ def test_odd_cases(spark, docs, empty, tmp_path):
     K.written(clash, f"{tmp_path}/clash", PATH, row_id="shard", text="ids")
     assert K.read(spark, f"{tmp_path}/clash").columns == ["doc_id", "start", "n_tokens", "ids"]
     assert sorted(r.ids for r in K.read(spark, f"{tmp_path}/clash").collect()) == sorted(plain_ids(r["text"]) for r in docs.collect())
+
+
+def test_encoding_walks_no_lists_of_ids():
+    """Ids of a batch hold no cycles, so they are made without the collector; parts of pieces met before aren't encoded again."""
+    cache = I.Cache(I.TokenizersFile(PATH))
+    texts = [" ".join(f"{a}{b}{m}\n{b}" for m in ("", ",", "?!")) for a in ("Größ", "stone", "été") for b in ("abcdefgh", "ijk", "ñandú")] + [f"w{'x' * i}" for i in range(200)]
+    ran, model, encoded = [], cache.library.model, []
+    cache.library.model = type("Model", (), {"tokenize": staticmethod(lambda s: encoded.append(s) or model.tokenize(s))})
+    limits = gc.get_threshold()
+    gc.callbacks.append(see := lambda phase, info: ran.append(phase))
+    try:
+        gc.set_threshold(20)
+        gc.disable(), gc.collect(), gc.enable()
+        ran.clear()
+        seen = []
+        words = cache.library.words
+        cache.library.words = lambda w: (words(w), seen.append(len(ran)))[0]
+        got, bounds = cache.ids(texts, 2)
+    finally:
+        gc.callbacks.remove(see)
+        gc.set_threshold(*limits)
+    assert seen == [0] and gc.isenabled()
+    assert len(encoded) == len(set(encoded))
+    assert [got[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [[*plain_ids(t), 2] for t in texts]
