@@ -1,9 +1,13 @@
 """Token ids of whole texts, a worker's cache of pieces in front of the library.
 
-A byte-level BPE cuts a text before every space that a non-space follows.  The ids of a text are then
-the ids of such pieces, one after another, and pieces repeat: each worker keeps the ids of the pieces
-it has met (CACHE_PIECES at most; then the rarer ones go) in one flat array, so the ids of a batch of
-texts are one gather.  Where a tokenizer's file tells of another kind, whole texts go to the library.
+The pattern of a byte-level BPE splits a text into letters, digits, marks and white space, a space going
+with what follows.  Most of its splits are told by two or three neighbouring bytes: texts are cut there by
+numpy, all bytes of a batch at once, and where a split isn't certain (an apostrophe before a letter, white
+space before an unknown character, letters beyond Latin and Cyrillic) the piece stays whole for the
+library.  The ids of a text are those of its pieces, one after another, and pieces repeat: each worker
+keeps the ids of the pieces it has met (CACHE_PIECES at most; then the rarer ones go) in one flat array, so
+the ids of a batch of texts are one gather.  Where a tokenizer's file tells of another kind, whole texts go
+to the library.
 """
 
 from __future__ import annotations
@@ -20,24 +24,63 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from docmill.llm.tokens import _EDGE, _UNSAFE, _WHITE
-
 CACHE_PIECES = 3 << 18
 #: Pieces that go to the library as one text, and longer ones that aren't cached.
 JOINED, CACHED_CHARS = 256, 256
-#: Runs of letters, marks or line ends inside pieces whose ids a worker remembers.
-RUNS = 1 << 14
-#: A space before white space or at the end, and white space at the beginning, as RE2 writes them.
-_RE2_WHITE = _WHITE.replace("\\x85", "\\x{85}").replace("\\xa0", "\\x{a0}")
-for _c in ("1680", "2000", "200a", "2028", "2029", "202f", "205f", "3000"):
-    _RE2_WHITE = _RE2_WHITE.replace("\\u" + _c, "\\x{" + _c + "}")
-_UNSAFE_RE2, _WHITE_FIRST = f" (?:[{_RE2_WHITE}]|$)", f"^[{_RE2_WHITE}]"
-#: Words of Latin letters with ASCII marks behind them, single line ends between: their split by the
-#: byte-level pattern is plain (letters, marks, line ends), whatever follows a space.
-_LATIN, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r'!"#$%&()*+,\-./:;<=>?@\[\]^_`{|}~\\'
-_PLAIN = re.compile(f"[{_LATIN}]+[{_MARKS}]*(?:\n[{_LATIN}]+[{_MARKS}]*)*")
-#: Their parts in the byte-level alphabet, in which no letter's byte is shown by a mark or a line end.
-_RUNS = re.compile(f"[^{_MARKS}Ċ]+|[{_MARKS}]+|Ċ")
+#: Letters of two bytes: U+00C0 to U+027F without two signs, and U+0400 to U+047F.
+_LETTERS, _MARKS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u027f\u0400-\u047f", r"!-/:-@\[-`{-~"
+#: Pieces that the byte-level pattern leaves whole.
+_WHOLE = re.compile(f" ?(?:[{_LETTERS}]+|[0-9]+|[{_MARKS}]+)|\n")
+#: Kinds of bytes.  MAYBE: white space or not; OTHER: no white space; later bytes of a character have its first one's kind.
+MAYBE, LETTER, DIGIT, MARK, APOSTROPHE, OTHER, SPACE, LINE = range(8)
+
+
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    """The kind of each byte; whether the pattern splits between two kinds, whatever is around them."""
+    kind = np.full(256, OTHER, np.uint8)
+    kind[:0x80] = MAYBE  # control characters
+    kind[0x21:0x7F] = MARK
+    for first, last in ("AZ", "az"):
+        kind[ord(first) : ord(last) + 1] = LETTER
+    kind[ord("0") : ord("9") + 1] = DIGIT
+    kind[[ord("'"), ord(" "), ord("\n")]] = APOSTROPHE, SPACE, LINE
+    kind[0x80:0xC0] = LETTER  # behind the letters that follow; put right where others occur
+    kind[[*range(0xC3, 0xCA), 0xD0, 0xD1]] = LETTER
+    kind[[0xC2, 0xE1, 0xE2, 0xE3]] = MAYBE
+    splits = np.zeros((8, 8), bool)
+    splits[LETTER : OTHER + 1, SPACE:] = True
+    for a in (LETTER, DIGIT, MARK, APOSTROPHE):
+        splits[a, LETTER : APOSTROPHE + 1] = True
+        splits[a, a] = False
+    splits[MARK, APOSTROPHE] = splits[APOSTROPHE, MARK] = splits[APOSTROPHE, LETTER] = False
+    return kind, splits.ravel()
+
+
+_KIND, _SPLITS = _kinds()
+
+
+def cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 texts, one after another, begin a piece whose ids don't depend on what is around it; ends: of texts that aren't empty."""
+    kind = _KIND[data]
+    signs = (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    if signs.any():
+        kind[:-1][signs] = OTHER
+    if ((kind == OTHER) | ((kind == MAYBE) & (data >= 0x80))).any():
+        later = np.flatnonzero((data & 0xC0) == 0x80)
+        for _ in range(3):
+            kind[later] = kind[later - 1]
+    begins = np.empty(len(data), bool)
+    begins[1:] = _SPLITS[kind[:-1] << 3 | kind[1:]]
+    # The last white space before something else: a space goes with it, a line end is alone.
+    before = np.empty(len(data), bool)
+    before[:-1] = (kind[1:] >= LETTER) & (kind[1:] <= OTHER)
+    before[ends - 1] = False
+    before &= kind >= SPACE
+    begins |= before
+    begins[1:] |= before[:-1] & (kind[:-1] == LINE)
+    begins[0] = True
+    begins[ends[:-1]] = True
+    return begins
 
 
 def _alphabet() -> dict[int, str]:
@@ -98,30 +141,20 @@ class TokenizersFile(Library):
         self.added = {t["content"]: t["id"] for t in added}
         self.model = self.library.model
         alphabet = _alphabet()
-        self.shown = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in range(0x250)}
-        self.runs: dict[str, list[int]] = {}
+        self.shown = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in range(0x480)}
 
     def encode(self, texts: Sequence[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, words: Sequence[str]) -> list[list[int] | None]:
-        """Ids of each word behind a space, by the library's model alone, None for words that its pattern may split otherwise."""
-        tokens, plain, runs, shown, known = self.model.tokenize, _PLAIN.fullmatch, _RUNS.findall, self.shown, self.runs
-        if len(known) > RUNS:
-            known.clear()
+    def words(self, pieces: Sequence[str]) -> list[list[int] | None]:
+        """Ids of each piece, by the library's model alone, None for pieces that its pattern may split."""
+        tokens, whole, shown = self.model.tokenize, _WHOLE.fullmatch, self.shown
         out: list[list[int] | None] = []
-        for w in words:
-            if w.isascii() and w.isalpha():
-                out.append([t.id for t in tokens("Ġ" + w)])
-            elif plain(w):
-                # Words behind line ends and marks come again and again in other pieces.
-                ids: list[int] = []
-                for r in runs("Ġ" + (w if w.isascii() else w.translate(shown)).replace("\n", "Ċ")):
-                    found = known.get(r)
-                    if found is None:
-                        found = known[r] = [t.id for t in tokens(r)]
-                    ids += found
-                out.append(ids)
+        for p in pieces:
+            if p.isascii() and (word := p[1:] if p[0] == " " else p).isalpha():
+                out.append([t.id for t in tokens(p if word is p else "Ġ" + word)])
+            elif whole(p):
+                out.append([t.id for t in tokens(p.translate(shown))])
             else:
                 out.append(None)
         return out
@@ -164,17 +197,17 @@ class SentencePieceFile(Library):
 
 
 class Cache:
-    """Ids of texts by a library.  spaced: texts are read with a space before them."""
+    """Ids of texts by a library."""
 
-    def __init__(self, library: Library, spaced: bool = False, size: int = CACHE_PIECES) -> None:
-        self.library, self.spaced, self.size = library, spaced, size
+    def __init__(self, library: Library, size: int = CACHE_PIECES) -> None:
+        self.library, self.size = library, size
         #: Ids that begin with a space show where joined pieces begin.
         self.opens = np.array([b.startswith(b" ") for b in library.token_bytes()]) if library.cuts else None
         self.clear()
 
     def clear(self) -> None:
-        # Pieces that begin with a space, without it; other pieces, and special strings, by tuples.
-        self.index: dict[str | tuple, int] = {}
+        # By piece; an id behind every text by itself.
+        self.index: dict[str | int, int] = {}
         self.flat, self.starts, self.counts, self.hits = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.used = self.have = 0
 
@@ -203,21 +236,22 @@ class Cache:
         self._kept(old, flat, counts)
         self.hits[: self.have] = hits // 2
 
-    def _encode(self, keys: list) -> None:
-        """Keeps the ids of pieces by key: those of one space and no other are joined, the rest go one by one."""
-        together = [k for k in keys if type(k) is str and k and " " not in k] if self.opens is not None else []
-        alone = [k for k in keys if not (type(k) is str and k and " " not in k)] if together else keys
-        flat, sizes, done = [], [], []
-        if together and isinstance(self.library, TokenizersFile):
-            got = self.library.words(together)
-            done = [k for k, ids in zip(together, got, strict=True) if ids]
-            together = [k for k, ids in zip(together, got, strict=True) if not ids]
+    def _encode(self, pieces: list[str]) -> None:
+        """Keeps the ids of pieces: what the model can't take is joined where each has one space, in front, the rest goes one by one."""
+        flat, sizes, done, alone = [], [], [], pieces
+        if isinstance(self.library, TokenizersFile) and self.library.cuts:
+            got = self.library.words(pieces)
+            done = [p for p, ids in zip(pieces, got, strict=True) if ids]
+            alone = [p for p, ids in zip(pieces, got, strict=True) if not ids] if len(done) < len(pieces) else []
             known = [ids for ids in got if ids]
-            sizes.append(np.array([len(x) for x in known], np.int64))
+            sizes.append(np.fromiter(map(len, known), np.int64, len(known)))
             flat.append(np.fromiter(chain.from_iterable(known), np.int32, int(sizes[0].sum())))
+        together = [p for p in alone if p[0] == " " and len(p) > 1 and " " not in p[1:]] if self.opens is not None else []
+        if together:
+            alone = list(set(alone).difference(together))
         for at in range(0, len(together), JOINED):
             some = together[at : at + JOINED]
-            ids = np.array(self.library.encode([" " + " ".join(some)])[0], np.int32)
+            ids = np.array(self.library.encode(["".join(some)])[0], np.int32)
             begins = np.flatnonzero(self.opens[ids])
             if len(begins) != len(some) or begins[0]:  # a library that joins what it should not
                 alone = alone + some
@@ -227,89 +261,87 @@ class Cache:
             done += some
         for at in range(0, len(alone), 4096):
             some = alone[at : at + 4096]
-            got = self.library.encode([" " + k if type(k) is str else k[0] for k in some])
+            got = self.library.encode(some)
             flat += [np.array(x, np.int32) for x in got]
             sizes.append(np.array([len(x) for x in got], np.int64))
             done += some
         if done:
             self._kept(done, np.concatenate(flat), np.concatenate(sizes))
 
-    def _cut(self, text: str) -> list:
-        if self.spaced:
-            text = " " + text
-        if not self.library.cuts:
-            return [(text,)] if text else []
-        if not _UNSAFE.search(text):
-            first, *rest = text.split(" ")
-            return [(first,), *rest] if first else rest
-        return [p[1:] if p[0] == " " else (p,) for p in _EDGE.split(text) if p]
-
-    def cut(self, text: str) -> list:
+    def _pieces(self, column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts, one after another, and how many each text has."""
         special = self.library.special
-        if special is None or not (found := special.findall(text)):
-            return self._cut(text)
-        parts = special.split(text)
-        out = self._cut(parts[0])
-        for s, part in zip(found, parts[1:], strict=True):
-            out.append((s,))
-            out += self._cut(part)
-        return out
+        if special is not None and (held := self._special(column)).any():
+            # Special strings are pieces; texts are cut around them.
+            parts, each, apart = [], np.ones(len(column), np.int64), []
+            for k, (text, has) in enumerate(zip(column.to_pylist(), held.tolist(), strict=True)):
+                own = [x for pair in zip(special.split(text), [*special.findall(text), ""], strict=True) for x in pair] if has else [text]
+                apart += [has and i % 2 == 1 for i in range(len(own))]
+                parts += own
+                each[k] = len(own)
+            pieces, counts = self._cut(pa.array(parts, pa.large_string()), np.array(apart))
+            return pieces, np.add.reduceat(counts, np.cumsum(each) - each)
+        return self._cut(column)
+
+    def _special(self, column: pa.Array) -> np.ndarray:
+        held = np.zeros(len(column), bool)
+        for s in self.library.added:
+            held |= pc.match_substring(column, s).to_numpy(zero_copy_only=False).astype(bool)
+        return held
+
+    def _cut(self, column: pa.Array, apart: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray]:
+        """Pieces and their number in each text; texts that are `apart` stay whole."""
+        _, offsets, data = column.buffers()
+        edges = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        if edges[0] == edges[-1]:
+            return pa.array([], pa.large_string()), np.zeros(len(column), np.int64)
+        raw = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]]
+        own = edges - edges[0]
+        filled = own[1:] > own[:-1]
+        if self.library.cuts:
+            begins = cuts(raw, own[1:][filled])
+            for k in np.flatnonzero(apart & filled).tolist() if apart is not None else ():
+                begins[own[k] + 1 : own[k + 1]] = False
+            starts = np.flatnonzero(begins)
+        else:
+            starts = own[:-1][filled]
+        pieces = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts + edges[0], edges[-1])), data)
+        return pieces, np.diff(np.searchsorted(starts, own))
 
     @uncollected()
     def ids(self, texts: Sequence[str] | pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, `end` behind each where given, and the bounds of each text's."""
-        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
-        odd = self._odd(column)
-        rows = [self.cut(t) for t in column.filter(pa.array(odd)).to_pylist()]
-        even = column.filter(pa.array(~odd))
-        # Words by Arrow, each distinct one looked up once.
-        words = pc.split_pattern(even, " ")
-        sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = words.flatten().dictionary_encode()
-        word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        known: list = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        first = np.cumsum(sizes) - sizes
-        if self.spaced:
-            firsts = []
-        else:  # no space precedes the first word of a text
-            which, place = np.unique(word[first], return_inverse=True)
-            firsts = [(known[w],) for w in which.tolist()]
-            word[first] = len(known) + place
-        keys = known + firsts
-        last = [(None, end)] if end is not None else []
-        places, fresh = self._looked_up(keys, rows)
-        if len(self.index) + len(fresh) > self.size and len(self.index) > 1:
+        column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        pieces, counts = self._pieces(column)
+        # Each distinct piece is looked up once.
+        coded = pieces.dictionary_encode()
+        which = coded.indices.to_numpy()
+        keys: list[str] = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        places = self._looked_up(keys)
+        missed = np.flatnonzero(places < 0).tolist()
+        if len(self.index) + len(missed) > self.size and len(self.index) > 1:
             self._thin()
-            places, fresh = self._looked_up(keys, rows)
-        if last and last[0] not in self.index:
-            self._kept(last, np.array([end]), np.array([1]))
-        fresh.discard(("",))
-        length = lambda k: len(k) if type(k) is str else len(k[0] or "")
-        long = [k for k in fresh if length(k) > CACHED_CHARS]
-        if short := list(fresh.difference(long)) if long else list(fresh):
+            places = self._looked_up(keys)
+            missed = np.flatnonzero(places < 0).tolist()
+        if end is not None and end not in self.index:
+            self._kept([end], np.array([end]), np.array([1]))
+        fresh = [keys[i] for i in missed]
+        long = [k for k in fresh if len(k) > CACHED_CHARS]
+        if short := [k for k in fresh if len(k) <= CACHED_CHARS] if long else fresh:
             self._encode(short)
         before = self.used, self.have
-        if ("",) not in self.index:
-            self._kept([("",)], np.zeros(0, np.int32), np.array([0]))
-            before = self.used, self.have
         if long:
             self._encode(long)
-        look = self.index.__getitem__
-        missed = np.flatnonzero(places < 0).tolist()
-        places[missed] = [look(keys[i]) for i in missed]
-        slot = places[word] if len(keys) else np.zeros(0, np.int64)
-        n_pieces = np.array([len(r) for r in rows], np.int64)
-        other = np.fromiter(map(look, chain.from_iterable(rows)), np.int64, int(n_pieces.sum()))
-        # Back into the order of the texts.
-        starts, counts = np.empty(len(column), np.int64), np.empty(len(column), np.int64)
-        starts[~odd], counts[~odd] = first, sizes
-        starts[odd], counts[odd] = len(slot) + np.cumsum(n_pieces) - n_pieces, n_pieces
-        at = np.concatenate([slot, other])[ranges(starts, counts)]
-        if last:
-            at, counts = np.insert(at, np.cumsum(counts), look(last[0])), counts + 1
-        self.hits[: self.have] += np.bincount(at, minlength=self.have)
-        n = self.counts[at]
-        ids = self.flat[ranges(self.starts[at], n)]
+        places[missed] = [self.index[k] for k in fresh]
+        # Distinct pieces' ids, then those of every piece by a gather.
+        self.hits[places] += np.bincount(which, minlength=len(keys))
+        starts, sizes = self.starts[places], self.counts[places]
+        if end is not None:
+            which = np.insert(which, np.cumsum(counts), len(keys))
+            counts = counts + 1
+            starts, sizes = np.append(starts, self.starts[self.index[end]]), np.append(sizes, 1)
+        n = sizes[which]
+        ids = self.flat[ranges(starts[which], n)]
         bounds = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(counts))].astype(np.int64)
         if long:  # used once, not kept
             self.used, self.have = before
@@ -317,23 +349,9 @@ class Cache:
                 del self.index[k]
         return ids, bounds
 
-    def _looked_up(self, keys: list, rows: list[list]) -> tuple[np.ndarray, set]:
-        """Where each of keys is kept, -1 where it isn't, and what of keys and rows isn't."""
-        places = np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
-        fresh = {keys[i] for i in np.flatnonzero(places < 0).tolist()}
-        return places, fresh.union(set().union(*rows).difference(self.index))
-
-    def _odd(self, column: pa.Array) -> np.ndarray:
-        """Texts that aren't cut at every space, or hold special strings."""
-        if not self.library.cuts:
-            return np.ones(len(column), bool)
-        odd = pc.match_substring_regex(column, _UNSAFE_RE2)
-        if self.spaced:  # the space in front meets the text's own white space
-            odd = pc.or_(odd, pc.or_(pc.equal(column, ""), pc.match_substring_regex(column, _WHITE_FIRST)))
-        if self.library.special is not None:
-            for s in self.library.added:
-                odd = pc.or_(odd, pc.match_substring(column, s))
-        return odd.to_numpy(zero_copy_only=False).astype(bool)
+    def _looked_up(self, keys: list[str]) -> np.ndarray:
+        """Where each of keys is kept, -1 where it isn't."""
+        return np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

@@ -5,6 +5,7 @@ from glob import glob
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -134,3 +135,19 @@ def test_encoding_walks_no_lists_of_ids():
     assert seen == [0] and gc.isenabled()
     assert len(encoded) == len(set(encoded))
     assert [got[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [[*plain_ids(t), 2] for t in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"asvl'’Z90.,-—“!  \n\n\t\r\x7f\x85\xa0\u2028\u3000×÷éɏжѿ҂α·中の😀\u0301²ª", "'s", "'ll", " the", "<|endoftext|>"]), max_size=25).map("".join), max_size=6), st.sampled_from(sorted(CACHES)))
+def test_cuts_between_kinds_of_characters_equal_the_library(texts, size):
+    got, bounds = CACHES[size].ids(texts, 2)
+    assert [got[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [[*plain_ids(t), 2] for t in texts]
+
+
+def test_marks_digits_and_line_ends_make_no_new_pieces():
+    """A word is kept once behind a space and once without, whatever it stands between; a slice of a column is read as such."""
+    cache = I.Cache(I.TokenizersFile(PATH))
+    texts = ["left out", " ".join(f"{a}Größe{b}" for a in ("", "(", "7") for b in ("", ",", ".\nGröße", "!?", "42")), "", " Größe"]
+    got, bounds = cache.ids(pa.array(texts, pa.large_string()).slice(1), 2)
+    assert sorted(k for k in cache.index if isinstance(k, str) and "Größe" in k) == [" Größe", "Größe"]
+    assert [got[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [[*plain_ids(t), 2] for t in texts[1:]]
