@@ -226,6 +226,8 @@ class Cache:
 
     def _thin(self) -> None:
         """Leaves the pieces met most often, a third of `size` at most and none met once."""
+        if self.size < 3:
+            return self.clear()
         hits = self.hits[: self.have]
         floor = max(2, int(np.partition(hits, -(self.size // 3))[-(self.size // 3)]) + 1) if self.have > self.size // 3 else 2
         old = [k for k, i in self.index.items() if hits[i] >= floor]

@@ -151,3 +151,11 @@ def test_marks_digits_and_line_ends_make_no_new_pieces():
     got, bounds = cache.ids(pa.array(texts, pa.large_string()).slice(1), 2)
     assert sorted(k for k in cache.index if isinstance(k, str) and "Größe" in k) == [" Größe", "Größe"]
     assert [got[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [[*plain_ids(t), 2] for t in texts[1:]]
+
+
+def test_a_cache_of_size_none_keeps_no_pieces_of_earlier_texts():
+    cache = I.Cache(I.TokenizersFile(PATH), size=0)
+    for texts in (["often often often often"], ["other words"]):
+        got, bounds = cache.ids(texts)
+        assert [got[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [plain_ids(t) for t in texts]
+    assert sorted(cache.index) == [" words", "other"]
