@@ -323,6 +323,6 @@ def digits(text: Column) -> Column:
     return F.regexp_replace(text, r"\D", "")
 
 
-def chunk_id(path: Column, page: Column, ordinal: Column, most: int = 512) -> Column:
-    """Name and hash of place: the same chunk has the same id in every run."""
-    return F.left(F.concat(ascii_safe(base_name(path)), F.lit("-"), F.md5(F.concat_ws("/", path, page.cast("string"), ordinal.cast("string")))), F.lit(most))
+def chunk_id(path: Column, page: Column, ordinal: Column, most: int = 512, name: Column | None = None) -> Column:
+    """Name and hash of place: the same chunk has the same id in every run.  name: the path's base name made ASCII, where that is at hand."""
+    return F.left(F.concat(ascii_safe(base_name(path)) if name is None else name, F.lit("-"), F.md5(F.concat_ws("/", path, page.cast("string"), ordinal.cast("string")))), F.lit(most))

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
-from functools import lru_cache
+import string
 
 import numpy as np
 import pandas as pd
@@ -130,22 +129,32 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size)
 
 
-@lru_cache(1 << 16)
-def _place(token: str) -> int:
-    return int(hashlib.md5(token.encode()).hexdigest()[0], 16)
+class _Places(dict):
+    """The first hex digit of each token's MD5; emptied when it has very many."""
+
+    def __missing__(self, token: bytes) -> int:
+        if len(self) >= 1 << 18:
+            self.clear()
+        place = self[token] = hashlib.md5(token).digest()[0] >> 4
+        return place
+
+
+_PLACES = _Places()
+#: Bytes of UTF-8 with all but lower-case ASCII letters and digits made spaces.
+_TOKEN_BYTES = bytes(b if chr(b) in string.ascii_lowercase + string.digits else 32 for b in range(256))
+
+
+def _hashed(text: str) -> list[float]:
+    places = bytes(map(_PLACES.__getitem__, text.lower().encode().translate(_TOKEN_BYTES).split()))
+    counts = [float(places.count(place)) for place in range(16)]
+    size = math.sqrt(sum(c * c for c in counts))
+    return [c / size for c in counts] if size else counts
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
 def hashed_vectors(lists: pd.Series) -> pd.Series:
     """A stand-in for a hosted embedder: for each text of a list its counts of tokens by the first digit of their MD5 in 16 places, of length 1."""
-    def one(text: str) -> list[float]:
-        counts = [0.0] * 16
-        for token in re.findall("[a-z0-9]+", text.lower()):
-            counts[_place(token)] += 1
-        size = math.sqrt(sum(c * c for c in counts))
-        return [c / size for c in counts] if size else counts
-
-    return lists.map(lambda texts: None if texts is None else [one(t) for t in texts])
+    return lists.map(lambda texts: None if texts is None else [_hashed(t) for t in texts])
 
 
 def json_bytes(*columns: Column) -> Column:

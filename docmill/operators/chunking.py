@@ -35,9 +35,14 @@ def _bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def once(df: DataFrame, *names: str) -> DataFrame:
+    """df with these columns made once a row, whatever uses them: expressions are not folded through a generator."""
+    return df.select(*[c for c in df.columns if c not in names], F.inline(F.array(F.struct(*names))))
+
+
 def _joined(parts: Column, starts: Column, joiner: str) -> Column:
-    """The parts between one start and the next, as texts."""
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(parts)))
+    """The parts between one start and the next, as texts; none without parts."""
+    ends = F.slice(F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(parts))), F.lit(1), F.size(starts))
     return F.zip_with(starts, ends, lambda a, b: F.array_join(F.slice(parts, a + 1, b - a), joiner))
 
 
@@ -81,35 +86,42 @@ def semantic(parts: Column, vectors: Column, low: int = MIN_TOKENS, high: int =
     return _bound(F.struct(parts.alias("parts"), vectors.alias("vectors")), cut)
 
 
+def _split_text(text: str, limit: int) -> list[str]:
+    out, now, size = [], [], 0
+    for line in text.split("\n"):
+        pieces = [line]
+        if len(line.encode()) > limit:  # cut between characters
+            pieces, part, n = [], [], 0
+            for c in line:
+                w = len(c.encode())
+                if n + w > limit:
+                    pieces.append("".join(part))
+                    part, n = [], 0
+                part.append(c)
+                n += w
+            pieces.append("".join(part))
+        for piece in pieces:
+            w = len(piece.encode()) + bool(now)
+            if now and size + w > limit:
+                out.append("\n".join(now))
+                now, size, w = [], 0, w - 1
+            now.append(piece)
+            size += w
+    out.append("\n".join(now))
+    return [p for p in out if p.strip()]
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _split(texts: pd.Series, most: pd.Series) -> pd.Series:
-    def one(text: str | None, limit: int) -> list[str] | None:
-        if text is None:
-            return None
-        out, now, size = [], [], 0
-        for line in text.split("\n"):
-            pieces = [line]
-            if len(line.encode()) > limit:  # cut between characters
-                pieces, part, n = [], [], 0
-                for c in line:
-                    w = len(c.encode())
-                    if n + w > limit:
-                        pieces.append("".join(part))
-                        part, n = [], 0
-                    part.append(c)
-                    n += w
-                pieces.append("".join(part))
-            for piece in pieces:
-                w = len(piece.encode()) + bool(now)
-                if now and size + w > limit:
-                    out.append("\n".join(now))
-                    now, size, w = [], 0, w - 1
-                now.append(piece)
-                size += w
-        out.append("\n".join(now))
-        return [p for p in out if p.strip()]
-
-    return pd.Series([one(t, m) for t, m in zip(texts, most, strict=True)], dtype=object)
+    return pd.Series([None if t is None else _split_text(t, m) for t, m in zip(texts, most, strict=True)], dtype=object)
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _split_lists(lists: pd.Series, most: pd.Series) -> pd.Series:
+    def one(chunks, limit: int) -> list[str]:
+        return [p for c in chunks for p in ([c] if len(c.encode()) <= limit else _split_text(c, limit)) if p.strip(" ")]
+
+    return pd.Series([None if x is None else [one(chunks, m) for chunks in x] for x, m in zip(lists, most, strict=True)], dtype=object)
 
 
 def split_oversized(text: Column, most: int = CHUNK_BYTES) -> Column:
@@ -129,8 +141,7 @@ def chunked(df: DataFrame, mode: str = "semantic", text: str = "text", separator
     else:
         bounded_batches(df.sparkSession)
         df = df.withColumn("__vectors", vectors(parts))
-        alike = semantic(parts, F.col("__vectors"), low, high, likeness, joiner)
-        chunks = F.when(F.size(parts) <= 1, parts).when(F.size(parts) > MANY_PARAGRAPHS, greedy(parts, low, high, joiner)).otherwise(alike)
+        chunks = _merged(parts, F.col("__vectors"), low, high, likeness, joiner)
     keys = [c for c in df.columns if c not in (text, "__parts", "__vectors")]
     whole = df.select(*keys, F.posexplode(chunks).alias("merged", "part"))
     cut = whole.select(*[c for c in whole.columns if c != "part"], F.posexplode(F.array("part") if most is None else split_oversized(F.col("part"), most)).alias("cut", "chunk"))
@@ -140,6 +151,34 @@ def chunked(df: DataFrame, mode: str = "semantic", text: str = "text", separator
     return cut.select(*keys, before.alias("ordinal"), "chunk")
 
 
+def _merged(parts: Column, vectors: Column, low: int, high: int, likeness: float, joiner: str) -> Column:
+    alike = semantic(parts, vectors, low, high, likeness, joiner)
+    return F.when(F.size(parts) <= 1, parts).when(F.size(parts) > MANY_PARAGRAPHS, greedy(parts, low, high, joiner)).otherwise(alike)
+
+
+def chunk_lists(df: DataFrame, texts: str, mode: str = "semantic", separator: str = "\n\n", low: int = MIN_TOKENS, high: int = MAX_TOKENS, likeness: float = LIKENESS, most: int | None = CHUNK_BYTES, vectors=V.hashed_vectors) -> DataFrame:
+    """df with `chunks`, a list for each of the array `texts`, cut as chunked() cuts one text; rows stay whole, so that nothing is shuffled."""
+    if mode == "whole":
+        df = df.withColumn("chunks", F.transform(texts, lambda t: F.filter(F.array(t), lambda c: F.trim(c) != "")))
+    else:
+        df = once(df.withColumn("__parts", F.transform(texts, lambda t: F.coalesce(paragraphs(t, separator), F.array().cast("array<string>")))), "__parts")
+        if mode == "greedy":
+            chunks = F.transform("__parts", lambda p: greedy(p, low, high, separator))
+        else:
+            bounded_batches(df.sparkSession)
+            df = once(df.withColumn("__vectors", vectors(F.flatten("__parts"))), "__vectors")
+            before = lambda i: F.aggregate(F.slice("__parts", F.lit(1), i), F.lit(0), lambda n, p: n + F.size(p))
+            chunks = F.transform("__parts", lambda p, i: _merged(p, F.slice("__vectors", before(i) + 1, F.size(p)), low, high, likeness, separator))
+        df = df.withColumn("chunks", chunks).drop("__parts", "__vectors")
+    df = once(df, "chunks")
+    if most is None:
+        return df
+    # Python sees the texts that have a chunk too long.
+    long = F.exists("chunks", lambda chunks: F.exists(chunks, lambda c: F.octet_length(c) > most))
+    fitting = F.transform("chunks", lambda chunks: F.filter(chunks, lambda c: F.trim(c) != ""))
+    return once(df.withColumn("chunks", F.when(long, _split_lists(F.when(long, F.col("chunks")), F.lit(most))).otherwise(fitting)), "chunks")
+
+
 def packed(sizes: Column, most: int = REQUEST_CHARS) -> Column:
     """The batch number of each size of an ordered array: a batch is full before it would pass `most`; one larger alone is a batch."""
     start = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("batch"), F.lit(0).cast("long").alias("sum"))

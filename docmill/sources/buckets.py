@@ -1,9 +1,9 @@
 """Tables whose rows are replaced and deleted by path: hash buckets of the key as partitions, of which only touched ones are written.
 
 A bucket is the unit of a rewrite: what is loaded or deleted tells its buckets (a bounded list, BUCKETS
-at most), their old rows are read, and Spark's dynamic partition overwrite puts the new ones in their
-place when all tasks are done; files of other buckets stay as they are.  A key with very many rows
-makes a large bucket, which is written by several tasks.
+at most), and Spark's dynamic partition overwrite puts new rows in the place of old ones when all tasks are
+done; files of other buckets stay as they are.  Rows of buckets that keep other keys are read and written
+aside first.  A key with very many rows makes a large bucket, which is written by several tasks.
 
 Defined cases: a null key has a bucket of its own and is replaced by null keys; rows of the new load that repeat are
 kept as they are; a load or delete that touches nothing writes nothing; an empty table is a table.
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.sources.tables import written
+from docmill.sources.tables import compressed, passing, removed, spent
 
 BUCKETS = 4096
 KEY = "storage_path"
@@ -33,7 +33,19 @@ def create(df: DataFrame, path: str, key: str = KEY, buckets: int = 64) -> None:
         raise ValueError(f"1 to {BUCKETS} buckets, not {buckets}")
     spark = df.sparkSession
     spark.createDataFrame([(buckets, key, df.schema.json())], "buckets int, key string, kind string").coalesce(1).write.json(f"{path}/_facts")
-    _put(df.withColumn("bucket", bucket(F.col(key), buckets)), path, "errorifexists")
+    _put(dealt(df.withColumn("bucket", bucket(F.col(key), buckets))), path, "errorifexists")
+
+
+def of_key(spark: SparkSession, path: str) -> tuple[str, Column]:
+    """The key of the table and the bucket of a row that has it."""
+    facts = _facts(spark, path)
+    key = facts["key"]
+    return key, bucket(F.col(key).cast(T.StructType.fromJson(json.loads(facts["kind"]))[key].dataType), facts["buckets"])
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rebalanced by bucket: small ones share a task, a large one is split over several."""
+    return df.hint("rebalance", "bucket")
 
 
 def _facts(spark: SparkSession, path: str):
@@ -41,8 +53,8 @@ def _facts(spark: SparkSession, path: str):
 
 
 def _put(df: DataFrame, path: str, mode: str) -> None:
-    """Rebalanced by bucket: small ones share a task, a large one is split over several."""
-    df.hint("rebalance", "bucket").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/rows")
+    with spent(df.sparkSession):
+        compressed(df, "bucket").mode(mode).option("partitionOverwriteMode", "dynamic").parquet(f"{path}/rows")
 
 
 def _rows(spark: SparkSession, path: str) -> DataFrame:
@@ -61,17 +73,33 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def upsert(new: DataFrame, path: str) -> list[int]:
     """new in place of the rows that have its keys; returns the buckets written."""
+    own, of = of_key(new.sparkSession, path)
+    with passing(new.select(*read(new.sparkSession, path).columns, of.alias("bucket")), "upsert") as new:
+        return replace(dealt(new), new.select("bucket", own).distinct(), path)
+
+
+def replace(new: DataFrame, keys: DataFrame, path: str) -> list[int]:
+    """upsert of rows that have their bucket already and read nothing of the table, given their distinct keys (with bucket); new is made once, as it is written.
+
+    Old rows are read only in buckets that keep some.
+    """
     spark = new.sparkSession
-    facts = _facts(spark, path)
-    key = facts["key"]
+    own, _ = of_key(spark, path)
     old = _rows(spark, path)
-    new = written(new.select(*[F.col(c).cast(old.schema[c].dataType) for c in old.columns if c != "bucket"]).withColumn("bucket", bucket(F.col(key), facts["buckets"])), "upsert")
-    touched = sorted(r[0] for r in new.select("bucket").distinct().collect())
-    if touched:
-        keys = new.select("bucket", F.col(key).alias("__key")).distinct()
-        there = old.where(F.col("bucket").isin(touched)).alias("o").join(keys.alias("k"), (F.col("o.bucket") == F.col("k.bucket")) & F.col(f"o.{key}").eqNullSafe(F.col("__key")), "left_anti")
-        # Written aside first: a table isn't read while it is overwritten.
-        _put(written(there.unionByName(new), "upsert"), path, "overwrite")
+    with spent(spark):
+        touched = sorted(r[0] for r in keys.select("bucket").distinct().collect())
+        if not touched:
+            return []
+        new = new.select(*[F.col(c).cast(old.schema[c].dataType) for c in old.columns if c != "bucket"], "bucket")
+        old, keys = old.where(F.col("bucket").isin(touched)).alias("o"), keys.select("bucket", F.col(own).alias("__key")).alias("k")
+        same = (F.col("o.bucket") == F.col("k.bucket")) & F.col(f"o.{own}").eqNullSafe(F.col("__key"))
+        keeping = sorted(r[0] for r in old.select("bucket", own).distinct().alias("o").join(keys, same, "left_anti").select("bucket").distinct().collect())
+    if not keeping:
+        _put(new, path, "overwrite")
+        return touched
+    # Written aside first: a table isn't read while it is overwritten.
+    with passing(old.where(F.col("o.bucket").isin(keeping)).join(keys, same, "left_anti").select("o.*"), "kept") as kept:
+        _put(dealt(kept.unionByName(new)), path, "overwrite")
     return touched
 
 
@@ -87,11 +115,10 @@ def delete(spark: SparkSession, path: str, key: str | None = None, source: str |
         rows = rows.where(F.col("bucket") == bucket(F.lit(key), facts["buckets"]))
     touched = sorted(r[0] for r in rows.where(gone).select("bucket").distinct().collect())
     if touched:
-        left = written(rows.where(F.col("bucket").isin(touched) & ~gone), "delete")
-        kept = {r[0] for r in left.select("bucket").distinct().collect()}
-        if kept:
-            _put(left, path, "overwrite")
+        with passing(rows.where(F.col("bucket").isin(touched) & ~gone), "delete") as left:
+            kept = {r[0] for r in left.select("bucket").distinct().collect()}
+            if kept:
+                _put(dealt(left), path, "overwrite")
         for b in set(touched) - kept:  # a partition without rows is not overwritten, it goes
-            where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/rows/bucket={b}")
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            removed(spark, f"{path}/rows/bucket={b}")
     return touched

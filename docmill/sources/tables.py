@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from docmill.functions import text as X
@@ -32,6 +34,42 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def spent(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that runs inside go when it has ended, not when the driver's memory happens to be collected."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+@contextmanager
+def passing(df: DataFrame, what: str, by: str | None = None) -> Iterator[DataFrame]:
+    """df as a compressed table in the shared folder, partitioned by a column if wanted, that goes at the end of the block: nothing lazy may read it then."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/docmill-{what}-{uuid.uuid4().hex}"
+    try:
+        with spent(spark):
+            compressed(df, by).parquet(path)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        removed(spark, path)
+
+
+def compressed(df: DataFrame, by: str | None = None) -> DataFrameWriter:
+    """A writer by a codec that takes two thirds of the default one's disk on text."""
+    out = df.write.option("compression", "zstd")
+    return out.partitionBy(by) if by else out
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: Bytes of an Arrow batch whose rows are made larger in Python.
 BATCH_BYTES = 4 << 20
 

@@ -4,14 +4,15 @@ import json
 import os
 
 import duckdb
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.functions import adapters
 from docmill.functions import values as V
-from docmill.operators import load
-from docmill.sources import buckets, enveloped
+from docmill.operators import chunking, load
+from docmill.sources import buckets, enveloped, tables
 from docmill.streaming import incremental
 
 KIND = "storage_path string, content binary, processor string"
@@ -58,6 +59,59 @@ def test_loading_into_buckets(spark, tmp_path):
     assert {(r.storage_path, r.chunk_text, r.batch) for r in buckets.read(spark, path).collect()} == {("a/1", "one", 0), ("a/2", "new", 0)}
 
 
+def test_a_load_into_buckets_leaves_only_the_table(spark, tmp_path, monkeypatch):
+    files_of = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in map(str, str(files_of.getAllFiles().mkString("\n")).split("\n")) if "shuffle_" in f}
+    kind = "storage_path string, page int, ordinal int, chunk_id string, chunk_text string, embedding array<double>, batch int, request int"
+    files = spark.createDataFrame([(f"s/{i}.txt", bytearray("\n\n".join(f"words {j} of text {i} " * 60 for j in range(9)).encode()), "text") for i in range(60)], KIND).repartition(3)
+    monkeypatch.setattr(tables, "shared_dir", lambda _: f"file://{tmp_path}/shared")
+    path, rows, left = str(tmp_path / "v"), [], set()
+    buckets.create(spark.createDataFrame([], kind), path, buckets=4)
+    # A whole load, the same again, and a part of it, which reads buckets that keep other paths.
+    for part in (files, files, files.where("storage_path LIKE 's/1%'")):
+        had = shuffled()
+        outcomes = load.stored_into(part, path)
+        left |= shuffled() - had
+        assert outcomes.where("outcome = 'processed' AND chunks > 1").count() == part.count()
+        rows.append(sorted(map(tuple, buckets.read(spark, path).collect())))
+    assert rows[0] == rows[1] == rows[2] and len({r[0] for r in rows[0]}) == 60
+    # What isn't the table: the outcomes, which are small; no shuffle files.
+    assert all(name.startswith("docmill-outcomes-") for name in os.listdir(tmp_path / "shared")) and not left
+    assert {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in (tmp_path / "v/rows").rglob("*.parquet")} == {"ZSTD"}
+    # Numbers are made in a file's row.
+    told = load.written(load.cut_up(files, buckets.read(spark, path)), "cut")
+    assert "Exchange" not in load.vectors_of(told)._jdf.queryExecution().toString()
+
+
+def test_files_of_one_path_are_numbered_together(spark):
+    files = spark.createDataFrame([("a", bytearray(b"one\n\ntwo"), "text"), ("a", bytearray(b"three\n\nfour\n\n" + b"w " * 2000), "text"), ("b", bytearray(b"five"), "text"), (None, bytearray(b"six"), "text")], KIND)
+    stored = spark.createDataFrame([], "storage_path string, page int, ordinal int, chunk_id string, chunk_text string, batch int")
+    table, outcomes = load.ingested(files, stored)
+    rows = table.collect()
+    assert sorted((r.storage_path, r.ordinal) for r in rows) == [("a", 0), ("a", 1), ("a", 2), ("b", 0)] and len({r.chunk_id for r in rows}) == 4
+    assert sorted((r.storage_path or "", r.outcome, r.chunks) for r in outcomes.collect()) == [("", "deleted", 0), ("a", "processed", 3), ("a", "processed", 3), ("b", "processed", 1)]
+
+
+def test_lists_of_texts_are_cut_as_single_texts_are(spark):
+    texts = ["one two\n\nthree four\n\n" + "w " * 400, "é" * 90 + "\n\nshort", "", None, "\t\n", "x\n\n" * 900, "\n\n".join(f"alike {i % 5} " * 30 for i in range(40))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for how in ({}, {"mode": "greedy", "low": 3, "high": 40}, {"mode": "whole"}, {"most": 31}, {"mode": "whole", "most": 31}, {"mode": "greedy", "most": None}, {"low": 20, "high": 100, "most": None}):
+        want = {i: [] for i in range(len(texts))}
+        for r in chunking.chunked(df, **how).orderBy("i", "ordinal").collect():
+            want[r.i] += [r.chunk] if r.chunk is not None else []
+        listed = df.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]).alias("texts"))
+        assert [x or [] for x in chunking.chunk_lists(listed, "texts", **how).first()["chunks"]] == [want[i] for i in range(len(texts))]
+
+
+def test_a_file_of_white_space_has_no_chunks(spark):
+    files = spark.createDataFrame([("w", bytearray(b"\t\n"), "text"), ("a", bytearray(b"one"), "text")], KIND)
+    stored = spark.createDataFrame([], "storage_path string, chunk_text string")
+    for mode in ("greedy", "semantic"):
+        table, outcomes = load.ingested(files, stored, mode=mode, most=None)
+        assert [tuple(r) for r in table.collect()] == [("a", "one")]
+        assert {r.storage_path: (r.outcome, r.chunks) for r in outcomes.collect()} == {"w": ("deleted", 0), "a": ("processed", 1)}
+
+
 def test_image_guard(spark):
     files = spark.createDataFrame([("a.png", bytearray(b"1"), "image"), ("a.PNG", bytearray(b"1"), "image"), ("a.tiff", bytearray(b"1"), "image"), ("a", None, "image"), ("a.x", None, None)], KIND)
     got = {r.storage_path: (r.status, r.message) for r in adapters.extracted(files, describer=lambda c: F.when(c.isNotNull(), F.lit("seen"))).collect()}
